@@ -16,8 +16,17 @@ _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))
 
 def java(pattern: str, flags: str = "") -> str:
     """The Java form of a pattern; ``flags`` of ``i`` and ``m``."""
-    out = re.sub(r"\\\\|\\b", lambda m: _EDGE if m[0] == r"\b" else m[0], pattern)
-    return f"(?{flags}d){out}"
+
+    def edge(m: re.Match) -> str:
+        if m[0] != r"\b":
+            return m[0]
+        if re.match(r"(?:\(\?:|\()*[A-Za-z0-9_]", pattern[m.end() :]):  # what follows is a word character: only the other side is open
+            return "(?<![A-Za-z0-9_])"
+        if re.search(r"(?<!\\)[A-Za-z0-9_]$", pattern[: m.start()]):
+            return "(?![A-Za-z0-9_])"
+        return _EDGE
+
+    return f"(?{flags}d){re.sub(r'[\\][\\b]', edge, pattern)}"
 
 
 def duck(pattern: str, flags: str = "") -> str:

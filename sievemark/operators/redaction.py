@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.redaction_rules import INJECTION, INJECTION_CHARS, INJECTION_MARK, NAMED, PLACEHOLDER, PLACEHOLDERS, PRIVATE
+from ..functions.redaction_rules import GUARDS, INJECTION, INJECTION_CHARS, INJECTION_MARK, NAMED, PLACEHOLDER, PLACEHOLDERS, PRIVATE
 from ..functions.text import count, every, swap
 
 MAX_INPUT = 5 * 1024 * 1024
@@ -59,29 +59,42 @@ def is_binary(content: str | Column) -> Column:
     return F.coalesce(nuls / F.nullif(F.octet_length(head), F.lit(0)) > 0.1, F.lit(False))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``redacted_text``, ``total_redactions`` and ``redactions`` (map of category to count, found ones only)."""
-    out = df.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
-    counts: dict[str, list[str]] = {}
-
-    def step(n: int, category: str, pattern: str, flags: str, to: str) -> None:
-        nonlocal out
-        name = f"__c{n}"
-        counts.setdefault(category, []).append(name)
-        # Each step reads the last one's text; columns in two projections keep the plan linear.
-        out = out.withColumn(name, count("__t", pattern, flags)).withColumn("__t", swap("__t", pattern, to, flags))
-
-    n = 0
-    for pattern, flags in PLACEHOLDERS:
-        step(n := n + 1, "pre_redacted_placeholders", pattern, flags, PLACEHOLDER)
-    for name, pattern, flags, to in PRIVATE:
-        step(n := n + 1, name, pattern, flags, to)
-    for name, pattern, flags, to in NAMED:
-        step(n := n + 1, name, pattern, flags, f"$1{to}$2")
-    total = sum((F.col(c) for cs in counts.values() for c in cs), F.lit(0).cast("bigint"))
-    pairs = [x for k, cs in counts.items() for x in (F.lit(k), sum((F.col(c) for c in cs), F.lit(0).cast("bigint")))]
-    categories = F.map_filter(F.create_map(*pairs), lambda _, v: v > 0)
-    return out.select(*df.columns, F.col("__t").alias("redacted_text"), total.alias("total_redactions"), categories.alias("redactions"))
+    """Add ``redacted_text``, ``total_redactions`` and ``redactions`` (map of category to count, found ones only).
+
+    One expression folds the steps, each over the text that the last one left, so
+    the plan is a single projection over the scan.
+    """
+    steps = [("pre_redacted_placeholders", p, f, PLACEHOLDER) for p, f in PLACEHOLDERS]
+    steps += list(PRIVATE)
+    steps += [(n, p, f, f"$1{to}$2") for n, p, f, to in NAMED]
+    done = F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.array().cast("array<bigint>").alias("n"))
+
+    def after(name: str, pattern: str, flags: str, to: str):
+        def step(a: Column) -> Column:
+            hit = F.struct(swap(a["t"], pattern, to, flags).alias("t"), F.concat(a["n"], F.array(count(a["t"], pattern, flags))).alias("n"))
+            if name not in GUARDS:
+                return hit
+            return F.when(a["t"].rlike(GUARDS[name]), hit).otherwise(F.struct(a["t"].alias("t"), F.concat(a["n"], F.array(F.lit(0).cast("bigint"))).alias("n")))
+
+        return step
+
+    for s in steps:
+        done = _let(done, after(*s))
+    categories = list(dict.fromkeys(s[0] for s in steps))
+
+    def summed(a: Column) -> Column:
+        own = lambda c: sum((a["n"][i] for i, s in enumerate(steps) if s[0] == c), F.lit(0).cast("bigint"))
+        counts = F.map_from_arrays(F.array(*[F.lit(c) for c in categories]), F.array(*[own(c) for c in categories]))
+        return F.struct(a["t"].alias("t"), F.aggregate(a["n"], F.lit(0).cast("bigint"), lambda x, y: x + y).alias("total"), F.map_filter(counts, lambda _, v: v > 0).alias("by"))
+
+    out = df.withColumn("__r", _let(done, summed))
+    return out.select(*df.columns, F.col("__r.t").alias("redacted_text"), F.col("__r.total").alias("total_redactions"), F.col("__r.by").alias("redactions"))
 
 
 def scan_injection(df: DataFrame, text_col: str = "text") -> DataFrame:
