@@ -49,32 +49,47 @@ _STRUCT = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:l
 _PLAIN = re.compile("[\t\n\r -;=-~¡-įĲ-ɏ‐-‧]*(?:<(?!\\|)[\t\n\r -;=-~¡-įĲ-ɏ‐-‧]*)*")
 
 
+#: A control character that plain texts don't have and that is a token of its own between spaces.
+_BETWEEN = "\x01"
+
+
 class WordTokens:
     """Ids of whole texts as little-endian bytes, with a bounded memo of words.
 
-    The vocabulary's pre-tokens never span white space, so a plain text is the
-    concatenation of its words' ids; other texts are encoded whole.
+    The vocabulary's pre-tokens never span white space and it lower-cases, so a
+    plain text is the concatenation of its lower-case words' ids; other texts are
+    encoded whole. New words are encoded many at a time with a separator between.
     """
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.limit = Tokenizer.from_file(path), {}, memo
+        (self.between,) = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, words: list[str], at_once: int = 4000) -> None:
+        for k in range(0, len(words), at_once):
+            some = words[k : k + at_once]
+            (ids,) = self._encode([f" {_BETWEEN} ".join(some)])
+            cuts = np.flatnonzero(ids == self.between)
+            raw = ids.tobytes()
+            starts, stops = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
+            self.memo.update((w, raw[x:y]) for w, x, y in zip(some, starts, stops, strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
             block = texts[at : at + 256]
-            words = [t.split() if _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) else None for t in block]
+            words = [t.lower().split() if _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) else None for t in block]
             if len(self.memo) > self.limit:
                 self.memo.clear()
-            new = list({w for ws in words if ws for w in ws if w not in self.memo})
-            self.memo.update(zip(new, self._encode(new)))
+            new = set().union(*(ws for ws in words if ws)) - self.memo.keys()
+            self._learn(list(new))
             for text, ws in zip(block, words):
-                yield b"".join(map(self.memo.__getitem__, ws)) if ws is not None else self._encode([text])[0]
+                yield b"".join(map(self.memo.__getitem__, ws)) if ws is not None else self._encode([text])[0].tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
