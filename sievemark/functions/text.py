@@ -135,6 +135,11 @@ def d_clamp(x: str, low: float = 0.0, high: float = 100.0) -> str:
     return f"least(greatest({x}, {float(low)}), {float(high)})"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body (or a lambda in it) names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def flag(x: Column) -> Column:
     """0.0 or 1.0."""
     return F.when(x, 1.0).otherwise(0.0)
@@ -145,12 +150,19 @@ def array_sum(x: Column, kind: str = "double") -> Column:
     return F.aggregate(x, zero, lambda a, v: a + v.cast(kind))
 
 
-def mean_cv(lengths: Column, none: float = 0.5) -> tuple[Column, Column]:
-    """Mean and population coefficient of variation of an array of lengths (``none`` where the mean is 0)."""
-    n = F.size(lengths)
-    mean = F.when(n > 0, array_sum(lengths) / n).otherwise(F.lit(0.0))
-    spread = F.aggregate(lengths, F.lit(0.0), lambda a, v: a + F.pow(v.cast("double") - mean, 2))
-    return mean, F.when(mean > 0, F.when(n > 1, F.sqrt(spread / n)).otherwise(F.lit(0.0)) / mean).otherwise(F.lit(none))
+def mean_cv(lengths: Column, none: float = 0.5) -> Column:
+    """(mean, cv) of an array of lengths: population coefficient of variation, ``none`` where the mean is 0."""
+
+    def moments(a: Column) -> Column:
+        n = F.size(a).cast("double")
+        return F.struct(n.alias("n"), F.when(n > 0, array_sum(a) / n).otherwise(F.lit(0.0)).alias("mean"), a.alias("a"))
+
+    def spread(m: Column) -> Column:
+        squares = F.aggregate(m["a"], F.lit(0.0), lambda s, v: s + F.pow(v.cast("double") - m["mean"], F.lit(2.0)))
+        sd = F.when(m["n"] > 1, F.sqrt(squares / m["n"])).otherwise(F.lit(0.0))
+        return F.struct(m["mean"].alias("mean"), F.when(m["mean"] > 0, sd / m["mean"]).otherwise(F.lit(float(none))).alias("cv"))
+
+    return let(let(lengths, moments), spread)
 
 
 def _col(x: str | Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.redaction_rules import GUARDS, INJECTION, INJECTION_CHARS, INJECTION_MARK, NAMED, PLACEHOLDER, PLACEHOLDERS, PRIVATE
-from ..functions.text import count, every, swap
+from ..functions.text import count, every, java, let, swap
 
 MAX_INPUT = 5 * 1024 * 1024
 MAX_ANALYSIS = 50_000
@@ -59,11 +59,6 @@ def is_binary(content: str | Column) -> Column:
     return F.coalesce(nuls / F.nullif(F.octet_length(head), F.lit(0)) > 0.1, F.lit(False))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``redacted_text``, ``total_redactions`` and ``redactions`` (map of category to count, found ones only).
 
@@ -85,7 +80,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
         return step
 
     for s in steps:
-        done = _let(done, after(*s))
+        done = let(done, after(*s))
     categories = list(dict.fromkeys(s[0] for s in steps))
 
     def summed(a: Column) -> Column:
@@ -93,14 +88,14 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
         counts = F.map_from_arrays(F.array(*[F.lit(c) for c in categories]), F.array(*[own(c) for c in categories]))
         return F.struct(a["t"].alias("t"), F.aggregate(a["n"], F.lit(0).cast("bigint"), lambda x, y: x + y).alias("total"), F.map_filter(counts, lambda _, v: v > 0).alias("by"))
 
-    out = df.withColumn("__r", _let(done, summed))
+    out = df.withColumn("__r", let(done, summed))
     return out.select(*df.columns, F.col("__r.t").alias("redacted_text"), F.col("__r.total").alias("total_redactions"), F.col("__r.by").alias("redactions"))
 
 
 def scan_injection(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``injections``: (label, match) of the first hit of each pattern, at most 120 characters of it, in the order of the patterns."""
     hits = [
-        F.when(F.col(text_col).rlike(_j(p, f)), F.struct(F.lit(label).alias("label"), F.substring(F.regexp_extract(F.col(text_col), _j(p, f), 0), 1, INJECTION_CHARS).alias("match")))
+        F.when(F.col(text_col).rlike(java(p, f)), F.struct(F.lit(label).alias("label"), F.substring(F.regexp_extract(F.col(text_col), java(p, f), 0), 1, INJECTION_CHARS).alias("match")))
         for label, p, f in INJECTION
     ]
     return df.withColumn("injections", F.array_compact(F.array(*hits)))
@@ -131,11 +126,5 @@ def pseudonym(day: Column, address: Column, agent: Column, key: str) -> Column:
     return F.sha2(F.concat(F.lit(bytearray(outer)), first), 256)
 
 
-def _j(pattern: str, flags: str) -> str:
-    from ..functions.text import java
-
-    return java(pattern, flags)
-
-
 def urls(text: str | Column) -> Column:
     return every(text, r"https?://[^\s<>)\]\"']+", "i")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,12 +106,6 @@ def structure(text: str | Column) -> Column:
 
     A line state machine, so an Arrow-batched function.
     """
-    import hashlib
-    import re
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     top = re.compile(r"#{1,6}\s+(.+)")
     #: Words below which a paragraph has a size. Fixed values.
     sizes = ((30, "xs"), (80, "s"), (160, "m"), (320, "l"))

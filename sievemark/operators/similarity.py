@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import js_round, normalise, seconds, swap
+from ..functions.text import js_round, let, normalise, seconds, swap
 
 #: Fixed values of the signatures.
 SHINGLE, HASHES, PRIME = 5, 128, 2_147_483_647
@@ -34,10 +34,12 @@ def coefficients(seed: str = SEED) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(text: str | Column) -> Column:
     """Distinct 5-word shingles of the normalised text; the whole of it where it has fewer words."""
-    words = F.split(normalise(text), " ")
-    return F.when(F.size(words) < SHINGLE, F.array(F.array_join(words, " "))).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " ")))
-    )
+
+    def cut(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1)))
+        return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")))
+
+    return let(F.split(normalise(text), " "), cut)
 
 
 def shingle_hash(shingle: Column) -> Column:
@@ -195,9 +197,8 @@ def _long_words(text: Column) -> Column:
 
 
 def _grams(words: Column, n: int = 4) -> Column:
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    )
+    some = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(words, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(some(w)))
 
 
 def phrase_overlap(docs: DataFrame, advisories: DataFrame, id_col: str = "doc_id", text_col: str = "text", advisory_id: str = "item_id", advisory_text: str = "text") -> DataFrame:

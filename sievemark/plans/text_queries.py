@@ -280,7 +280,7 @@ def structural_fingerprint(spark, sf_dir):
 
 
 _REV = """
-    WITH o AS (SELECT o_orderkey AS id, o_custkey, CAST(o_totalprice AS BIGINT) % 101 AS score, o_orderdate AS at FROM orders)
+    WITH o AS (SELECT o_orderkey AS id, o_custkey, CAST(floor(o_totalprice) AS BIGINT) % 101 AS score, o_orderdate AS at FROM orders)
     SELECT a.id AS query_id, b.id AS match_id, CAST(80 AS BIGINT) AS similarity, b.score AS old_score, a.score AS new_score, a.score - b.score AS score_change,
            CASE WHEN a.score - b.score <= -5 THEN 'improved' WHEN a.score - b.score >= 5 THEN 'worsened' ELSE 'unchanged' END AS direction
     FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.id <> b.id WHERE a.id % 100 = 0 AND a.at >= b.at AND a.at < b.at + INTERVAL 480 HOUR"""
@@ -288,6 +288,6 @@ _REV = """
 
 @query(_REV)
 def revisions(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", (F.col("o_totalprice").try_cast("bigint") % 101).alias("score"), F.col("o_orderdate").alias("created_at"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", (F.floor("o_totalprice") % 101).alias("score"), F.col("o_orderdate").alias("created_at"))
     m = o.where("id % 100 = 0").select(F.col("id").alias("query_id"), "o_custkey").join(o.select(F.col("id").alias("match_id"), "o_custkey"), "o_custkey").where("query_id <> match_id")
     return si.revisions(m.select("query_id", "match_id", F.lit(80).cast("bigint").alias("similarity")), o.drop("o_custkey"), within_hours=480)
