@@ -2,9 +2,10 @@
 
 Three transducers are composed. The first maps a word to a class (insult,
 threat, target, negation, report) by lexicon: fixed seed words plus words and
-word stems learned from labels. The second runs along a clause and keeps a scope
+word stems learned from labels, strong ones that mark hardly any clean text and
+weak ones (hints) that mark some. The second runs along a clause and keeps a scope
 for negation and for reported speech. The third pairs an insult or threat with
-a target near it. Their output for a text is a count of matched clauses of five
+a target near it. Their output for a text is a count of matched clauses of six
 kinds; a logistic layer with weights learned from labels (pulled to prior weights)
 turns the counts into a score. A clause yields its strongest kind once, so a
 word by itself counts less than an aimed clause and a quoted or denied one less
@@ -44,9 +45,11 @@ TARGETS = "you your yours he him his she her they them their this these those du
 NEGATIONS = "not no never nobody isn't aren't wasn't don't doesn't didn't won't nicht kein keine nie nunca jamás ningún pas jamais aucun".split()
 REPORTS = "said says say wrote writes quoted quotes called calls told claimed sagte schrieb nannte dijo escribió llamó dit écrit appelé".split()
 
-KINDS = ("insult", "aimed", "threat", "negated", "reported")
+KINDS = ("insult", "aimed", "threat", "negated", "reported", "hint")
 #: Weights before any label is seen, and the weight of a text without a match.
-PRIOR, PRIOR_BASE = (2.4, 3.6, 3.6, 0.3, 0.8), -2.0
+PRIOR, PRIOR_BASE = (2.4, 3.6, 3.6, 0.3, 0.8, 1.0), -2.0
+#: Share of toxic texts among those with a term from which the term is strong or weak, and letters of a stem.
+STRONG, WEAK, STEM_LETTERS = 0.95, 0.6, (3, 4, 5, 6)
 #: Matched clauses of a kind count up to here.
 MOST = 4
 #: Words over which negation and an aim reach.
@@ -60,20 +63,20 @@ _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 class Grammar:
     """The composed transducers for a lexicon of whole words and stems."""
 
-    def __init__(self, words: Iterable[str] = (), stems: Iterable[str] = ()):
+    def __init__(self, words: Iterable[str] = (), stems: Iterable[str] = (), weak_words: Iterable[str] = (), weak_stems: Iterable[str] = ()):
         import ahocorasick
 
-        self.classes = {w: "t" for w in TARGETS} | {w: "n" for w in NEGATIONS} | {w: "r" for w in REPORTS}
+        self.classes = {w: "w" for w in weak_words} | {w: "t" for w in TARGETS} | {w: "n" for w in NEGATIONS} | {w: "r" for w in REPORTS}
         self.classes |= {w: "i" for w in INSULTS} | {w: "i" for w in words} | {w: "h" for w in THREATS}
-        self.stems = tuple(stems)
+        self.stems, self.weak_stems = tuple(stems), tuple(weak_stems)
         self.scan = ahocorasick.Automaton()
-        for w in {w for w, k in self.classes.items() if k in "ih"} | set(self.stems):
+        for w in {w for w, k in self.classes.items() if k in "ihw"} | {*self.stems, *self.weak_stems}:
             self.scan.add_word(w, w)
         self.scan.make_automaton()
 
     def word(self, w: str) -> str:
         """First transducer."""
-        return self.classes.get(w) or ("i" if self.stems and w.startswith(self.stems) else "")
+        return self.classes.get(w) or ("i" if w.startswith(self.stems) else "w" if w.startswith(self.weak_stems) else "")
 
     def clause(self, text: str) -> str | None:
         """Second and third transducer: the strongest kind of a clause."""
@@ -89,6 +92,8 @@ class Grammar:
                 target = SCOPE + 1
                 if aimed and best == "insult":
                     best = "aimed"
+            elif k == "w":
+                best = _stronger(best, "negated" if negated else "reported" if reported else "hint")
             elif k in ("i", "h"):
                 kind = "negated" if negated else "reported" if reported else "threat" if k == "h" and target else "aimed" if target else "insult" if k == "i" else None
                 best = _stronger(best, kind)
@@ -114,7 +119,7 @@ class Grammar:
 
 
 def _stronger(a: str | None, b: str | None) -> str | None:
-    order = (None, "negated", "reported", "insult", "aimed", "threat")
+    order = (None, "negated", "reported", "hint", "insult", "aimed", "threat")
     return max(a, b, key=order.index)
 
 
@@ -130,39 +135,42 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, samp
     return table(rows.select("toxic", "text").distinct(), "toxic-sample")
 
 
-def learn_lexicon(rows: DataFrame, support: int = 8, precision: float = 0.85) -> tuple[list[str], list[str]]:
+def learn_lexicon(rows: DataFrame, support: int = 8) -> dict[str, list[str]]:
     """Words and stems of toxic texts: seen before at least ``support`` different
-    next words (so copies of one text count once) and rarely in other texts."""
+    next words (so copies of one text count once), by their share of toxic texts."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
     pairs = F.arrays_zip(words.alias("w"), F.concat(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), F.array(F.lit(""))).alias("x"))
     row = rows.withColumn("row", F.monotonically_increasing_id())
     seen = row.select("row", "toxic", F.explode(F.array_distinct(pairs)).alias("p")).select("row", "toxic", F.col("p.w").alias("w"), F.col("p.x").alias("x"))
     grams = F.concat(
         F.array(F.struct(F.lit("w").alias("kind"), F.col("w").alias("term"))),
-        *[F.when(F.length("w") > n, F.array(F.struct(F.lit("p").alias("kind"), F.substring("w", 1, n).alias("term")))).otherwise(F.array()) for n in (4, 5, 6)],
+        *[F.when((F.length("w") > n) & ~F.col("w").isin(*INSULTS), F.array(F.struct(F.lit("p").alias("kind"), F.substring("w", 1, n).alias("term")))).otherwise(F.array()) for n in STEM_LETTERS],
     )
     hit = seen.where("toxic = 1").withColumn("g", F.explode(grams)).select("g.*", "w", "x", "row")
+    ends = F.countDistinct(F.expr("substring(w, length(term) + 1, 1)"))
     found = (
-        hit.groupBy("kind", "term").agg(F.countDistinct("x").alias("contexts"), F.countDistinct("w").alias("forms"), F.countDistinct("row").alias("tox"))
-        .where((F.col("contexts") >= support) & ((F.col("kind") == "w") | (F.col("forms") >= 4)))
+        hit.groupBy("kind", "term").agg(F.countDistinct("x").alias("contexts"), F.countDistinct("w").alias("forms"), F.countDistinct("row").alias("tox"), ends.alias("ends"))
+        .where((F.col("contexts") >= support) & ((F.col("kind") == "w") | ((F.col("forms") >= 4) & (F.col("ends") >= 4))))
     )
-    found = table(found, "toxic-terms")
+    found = table(found.drop("ends", "forms"), "toxic-terms")
     clean = (
         seen.where("toxic = 0").select("row", "w").distinct().withColumn("g", F.explode(grams)).select("g.*", "row")
         .join(found.select("kind", "term"), ["kind", "term"]).groupBy("kind", "term").agg(F.countDistinct("row").alias("clean"))
     )
-    kept = found.join(clean, ["kind", "term"], "left").where(F.col("tox") >= precision * (F.col("tox") + F.coalesce("clean", F.lit(0))))
+    share = F.col("tox") / (F.col("tox") + F.coalesce("clean", F.lit(0)) + 0.5)  # half a clean text more than seen, so rare terms are weak
+    kept = found.join(clean, ["kind", "term"], "left").withColumn("strong", share >= STRONG).where(share >= WEAK)
     # Bounded by the sample: terms with ``support`` contexts each.
-    terms = kept.select("kind", "term", "contexts").collect()
-    words_ = sorted(t["term"] for t in terms if t["kind"] == "w")
-    stems = sorted({t["term"] for t in terms if t["kind"] == "p"}, key=lambda s: (len(s), s))
-    branching = table(hit.where("kind = 'p'").groupBy("term").agg(F.countDistinct(F.expr("substring(w, length(term) + 1, 1)")).alias("n")).where("n >= 4"), "toxic-stems")
-    wide = {r["term"] for r in branching.where(F.col("term").isin(stems[:5000])).collect()} if stems else set()
-    out: list[str] = []
-    for s in stems:
-        if s in wide and not s.startswith(tuple(out)):
-            out.append(s)
-    return words_, out
+    terms = kept.select("kind", "term", "strong").collect()
+    out: dict[str, list[str]] = {}
+    for strong, name in ((True, ""), (False, "weak_")):
+        out[name + "words"] = sorted(t["term"] for t in terms if t["kind"] == "w" and t["strong"] == strong)
+        stems: list[str] = []
+        covered = tuple(out.get("stems", ()))
+        for s in sorted({t["term"] for t in terms if t["kind"] == "p" and t["strong"] == strong}, key=lambda s: (len(s), s)):
+            if not s.startswith((*covered, *stems)):
+                stems.append(s)
+        out[name + "stems"] = stems
+    return out
 
 
 def fit_weights(counts: list[tuple[tuple[int, ...], int, int]], pull: float = 1.0, steps: int = 400) -> tuple[float, np.ndarray]:
@@ -189,23 +197,23 @@ def fit_weights(counts: list[tuple[tuple[int, ...], int, int]], pull: float = 1.
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
     """Model: lexicon and weights."""
     rows = _sample(docs, labels, id_col, text_col, sample)
-    words, stems = learn_lexicon(rows)
+    lexicon = learn_lexicon(rows)
 
     def count(batches):
-        g = Grammar(words, stems)
+        g = Grammar(**lexicon)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.counts(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["toxic", "counts"])
 
     found = rows.select(F.col("toxic").cast("int"), "text").mapInArrow(count, "toxic int, counts array<int>").groupBy("counts").agg(F.count("*").alias("n"), F.sum("toxic").alias("y"))
     base, weights = fit_weights([(tuple(r["counts"]), r["n"], r["y"]) for r in found.collect()])
-    return {"words": words, "stems": stems, "base": base, "weights": weights.tolist()}
+    return {"lexicon": lexicon, "base": base, "weights": weights.tolist()}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` but none of its text: id, ``score``, ``predicted`` and ``matches`` (clauses by kind)."""
 
     def run(batches):
-        g = Grammar(model["words"], model["stems"])
+        g = Grammar(**model["lexicon"])
         w = np.array(model["weights"])
         for b in batches:
             counts = np.array([g.counts(t) for t in b.column(1).to_pylist()], dtype=np.int32).reshape(-1, len(KINDS))
@@ -225,7 +233,7 @@ def reject(docs: DataFrame, model: dict, text_col: str = "text", threshold: floa
     def clean(texts):
         import pandas as pd
 
-        g = Grammar(model["words"], model["stems"])
+        g = Grammar(**model["lexicon"])
         w = np.array(model["weights"])
         limit = math.log(threshold / (1 - threshold))
         return pd.Series([bool(model["base"] + np.log1p(np.array(g.counts(t))) / math.log(2) @ w < limit) for t in texts], dtype=bool)
