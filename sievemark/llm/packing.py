@@ -169,7 +169,7 @@ def _pack_groups(todo: DataFrame, capacity: int, level: int, last: bool) -> Data
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grp = int(pdf["grp"].iloc[0])
         held = [[tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in ps] for ps in pdf["pieces"]]
-        order = sorted(range(len(held)), key=lambda i: held[i])  # any order of rows gives the same bins
+        order = sorted(range(len(held)), key=lambda i: [(p[0] is not None, p[0] or 0, *p[1:]) for p in held[i]])  # any order of rows gives the same bins
         lengths = pdf["filled"].to_numpy()[order]
         bins = best_fit(lengths, capacity)
         filled = [int(lengths[b].sum()) for b in bins]

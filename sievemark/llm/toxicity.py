@@ -80,7 +80,7 @@ class Grammar:
 
     def clause(self, text: str) -> str | None:
         """Second and third transducer: the strongest kind of a clause."""
-        negated = aimed = 0
+        negated = aimed = armed = 0
         reported, target, best = False, 0, None
         for w in _TOKEN.findall(text):
             k = self.word(w)
@@ -92,13 +92,16 @@ class Grammar:
                 target = SCOPE + 1
                 if aimed and best == "insult":
                     best = "aimed"
+                if armed:
+                    best = _stronger(best, "threat")
             elif k == "w":
                 best = _stronger(best, "negated" if negated else "reported" if reported else "hint")
             elif k in ("i", "h"):
                 kind = "negated" if negated else "reported" if reported else "threat" if k == "h" and target else "aimed" if target else "insult" if k == "i" else None
                 best = _stronger(best, kind)
                 aimed = SCOPE + 1
-            negated, target, aimed = max(0, negated - 1), max(0, target - 1), max(0, aimed - 1)
+                armed = armed if k == "i" or negated or reported else SCOPE + 1
+            negated, target, aimed, armed = (max(0, x - 1) for x in (negated, target, aimed, armed))
         return best
 
     def counts(self, text: str | None) -> list[int]:

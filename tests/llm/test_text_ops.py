@@ -32,10 +32,10 @@ def test_toxicity_grammar():
     assert kind("What a stupid idea.") == {"insult": 1}
     assert kind("You are an idiot. Really.") == {"aimed": 1}
     assert kind("I will kill you.") == {"threat": 1}
-    assert kind("They kill time.") == {"threat": 1} or kind("They kill time.") == {}
+    assert kind("They never kill you.") == {"negated": 1}
     assert kind("You are not an idiot.") == {"negated": 1}
     assert kind("The report said that idiot was the word.") == {"reported": 1}
-    assert kind("A perfectly fine text about stupidity-free things") in ({}, {"insult": 1})
+    assert kind("A perfectly fine text.") == {}
     assert kind("kill the process") == {} and kind("") == {} and kind(None) == {}
     assert kind("idiot. idiot. idiot. idiot. idiot. idiot.")["insult"] == toxicity.MOST
 
