@@ -219,12 +219,13 @@ def typosquat(domain: str | Column, known: tuple[str, ...]) -> Column:
     d = F.lower(F.col(domain) if isinstance(domain, str) else domain)
     labels = F.split(d, r"\.")
     root = F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), ".")
+    embeds = lambda brand: F.exists(labels, lambda x: (x != brand) & x.contains(brand))
     own = [(d == g) | d.endswith(f".{g}") for g in known]
     tests = []
     for g in known:
         brand, stem = g.split(".")[0], ".".join(g.split(".")[:-1])
         if len(brand) >= 5:
-            tests.append((F.exists(labels, lambda x, b=brand: (x != b) & x.contains(b)), g))
+            tests.append((embeds(brand), g))
         if len(stem) >= 4:
             far = F.levenshtein(root, F.lit(stem), 2)
             tests.append(((F.length(root) >= 4) & far.between(1, 2), g))

@@ -18,7 +18,7 @@ EXTENSIONS = ("txt", "md")
 def read_texts(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
     """Whole text files as (path, text); other extensions and files over 5 MB are not read. Filters are on the file's metadata, before its content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= MAX_BYTES).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(F.col("length") <= MAX_BYTES).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def read_binaries(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +50,7 @@ def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[
 def read_id_feed(spark: SparkSession, path: str, field: str) -> DataFrame:
     """Distinct identifiers of a JSON feed ({field: [ids]}), upper case: the lookup table of rejected CVE ids."""
     raw = spark.read.schema(T.StructType([T.StructField(field, T.ArrayType(T.StringType()))])).option("multiLine", "true").json(path)
-    return raw.select(F.upper(F.explode(field)).alias("id")).distinct()
+    return raw.select(F.explode(field).alias("id")).select(F.upper("id").alias("id")).distinct()
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
