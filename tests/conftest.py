@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
 
     tmp = tmp_path_factory.mktemp("spark")
     s = (
-        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "3g")
+        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", str(tmp / "local")).config("spark.checkpoint.dir", f"file://{tmp}/shared")
         .config("spark.sql.warehouse.dir", str(tmp / "warehouse")).config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
