@@ -164,7 +164,7 @@ def latency(df: DataFrame, value: str, by: Sequence[str | Column]) -> DataFrame:
     p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
     got = df.where(F.col(value) >= 0).groupBy(*by).agg(p.alias("p"), F.count("*").alias("samples"))
     keys = [c for c in got.columns if c not in ("p", "samples")]
-    return got.select(*keys, *[rnd(F.col("p")[i], 1).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "samples")
+    return got.select(*keys, *[rnd(rnd(F.col("p")[i], 6), 1).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "samples")
 
 
 def latency_bins(df: DataFrame, value: str, by: str) -> DataFrame:

@@ -125,7 +125,7 @@ def engine_medians(spark, sf_dir):
 
 
 def _pct(by: str) -> str:
-    p = ", ".join(f"{d_rnd(f'quantile_cont(value, {q})', 1)} AS {n}" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
+    p = ", ".join(f"{d_rnd(d_rnd(f'quantile_cont(value, {q})', 6), 1)} AS {n}" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
     return f"SELECT {by + ',' if by else ''} {p}, count(*) AS samples FROM events WHERE value >= 0 {'GROUP BY ALL' if by else ''}"
 
 
@@ -149,7 +149,7 @@ def latency_bins(spark, sf_dir):
 
 @query(f"""
     WITH e AS (SELECT CASE WHEN event_type = 'purchase' THEN value * 4 ELSE value END AS v, event_type AS stage FROM events),
-    p AS (SELECT stage, {d_rnd('quantile_cont(v, 0.95)', 1)} AS p95 FROM e WHERE v >= 0 GROUP BY 1), w AS (SELECT {d_rnd('quantile_cont(v, 0.95)', 1)} AS all_p95 FROM e WHERE v >= 0),
+    p AS (SELECT stage, {d_rnd(d_rnd('quantile_cont(v, 0.95)', 6), 1)} AS p95 FROM e WHERE v >= 0 GROUP BY 1), w AS (SELECT {d_rnd(d_rnd('quantile_cont(v, 0.95)', 6), 1)} AS all_p95 FROM e WHERE v >= 0),
     o AS (SELECT list(p95 ORDER BY p95, stage) AS s, list(stage ORDER BY p95, stage) AS g, count(*) AS n FROM p)
     SELECT g[n] AS stage, s[n] AS p95, all_p95 AS pipeline_p95, {d_rnd('s[n] / s[n // 2 + 1]', 2)} AS ratio FROM o, w
     WHERE n >= 2 AND s[n // 2 + 1] > 0 AND s[n] / s[n // 2 + 1] >= 1.5 AND s[n] / all_p95 >= 0.25""")

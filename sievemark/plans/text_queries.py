@@ -168,7 +168,7 @@ def simhash_values(spark, sf_dir):
 @query(f"WITH {_BUCKETS} SELECT DISTINCT a.doc_id AS query_id, b.doc_id AS match_id FROM buckets a JOIN buckets b USING (bucket) WHERE a.doc_id <> b.doc_id AND a.doc_id % 100 = 0")
 def lsh_candidate_pairs(spark, sf_dir):
     d = _documents(spark, sf_dir)
-    fp = d.select("doc_id", si.buckets(si.minhash(F.coalesce("text", F.lit("")))).alias("buckets"))
+    fp = d.select("doc_id", si.minhash(F.coalesce("text", F.lit(""))).alias("minhash")).select("doc_id", si.buckets("minhash").alias("buckets"))
     return si.candidates(_asked(fp), fp)
 
 
