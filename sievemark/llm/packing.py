@@ -92,11 +92,21 @@ class WordTokens:
                 yield b"".join(map(self.memo.__getitem__, ws)) if ws is not None else self._encode([text])[0].tobytes()
 
 
+_HELD: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The worker's own, kept from task to task: later tasks find most words in its (bounded) memo."""
+    if path not in _HELD:
+        _HELD[path] = WordTokens(path)
+    return _HELD[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Cut every document, with ``end_id`` after its ids, into pieces of at most ``capacity`` tokens."""
 
     def cut(batches):
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = ([], [], [], [], [])
