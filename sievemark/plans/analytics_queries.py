@@ -9,7 +9,7 @@ from ..operators import analytics as an
 from ..operators import evaluation as ev
 from ..operators import limits
 from ..operators import monitoring as mo
-from .registry import BAND, EVENTS_NOW, FEEDBACK, ORDERS_NOW, RATED, SCORED, TIER, d_rate, events_now, feedback, orders_now, query, rated, read, scored
+from .registry import BAND, EVENTS_NOW, FEEDBACK, ORDERS_NOW, RATED, SCORED, SQL, TIER, d_rate, events_now, feedback, orders_now, query, rated, read, scored
 
 _T = TIER.format("score")
 _E_NOW, _O_NOW = f"TIMESTAMP '{EVENTS_NOW}'", f"TIMESTAMP '{ORDERS_NOW}'"
@@ -191,6 +191,24 @@ def merged_incidents(spark, sf_dir):
     return an.incidents(_gaps(spark, sf_dir), events_now(), 5)
 
 
+#: The two queries above keep their SQL, which looks at a twentieth of the users; these two are the same over all events.
+_ALL_GAPS = _GAPS.replace(" WHERE user_id % 20 = 0", "")
+
+
+def _all_gaps(spark, sf_dir):
+    return an.gaps(read(spark, sf_dir, "events"), "event_type", "ts", events_now())
+
+
+@query(_ALL_GAPS)
+def gap_incidents_all(spark, sf_dir):
+    return _all_gaps(spark, sf_dir)
+
+
+@query(SQL["merged_incidents"].replace(_GAPS, _ALL_GAPS))
+def merged_incidents_all(spark, sf_dir):
+    return an.incidents(_all_gaps(spark, sf_dir), events_now(), 5)
+
+
 @query(f"SELECT count(*) AS feedback, {d_rnd('avg(rating)', 2)} AS avg_rating, count(*) FILTER (helpful) AS helpful, {d_rate('count(*) FILTER (helpful) * 100', 'count(*)', 1)} AS helpful_pct FROM {FEEDBACK}")
 def feedback_summary(spark, sf_dir):
     return ev.feedback_summary(feedback(spark, sf_dir), "rating", "helpful")

@@ -28,6 +28,19 @@ def test_gaps_and_merge(spark):
     assert {r.ended for r in an.incidents(an.gaps(d, "engine", "ts", late), late, 2).collect()} == {None}
 
 
+def test_incident_queries_see_all_events(spark, duck, tmp_path):
+    from sievemark.plans.all import QUERIES, SQL
+
+    # Silent for 3 hours if only users divisible by 20 count; user 7 is seen in between.
+    rows = [(20, "a", at(0)), (7, "a", at(50)), (7, "a", at(100)), (20, "a", at(150)), (20, "b", at(0)), (40, "b", at(90))]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    last = {("a", at(150), None), ("b", at(90), None)}
+    assert {tuple(r) for r in QUERIES["gap_incidents_all"](spark, str(tmp_path)).collect()} == {("b", at(0), at(90)), *last}
+    got = {(r.started, r.ended, r.engines) for r in QUERIES["merged_incidents_all"](spark, str(tmp_path)).collect()}
+    assert got == {(at(0), None, "a,b")}
+    assert "%" not in SQL["gap_incidents_all"]
+
+
 def test_no_events_no_gaps(spark):
     d = spark.createDataFrame([], "engine string, ts timestamp")
     now = F.lit(T0).cast("timestamp")
