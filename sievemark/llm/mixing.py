@@ -168,17 +168,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: a row for each copy; the copy taken in part has its first words only."""
-    plan = mix(docs, id_col, text_col, source_col, **parameters).where("taken > 0")
-    want = plan.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__planned"))
+    plan = mix(docs, id_col, text_col, source_col, **parameters)
+    want = plan.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__planned")).where("__taken > 0")
     want = table(want.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__taken", "__planned"), "mix-wanted")
     columns = docs.columns
     on = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
     sized = docs.withColumn("__words", sizes(docs, text_col))
     out = sized.join(want.where("__planned = 1"), on).withColumn("__each", F.col("__taken"))
-    if not want.where("__planned > 1").isEmpty():  # repeated rows share what is taken of them, the first ones a word more
+    if not want.where("__planned > 1").isEmpty():  # repeated rows share whole copies of what is taken of them, the next one gets the rest
         w = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(text_col))
         nth = F.row_number().over(w)
-        share = F.floor(F.col("__taken") / F.col("__planned")) + F.when(F.col("__nth") <= F.col("__taken") % F.col("__planned"), 1).otherwise(0)
+        whole, rest = F.expr("__taken div __size"), F.col("__taken") % F.col("__size")
+        more = F.when(F.col("__nth") <= whole % F.col("__planned"), F.col("__size")).when(F.col("__nth") == whole % F.col("__planned") + 1, rest).otherwise(0)
+        share = F.floor(whole / F.col("__planned")) * F.col("__size") + more
         out = out.unionByName(sized.join(want.where("__planned > 1"), on).withColumn("__nth", nth).withColumn("__each", share).drop("__nth"))
     part = F.expr("cast(__each % __size as int)")
     copies = F.concat(F.array_repeat(F.lit(-1), F.expr("cast(__each div __size as int)")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))

@@ -34,9 +34,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import bitmap, bitmap_bits, drop, lookup, mark, table
 from .graph import components
@@ -130,6 +132,15 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n long, fp binary, sig binary")
 
 
+@F.pandas_udf(BinaryType())
+def _digest(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Digests of the texts' sets as :func:`sign` has them."""
+    shingles = Shingles()
+    for batch in texts:
+        sets = (shingles(t) for t in batch)
+        yield pd.Series([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], dtype=object)
+
+
 def _keyed(nodes: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -293,8 +304,8 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept, ``n_links`` (confirmed links of its set), ``class_size`` (rows with an equal set)."""
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and the distinct sets among them: fp, rep, class_size, component, n_links (null if none)."""
     signed = table(sign(docs, id_col, text_col), "near-signed")
     nodes = table(
         signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min("sig").alias("sig"))
@@ -322,7 +333,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links)
 
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = nodes.join(found, "node", "left").join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return signed, nodes.join(found, "node", "left").join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept, ``n_links`` (confirmed links of its set), ``class_size`` (rows with an equal set)."""
+    signed, placed = _placed(docs, id_col, text_col)
     smallest = placed.where("n_links > 0").groupBy("component").agg(F.min("rep").alias("least"))
     labels = placed.join(smallest, "component", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_size", F.col("class_size").alias("rows"))
     full = signed.where(F.col("fp").isNotNull())
@@ -332,11 +348,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id. The others' ids are few or many, so they are
-    found through a bitmap and only rows that hit it are joined."""
-    gone = table(near_duplicates(docs, id_col, text_col).where("not kept").groupBy(F.col("doc_id").alias("__gone")).agg(F.count("*").alias("__n")), "near-gone")
+    """The rows of ``docs`` that stay: exactly one of each component, that with the smallest id (nulls last), and all with empty sets.
+
+    A row is known by its id and its set's digest, so rows that share an id, or have none, are decided one by one; of rows
+    that share both, one stays. Those of components with more than a row are found through a bitmap of ids and only rows that
+    hit it are hashed again and joined.
+    """
+    signed, placed = _placed(docs, id_col, text_col)
+    rows = signed.where(F.col("fp").isNotNull()).groupBy("fp", "doc_id").agg(F.count("*").alias("times"))
+    sets = table(placed.where("class_size > 1 OR n_links > 0").select("fp", "component", "class_size"), "near-shared")
+    rows = table(lookup(rows, sets, ["fp"], "class_size", signed.count()), "near-rows")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r")).select(F.col("r.doc_id").alias("__id"), F.col("r.fp").alias("__of"), F.lit(True).alias("first"))
+    told = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__of")), "left").select("doc_id", "fp", "times", F.coalesce("first", F.lit(False)).alias("first"))
+    gone = table(told.where("NOT first OR times > 1").select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__of"), F.col("first").alias("__first")), "near-gone")
     bits = bitmap_bits(gone.count())
-    seen = mark(docs, F.xxhash64(F.col(id_col).cast("long")), bitmap(gone.select(F.xxhash64("__gone").alias("h")), bits), bits, "__hit")
+    number = F.col(id_col).cast("long")
+    seen = mark(docs, F.xxhash64(number), bitmap(gone.select(F.xxhash64("__gone").alias("h")), bits), bits, "__hit")
     clear = seen.where("not __hit").select(*docs.columns)
-    hit = seen.where("__hit").join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
-    return clear.unionByName(hit)
+    hit = seen.where("__hit").withColumn("__fp", _digest(F.col(text_col).cast("string")))
+    on = number.eqNullSafe(F.col("__gone")) & (F.col("__fp") == F.col("__of"))
+    out = clear.unionByName(hit.join(gone, on, "left_anti").select(*docs.columns))
+    if not gone.where("__first").isEmpty():  # repeated rows of which one stays
+        once = hit.join(gone.where("__first"), on).withColumn("__number", number).dropDuplicates(["__number", "__fp"])
+        out = out.unionByName(once.select(*docs.columns))
+    return out

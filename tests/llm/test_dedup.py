@@ -97,6 +97,21 @@ def test_near_keeps_one_row_of_each_group(odd):
     assert set(ids) == {None if g == "none" else g for g in groups}
 
 
+def test_near_decides_row_by_row(spark):
+    text = lambda k, tail="": " ".join(f"{k}{i}" for i in range(120)) + tail
+    rows = [
+        (1, text("a")), (None, text("a", " x")), (None, text("b")), (None, ""), (None, None),  # a null id that goes takes no other along
+        (None, text("c")), (None, text("c", " x")), (None, text("c", " y")),  # a group of null ids only
+        (2, text("d")), (3, text("d", " x")), (3, text("e")), (3, text("f")),  # one id, several texts
+        (4, text("g")), (4, text("g", " x")), (4, text("g")), (4, text("g")),  # the smallest id is all the group's
+        (5, text("h")), (5, text("h")), (6, text("i")),
+    ]
+    kept = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:1]) for r in kept) == sorted(
+        [("1", "a"), ("None", "b"), ("None", ""), ("None", ""), ("None", "c"), ("2", "d"), ("3", "e"), ("3", "f"), ("4", "g"), ("5", "h"), ("6", "i")]
+    )
+
+
 def test_exact_odd_rows(odd, none):
     rows = [(r.doc_id, r.text or "") for r in odd.collect()]
     top = {}

@@ -125,6 +125,20 @@ def test_mixed_texts(odd):
     assert dict(got) == plan
 
 
+def test_mixed_repeated_rows(spark):
+    rows = [(1, f"w{k} two three four five six seven eight nine ten", "a") for k in range(3)] + [(1, "the same ten words in all of these four rows", "a")] * 4
+    rows += [(None, "none has an id but all are of eight", "b")] * 5 + [(None, "none has an id but some are of seven more", "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(6):
+        plan = mixing.mix(docs, seed=seed).groupBy("source").agg(F.sum("taken").alias("taken")).collect()
+        made = mixing.apply(docs, seed=seed).collect()
+        got, cut = defaultdict(int), defaultdict(int)
+        for r in made:
+            got[r.source] += len(WORD.findall(r.text))
+            cut[r.source] += r.text not in {t for _, t, _ in rows}
+        assert dict(got) == {r.source: r.taken for r in plan if r.taken} and all(n <= 1 for n in cut.values())
+
+
 def test_mixing_empty(none):
     assert mixing.mix(none).count() == 0 and mixing.apply(none).count() == 0
 
