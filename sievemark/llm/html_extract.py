@@ -4,9 +4,12 @@ Each page is parsed into blocks of text, each with the path of its block-level
 containers, generalised to tag and classes with digits masked. Blocks below an
 element that names itself as furniture (navigation, footers, adverts, comments,
 ...) are out. A page scores its containers by the text below them that is not
-link text and votes for the deepest one that holds most of it. Votes are summed
-per host and path in Spark; a host's winning paths are then used to extract
-every page of the host. A page that has none of them uses its own choice.
+link text. If articles (or main elements) hold most of it, it votes for what
+holds them all, whatever is inside; else for the deepest container that holds
+nearly all of it. Votes are summed per host and path in Spark; a host's winning
+paths are then used to extract every page of the host. A page of which they
+hold less than nearly all that its own choice does uses that as well. The clean h1 of a
+page is its title and stays wherever it is.
 
 Defined results: a null or empty html has an empty text; a null or odd url
 counts to one host ''; repeated rows get equal results; an empty table gives an
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import lookup, table
 
-#: Share of a page's clean text that its chosen container must hold.
+#: Share of a page's clean text from which its articles are all that counts.
 HOLDS = 0.6
+#: Share of it that any other container must hold; and of a page's own choice, the winners of its host.
+KEEPS = 0.95
 #: Share of a host's votes from which a path wins (so at most four do).
 WINS = 0.25
 #: Hosts up to which the table of winners is broadcast.
@@ -148,32 +153,50 @@ def _container(path: tuple[str, ...]) -> tuple[str, ...]:
     return path[:n]
 
 
+def _score(b: Block) -> float:
+    return max(0.0, len(b.text) - 2.0 * b.linked)
+
+
+def _tag(part: str) -> str:
+    return part.split(".")[0]
+
+
 def choose(found: list[Block]) -> tuple[str, float]:
-    """The page's own vote: path of the deepest container that holds most of its clean text, and that text's length."""
+    """The page's own vote: path of what holds its articles or else nearly all of its clean text, and that text's length."""
     scores: dict[tuple[str, ...], float] = {}
-    total = 0.0
+    articles: set[tuple[str, ...]] = set()
+    total = inside = 0.0
     for b in found:
         if b.clean:
-            s = max(0.0, len(b.text) - 2.0 * b.linked)
+            s = _score(b)
             total += s
             path = _container(b.path)
             for n in range(len(path) + 1):
                 scores[path[:n]] = scores.get(path[:n], 0.0) + s
+            at = next((n for n, part in enumerate(path) if _tag(part) in ("article", "main")), None)
+            if at is not None and s:
+                articles.add(path[: at + 1])
+                inside += s
     if not total:
         return "", 0.0
-    best = max((p for p, s in scores.items() if s >= HOLDS * total), key=lambda p: (len(p), scores[p], p))
+    if inside >= HOLDS * total:
+        best = next(p for n in range(min(map(len, articles)), -1, -1) for p in [min(articles)[:n]] if all(a[:n] == p for a in articles))
+    else:
+        best = max((p for p, s in scores.items() if s >= KEEPS * total), key=lambda p: (len(p), scores[p], p))
     return ">".join(best), scores[best]
 
 
 def main_text(found: list[Block], winners: list[str]) -> str:
-    """Clean blocks below a winning path, one a line."""
-    paths = [tuple(w.split(">")) if w else () for w in winners]
-    kept = [b.text for b in found if b.clean and any(b.path[: len(p)] == p for p in paths)]
-    if not kept:
-        own = choose(found)[0]
-        p = tuple(own.split(">")) if own else ()
-        kept = [b.text for b in found if b.clean and b.path[: len(p)] == p]
-    return "\n".join(kept)
+    """Clean blocks below a winning path, and below the page's own choice if that holds more; and its title. One a line."""
+
+    def below(*paths: str) -> list[Block]:
+        at = [tuple(p.split(">")) if p else () for p in paths]
+        return [b for b in found if b.clean and (any(b.path[: len(p)] == p for p in at) or (b.path and _tag(b.path[-1]) == "h1" and _score(b) > 0))]
+
+    choice = choose(found)[0]
+    own, won = below(choice), below(*winners)
+    kept = won if won and sum(map(_score, won)) >= KEEPS * sum(map(_score, own)) else below(choice, *winners)
+    return "\n".join(b.text for b in kept)
 
 
 def host(url: F.Column) -> F.Column:

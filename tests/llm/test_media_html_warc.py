@@ -103,6 +103,26 @@ def test_html_consensus(spark):
     assert got[9] == "short main"
 
 
+def test_html_whole_articles(spark):
+    """Bodies within articles, sections side by side, a large table, a title outside, two articles, and a page of another template than its host's."""
+    few, many = "few words here " * 12, "many words there " * 20
+    a, b = few.strip(), many.strip()
+    pages = [
+        (f"<body><article><h1>Title</h1><p>Lead {few}</p><div class=body><p>{many}</p></div></article></body>", f"Title\nLead {a}\n{b}"),
+        (f"<body><div id=x><div class=one><p>{many}</p></div><div class=two><p>{few}</p></div></div></body>", f"{b}\n{a}"),
+        (f"<body><main><section class=one><p>{many}</p></section><section class=two><p>{few}</p></section></main></body>", f"{b}\n{a}"),
+        (f"<body><article><p>{few}</p><table><tr><td>{many}</td></tr></table></article></body>", f"{a}\n{b}"),
+        (f"<body><div class=top><h1>Title</h1></div><article><p>{many}</p></article></body>", f"Title\n{b}"),
+        (f"<body><article class=p><p>{many}</p></article><article class=q><p>{few}</p></article></body>", f"{b}\n{a}"),
+    ]
+    rows = [(i, f"https://h{i}.org/", t) for i, (t, _) in enumerate(pages)]
+    rows += [(100 + i, "https://mixed.org/", f"<body><div class=post><p>{many}</p></div></body>") for i in range(9)]
+    rows.append((200, "https://mixed.org/odd", f"<body><div class=post><p>short</p></div><div class=story><p>{many}</p></div></body>"))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(pages))] == [want for _, want in pages]
+    assert got[100] == b and got[200] == f"short\n{b}"
+
+
 def test_html_table_text_is_the_article(spark):
     import re
     from html import unescape
