@@ -237,6 +237,34 @@ def typosquats(spark, sf_dir):
     return d.select("host", "domain", F.coalesce(near("ththing.com"), near("tionble.org")).alias("imitates"))
 
 
+#: ``typosquats`` keeps its SQL, which is for two constants and lacks brands inside longer labels; this is the whole rule.
+_TRUSTED = (*_KNOWN, "ththing.com", "tionble.org")
+
+
+def _imitates_sql(x: str) -> str:
+    own = " OR ".join(f"{x} = '{g}' OR ends_with({x}, '.{g}')" for g in _TRUSTED)
+    tests, labels = [], f"string_split({x}, '.')"
+    root = f"array_to_string({labels}[:-2], '.')"
+    for g in _TRUSTED:
+        brand, stem = g.split(".")[0], g.rpartition(".")[0]
+        if len(brand) >= 5:
+            tests.append(f"WHEN len(list_filter({labels}, lambda l: l <> '{brand}' AND contains(l, '{brand}'))) > 0 THEN '{g}'")
+        if len(stem) >= 4:
+            tests.append(f"WHEN length({root}) >= 4 AND levenshtein({root}, '{stem}') BETWEEN 1 AND 2 THEN '{g}'")
+    return f"CASE WHEN {own} THEN NULL {' '.join(tests)} END"
+
+
+@query(rf"""
+    WITH h AS (SELECT DISTINCT coalesce(lower(regexp_extract(url, '//([^/:?#]+)', 1)), '') AS host FROM pages), n AS (SELECT host, regexp_replace(host, '\.example\.([^.]+)$', '.\1') AS name FROM h),
+    d AS (SELECT *, regexp_extract(name, '[^.]+\.[^.]+$') AS domain FROM n) SELECT host, domain, coalesce({_imitates_sql('name')}, {_imitates_sql('domain')}) AS imitates FROM d""")
+def typosquat_hosts(spark, sf_dir):
+    host = F.coalesce(F.lower(F.regexp_extract("url", "//([^/:?#]+)", 1)), F.lit(""))
+    hosts = read(spark, sf_dir, "pages").select(host.alias("host")).distinct()
+    # The sites of the table stand below example.com, .net and .org as if these were the top level.
+    hosts = hosts.withColumn("name", F.regexp_replace("host", r"\.example\.([^.]+)$", ".$1")).withColumn("domain", F.regexp_extract("name", r"[^.]+\.[^.]+$", 0))
+    return hosts.select("host", "domain", F.coalesce(si.typosquat("name", _TRUSTED), si.typosquat("domain", _TRUSTED)).alias("imitates"))
+
+
 # Sections
 
 _WEIGHT = "CAST(CASE WHEN regexp_matches(lower(title), '{}') THEN 3 WHEN regexp_matches(lower(title), '{}') THEN 2 ELSE 1 END AS BIGINT)".format("|".join(se.HIGH), "|".join(se.MEDIUM))

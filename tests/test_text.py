@@ -155,6 +155,19 @@ def test_typosquat(spark):
     assert [r[0] for r in d.select(si.typosquat("d", ("github.com", "cert.org"))).collect()] == ["github.com", None, None, "github.com", None]
 
 
+def test_typosquat_query_has_the_whole_rule(spark, duck, tmp_path):
+    import duckdb
+
+    from sievemark.plans.all import QUERIES, SQL
+
+    hosts = {"ththing.com": None, "www.ththing.com": None, "ththink.com": "ththing.com", "my-ththing.net": "ththing.com", "login.tionble-x.org": "tionble.org", "exampel.com": "example.com", "blogz.net": "blogs.net", "elsewhere.org": None, "blog.ththin.example.com": "ththing.com", "tionble.example.org": None, "tionble-login.m.example.net": "tionble.org"}
+    spark.createDataFrame([(f"https://{h}/p",) for h in hosts], "url string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r.host: r.imitates for r in QUERIES["typosquat_hosts"](spark, str(tmp_path)).collect()} == hosts
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert {h: i for h, _, i in con.execute(SQL["typosquat_hosts"]).fetchall()} == hosts
+
+
 def test_template_hash_masks_what_varies(spark):
     d = spark.createDataFrame([("Report CVE-2020-1234 at http://a.b/c version 1.2.3",), ("report CVE-2021-99999 at https://x.y  version 3.4.5",), ("another text",)], "t string")
     a, b, c = (r[0] for r in d.select(si.template_hash("t")).collect())
