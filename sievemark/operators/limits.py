@@ -6,6 +6,7 @@ visitor; the time range inside it is what the rule names.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,20 +51,28 @@ def daily_cap(df: DataFrame, visitor: str, ts: str, id_col: str, cap: int = DAIL
 def fixed_bucket(df: DataFrame, visitor: str, ts: str, id_col: str, cap: int = RUN_CAP, seconds: int = RUN_WINDOW_S) -> DataFrame:
     """Add ``nth`` in a bucket of fixed length that starts with its first event, and ``accepted``.
 
-    Where a bucket starts depends on the one before, so each visitor's events are
-    folded in order; a fold carries three numbers, and visitors with more events
-    than a task holds would need a state store, which the streaming form has.
+    Where a bucket starts depends on the one before, so each visitor's events go
+    in order through one task, which streams them: it holds a batch and three
+    values, however many events a visitor has.
     """
-    rows = df.select(visitor, ts, id_col)
-    seq = rows.groupBy(visitor).agg(F.array_sort(F.collect_list(F.struct(micros(ts).alias("t"), F.col(id_col).alias("id")))).alias("e"))
-    start = F.struct(F.lit(None).cast("bigint").alias("from"), F.lit(0).alias("n"), F.array().cast("array<struct<id:bigint,nth:bigint>>").alias("out"))
-
-    def step(acc, e):
-        fresh = acc["from"].isNull() | (e["t"] - acc["from"] >= seconds * 1_000_000)
-        n = F.when(fresh, 1).otherwise(acc["n"] + 1)
-        return F.struct(F.when(fresh, e["t"]).otherwise(acc["from"]).alias("from"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(e["id"].cast("bigint").alias("id"), n.cast("bigint").alias("nth")))).alias("out"))
-
-    nth = seq.select(F.inline(F.aggregate("e", start, step)["out"]))
+    rows = df.select(F.col(visitor).cast("string").alias("who"), micros(ts).alias("t"), F.col(id_col).cast("bigint").alias("id"))
+    rows = rows.repartition("who").sortWithinPartitions("who", "t", "id")
+    length = seconds * 1_000_000
+
+    def run(batches):
+        who, start, n = None, None, 0
+        for b in batches:
+            nth = []
+            for v, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if v != who:
+                    who, start = v, None
+                if start is None or t - start >= length:
+                    start, n = t, 0
+                n += 1
+                nth.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(nth, pa.int64())], ["id", "nth"])
+
+    nth = rows.mapInArrow(run, "id long, nth long")
     return nth.select(F.col("id").alias(id_col), "nth", (F.col("nth") <= cap).alias("accepted"))
 
 

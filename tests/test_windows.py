@@ -85,6 +85,19 @@ def test_campaign_and_cap(spark):
     assert [r.accepted for r in limits.daily_cap(d, "fp", "ts", "id", 2).orderBy("id").collect()] == [True, True, False, False]
 
 
+def test_buckets_of_a_visitor_with_most_events(spark):
+    rows = [(i, "hot" if i % 3 else None if i % 5 else f"v{i % 7}", at(0, (i * 7919) % 500_000)) for i in range(30_000)]
+    d = spark.createDataFrame(rows, "id long, v string, ts timestamp").repartition(7)
+    got = limits.fixed_bucket(d, "v", "ts", "id", 10, 3600)
+    assert "collect_list" not in got._jdf.queryExecution().toString()  # no row holds all events of a visitor
+    want, state = {}, {}
+    for i, v, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        start, n = state.get(v, (None, 0))
+        start, n = (t, 1) if start is None or (t - start).total_seconds() >= 3600 else (start, n + 1)
+        state[v], want[i] = (start, n), (n, n <= 10)
+    assert {r.id: (r.nth, r.accepted) for r in got.collect()} == want
+
+
 def test_bands(spark):
     d = spark.createDataFrame([(x,) for x in (0, 19, 20, 21, 35, 36, 39, 40, 55, 56, 60, 75, 76, 80, 81, 100)], "s long")
     got = {r.s: (r.t, r.b, r.f) for r in d.select("s", an.tier(F.col("s")).alias("t"), an.stats_band(F.col("s")).alias("b"), an.feedback_band(F.col("s")).alias("f")).collect()}
