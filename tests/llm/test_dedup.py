@@ -168,6 +168,14 @@ def test_keys_meet_by_pigeonhole():
     assert (near_dedup.keys(a) == near_dedup.keys(b)).any(axis=1).all()
 
 
+def test_estimates_lose_less_than_the_index():
+    from math import comb
+
+    for n in (near_dedup.COARSE, near_dedup.FINE):
+        most = near_dedup._most(n)
+        assert sum(comb(n, k) * 0.15**k * 0.85 ** (n - k) for k in range(most + 1, n + 1)) < 1e-6
+
+
 def test_digest_of_texts(odd):
     from pyspark.sql import functions as F
 
