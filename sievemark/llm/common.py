@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 #: there are never more than ``1 / HEAVY_SHARE`` heavy keys to broadcast.
 HEAVY_SHARE = 1 / 500
 
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests,
-    a local session) a temporary folder is made and set as checkpoint folder.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset a local
+    session (tests) gets a temporary folder, set as checkpoint folder; on a
+    cluster it is an error, since executors would not share such a folder.
     """
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="sievemark-")
         spark.conf.set("spark.checkpoint.dir", set_to)
         spark.sparkContext.setCheckpointDir(set_to)
@@ -36,11 +41,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts lineage: a lost executor never recomputes what is above, and two
-    readers do not run it twice. ``drop`` removes it when nothing reads it any
-    more.
+    readers do not run it twice. :func:`drop` removes it when nothing reads it
+    any more, :func:`release` removes all that are left.
     """
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
+    _made.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._sievemark_path = path
     return out
@@ -54,12 +60,36 @@ def drop(*tables: DataFrame) -> None:
             delete(t.sparkSession, path)
 
 
+def mark_tables() -> int:
+    """Number of the next work table, for :func:`release`."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = ()) -> None:
+    """Delete the work tables made since but for those in ``keep``, once their readers' results are written."""
+    kept = {getattr(t, "_sievemark_path", None) for t in keep}
+    for path in _made[since:]:
+        if path not in kept:
+            delete(spark, path)
+    _made[since:] = [p for p in _made[since:] if p in kept]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def wrap(docs: DataFrame, **columns: F.Column) -> DataFrame:
+    """``docs`` with all its columns in one, ``whole``, beside the named ones: whatever ``docs`` calls its columns, none clashes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unwrap(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns that :func:`wrap` put into ``whole``."""
+    return df.select(*[F.col("whole")[c].alias(c) for c in columns])
+
+
 def crc_fold(doc_id) -> F.Column:
     """Fold of a document: crc32 of its id as text, modulo 3."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3

@@ -10,7 +10,7 @@ finding groups; only hashes and ids are.
 
 Defined results: a null text counts as the empty text; a null id ranks below
 every id; of repeated rows (same id, same text) one stays; an empty table gives
-an empty result; further columns pass through.
+an empty result; further columns of any name and type pass through.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_bits, lookup, mark, table
+from .common import bitmap, bitmap_bits, lookup, mark, table, unwrap, wrap
 
 #: Characters that level 2 hashes.
 PREFIX = 256
@@ -31,48 +31,44 @@ def _repeated(keys: DataFrame, bits: int) -> DataFrame:
     return bitmap(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), bits)
 
 
-def _candidates(docs: DataFrame, text_col: str, prefix: int) -> DataFrame:
-    """Rows with ``__bytes``, ``__head`` and ``__open``: whether levels 1 and 2 leave it open that the text has a copy."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bits = bitmap_bits(docs.count())
+def _candidates(rows: DataFrame, prefix: int) -> DataFrame:
+    """Rows (with a column ``text``) and ``bytes``, ``head`` and ``open``: whether levels 1 and 2 leave it open that the text has a copy."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    bits = bitmap_bits(rows.count())
     length, head = F.xxhash64(F.octet_length(text)), F.xxhash64(F.octet_length(text), F.substring(text, 1, prefix))
-    by_length = _repeated(docs.select(length.alias("h")), bits)
-    level_2 = mark(docs.select(length.alias("l"), head.alias("h")), F.col("l"), by_length, bits, "open").where("open").select("h")
+    by_length = _repeated(rows.select(length.alias("h")), bits)
+    level_2 = mark(rows.select(length.alias("l"), head.alias("h")), F.col("l"), by_length, bits, "open").where("open").select("h")
     by_head = _repeated(level_2, bits)
-    marked = docs.withColumns({"__bytes": F.octet_length(text).cast("bigint"), "__head": head})
-    return mark(marked, F.col("__head"), by_head, bits, "__open")
+    marked = rows.withColumns({"bytes": F.octet_length(text).cast("bigint"), "head": head})
+    return mark(marked, F.col("head"), by_head, bits, "open")
+
+
+def _full() -> F.Column:
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
-    """The rows that stay, with all their columns: of each group of equal texts the one with the largest id."""
-    columns = docs.columns
-    seen = _candidates(docs, text_col, prefix)
-    alone = seen.where(~F.col("__open")).select(*columns)
-    rest = [c for c in columns if c != id_col]
-    best = (
-        seen.where("__open")
-        .groupBy("__bytes", "__head", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("__full"))
-        .agg(F.max(F.struct(F.col(id_col), *[F.col(c) for c in rest])).alias("__top"))
-    )
-    return alone.unionByName(best.select(*[F.col("__top")[c].alias(c) for c in columns]))
+    """The rows that stay, with all their columns: of each group of equal texts the one with the largest id.
+
+    Of rows that share id and text that with the largest hash of all its columns stays, so that reruns agree.
+    """
+    seen = _candidates(wrap(docs, id=F.col(id_col), text=F.col(text_col)), prefix)
+    tie = F.xxhash64(F.col("whole").cast("string"))  # a map column can be neither compared nor hashed itself
+    best = seen.where("open").groupBy("bytes", "head", _full().alias("full")).agg(F.max_by("whole", F.struct("id", tie)).alias("whole"))
+    return unwrap(seen.where("not open").select("whole").unionByName(best.select("whole")), docs.columns)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), prefix: int = PREFIX) -> DataFrame:
     """One row per input row: the id, ``keep_id``, ``group_size``, ``kept`` and the columns named in ``carry``."""
-    seen = _candidates(docs, text_col, prefix)
-    one = seen.where(~F.col("__open")).select(
-        F.col(id_col), F.col(id_col).alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), *carry
-    )
-    open_rows = table(
-        seen.where("__open").select(
-            F.col(id_col), F.monotonically_increasing_id().alias("__row"), "__bytes", "__head",
-            F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("__full"), *carry,
-        ),
-        "exact-open",
-    )
-    keys = ["__bytes", "__head", "__full"]
-    top = open_rows.groupBy(*keys).agg(
-        F.max(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("top"), F.count("*").alias("group_size")
-    ).select(*keys, F.col("top.id").alias("keep_id"), F.col("top.row").alias("__top"), "group_size", F.col("group_size").alias("__rows"))
-    many = lookup(open_rows, top, keys, "__rows", open_rows.count())
-    return one.unionByName(many.select(F.col(id_col), "keep_id", "group_size", (F.col("__row") == F.col("__top")).alias("kept"), *carry))
+    carried = [F.col("carried")[c].alias(c) for c in carry]
+    held = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
+    seen = _candidates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("carried")), prefix)
+    out = [F.col("id").alias(id_col), "keep_id", "group_size", "kept"]
+    one = seen.where("not open").select("id", "carried", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
+    open_rows = table(seen.where("open").select("id", F.monotonically_increasing_id().alias("row"), "bytes", "head", _full().alias("full"), "carried"), "exact-open")
+    keys = ["bytes", "head", "full"]
+    top = open_rows.groupBy(*keys).agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("group_size"))
+    top = top.select(*keys, F.col("top.id").alias("keep_id"), F.col("top.row").alias("top_row"), "group_size", F.col("group_size").alias("rows"))
+    many = lookup(open_rows, top, keys, "rows", open_rows.count())
+    many = many.select("id", "carried", "keep_id", "group_size", (F.col("row") == F.col("top_row")).alias("kept"))
+    return one.unionByName(many).select(*out, *carried)

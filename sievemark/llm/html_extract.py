@@ -11,6 +11,16 @@ paths are then used to extract every page of the host. A page of which they
 hold less than nearly all that its own choice does uses that as well. The clean h1 of a
 page is its title and stays wherever it is.
 
+Names count less than structure: where no article or main element is clean, those
+whose own name or wrapper's name made them furniture (a page about legal matters,
+say) are taken after all, unless they are reader comments.
+
+Pages are scanned once from front to end, whatever they hold. A tag that the page
+ends in is dropped with the rest of the page, which is inside of it; script and
+style without an end tag hold the rest of the page, other elements whose content
+is skipped are only skipped where they have one. Elements nested deeper than
+``DEPTH`` count to the element at that depth.
+
 Defined results: a null or empty html has an empty text; a null or odd url
 counts to one host ''; repeated rows get equal results; an empty table gives an
 empty result; further columns are ignored.
@@ -20,6 +30,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -38,7 +49,6 @@ WINS = 0.25
 BROADCAST_HOSTS = 10_000
 
 RAW = {"script", "style", "textarea", "template", "noscript", "svg", "math", "iframe", "object", "title", "select", "canvas", "audio", "video"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "html body head main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
     "figure figcaption nav header footer aside form fieldset address details summary dialog menu center hgroup search".split()
@@ -54,69 +64,165 @@ NAMES = set(
     "copyright legal toolbar".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: What reader comments are called by the first word of a class or id.
+READERS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}
+#: Levels of containers that are told apart.
+DEPTH = 200
+
+_OPEN = re.compile(r"</?[a-zA-Z]|<!--|<!\[CDATA\[|<[!?]")
+_NAME = re.compile(r"[^\s/>]*")
+#: The rest of a tag; quotes count after an equals sign only. Possessive, so it never goes back.
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""")
+_ATTRIBUTE = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Block(NamedTuple):
-    path: tuple[str, ...]
+    at: int  # node of its path
     text: str
     linked: int  # characters of link text
     clean: bool  # below no furniture
 
 
-def _names(attributes: str) -> tuple[list[str], bool]:
-    """Classes of an element, and whether it names itself as furniture."""
+class Page:
+    """Blocks of a page in order, and the tree of their paths: node 0 is the root, a node comes after its parent."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parent, self.name = [0], [""]
+        self.child: dict[tuple[int, str], int] = {}
+
+    def node(self, parent: int, name: str) -> int:
+        at = self.child.get((parent, name))
+        if at is None:
+            at = self.child[parent, name] = len(self.parent)
+            self.parent.append(parent)
+            self.name.append(name)
+        return at
+
+    def path(self, at: int) -> tuple[str, ...]:
+        out = []
+        while at:
+            out.append(self.name[at])
+            at = self.parent[at]
+        return tuple(reversed(out))
+
+    def find(self, path: Iterable[str]) -> int | None:
+        """Node of a path, if the page has it."""
+        at: int | None = 0
+        for name in path:
+            at = self.child.get((at, name))
+            if at is None:
+                return None
+        return at
+
+
+def _names(attributes: str) -> tuple[list[str], bool, bool, bool]:
+    """Classes of an element; whether its names make it furniture, and reader comments; whether its role or style does."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
     classes = found.get("class", "").split()
-    words = {w.lower() for c in [*classes, found.get("id", "")] for w in _PART.split(c) if w}
+    words = [[w.lower() for w in _PART.split(c) if w] for c in [*classes, found.get("id", "")]]
     hidden = re.search(r"display\s*:\s*none", found.get("style", "")) is not None or found.get("aria-hidden") == "true"
-    return classes, bool(words & NAMES) or found.get("role", "").lower() in ROLES or hidden
-
-
-def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, generalised name, furniture here or above
-    text: list[str] = []
-    linked = links = pos = 0
+    named = any(w in NAMES for ws in words for w in ws)
+    return classes, named, any(ws and ws[0] in READERS for ws in words), hidden or found.get("role", "").lower() in ROLES
+
+
+class _Tags:
+    """The tags of a page from front to end."""
+
+    def __init__(self, page: str):
+        self.page, self.pos, self.missing = page, 0, set()
+
+    def end_of(self, tag: str) -> int | None:
+        """Place after the next end tag of that name. A name once missed is not looked for again."""
+        if tag in self.missing:
+            return None
+        m = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(self.page, self.pos)
+        if m is None:
+            self.missing.add(tag)
+        return m.end() if m else None
+
+    def _after(self, mark: str) -> int:
+        at = self.page.find(mark, self.pos)
+        return len(self.page) if at < 0 else at + len(mark)
+
+    def __iter__(self) -> Iterator[tuple[str, str, bool, str]]:
+        """(text before, tag name or '', closing, attributes); text of CDATA sections comes escaped."""
+        page = self.page
+        while self.pos < len(page):
+            m = _OPEN.search(page, self.pos)
+            if not m:
+                yield page[self.pos :], "", False, ""
+                return
+            before, self.pos = page[self.pos : m.start()], m.end()
+            if m[0] == "<!--":
+                self.pos = self._after("-->")
+                yield before, "", False, ""
+            elif m[0] == "<![CDATA[":
+                start, self.pos = self.pos, self._after("]]>")
+                yield before + html.escape(page[start : self.pos].removesuffix("]]>")), "", False, ""
+            elif m[0] in ("<!", "<?"):
+                self.pos = self._after(">")
+                yield before, "", False, ""
+            else:
+                name = _NAME.match(page, m.end() - 1)
+                rest = _REST.match(page, name.end())
+                if not rest:
+                    yield before, "", False, ""
+                    return
+                self.pos = rest.end()
+                yield before, name[0].lower(), m[0][1] == "/", rest[1]
+
+
+class _Element(NamedTuple):
+    tag: str
+    at: int  # node of its path
+    hard: bool  # furniture by tag, role or style, here or above
+    weak: tuple[int, ...]  # elements here and above that are furniture by name only
+    inside: bool  # an article or main element, here or above
+
+
+_ROOT = _Element("", 0, False, (), False)
+
+
+def parse(text: str) -> Page:
+    """Text blocks of a page."""
+    page = Page()
+    found: list[tuple[_Element, str, int]] = []
+    stack: list[_Element] = []
+    readers: set[int] = set()  # weak elements that hold reader comments
+    held: set[tuple[int, ...]] = set()  # weak elements at articles
+    pieces: list[str] = []
+    linked = links = number = 0
 
     def flush():
         nonlocal linked
-        if text:
-            t = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+        if pieces:
+            t = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if t:
-                out.append(Block(tuple(s[1] for s in stack), t, linked, not (stack and stack[-1][2])))
-            text.clear()
+                found.append((stack[-1] if stack else _ROOT, t, linked))
+            pieces.clear()
         linked = 0
 
     def add(raw: str):
         nonlocal linked
         if raw:
-            text.append(raw)
+            pieces.append(raw)
             if links:
                 linked += len(raw)
 
-    while pos < len(page):
-        m = _TOKEN.search(page, pos)
-        if not m:
-            add(page[pos:])
-            break
-        add(page[pos : m.start()])
-        pos = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                add(html.escape(m[0][9:].removesuffix("]]>")))
+    tags = _Tags(text)
+    for before, tag, closing, attributes in tags:
+        add(before)
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-                pos = end.end() if end else len(page)
-            continue
-        if tag == "a":
+            if not closing and not attributes.endswith("/"):
+                end = tags.end_of(tag)
+                if end is not None or tag in ("script", "style"):
+                    tags.pos = len(text) if end is None else end
+        elif tag == "a":
             links = max(0, links - 1) if closing else links + 1
         elif tag == "br":
             add(" ")
@@ -124,33 +230,40 @@ def blocks(page: str) -> list[Block]:
             flush()
         elif tag == "button" or tag == "label":
             if not closing:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-                pos = end.end() if end else pos
+                tags.pos = tags.end_of(tag) or tags.pos
         elif tag in BLOCK:
             flush()
+            links = 0
             if closing:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
                 if at is not None:
                     del stack[at:]
-                links = 0
                 continue
-            if stack and (stack[-1][0] in LEAF or stack[-1][0] == tag and tag in ("li", "dd", "td", "th", "tr", "option")):
+            if stack and (stack[-1].tag in LEAF or stack[-1].tag == tag and tag in ("li", "dd", "td", "th", "tr", "option")):
                 stack.pop()
-            classes, named = _names(m[3])
-            inside = any(s[0] in ("article", "main") for s in stack)
-            furniture = (stack[-1][2] if stack else False) or tag in FURNITURE or (tag == "header" and not inside) or (named and tag not in ("html", "body") and not (tag == "header" and inside))
-            stack.append((tag, ".".join([tag, *sorted(re.sub(r"\d+", "N", c) for c in classes)]), furniture))
-            links = 0
+            if len(stack) >= DEPTH:
+                continue
+            classes, named, reader, out = _names(attributes)
+            top = stack[-1] if stack else _ROOT
+            weak = top.weak
+            if named and tag not in ("html", "body") and not (tag == "header" and top.inside):
+                number += 1
+                weak = (*weak, number)
+                if reader:
+                    readers.add(number)
+            hard = top.hard or out or tag in FURNITURE or (tag == "header" and not top.inside)
+            at = page.node(top.at, ".".join([tag, *sorted(re.sub(r"\d+", "N", c) for c in classes)]))
+            stack.append(_Element(tag, at, hard, weak, top.inside or tag in ("article", "main")))
+            if tag in ("article", "main") and not hard:
+                held.add(weak)
     flush()
-    return out
+    whole = any(e.inside and not e.hard and not e.weak for e, _, _ in found)
+    taken = set() if whole else set().union(*(w for w in held if readers.isdisjoint(w)))
+    page.blocks = [Block(e.at, t, n, not e.hard and taken.issuperset(e.weak)) for e, t, n in found]
+    return page
 
 
-def _container(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path above its leaf blocks and lists."""
-    n = len(path)
-    while n and path[n - 1].split(".")[0] in LEAF | {"li", "ul", "ol", "dl", "dd", "blockquote", "figure", "figcaption", "header", "hgroup", "address"}:
-        n -= 1
-    return path[:n]
+_INNER = LEAF | {"li", "ul", "ol", "dl", "dd", "blockquote", "figure", "figcaption", "header", "hgroup", "address"}
 
 
 def _score(b: Block) -> float:
@@ -161,39 +274,51 @@ def _tag(part: str) -> str:
     return part.split(".")[0]
 
 
-def choose(found: list[Block]) -> tuple[str, float]:
+def choose(page: Page) -> tuple[tuple[str, ...], float]:
     """The page's own vote: path of what holds its articles or else nearly all of its clean text, and that text's length."""
-    scores: dict[tuple[str, ...], float] = {}
-    articles: set[tuple[str, ...]] = set()
+    n = len(page.parent)
+    scores, depth, top = [0.0] * n, [0] * n, [0] * n  # top: the outermost article or main element
+    outer = [0] * n  # the node above leaf blocks and lists
+    for at in range(1, n):
+        above, tag = page.parent[at], _tag(page.name[at])
+        depth[at] = depth[above] + 1
+        top[at] = top[above] or (at if tag in ("article", "main") else 0)
+        outer[at] = outer[above] if tag in _INNER else at
+    articles: set[int] = set()
     total = inside = 0.0
-    for b in found:
+    for b in page.blocks:
         if b.clean:
-            s = _score(b)
+            s, at = _score(b), outer[b.at]
             total += s
-            path = _container(b.path)
-            for n in range(len(path) + 1):
-                scores[path[:n]] = scores.get(path[:n], 0.0) + s
-            at = next((n for n, part in enumerate(path) if _tag(part) in ("article", "main")), None)
-            if at is not None and s:
-                articles.add(path[: at + 1])
+            scores[at] += s
+            if top[at] and s:
+                articles.add(top[at])
                 inside += s
     if not total:
-        return "", 0.0
+        return (), 0.0
+    for at in range(n - 1, 0, -1):
+        scores[page.parent[at]] += scores[at]
     if inside >= HOLDS * total:
-        best = next(p for n in range(min(map(len, articles)), -1, -1) for p in [min(articles)[:n]] if all(a[:n] == p for a in articles))
+        best = min(articles)
+        for at in articles:  # the deepest node that holds both
+            while at != best:
+                best, at = (page.parent[best], at) if depth[best] > depth[at] else (best, page.parent[at])
     else:
-        best = max((p for p, s in scores.items() if s >= KEEPS * total), key=lambda p: (len(p), scores[p], p))
-    return ">".join(best), scores[best]
+        best = max((at for at in range(n) if scores[at] >= KEEPS * total), key=lambda at: (depth[at], scores[at]))
+    return page.path(best), scores[best]
 
 
-def main_text(found: list[Block], winners: list[str]) -> str:
+def main_text(page: Page, winners: list[list[str]]) -> str:
     """Clean blocks below a winning path, and below the page's own choice if that holds more; and its title. One a line."""
 
-    def below(*paths: str) -> list[Block]:
-        at = [tuple(p.split(">")) if p else () for p in paths]
-        return [b for b in found if b.clean and (any(b.path[: len(p)] == p for p in at) or (b.path and _tag(b.path[-1]) == "h1" and _score(b) > 0))]
+    def below(*paths: Iterable[str]) -> list[Block]:
+        n = len(page.parent)
+        under, roots = [False] * n, {page.find(p) for p in paths}
+        for at in range(n):
+            under[at] = at in roots or (at > 0 and under[page.parent[at]])
+        return [b for b in page.blocks if b.clean and (under[b.at] or (_tag(page.name[b.at]) == "h1" and _score(b) > 0))]
 
-    choice = choose(found)[0]
+    choice = choose(page)[0]
     own, won = below(choice), below(*winners)
     kept = won if won and sum(map(_score, won)) >= KEEPS * sum(map(_score, own)) else below(choice, *winners)
     return "\n".join(b.text for b in kept)
@@ -208,16 +333,16 @@ def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
     def vote(batches):
         for b in batches:
-            got = [choose(blocks(t)) if t else ("", 0.0) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["host", "path", "weight"])
+            got = [choose(parse(t)) if t else ((), 0.0) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(g[0]) for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got], pa.float64())], ["host", "path", "weight"])
 
-    votes = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(vote, "host string, path string, weight double")
+    votes = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(vote, "host string, path array<string>, weight double")
     # The weight of a page is bounded by its length; the square root keeps long pages from outvoting many.
     sums = table(votes.groupBy("host", "path").agg(F.sum(F.sqrt("weight")).alias("votes"), F.count("*").alias("n")), "html-votes")
     totals = sums.groupBy("host").agg(F.sum("votes").alias("all"), F.sum("n").alias("pages"))
     won = sums.join(totals, "host").where((F.col("votes") > 0) & (F.col("votes") >= WINS * F.col("all")))
     winners = won.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("winners"))
-    return totals.select("host", "pages").join(winners, "host", "left").select("host", F.coalesce("winners", F.array().cast("array<string>")).alias("winners"), "pages")
+    return totals.select("host", "pages").join(winners, "host", "left").select("host", F.coalesce("winners", F.array().cast("array<array<string>>")).alias("winners"), "pages")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -232,7 +357,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches):
         for b in batches:
-            got = [main_text(blocks(t), w or []) if t else "" for t, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            got = [main_text(parse(t), w or []) if t else "" for t, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.select("page_id", "url", "html", "winners").mapInArrow(run, "page_id long, url string, text string, n_chars long")

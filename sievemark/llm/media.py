@@ -5,6 +5,13 @@ formats. At each place a validator of that format walks the structure and
 returns the length or refuses, so a chance match in text or pixels is no hit. A
 hit at the start corrects the declared type; hits anywhere are carved out.
 
+The round trip :func:`store` and :func:`read_back` keeps texts as media of three
+formats (which one goes by a hash of the text), half of them bare with a wrong
+declared type, half inside a carrier with other magic numbers around. Reading back
+sniffs the stored bytes and decodes what was carved by the type found; nothing
+but the stored bytes is consulted, for the number of unpadded bytes too (UTF-8 has
+no byte 255, the padding has no other).
+
 Defined results: null content has no type and no hits; a declared type is kept
 where nothing valid starts the content; of overlapping hits the earlier (then
 longer) wins; repeated rows get equal results; an empty table an empty result.
@@ -18,6 +25,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,15 +198,13 @@ class Sniffer:
 
 
 def sniff(df: DataFrame, content: str, declared: str) -> DataFrame:
-    """``df`` with ``media_type`` (detected, else declared), ``corrected`` and ``hits``."""
-    hit = "array<struct<type:string,start:long,length:long>>"
-
-    @F.pandas_udf(hit)
-    def find(values):
-        import pandas as pd
+    """``df`` with ``media_type`` (detected, else declared), ``corrected`` and ``hits``; columns of these names are replaced."""
 
+    @F.pandas_udf("array<struct<type:string,start:long,length:long>>")
+    def find(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         s = Sniffer()
-        return pd.Series([[{"type": k, "start": a, "length": n} for k, a, n in s.hits(None if v is None else bytes(v))] for v in values], dtype=object)
+        for batch in values:
+            yield pd.Series([[{"type": k, "start": a, "length": n} for k, a, n in s.hits(None if v is None else bytes(v))] for v in batch], dtype=object)
 
     found = df.withColumn("hits", find(F.col(content)))
     start = F.expr("try_element_at(filter(hits, h -> h.start = 0), 1).type")
@@ -231,8 +237,52 @@ def read_image(png: bytes) -> np.ndarray:
     return lines[:, 1:]
 
 
-def features(samples: np.ndarray) -> str:
-    """Mean, deviation, entropy in bits and a 64-bit average hash of an image."""
+def write_bmp(payload: bytes) -> bytes:
+    """Bitmap of 8-bit grey samples, ``ROW`` a line, from the top."""
+    colours = b"".join(bytes((k, k, k, 0)) for k in range(256))
+    start = 54 + len(colours)
+    head = struct.pack("<2sIIIIiiHHIIiiII", b"BM", start + len(payload), 0, start, 40, ROW, -(len(payload) // ROW), 1, 8, 0, len(payload), 2835, 2835, 256, 256)
+    return head + colours + payload
+
+
+def read_bmp(bmp: bytes) -> np.ndarray:
+    """Samples of a bitmap that :func:`write_bmp` made, as rows."""
+    start, width, height = struct.unpack_from("<10xI4xii", bmp)
+    return np.frombuffer(bmp, np.uint8, width * -height, start).reshape(-height, width)
+
+
+def write_wav(payload: bytes) -> bytes:
+    """One channel of 8-bit samples at 8 kHz. Payloads have an even length."""
+    body = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def read_wav(wav: bytes) -> np.ndarray:
+    """Samples of a sound that :func:`write_wav` made, ``ROW`` a row."""
+    pos = 12
+    while wav[pos : pos + 4] != b"data":
+        pos += 8 + struct.unpack_from("<I", wav, pos + 4)[0]
+    return np.frombuffer(wav, np.uint8, struct.unpack_from("<I", wav, pos + 4)[0], pos + 8).reshape(-1, ROW)
+
+
+#: Type, writer and reader of the formats that texts are stored in.
+STORED = (("image/png", write_image, read_image), ("image/bmp", write_bmp, read_bmp), ("audio/wav", write_wav, read_wav))
+#: What carriers have around the media: magic numbers with nothing valid behind them.
+BEFORE, AFTER = b"BLOB\0\xff\xd8\xffOggS\1", b"GIF89a;BM"
+
+
+def stored_form(payload: bytes) -> tuple[str, str, bytes, bytes]:
+    """(true type, declared type, media, stored value) of a payload, by a hash of it."""
+    h = zlib.crc32(payload)
+    kind, write, _ = STORED[h % len(STORED)]
+    medium = write(payload)
+    if h // len(STORED) % 2:
+        return kind, "application/octet-stream", medium, BEFORE + medium + AFTER
+    return kind, STORED[(h + 1) % len(STORED)][0], medium, medium
+
+
+def features(samples: np.ndarray, form: str = "png") -> str:
+    """Mean, deviation, entropy in bits and a 64-bit average hash of samples."""
     counts = np.bincount(samples.ravel(), minlength=256)
     p = counts[counts > 0] / counts.sum()
     mean = float(counts @ np.arange(256)) / counts.sum()
@@ -242,7 +292,7 @@ def features(samples: np.ndarray) -> str:
     bits = 0
     for b in cells > cells.mean():
         bits = bits << 1 | int(b)
-    return f"png:{samples.shape[1]}x{samples.shape[0]}:mean={mean:.4f}:std={std:.4f}:entropy={-(p * np.log2(p)).sum():.4f}:ahash={bits:016x}"
+    return f"{form}:{samples.shape[1]}x{samples.shape[0]}:mean={mean:.4f}:std={std:.4f}:entropy={-(p * np.log2(p)).sum():.4f}:ahash={bits:016x}"
 
 
 def _batches(rows: Iterator[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -258,42 +308,47 @@ def _batches(rows: Iterator[tuple], types: list[pa.DataType], names: list[str])
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Table of media: each text as UTF-8, padded with 255, as the samples of an image inside a carrier with a wrong declared type."""
+    """Table of media (doc_id, declared, content): each text as UTF-8, padded with 255, as the samples of an image or sound."""
 
     def run(batches):
         def rows():
             for b in batches:
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     raw = (text or "").encode("utf-8")
-                    payload = raw + b"\xff" * (ROW - len(raw) % ROW if len(raw) % ROW or not raw else 0)
-                    image = write_image(payload)
-                    head = b"BLOB" + struct.pack("<QQ", len(raw), len(image))
-                    yield doc, len(raw), "application/octet-stream", head + image + b"GIF89a;BM"
+                    _, declared, _, content = stored_form(raw + b"\xff" * (ROW - len(raw) % ROW if len(raw) % ROW or not raw else 0))
+                    yield doc, declared, content
 
-        yield from _batches(rows(), [pa.int64(), pa.int64(), pa.string(), pa.binary()], ["doc_id", "n_bytes", "declared", "content"])
+        yield from _batches(rows(), [pa.int64(), pa.string(), pa.binary()], ["doc_id", "declared", "content"])
 
-    made = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, declared string, content binary")
+    made = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, declared string, content binary")
     return table(made, "media")
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Carve the image out of each stored value and compute what it holds."""
+    """Sniff each stored value, decode the media found in it and compute what it holds.
 
-    def run(batches):
-        s = Sniffer()
+    ``media_bytes`` and ``media_sha256`` are those of the image or sound as it was carved from the stored value (the whole of
+    it where it is stored bare); ``media_type`` is its type, ``declared`` what the value was said to be and ``corrected``
+    whether sniffing overruled that for the value as a whole.
+    """
+    readers = {k: r for k, _, r in STORED}
+    sniffed = sniff(media, "content", "declared").select("doc_id", "declared", "corrected", "hits", "content")
 
+    def run(batches):
         def rows():
             for b in batches:
-                for doc, n, content in zip(*(b.column(k).to_pylist() for k in range(3))):
-                    kind, at, size = next(h for h in s.hits(content) if h[0] == "image/png")
-                    image = content[at : at + size]
-                    samples = read_image(image)
+                for doc, declared, corrected, hits, content in zip(*(b.column(k).to_pylist() for k in range(5))):
+                    (hit,) = [h for h in hits if h["type"] in readers]
+                    kind, medium = hit["type"], content[hit["start"] : hit["start"] + hit["length"]]
+                    samples = readers[kind](medium)
                     payload = samples.tobytes()
-                    yield (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), size, hashlib.sha256(image).hexdigest(), features(samples), kind)
+                    yield (doc, len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(medium),
+                           hashlib.sha256(medium).hexdigest(), features(samples, kind.split("/")[1]), kind, declared, corrected)
 
-        yield from _batches(rows(), [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 3,
-                            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type"])
+        yield from _batches(rows(), [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 4 + [pa.bool_()],
+                            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "declared", "corrected"])
 
-    return media.select("doc_id", "n_bytes", "content").mapInArrow(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string"
+    return sniffed.mapInArrow(
+        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+             "media_type string, declared string, corrected boolean"
     )

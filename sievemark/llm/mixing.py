@@ -14,7 +14,8 @@ settled in the order of such a hash, so reruns agree.
 
 Defined results: a null or blank text has size 0 and takes 0; a null source is
 a source of its own and comes last; repeated rows are separate rows; an empty
-table gives an empty result; further columns are ignored.
+table gives an empty result; further columns of any name are ignored, or kept by
+:func:`apply`.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, table
+from .common import lookup, table, wrap
 
 #: Relative weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -87,6 +88,7 @@ def _uniform(seed: int, *parts) -> float:
 def _settle(rows: list[tuple], seed: int) -> tuple[list[tuple], tuple | None]:
     """Pivot along ``rows`` of (row, size, mass): mass is the fractional part in words, 0 < mass < size.
 
+    ``row`` is a pair of hashes: 128 bits, so no two rows of a source have the same.
     Returns settled (row, copies 0 or 1) and the one left over.
     """
     done, carry = [], None
@@ -117,16 +119,17 @@ def _round(frame: DataFrame, seed: int) -> DataFrame:
     """One level of the tree: settle each (source, part) group."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row")
+        pdf = pdf.sort_values(["row", "twin"])
         src, parts = int(pdf["src"].iloc[0]), int(pdf["parts"].iloc[0])
-        done, left = _settle(list(zip(pdf["row"], pdf["size"], pdf["mass"])), seed)
-        size = dict(zip(pdf["row"], pdf["size"]))
-        out = [(src, r, size[r], c * size[r], parts, True) for r, c in done]
+        rows = list(zip(pdf["row"], pdf["twin"]))
+        done, left = _settle(list(zip(rows, pdf["size"], pdf["mass"])), seed)
+        size = dict(zip(rows, pdf["size"]))
+        out = [(src, *r, size[r], c * size[r], parts, True) for r, c in done]
         if left:
-            out.append((src, left[0], left[1], left[2], parts, False))
-        return pd.DataFrame(out, columns=["src", "row", "size", "mass", "parts", "settled"])
+            out.append((src, *left[0], left[1], left[2], parts, False))
+        return pd.DataFrame(out, columns=["src", "row", "twin", "size", "mass", "parts", "settled"])
 
-    return frame.groupBy("src", "part").applyInPandas(settle, "src long, row long, size double, mass double, parts long, settled boolean")
+    return frame.groupBy("src", "part").applyInPandas(settle, "src long, row long, twin long, size double, mass double, parts long, settled boolean")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -136,8 +139,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), sizes(docs, text_col).alias("size"),
                     F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
         .groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("times"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
-        .withColumn("row", F.xxhash64("doc_id", "source", "h", "copy", F.lit(seed))).drop("h", "times", "copy"),
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(times - 1) div 10000"))))  # no array over 10,000 however often a row is repeated
+        .withColumn("copy", F.explode(F.sequence(F.col("block") * 10_000, F.least(F.col("times"), (F.col("block") + 1) * 10_000) - 1)))
+        .withColumn("row", F.xxhash64("doc_id", "source", "h", "copy", F.lit(seed)))
+        .withColumn("twin", F.xxhash64(F.lit(seed), "copy", "h", "source", "doc_id", "size")).drop("h", "times", "block", "copy"),
         "mix-rows",
     )
     per_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -149,42 +154,58 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     group = lambda n: F.pmod(F.xxhash64("row", n), n).cast("bigint")
     parts, most_parts = F.ceil(F.col("n") / rows_per_group).cast("bigint"), math.ceil(r["largest"] / rows_per_group)
     todo = rows.where((F.col("x") % 1 > 1e-12) & (F.col("size") > 0)).select(
-        "src", "row", F.col("size").cast("double").alias("size"), (F.col("size") * (F.col("x") % 1)).alias("mass"), parts.alias("parts")
+        "src", "row", "twin", F.col("size").cast("double").alias("size"), (F.col("size") * (F.col("x") % 1)).alias("mass"), parts.alias("parts")
     ).withColumn("part", group(F.col("parts")))
     got = None
     while True:
         level = table(_round(todo, seed), "mix-level")
-        settled = level.where("settled").select("src", "row", "mass")
+        settled = level.where("settled").select("src", "row", "twin", "mass")
         got = settled if got is None else got.unionByName(settled)
         left = level.where("not settled")
         if most_parts <= 1:
-            got = got.unionByName(left.select("src", "row", F.round("mass").alias("mass")))
+            got = got.unionByName(left.select("src", "row", "twin", F.round("mass").alias("mass")))
             break
         most_parts = math.ceil(most_parts / FAN_IN)
-        todo = left.select("src", "row", "size", "mass", F.ceil(F.col("parts") / FAN_IN).cast("bigint").alias("parts")).withColumn("part", group(F.col("parts")))
+        todo = left.select("src", "row", "twin", "size", "mass", F.ceil(F.col("parts") / FAN_IN).cast("bigint").alias("parts")).withColumn("part", group(F.col("parts")))
     words = F.floor("x") * F.col("size") + F.coalesce(F.round("mass"), F.lit(0.0))
-    return rows.join(got, ["src", "row"], "left").select("doc_id", "source", "size", "source_size", "target", words.cast("bigint").alias("taken"))
+    return rows.join(got, ["src", "row", "twin"], "left").select("doc_id", "source", "size", "source_size", "target", words.cast("bigint").alias("taken"))
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: a row for each copy; the copy taken in part has its first words only."""
     plan = mix(docs, id_col, text_col, source_col, **parameters)
-    want = plan.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__planned")).where("__taken > 0")
-    want = table(want.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__taken", "__planned"), "mix-wanted")
-    columns = docs.columns
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    sized = docs.withColumn("__words", sizes(docs, text_col))
-    out = sized.join(want.where("__planned = 1"), on).withColumn("__each", F.col("__taken"))
-    if not want.where("__planned > 1").isEmpty():  # repeated rows share whole copies of what is taken of them, the next one gets the rest
-        w = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(text_col))
-        nth = F.row_number().over(w)
-        whole, rest = F.expr("__taken div __size"), F.col("__taken") % F.col("__size")
-        more = F.when(F.col("__nth") <= whole % F.col("__planned"), F.col("__size")).when(F.col("__nth") == whole % F.col("__planned") + 1, rest).otherwise(0)
-        share = F.floor(whole / F.col("__planned")) * F.col("__size") + more
-        out = out.unionByName(sized.join(want.where("__planned > 1"), on).withColumn("__nth", nth).withColumn("__each", share).drop("__nth"))
-    part = F.expr("cast(__each % __size as int)")
-    copies = F.concat(F.array_repeat(F.lit(-1), F.expr("cast(__each div __size as int)")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    out = out.withColumn("__copy", F.explode(copies))
-    text = F.when(F.col("__copy") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.abs("__copy")), ""))
-    return out.withColumn(text_col, text).select(*columns)
+    want = plan.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("planned")).where("taken > 0")
+    want = table(want.withColumnsRenamed({"doc_id": "id", "source": "of", "size": "each_size"}), "mix-wanted")
+    sized = wrap(docs, number=F.col(id_col), source=F.col(source_col), text=F.col(text_col), words=sizes(docs, text_col), row=F.monotonically_increasing_id())
+    on = F.col("number").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("words") == F.col("each_size"))
+    out = sized.join(want.where("planned = 1"), on).withColumn("each", F.col("taken"))
+    if not want.where("planned > 1").isEmpty():  # repeated rows share whole copies of what is taken of them, the next one gets the rest
+        whole, rest = F.expr("taken div each_size"), F.col("taken") % F.col("each_size")
+        more = F.when(F.col("nth") <= whole % F.col("planned"), F.col("each_size")).when(F.col("nth") == whole % F.col("planned") + 1, rest).otherwise(0)
+        share = F.floor(whole / F.col("planned")) * F.col("each_size") + more
+        alike = _numbered(sized.join(want.where("planned > 1"), on), ["id", "of", "each_size"])
+        out = out.unionByName(alike.withColumn("each", share).drop("nth"))
+    part = F.expr("cast(each % each_size as int)")
+    copies = F.concat(F.array_repeat(F.lit(-1), F.expr("cast(each div each_size as int)")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    pieces = F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    out = out.withColumn("copy", F.explode(copies))
+    text = F.when(F.col("copy") < 0, F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.abs("copy")), ""))
+    return out.select(*[text.alias(c) if c == text_col else F.col("whole")[c].alias(c) for c in docs.columns])
+
+
+#: Parts that the rows of a key are dealt to for numbering.
+DEALT = 64
+
+
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``nth``: a number from 1 within the key. The rows of a key are dealt to parts that follow each other, by a hash
+    with the row's number in it (rows may be all alike); each part is numbered by itself and those before are added up from
+    one row a part, so no task orders a whole key."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("text", "row"), F.lit(DEALT)))
+    count = dealt.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    before = count.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("part").alias("p"), (F.sum("n").over(Window.partitionBy(*keys).orderBy("part")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(F.xxhash64("text"), "row"))
+    same = F.col("part") == F.col("p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"k{i}"))
+    return dealt.withColumn("own", own).join(before, same).withColumn("nth", F.col("own") + F.col("before")).drop("part", "own", "p", "before", *[f"k{i}" for i in range(len(keys))])

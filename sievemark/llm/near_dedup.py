@@ -11,23 +11,30 @@ for sure; beyond it, of pairs with similarity 0.85 about 6 in a million don't.
 A shared key makes a candidate. Links are confirmed on full sets, in rounds that
 avoid writing all pairs of a large group:
 
-1. In every key the spanning tree over estimated distances is confirmed and the
-   components of confirmed links are found.
+1. The members of every key are dealt into blocks of bounded size, each key its
+   own way. In every block the spanning tree over estimated distances is
+   confirmed and the components of confirmed links are found. A large cluster
+   shares many keys, so its blocks grow together.
 2. Only where a key still holds several components, the pairs between them
-   whose estimate allows a link are confirmed too, each under its first shared
-   key. Pairs within a component would change nothing.
+   whose estimate allows a link are confirmed too. Keys of one block are compared
+   as they are. Members of larger ones (documents that share a passage, say) are
+   keyed anew by the rarest shingles of their sets: two sets with a link share
+   one of those by the prefix principle, so pairs that share only what is common
+   do not meet. Pairs within a component would change nothing.
 
 So two documents of one component are connected. Of candidate pairs between
 components only those whose estimates are 6 deviations off stay unchecked: of
 pairs with similarity 0.85 about 5 in 100 million, which with those that don't
-meet makes 6 in a million missed. A key with many members is dealt into blocks, and
-each pair of blocks is a task's group, so no task holds a whole large group.
+meet makes 6 in a million missed. A group of rare shingles that is still larger
+than a block and holds several components (sets that differ from each other in
+little more than the limit) is compared block by block, each pair of blocks a
+task's group; that part alone is quadratic in such a group.
 
 Copies (equal sets) are one node throughout. Defined results: a null, empty or
 blank text has an empty set, is linked with nothing and keeps its own id; rows
 with a null id take part, and a component's id is its smallest id that is not
 null; repeated rows are copies with the same id; an empty table gives an empty
-result; further columns are ignored.
+result; further columns of any name are ignored, or kept by :func:`deduplicate`.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import bitmap, bitmap_bits, drop, lookup, mark, table
+from .common import bitmap, bitmap_bits, drop, lookup, mark, table, unwrap, wrap
 from .graph import components
 
 WORDS = 5
@@ -56,6 +63,8 @@ COARSE, FINE = 128, 512
 MARGIN = 6.0
 #: Members of a key that form a block.
 BLOCK = 400
+#: Counters of shingle frequencies (their order only has to be the same for all sets).
+COUNTERS = 1 << 18
 
 _rng = np.random.default_rng(20240131)
 _ODD = _rng.integers(0, 1 << 63, size=SYMBOLS + FINE + WORDS + SYMBOLS + 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -207,6 +216,13 @@ def _most(symbols: int) -> int:
     return int(symbols * q + MARGIN * (symbols * q * (1 - q)) ** 0.5)
 
 
+def _dealt(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Deal the members of every key into blocks, each key its own way; sorted by cell."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    cell = F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), blocks))
+    return members.select(cell.alias("cell"), "node", *columns).repartition("cell").sortWithinPartitions("cell", "node")
+
+
 def _cells(members: DataFrame, columns: list[str]) -> DataFrame:
     """Deal the members of every key into blocks, and rows to each pair of blocks; sorted by cell."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -249,13 +265,13 @@ def _distances(x: np.ndarray) -> np.ndarray:
 
 
 def _trees(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct edges (a, b) of the spanning trees of all cells, over estimated distances."""
+    """Distinct edges (a, b) of the spanning trees of all blocks, over estimated distances."""
     most = _most(COARSE)
-    cells = _cells(members.join(sets.select("node", F.substring("sketch", 1, COARSE).alias("sketch")), "node"), ["sketch"])
+    cells = _dealt(members.join(sets.select("node", F.substring("sketch", 1, COARSE).alias("sketch")), "node"), ["sketch"])
 
     def run(batches):
         a, b = [], []
-        for _, _, _, node, sketch in _by_cell(batches):
+        for _, node, sketch in _by_cell(batches):
             n = len(node)
             d = _distances(np.frombuffer(b"".join(sketch), np.uint8).reshape(n, COARSE))
             near, by = d[0].copy(), np.zeros(n, np.int64)
@@ -276,14 +292,13 @@ def _trees(members: DataFrame, sets: DataFrame) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and whose estimate allows a link, under their first shared key."""
+def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and whose estimate allows a link."""
     coarse, fine = _most(COARSE), _most(FINE)
-    rows = members.join(nodes.select("node", "sig"), "node").join(sets.select("node", "sketch"), "node")
-    cells = _cells(rows, ["key", "component", "sig", "sketch"])
+    cells = _cells(members.join(sets.select("node", "sketch"), "node"), ["component", "sketch"])
 
     def run(batches):
-        for _, second, same, node, key, component, sig, sketch in _by_cell(batches):
+        for _, second, same, node, component, sketch in _by_cell(batches):
             n = len(node)
             sk = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, FINE)
             d = _distances(sk[:, :COARSE])
@@ -294,18 +309,50 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
             for at in range(0, len(i), 20_000):
                 x, y = i[at : at + 20_000], j[at : at + 20_000]
                 m = (sk[x] != sk[y]).sum(axis=1) <= fine
-                x, y = x[m], y[m]
-                if not len(x):
-                    continue
-                k = keys(np.frombuffer(b"".join(sig), "<u2").reshape(n, SYMBOLS))
-                shared = k[x] == k[y]
-                first = k[x, shared.argmax(axis=1)] == key[0]
-                x, y = node[x[first]], node[y[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                x, y = node[x[m]], node[y[m]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
+def _rare(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members (key, node, component, size) of the groups of ``nodes`` (node, component) by each of the rarest shingles of
+    their sets, as many as make two sets with a link share one; groups of one component are left out."""
+    own = table(nodes.join(sets.select("node", "items"), "node"), "near-hot")
+
+    def count(batches):
+        seen = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                seen += np.bincount((np.frombuffer(x, np.uint64) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "n"])
+
+    # At most COUNTERS rows of two numbers (4 MB) reach the driver and go to the tasks, whatever the input.
+    counted = own.select("items").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros(COUNTERS, np.int64)
+    seen[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    often = nodes.sparkSession.sparkContext.broadcast(seen)
+
+    def prefix(batches):
+        for b in batches:
+            key, node, component = [], [], []
+            for at, comp, x in zip(*(b.column(k).to_pylist() for k in range(3))):
+                x = np.frombuffer(x, np.uint64)
+                n = len(x) + (-SIMILARITY * len(x) // 100) + 1
+                first = x[np.lexsort((x, often.value[(x % np.uint64(COUNTERS)).astype(np.int64)]))[:n]].view(np.int64)
+                key.append(first)
+                node.append(np.full(len(first), at))
+                component.append(np.full(len(first), comp))
+            if key:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (key, node, component)], ["key", "node", "component"])
+
+    rows = table(own.select("node", "component", "items").mapInArrow(prefix, "key long, node long, component long"), "near-rare")
+    mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    return table(rows.join(mixed.select("key", "size"), "key"), "near-rare-members")
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Signed rows, and the distinct sets among them: fp, rep, class_size, component, n_links (null if none)."""
     signed = table(sign(docs, id_col, text_col), "near-signed")
@@ -329,13 +376,19 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     found = components(links)
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    across = _across(placed.join(mixed, "key", "left_semi"), nodes, sets).join(tried, ["a", "b"], "left_anti")
+    open_ = table(placed.join(mixed, "key", "left_semi"), "near-open")
+    few = open_.where(F.col("size") <= BLOCK)
+    many = open_.where(F.col("size") > BLOCK).select("node", "component").distinct()
+    across = _across(few, sets).unionByName(_across(_rare(many, sets), sets)).distinct().join(tried, ["a", "b"], "left_anti")
     links = table(links.unionByName(_confirm(across, sets)), "near-all-links")
     drop(found)
     found = components(links)
 
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    return signed, nodes.join(found, "node", "left").join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    out = nodes.drop("sig").join(found, "node", "left").join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    out = table(out, "near-placed")
+    drop(buckets, members, sets, tried, open_, links, found, nodes)
+    return signed, out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,17 +413,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = signed.where(F.col("fp").isNotNull()).groupBy("fp", "doc_id").agg(F.count("*").alias("times"))
     sets = table(placed.where("class_size > 1 OR n_links > 0").select("fp", "component", "class_size"), "near-shared")
     rows = table(lookup(rows, sets, ["fp"], "class_size", signed.count()), "near-rows")
-    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r")).select(F.col("r.doc_id").alias("__id"), F.col("r.fp").alias("__of"), F.lit(True).alias("first"))
-    told = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__of")), "left").select("doc_id", "fp", "times", F.coalesce("first", F.lit(False)).alias("first"))
-    gone = table(told.where("NOT first OR times > 1").select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__of"), F.col("first").alias("__first")), "near-gone")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r")).select(F.col("r.doc_id").alias("least"), F.col("r.fp").alias("of"), F.lit(True).alias("first"))
+    told = rows.join(first, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("fp") == F.col("of")), "left").select("doc_id", "fp", "times", F.coalesce("first", F.lit(False)).alias("first"))
+    gone = table(told.where("NOT first OR times > 1").select(F.col("doc_id").alias("gone"), F.col("fp").alias("of"), "first"), "near-gone")
     bits = bitmap_bits(gone.count())
-    number = F.col(id_col).cast("long")
-    seen = mark(docs, F.xxhash64(number), bitmap(gone.select(F.xxhash64("__gone").alias("h")), bits), bits, "__hit")
-    clear = seen.where("not __hit").select(*docs.columns)
-    hit = seen.where("__hit").withColumn("__fp", _digest(F.col(text_col).cast("string")))
-    on = number.eqNullSafe(F.col("__gone")) & (F.col("__fp") == F.col("__of"))
-    out = clear.unionByName(hit.join(gone, on, "left_anti").select(*docs.columns))
-    if not gone.where("__first").isEmpty():  # repeated rows of which one stays
-        once = hit.join(gone.where("__first"), on).withColumn("__number", number).dropDuplicates(["__number", "__fp"])
-        out = out.unionByName(once.select(*docs.columns))
-    return out
+    seen = wrap(docs, number=F.col(id_col).cast("long"), text=F.col(text_col).cast("string"))
+    seen = mark(seen, F.xxhash64("number"), bitmap(gone.select(F.xxhash64("gone").alias("h")), bits), bits, "hit")
+    hit = seen.where("hit").withColumn("fp", _digest("text"))
+    on = F.col("number").eqNullSafe(F.col("gone")) & (F.col("fp") == F.col("of"))
+    out = seen.where("not hit").select("whole").unionByName(hit.join(gone, on, "left_anti").select("whole"))
+    if not gone.where("first").isEmpty():  # repeated rows of which one stays
+        once = hit.join(gone.where("first"), on).dropDuplicates(["number", "fp"])
+        out = out.unionByName(once.select("whole"))
+    return unwrap(out, docs.columns)

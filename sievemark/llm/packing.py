@@ -7,9 +7,12 @@ others become items of the next round, where the bins of ``FAN_IN`` groups meet
 and are packed again, and so on up a tree. A bin holds at most ``capacity``
 pieces, so it travels as one row with its pieces inside.
 
-Of two bins over half full none fits in the other, so what a group sends on is
-bounded: of its underfull bins the ``KEEP`` emptiest, the rest are emitted as
-they are. The root of the tree thus sees at most ``FAN_IN * KEEP`` bins.
+Of two bins over half full none fits in the other, and best fit leaves a group at
+most one bin that is half full or less (it would have gone into another). So at a
+node of the tree at most ``FAN_IN`` bins find a place in others, and of its bins
+of one fill no more than ``FAN_IN`` for each level above can ever be filled. A group
+sends on that many of each fill and emits the rest, which loses nothing: what a
+node sees is bounded by the number of different fills, not by the size of the data.
 
 Defined results: a null or empty text is a document of one token, the id 0;
 repeated rows are packed separately; an empty table gives an empty result;
@@ -23,6 +26,7 @@ import os
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +43,6 @@ GROUP = 12_000
 FAN_IN = 8
 #: Free tokens up to which a bin counts as nearly full.
 SLACK = 8
-KEEP = 4096
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _STRUCT = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
@@ -148,19 +151,24 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces."""
-    items = table(items, "pack-pieces")
+    """Add ``sequence_id`` and ``offset`` to pieces.
+
+    Sequences are numbered by level of the tree, group and bin (63 bits), those of full pieces by row below zero. Pieces are
+    dealt to groups by a hash that has the row's number in it, so rows that are all alike spread too.
+    """
+    items = table(items, "pack-pieces").withColumn("row", F.monotonically_increasing_id())
     full = items.where(F.col("length") >= capacity)
     part = items.where(F.col("length") < capacity)
     n = part.count()
     groups = max(1, math.ceil(n / group))
-    whole = full.select("*", F.concat(F.lit("f"), F.monotonically_increasing_id().cast("string")).alias("seq"), F.lit(0).cast("long").alias("offset"))
-    one = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
-    todo = part.select(F.array(one).cast(_STRUCT).alias("pieces"), F.col("length").alias("filled"),
-                       F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long").alias("grp"))
+    levels = 0 if groups == 1 else math.ceil(math.log(groups, FAN_IN) - 1e-9)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    whole = full.select(*columns, F.lit(0).cast("long").alias("offset"), (-1 - F.col("row")).alias("sequence_id"))
+    todo = part.select(F.array(F.struct(*columns)).cast(_STRUCT).alias("pieces"), F.col("length").alias("filled"),
+                       F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(groups)).cast("long").alias("grp"))
     done, level = [], 0
     while True:
-        packed = table(_pack_groups(todo, capacity, level, last=groups == 1), "pack-level")
+        packed = table(_pack_groups(todo, capacity, level, 0 if groups == 1 else FAN_IN * max(1, levels - level)), "pack-level")
         done.append(packed.where("emit"))
         if groups == 1:
             break
@@ -170,22 +178,24 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     for d in done[1:]:
         out = out.unionByName(d)
     before = "aggregate(slice(pieces, 1, pos), 0L, (a, p) -> a + p.length)"
-    laid = out.select("seq", "pieces", F.posexplode("pieces").alias("pos", "p")).withColumn("offset", F.expr(before))
-    laid = laid.select("p.*", "seq", "offset")
-    return whole.unionByName(laid).withColumn("sequence_id", F.xxhash64("seq")).drop("seq")
+    laid = out.select("sequence_id", "pieces", F.posexplode("pieces").alias("pos", "p")).withColumn("offset", F.expr(before))
+    return whole.unionByName(laid.select("p.*", "offset", "sequence_id"))
+
 
+def _pack_groups(todo: DataFrame, capacity: int, level: int, of_a_fill: int) -> DataFrame:
+    """Pack every group; of its underfull bins ``of_a_fill`` of each fill are not emitted."""
 
-def _pack_groups(todo: DataFrame, capacity: int, level: int, last: bool) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grp = int(pdf["grp"].iloc[0])
         held = [[tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in ps] for ps in pdf["pieces"]]
         order = sorted(range(len(held)), key=lambda i: [(p[0] is not None, p[0] or 0, *p[1:]) for p in held[i]])  # any order of rows gives the same bins
         lengths = pdf["filled"].to_numpy()[order]
-        bins = best_fit(lengths, capacity)
-        filled = [int(lengths[b].sum()) for b in bins]
-        open_ = [i for i in range(len(bins)) if filled[i] < capacity - SLACK]
-        send = set() if last else set(sorted(open_, key=lambda i: (filled[i], i))[:KEEP])
-        rows = [(f"{level}.{grp}.{i}", [p for k in b for p in held[order[k]]], filled[i], grp, i not in send) for i, b in enumerate(bins)]
-        return pd.DataFrame(rows, columns=["seq", "pieces", "filled", "grp", "emit"])
-
-    return todo.groupBy("grp").applyInPandas(run, f"seq string, pieces {_STRUCT}, filled long, grp long, emit boolean")
+        rows, sent = [], Counter()
+        for i, b in enumerate(best_fit(lengths, capacity)):
+            filled = int(lengths[b].sum())
+            sent[filled] += 1
+            emit = filled >= capacity - SLACK or sent[filled] > of_a_fill
+            rows.append((level << 58 | grp << 24 | i, [p for k in b for p in held[order[k]]], filled, grp, emit))
+        return pd.DataFrame(rows, columns=["sequence_id", "pieces", "filled", "grp", "emit"])
+
+    return todo.groupBy("grp").applyInPandas(run, f"sequence_id long, pieces {_STRUCT}, filled long, grp long, emit boolean")

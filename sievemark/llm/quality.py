@@ -25,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ DIMENSIONS = 1 << 16
 CUT, KEEP = 1, 0.5
 
 _WORD = re.compile(r"[^\W_]+")
+_UPPER = regex.compile(r"\p{Lu}")
 
 
 class Features:
@@ -59,7 +61,7 @@ class Features:
         lines = [x for x in text.split("\n") if x.strip()]
         chars = max(1, len(text))
         letters = sum(map(len, words))
-        upper = len(text) - sum(a == b for a, b in zip(text, text.lower())) if len(text) < 4096 else sum(c.isupper() for c in text)
+        upper = len(_UPPER.findall(text))
         stats = {
             "words": int(math.log2(len(words) + 1)),
             "distinct": int(20 * len(kinds) / max(1, len(words))),

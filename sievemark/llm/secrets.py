@@ -4,8 +4,10 @@ The patterns (key assignments, access key ids, long hex runs) always report.
 The method then looks at every other long run of key characters: a byte-pair
 vocabulary covers words and names with few long tokens, random characters with
 many short ones, so few characters per token expose a random string. Digests of
-well-known lengths and identifiers (UUIDs, numbers, words joined by ``_ - /``)
-are left out first.
+well-known lengths and identifiers (UUIDs, and words and short numbers joined by
+``_ - / + =``) are left out first; a word of key length among them is tested by
+itself, so a key of letters only is found too. Of a run that touches spans of the
+fixed patterns the stretches outside of them are tested.
 
 Defined results: a null or empty text has no spans; spans are code points, end
 exclusive; repeated rows get equal results; an empty table an empty result.
@@ -15,7 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +37,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_NAME = re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,8})(?:[_/=+-]+(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,8}))*")
+_JOINT = re.compile(r"[_/=+-]+")
+_WORD = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,8}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -58,22 +65,42 @@ class TokenTest:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def sparse(self, run: str) -> bool:
+        """Few characters per token."""
+        return len(run) < RATIO * len(self.encoding.encode_ordinary(run))
+
     def random(self, run: str) -> bool:
-        if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _NAME.fullmatch(run):
+        if _DIGEST.fullmatch(run) or _UUID.fullmatch(run):
             return False
-        return len(run) < RATIO * len(self.encoding.encode_ordinary(run))
+        parts = _JOINT.split(run)
+        if all(map(_WORD.fullmatch, parts)):
+            return any(len(p) >= MIN_RUN and self.sparse(p) for p in parts)
+        return self.sparse(run)
+
+
+def _outside(start: int, end: int, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Stretches of a run that no base span touches; ``base`` is sorted by start."""
+    for s, _, e in base:
+        if e > start and s < end:
+            if s > start:
+                yield start, s
+            start = max(start, e)
+    if start < end:
+        yield start, end
 
 
 def spans(text: str, test: TokenTest) -> list[tuple[int, int, str]]:
-    """All spans by start, then kind: the base ones and runs that the test finds outside them."""
+    """All spans by start, then kind: the base ones and what the test finds outside them."""
     base = base_spans(text)
-    out = list(base)
+    out, at = list(base), 0
+    ends = list(accumulate((e for _, _, e in base), max))  # in order, so spans before a run are passed over once
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if all(m.end() <= s or m.start() >= e for s, _, e in base) and test.random(run):
-            out.append((m.start(), 3, m.end()))
+        while at < len(base) and ends[at] <= m.start():
+            at += 1
+        stop = bisect_left(base, (m.end(),))
+        for s, e in _outside(m.start(), m.end(), base[at:stop]):
+            if e - s >= MIN_RUN and test.random(text[s:e]):
+                out.append((s, 3, e))
     return sorted(out)
 
 
@@ -107,22 +134,20 @@ def scan(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 def redact(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        import pandas as pd
+    def one(text, test):
+        if text is None:
+            return None
+        out, at = [], 0
+        for s, _, e in spans(text, test):
+            if e > at:
+                out += [text[at:max(at, s)], mark]
+                at = e
+        return "".join([*out, text[at:]])
 
+    @F.pandas_udf("string")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         test = TokenTest(ranks_path, pattern)
-
-        def one(text):
-            if text is None:
-                return None
-            out, at = [], 0
-            for s, _, e in spans(text, test):
-                if e > at:
-                    out += [text[at:max(at, s)], mark]
-                    at = e
-            return "".join([*out, text[at:]])
-
-        return pd.Series([one(t) for t in texts], dtype=object)
+        for texts in batches:
+            yield pd.Series([one(t, test) for t in texts], dtype=object)
 
     return docs.withColumn(text_col, clean(F.col(text_col)))

@@ -1,15 +1,21 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Three transducers are composed. The first maps a word to a class (insult,
-threat, target, negation, report) by lexicon: fixed seed words plus words and
-word stems learned from labels, strong ones that mark hardly any clean text and
-weak ones (hints) that mark some. The second runs along a clause and keeps a scope
-for negation and for reported speech. The third pairs an insult or threat with
-a target near it. Their output for a text is a count of matched clauses of six
-kinds; a logistic layer with weights learned from labels (pulled to prior weights)
-turns the counts into a score. A clause yields its strongest kind once, so a
-word by itself counts less than an aimed clause and a quoted or denied one less
-still.
+Three transducers are composed. The first, the lexicon, maps a word to a class
+(insult, threat, hint, target, negation, report): fixed seed words plus words
+and word stems learned from labels, strong ones that mark hardly any clean text
+and weak ones (hints) that mark some. The second, :func:`scope`, keeps where a
+negation reaches and whether speech is reported, and marks insults, threats and
+hints by it. The third, :func:`aim`, pairs what is left unmarked with a target
+near it; its arcs put out kinds of matches, each with a weight. The second and
+third are tables of arcs that :func:`compose` makes one; the first has the whole
+language as its alphabet and is composed as words come.
+
+A clause is one path through the composed machine, whatever its length. Path
+weights are those of the semiring (max, max): the clause weighs what its heaviest
+arc does and is of that arc's kind, so a word by itself weighs less than an aimed
+clause and a quoted or denied one less still. A text's score is a logistic layer
+over its numbers of clauses by kind, with weights learned from labels (pulled to
+the arcs' weights).
 
 Learning uses at most ``sample`` labelled rows, chosen by a hash of the id; the
 rows of the fold held out (crc32 of the id modulo 3 is 1) are never among them.
@@ -24,9 +30,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from bisect import bisect_left
+from collections.abc import Hashable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,20 +55,84 @@ NEGATIONS = "not no never nobody isn't aren't wasn't don't doesn't didn't won't
 REPORTS = "said says say wrote writes quoted quotes called calls told claimed sagte schrieb nannte dijo escribió llamó dit écrit appelé".split()
 
 KINDS = ("insult", "aimed", "threat", "negated", "reported", "hint")
-#: Weights before any label is seen, and the weight of a text without a match.
-PRIOR, PRIOR_BASE = (2.4, 3.6, 3.6, 0.3, 0.8, 1.0), -2.0
+#: Weights of arcs by kind, and the weight of a text without a match, before any label is seen.
+PRIOR, PRIOR_BASE = (2.4, 3.6, 3.8, 0.3, 0.8, 1.0), -2.0
 #: Share of toxic texts among those with a term from which the term is strong or weak, and letters of a stem.
 STRONG, WEAK, STEM_LETTERS = 0.95, 0.6, (3, 4, 5, 6)
-#: Matched clauses of a kind count up to here.
-MOST = 4
 #: Words over which negation and an aim reach.
 SCOPE = 3
 
 _WORD = r"[\p{L}\p{N}]+"
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+_STOP = re.compile(r"[.!?;:\n]")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
 
+#: Word classes: insult, threat, hint, target, negation, report, other. Marked by the scopes they are in: ~ negated, " reported.
+CLASSES = "ihwtnr-"
+MARKED = tuple(m + c for m in ("", "~", '"') for c in "ihw") + ("t", "-")
+
+
+class Transducer(NamedTuple):
+    """A deterministic one: arcs lead from (state, symbol) to (state, what is put out, weight)."""
+
+    start: Hashable
+    arcs: dict[tuple[Hashable, str], tuple[Hashable, str, float]]
+
+
+def scope() -> Transducer:
+    """States (words that a negation still reaches, speech is reported): marks insults, threats and hints."""
+    arcs = {}
+    for left in range(SCOPE + 1):
+        for told in (False, True):
+            for c in CLASSES:
+                mark = "~" if left else '"' if told else ""
+                arcs[(left, told), c] = ((SCOPE if c == "n" else max(0, left - 1), told or c == "r"), mark + c if c in "ihw" else "t" if c == "t" else "-", 0.0)
+    return Transducer((0, False), arcs)
+
+
+def aim() -> Transducer:
+    """States (words that a target, an insult and a threat still reach): puts out kinds of matches."""
+    weight = dict(zip(KINDS, PRIOR)) | {"": 0.0}
+    arcs = {}
+    for target in range(SCOPE + 1):
+        for insult in range(SCOPE + 1):
+            for threat in range(SCOPE + 1):
+                for m in MARKED:
+                    kind = ""
+                    if m[0] == "~":
+                        kind = "negated"
+                    elif m[0] == '"':
+                        kind = "reported"
+                    elif m == "w":
+                        kind = "hint"
+                    elif m == "i":
+                        kind = "aimed" if target else "insult"
+                    elif m == "h":
+                        kind = "threat" if target else ""
+                    elif m == "t":
+                        kind = "threat" if threat else "aimed" if insult else ""
+                    to = tuple(SCOPE if m == on else max(0, left - 1) for on, left in (("t", target), ("i", insult), ("h", threat)))
+                    arcs[(target, insult, threat), m] = (to, kind, weight[kind])
+    return Transducer((0, 0, 0), arcs)
+
+
+def compose(first: Transducer, second: Transducer, symbols: Iterable[str]) -> Transducer:
+    """What ``first`` puts out goes into ``second``; of the pairs of states those that can be reached. The heavier arc's weight stays."""
+    start = (first.start, second.start)
+    arcs, todo, symbols = {}, [start], tuple(symbols)
+    seen = {start}
+    while todo:
+        at = todo.pop()
+        for c in symbols:
+            a, between, w1 = first.arcs[at[0], c]
+            b, out, w2 = second.arcs[at[1], between]
+            arcs[at, c] = ((a, b), out, max(w1, w2))
+            if (a, b) not in seen:
+                seen.add((a, b))
+                todo.append((a, b))
+    return Transducer(start, arcs)
+
+
 class Grammar:
     """The composed transducers for a lexicon of whole words and stems."""
 
@@ -73,57 +146,46 @@ class Grammar:
         for w in {w for w, k in self.classes.items() if k in "ihw"} | {*self.stems, *self.weak_stems}:
             self.scan.add_word(w, w)
         self.scan.make_automaton()
+        machine = compose(scope(), aim(), CLASSES)
+        number = {s: n for n, s in enumerate(dict.fromkeys(k[0] for k in machine.arcs))}
+        self.start = number[machine.start]
+        self.arcs = {(number[s], c): (number[to], out, w) for (s, c), (to, out, w) in machine.arcs.items()}
 
     def word(self, w: str) -> str:
-        """First transducer."""
-        return self.classes.get(w) or ("i" if w.startswith(self.stems) else "w" if w.startswith(self.weak_stems) else "")
+        """The lexicon: class of a word."""
+        return self.classes.get(w) or ("i" if w.startswith(self.stems) else "w" if w.startswith(self.weak_stems) else "-")
 
-    def clause(self, text: str) -> str | None:
-        """Second and third transducer: the strongest kind of a clause."""
-        negated = aimed = armed = 0
-        reported, target, best = False, 0, None
+    def clause(self, text: str) -> tuple[str, float]:
+        """Kind and weight of a clause's path."""
+        at, kind, weight = self.start, "", 0.0
         for w in _TOKEN.findall(text):
-            k = self.word(w)
-            if k == "n":
-                negated = SCOPE + 1
-            elif k == "r":
-                reported = True
-            elif k == "t":
-                target = SCOPE + 1
-                if aimed and best == "insult":
-                    best = "aimed"
-                if armed:
-                    best = _stronger(best, "threat")
-            elif k == "w":
-                best = _stronger(best, "negated" if negated else "reported" if reported else "hint")
-            elif k in ("i", "h"):
-                kind = "negated" if negated else "reported" if reported else "threat" if k == "h" and target else "aimed" if target else "insult" if k == "i" else None
-                best = _stronger(best, kind)
-                aimed = SCOPE + 1
-                armed = armed if k == "i" or negated or reported else SCOPE + 1
-            negated, target, aimed, armed = (max(0, x - 1) for x in (negated, target, aimed, armed))
-        return best
+            at, out, heavy = self.arcs[at, self.word(w)]
+            if heavy > weight:
+                kind, weight = out, heavy
+        return kind, weight
 
     def counts(self, text: str | None) -> list[int]:
+        """Matched clauses by kind."""
         out = dict.fromkeys(KINDS, 0)
         if text:
             low = text.lower()
-            last = -1
+            last, stops = -1, None
             for end, w in self.scan.iter(low):
                 start = end - len(w) + 1
-                if start <= last or (start and low[start - 1].isalnum()):
+                if start < last or (start and low[start - 1].isalnum()):
                     continue
-                a = max((m.end() for m in _CLAUSE.finditer(low, max(0, start - 400), start)), default=max(0, start - 400))
-                m = _CLAUSE.search(low, end + 1, end + 400)
-                last = m.start() if m else min(len(low), end + 400)
-                if kind := self.clause(low[a:last]):
+                if stops is None:
+                    stops = [m.start() for m in _STOP.finditer(low)]
+                k = bisect_left(stops, start)
+                last = stops[k] if k < len(stops) else len(low)
+                kind, _ = self.clause(low[stops[k - 1] + 1 if k else 0 : last])
+                if kind:
                     out[kind] += 1
-        return [min(MOST, v) for v in out.values()]
-
+        return list(out.values())
 
-def _stronger(a: str | None, b: str | None) -> str | None:
-    order = (None, "negated", "reported", "hint", "insult", "aimed", "threat")
-    return max(a, b, key=order.index)
+    def logit(self, text: str | None, model: dict) -> float:
+        """Log odds of a text."""
+        return model["base"] + float(np.log1p(np.array(self.counts(text), dtype=float)) / math.log(2) @ np.array(model["weights"]))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
@@ -231,14 +293,12 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 def reject(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, that score under ``threshold``."""
+    limit = math.log(threshold / (1 - threshold))
 
     @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         g = Grammar(**model["lexicon"])
-        w = np.array(model["weights"])
-        limit = math.log(threshold / (1 - threshold))
-        return pd.Series([bool(model["base"] + np.log1p(np.array(g.counts(t))) / math.log(2) @ w < limit) for t in texts], dtype=bool)
+        for texts in batches:
+            yield pd.Series([g.logit(t, model) < limit for t in texts], dtype=bool)
 
     return docs.where(clean(F.col(text_col)))

@@ -7,13 +7,18 @@ there are any) to the central directory, finds the members from it and reads the
 index and then single records by range; nothing is extracted.
 
 Packages lie in the shared folder, reached by its URI through pyarrow's file
-systems. A task writes a package under a name of its own and moves it into
-place, so a task that runs again replaces the same file.
+systems. Every package has a name of its own (tasks with equal rows write
+different files), and readers take only packages named by the table of archives,
+so what a task left that ran again or was lost is never read.
+
+A record's date is the start of its writing. An index line has the sortable form
+of the URL, the date and a JSON object with place, digest and type.
 
 Defined results: null html is an empty payload; a null page_id is written and
 read as null and never referred to (it is the smallest only among nulls);
-repeated rows with the smallest id of equal payloads are all responses; an empty
-table gives an empty result; further columns are ignored.
+repeated rows with the smallest id of equal payloads are all responses; every
+row has a record, however often it is repeated; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +27,14 @@ import gzip
 import hashlib
 import io
 import json
+import math
+import re
 import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -39,15 +48,18 @@ MIN_PAYLOAD = 100
 #: Bytes of records in a package, and of a range that one read task takes.
 PACKAGE, RANGE = 32 << 20, 4 << 20
 
+UNDATED = "1970-01-01T00:00:00Z"
+
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = UNDATED) -> bytes:
     """One gzip member: a response with its payload, or a revisit without."""
     kind = "response" if refers_to is None else "revisit"
     head = {
         "WARC-Type": kind,
         "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
+        "WARC-Date": date,
         "WARC-Target-URI": (url or "").replace("\r", " ").replace("\n", " "),
         "WARC-Payload-Digest": f"sha256:{digest}",
         "Content-Type": "text/html",
@@ -74,12 +86,31 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
+def sort_key(url: str | None) -> str:
+    """Sortable form of a URL: host labels from last to first, then path and query, in lower case; '-' where there is no host."""
+    try:
+        u = urlsplit((url or "").strip())
+        host = u.hostname or ""
+    except ValueError:
+        host = ""
+    if not host:
+        return "-"
+    labels = host.removeprefix("www.").split(".")
+    return re.sub(r"\s", "%20", (",".join(reversed(labels)) + ")" + (u.path or "/") + ("?" + u.query if u.query else "")).lower())
+
+
+def index_line(entry: dict) -> str:
+    """A line of the index: sort key, date, and the rest as JSON."""
+    rest = {k: v for k, v in entry.items() if k != "date"} | {"mime": "text/html"}
+    return f"{sort_key(entry.get('url'))} {re.sub('[^0-9]', '', entry.get('date', UNDATED))} {json.dumps(rest)}\n"
+
+
 def package(members: list[bytes], entries: list[dict]) -> bytes:
-    """ZIP file of records and their index."""
+    """ZIP file of records and their index, its lines in order."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
         z.writestr(zipfile.ZipInfo(RECORDS), b"".join(members))
-        z.writestr(zipfile.ZipInfo(INDEX), "".join(json.dumps(e) + "\n" for e in entries))
+        z.writestr(zipfile.ZipInfo(INDEX), "".join(sorted(map(index_line, entries))))
     return out.getvalue()
 
 
@@ -138,7 +169,7 @@ def _open(uri: str):
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """Write packages into ``folder``; rows (archive, records)."""
+    """Write packages into ``folder``; rows (archive, records, bytes). Write this table before it is read: its rows are the packages that count."""
     body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     keyed = table(pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("bytes")), "warc-digests")
     first = keyed.where((F.col("bytes") >= min_payload) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
@@ -151,23 +182,22 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         members, entries, size = [], [], 0
+        date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
         def flush():
             nonlocal members, entries, size
             data = package(members, entries)
-            name = hashlib.sha256(data).hexdigest()[:32] + ".wacz"
-            own = f"{root}/.{uuid.uuid4().hex}"
-            with fs.open_output_stream(own) as f:
+            name = uuid.uuid4().hex + ".wacz"
+            with fs.open_output_stream(f"{root}/{name}") as f:
                 f.write(data)
-            fs.move(own, f"{root}/{name}")
             n = len(entries)
             members, entries, size = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], ["archive", "records"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64()), pa.array([len(data)], pa.int64())], ["archive", "records", "bytes"])
 
         for b in batches:
             for page_id, url, payload, digest, refers in zip(*(b.column(k).to_pylist() for k in range(5))):
-                m = record(page_id, url, payload, digest, refers)
-                entries.append({"offset": size, "length": len(m)})
+                m = record(page_id, url, payload, digest, refers, date)
+                entries.append({"url": url, "date": date, "digest": f"sha256:{digest}", "offset": size, "length": len(m), "filename": RECORDS})
                 members.append(m)
                 size += len(m)
                 if size >= PACKAGE:
@@ -175,7 +205,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         if entries:
             yield flush()
 
-    return rows.mapInArrow(run, "archive string, records long")
+    return rows.mapInArrow(run, "archive string, records long, bytes long")
 
 
 def index(archives: DataFrame) -> DataFrame:
@@ -188,18 +218,21 @@ def index(archives: DataFrame) -> DataFrame:
                     members = central_directory(f)
                     start, _ = members[RECORDS]
                     at, n = members[INDEX]
-                    entries = [json.loads(x) for x in f.read_at(n, at).splitlines()]
+                    entries = [json.loads(x.split(b" ", 2)[2]) for x in f.read_at(n, at).splitlines()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([uri] * len(entries)), pa.array([start + e["offset"] for e in entries], pa.int64()), pa.array([e["length"] for e in entries], pa.int64())],
                     ["archive", "offset", "length"],
                 )
 
-    return archives.select("archive").distinct().mapInArrow(run, "archive string, offset long, length long")
+    return archives.select("archive").mapInArrow(run, "archive string, offset long, length long")
+
 
+def read(entries: DataFrame, tasks: int) -> DataFrame:
+    """Range-read the records in ``tasks`` tasks: page_id, url, record_type, refers_to, payload (null for revisits), payload_bytes, payload_digest.
 
-def read(entries: DataFrame) -> DataFrame:
-    """Range-read the records: page_id, url, record_type, refers_to, payload (null for revisits), payload_bytes, payload_digest."""
-    ranges = entries.withColumn("range", F.floor(F.col("offset") / RANGE)).repartition("archive", "range").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
+    The number of tasks goes by the bytes to be read, which the rows shuffled here (places of records) don't show.
+    """
+    ranges = entries.withColumn("range", F.floor(F.col("offset") / RANGE)).repartition(tasks, "archive", "range").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
     number = lambda s: int(s[10:-1]) if s and s != "<urn:page:>" else None
 
     def run(batches):
@@ -229,7 +262,8 @@ def round_trip(pages: DataFrame, **columns) -> DataFrame:
     spark = pages.sparkSession
     folder = work_path(spark, "warc")
     archives = table(write(pages, folder, **columns), "warc-archives")
-    got = table(read(index(archives)).drop("payload", "url"), "warc-read")
+    stored = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    got = table(read(index(archives), max(1, math.ceil(stored / RANGE))).drop("payload", "url"), "warc-read")
     delete(spark, folder)
     drop(archives)
     answers = got.where("record_type = 'response'")

@@ -4,7 +4,11 @@ import gzip
 import hashlib
 import io
 import json
+import math
+import re
 import struct
+import time
+import wave
 import zipfile
 import zlib
 
@@ -24,10 +28,61 @@ def test_media_round_trip(odd, none):
     got = media.read_back(media.store(odd)).collect()
     want = sorted((str(r.doc_id), *(lambda raw, p: (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))(*padded(r.text))) for r in odd.collect())
     assert sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
-    assert all(r.media_type == "image/png" and r.payload_bytes % 576 == 0 for r in got)
+    assert all(r.payload_bytes % 576 == 0 for r in got)
     assert media.read_back(media.store(none)).count() == 0
 
 
+def by_hand(kind, p):
+    """The media file of a payload, written without the library."""
+    if kind == "image/png":
+        lines = b"".join(b"\0" + p[k : k + 576] for k in range(0, len(p), 576))
+        parts = [(b"IHDR", struct.pack(">IIBBBBB", 576, len(p) // 576, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(lines, 1)), (b"IEND", b"")]
+        return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in parts)
+    if kind == "image/bmp":
+        size = (1078 + len(p)).to_bytes(4, "little")
+        head = b"BM" + size + bytes(4) + (1078).to_bytes(4, "little") + (40).to_bytes(4, "little") + (576).to_bytes(4, "little") + (-(len(p) // 576)).to_bytes(4, "little", signed=True)
+        head += b"\1\0\x08\0" + bytes(4) + len(p).to_bytes(4, "little") + (2835).to_bytes(4, "little") * 2 + (256).to_bytes(4, "little") * 2
+        return head + b"".join(bytes([k, k, k, 0]) for k in range(256)) + p
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(1)
+        w.setframerate(8000)
+        w.writeframes(p)
+    return out.getvalue()
+
+
+def feature(kind, p):
+    n = len(p)
+    counts = [p.count(bytes([k])) for k in range(256)]
+    mean = sum(k * c for k, c in enumerate(counts)) / n
+    std = (sum(c * (k - mean) ** 2 for k, c in enumerate(counts)) / n) ** 0.5
+    entropy = -sum(c / n * math.log2(c / n) for c in counts if c)
+    cells = [sum(p[k * (n // 64) : (k + 1) * (n // 64)]) / (n // 64) for k in range(64)]
+    bits = "".join("1" if c > sum(cells) / 64 else "0" for c in cells)
+    return kind.split("/")[1], n // 576, mean, std, entropy, f"{int(bits, 2):016x}"
+
+
+def test_media_columns_by_hand(spark):
+    """Every column of the query, from the texts: media as written by other means, features as plain sums."""
+    rows = {r.doc_id: r for r in QUERIES["op2_media_columns"](spark, DATA).collect()}
+    kinds, how = set(), set()
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
+        raw, p = padded(r.text)
+        g = rows[r.doc_id]
+        m = by_hand(g.media_type, p)
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert (g.media_bytes, g.media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
+        kind, height, mean, std, entropy, cells = feature(g.media_type, p)
+        said = re.fullmatch(r"(\w+):576x(\d+):mean=(.*):std=(.*):entropy=(.*):ahash=(.*)", g.feature)
+        assert (said[1], int(said[2]), said[6]) == (kind, height, cells)
+        assert all(abs(float(x) - y) < 1e-3 for x, y in zip(said.groups()[2:5], (mean, std, entropy)))
+        assert g.declared != g.media_type and g.corrected == (g.declared != "application/octet-stream")
+        kinds.add(g.media_type)
+        how.add(g.corrected)
+    assert kinds == {"image/png", "image/bmp", "audio/wav"} and how == {True, False}
+
+
 def test_media_query(spark):
     rows = {r.doc_id: r for r in QUERIES["op2_media_columns"](spark, DATA).collect()}
     for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
@@ -95,6 +150,35 @@ def test_html(spark):
     assert html_extract.extract(d.limit(0)).count() == 0
 
 
+def text_of(page):
+    return html_extract.main_text(html_extract.parse(page), [])
+
+
+def test_html_odd_pages(spark):
+    """Classes with '>', articles whose names sound like furniture, elements that never end, pages that end within a tag."""
+    body = "<p>The text of the article, with a few words in it.</p>"
+    want = "The text of the article, with a few words in it."
+    assert text_of(f'<div class="[&>p]:mt-4 x>y"><article>{body}</article></div>') == want
+    assert text_of(f'<div id="legal"><article class="post-comment-policy">{body}</article></div><footer>f</footer>') == want
+    assert text_of(f'<main>{body}</main><section class="comments"><article class="comment"><p>Nice.</p></article></section>') == want
+    assert text_of(f'<article>{body}</article><div class="related"><article><p>Another one</p></article></div>') == want
+    for tag in ("svg", "noscript", "template", "title", "select", "button"):
+        assert text_of(f"<article>{body}<{tag}></article>") == want
+    assert text_of(f"<article>{body}</article><script>var x = 1") == want
+    assert text_of(f'<article>{body}</article><a href="http://x.org/?a=') == want
+    rows = [(i, "https://u.org/", f'<body><div class="[&>p]:mt-4">{body}</div><div class="side">s</div></body>') for i in range(4)]
+    got = {r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {want}
+
+
+@pytest.mark.parametrize("page", ["<a " + 'a="b" ' * 3000, "<a " * 100_000, '<a "' * 100_000 + ">", "<!" * 100_000, "<svg>" * 30_000, "<div>" * 20_000 + "</p>" * 20_000,
+                                  "<a " + "x" * 300_000 + "/ b=c>", '<a b="' * 50_000 + ">", "<div>x" * 20_000, "<" * 300_000, "-" * 1_000_000])
+def test_html_takes_time_by_length(page):
+    start = time.time()
+    text_of(page)
+    assert time.time() - start < 10
+
+
 def test_html_consensus(spark):
     """A page whose own best container is its comments' neighbour follows the host's vote."""
     body = lambda main, side: f"<body><div class='box main'><p>{main}</p></div><div class='box side1'><p>{side}</p></div></body>"
@@ -153,6 +237,29 @@ def test_warc_odd(spark):
     assert warc.round_trip(d.limit(0)).count() == 0
 
 
+def test_warc_equal_partitions(spark, tmp_path):
+    """The same folder read twice: tasks with equal rows, none of which is lost."""
+    rows = [(1, "u", "a" * 200), (2, "u", "b"), (3, "u", "a" * 200), (None, "u", "c" * 300), (None, "u", None), (None, "u", "c" * 300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"file://{tmp_path}/pages")
+    once = spark.read.parquet(f"file://{tmp_path}/pages")
+    one = lambda d: sorted(str(tuple(r)) for r in warc.round_trip(d).collect())
+    twice = one(once.unionByName(spark.read.parquet(f"file://{tmp_path}/pages")))
+    assert len(one(once)) == 6 and twice == sorted(one(once) * 2)
+
+
+def test_warc_index_lines(spark, tmp_path):
+    d = spark.createDataFrame([(1, "https://www.B.org/p?q=1 2", "x" * 120), (2, "https://a.b.org/", "y"), (3, None, "z")], "page_id long, url string, html string").coalesce(1)
+    (uri,) = [r.archive for r in warc.write(d, f"file://{tmp_path}/w").collect()]
+    with zipfile.ZipFile(uri.removeprefix("file://")) as z:
+        lines = z.read(warc.INDEX).decode().splitlines()
+        whole = z.read(warc.RECORDS)
+    assert [x.split(" ")[0] for x in lines] == ["-", "org,b)/p?q=1%202", "org,b,a)/"] and all(re.fullmatch(r"\d{14}", x.split(" ")[1]) for x in lines)
+    for x in lines:
+        e = json.loads(x.split(" ", 2)[2])
+        head, _ = warc.parse(whole[e["offset"] : e["offset"] + e["length"]])
+        assert head["WARC-Payload-Digest"] == e["digest"] and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["WARC-Date"])
+
+
 class Bytes:
     def __init__(self, b):
         self.b = b
@@ -198,4 +305,4 @@ def test_record():
     assert gzip.decompress(m).startswith(b"WARC/1.1\r\n")
     p = warc.package([m], [{"offset": 0, "length": len(m)}])
     with zipfile.ZipFile(io.BytesIO(p)) as z:
-        assert z.testzip() is None and json.loads(z.read(warc.INDEX)) == {"offset": 0, "length": len(m)} and z.read(warc.RECORDS) == m
+        assert z.testzip() is None and json.loads(z.read(warc.INDEX).split(b" ", 2)[2]) == {"offset": 0, "length": len(m), "mime": "text/html"} and z.read(warc.RECORDS) == m

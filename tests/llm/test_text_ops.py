@@ -1,8 +1,13 @@
 """Toxicity, quality and secret scans."""
 
 import hashlib
+import math
 import random
 import re
+import time
+import unicodedata
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -37,7 +42,75 @@ def test_toxicity_grammar():
     assert kind("The report said that idiot was the word.") == {"reported": 1}
     assert kind("A perfectly fine text.") == {}
     assert kind("kill the process") == {} and kind("") == {} and kind(None) == {}
-    assert kind("idiot. idiot. idiot. idiot. idiot. idiot.")["insult"] == toxicity.MOST
+    assert kind("idiot. idiot. idiot. idiot. idiot. idiot.")["insult"] == 6
+    far = " ".join(f"word{i}" for i in range(400))
+    assert kind(f"she said {far} you are an idiot") == {"reported": 1} and kind(f"{far} you are an idiot {far}") == {"aimed": 1}
+
+
+def plain_counts(text, lexicon):
+    """The grammar word by word, as the docstring has it: no automata and no composition."""
+    out = dict.fromkeys(toxicity.KINDS, 0)
+    weight = dict(zip(toxicity.KINDS, toxicity.PRIOR))
+    for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
+        words = re.findall(r"[^\W_]+(?:'[^\W_]+)?", clause)
+
+        def kind_of(w):
+            if w in toxicity.THREATS:
+                return "h"
+            if w in toxicity.INSULTS or w in lexicon["words"]:
+                return "i"
+            for names, k in ((toxicity.REPORTS, "r"), (toxicity.NEGATIONS, "n"), (toxicity.TARGETS, "t"), (lexicon["weak_words"], "w")):
+                if w in names:
+                    return k
+            return "i" if any(w.startswith(s) for s in lexicon["stems"]) else "w" if any(w.startswith(s) for s in lexicon["weak_stems"]) else "-"
+
+        kinds = [kind_of(w) for w in words]
+        near = lambda k, at: any(kinds[j] == k for j in range(max(0, at - 3), at))
+        plain = lambda at: not near("n", at) and "r" not in kinds[:at]
+        found = []
+        for at, k in enumerate(kinds):
+            if k in "ihw" and not plain(at):
+                found.append("negated" if near("n", at) else "reported")
+            elif k == "w":
+                found.append("hint")
+            elif k == "i":
+                found.append("aimed" if near("t", at) else "insult")
+            elif k == "h" and near("t", at):
+                found.append("threat")
+            elif k == "t":
+                before = [kinds[j] for j in range(max(0, at - 3), at) if plain(j)]
+                found += ["threat"] * ("h" in before) + ["aimed"] * ("i" in before)
+        if found:
+            out[max(found, key=weight.get)] += 1
+    return list(out.values())
+
+
+def test_toxicity_query_by_hand(spark, larger):
+    """op5_toxicity's whole result from a plain reading of the grammar with the same model."""
+    from sievemark.llm.common import documents
+
+    model = toxicity.fit(documents(spark, larger), spark.read.parquet(f"{larger}/labels.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op5_toxicity"](spark, larger).collect()}
+    lexicon = {k: set(v) for k, v in model["lexicon"].items()}
+    for r in documents(spark, larger).select("doc_id", "text").collect():
+        counts = plain_counts(r.text, lexicon)
+        p = 1 / (1 + math.exp(-(model["base"] + sum(w * math.log2(1 + n) for w, n in zip(model["weights"], counts)))))
+        g = got[r.doc_id]
+        assert list(g.matches) == counts and abs(g.score - p) < 1e-9 and g.predicted == (g.score >= 0.7) and g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_transducers_compose():
+    """Words through one machine after the other give what they give through the composed one."""
+    first, second = toxicity.scope(), toxicity.aim()
+    both = toxicity.compose(first, second, toxicity.CLASSES)
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b, ab = first.start, second.start, both.start
+        for c in rng.choices(toxicity.CLASSES, k=12):
+            a, between, _ = first.arcs[a, c]
+            b, out, w = second.arcs[b, between]
+            ab, one, heavy = both.arcs[ab, c]
+            assert (one, heavy) == (out, w)
 
 
 def test_toxicity_weights_order():
@@ -76,6 +149,39 @@ def test_quality_held_out(spark, larger):
     assert good.kept.mean() > 0.95
 
 
+def test_quality_query_by_hand(spark, larger):
+    """op10_quality's whole result from plain sums with the same model."""
+    from sievemark.llm.common import documents
+
+    docs = documents(spark, larger)
+    model = quality.fit(docs, spark.read.parquet(f"{larger}/labels.parquet").select("doc_id", F.col("quality").alias("grade")), grades=2)
+    got = {r.doc_id: r for r in QUERIES["op10_quality"](spark, larger).collect()}
+    weight = lambda name: float(model["weights"][zlib.crc32(name.encode()) % quality.DIMENSIONS])
+    for r in docs.select("doc_id", "text").collect():
+        text = r.text or ""
+        words = re.findall(r"[^\W_]+", text.lower())
+        kinds, lines, n = set(words), [x for x in text.split("\n") if x.strip()], max(1, len(words))
+        letters, chars = sum(map(len, words)), max(1, len(text))
+        counted = lambda marks: sum(c in marks for c in text)
+        stats = {
+            "words": int(math.log2(len(words) + 1)), "distinct": int(20 * len(kinds) / n), "top": int(20 * max(Counter(words).values(), default=0) / n),
+            "lines": int(20 * len(set(lines)) / max(1, len(lines))), "letters": int(20 * letters / chars), "upper": int(20 * sum(unicodedata.category(c) == "Lu" for c in text) / max(1, letters)),
+            "digits": int(20 * counted("0123456789") / chars), "marks": int(20 * counted("!#$%&*@^~|<>{}[]=+\\/_") / chars), "stops": int(40 * counted(".?!") / n),
+            "size": int(letters / n), "repeat": int(20 * sum(a == b for a, b in zip(words, words[1:])) / n),
+        }
+        s = sum(weight(f"s:{k}={v}") for k, v in stats.items()) + sum(weight("w:" + w) for w in kinds) / math.sqrt(max(1, len(kinds)))
+        tail = 1 - 1 / (1 + math.exp(-(float(model["thresholds"][0]) - s)))
+        g = got[r.doc_id]
+        assert abs(g.tail_probability - tail) < 1e-4 and abs(g.expected_grade - tail) < 1e-4 and (g.kept == (tail >= 0.5) or abs(tail - 0.5) < 1e-4)
+
+
+def test_quality_counts_capitals_alike_at_every_length():
+    f = quality.Features()
+    for n in (10, 5000):
+        at, _ = f("ǅ" * n)  # title case is neither upper nor lower
+        assert f.index("s:upper=0") in at
+
+
 def test_ordinal_regression_on_four_grades():
     rng = np.random.default_rng(2)
     true = rng.normal(size=40)
@@ -146,6 +252,56 @@ def test_secrets_on_the_table(spark):
         assert got[r.doc_id].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def plain_spans(text, encoding):
+    """All spans, run by run."""
+    base = plain_base(text)
+    inside = bytearray(len(text))
+    for s, _, e in base:
+        inside[s:e] = b"\1" * (e - s)
+    out = list(base)
+    sparse = lambda x: len(x) / len(encoding.encode_ordinary(x)) < 1.85
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        for k in re.finditer(b"\0+", bytes(inside[m.start() : m.end()])):
+            s, e = m.start() + k.start(), m.start() + k.end()
+            run = text[s:e]
+            if e - s < 20 or (len(run) in (32, 40, 56, 64, 96, 128) and re.fullmatch("[0-9a-f]+", run)) or (len(run) in (32, 40, 64) and re.fullmatch("[0-9A-F]+", run)):
+                continue
+            if re.fullmatch("[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", run):
+                continue
+            parts = [p for p in re.split("[_/=+-]", run) if p]
+            names = all(p.islower() and p.isalpha() or p.isupper() and p.isalpha() or p[1:].islower() and p.isalpha() or len(p) == 1 and p.isalpha() or p.isdigit() and len(p) <= 8 for p in parts)
+            if any(len(p) >= 20 and sparse(p) for p in parts) if names else sparse(run):
+                out.append((s, 3, e))
+    return sorted(out)
+
+
+def test_secret_spans_by_hand(spark):
+    import public_tokenizers
+
+    rng = random.Random(6)
+    some = lambda al, n: "".join(rng.choice(al) for _ in range(n))
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = [f"key {some(low, 40)} and {some(up + low, 32)} and {some(up + low + '0123456789+/', 48)}==" for _ in range(30)]
+    texts += [some(up + low + "0123456789", 30) + "-" + "0a" * 14 + some(up, 24) for _ in range(10)] + ["Donaudampfschifffahrtsgesellschaft and internationalization_of_things"]
+    texts += [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    test = secrets.TokenTest(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = {r.doc_id: r.spans for r in secrets.scan(d, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in plain_spans(t, test.encoding)), t
+    assert all(got[i].count("token") >= 2 for i in range(30)) and sum(got[i].count("token") == 3 for i in range(30)) >= 25 and got[40] == ""
+
+
+def test_secrets_take_time_by_length():
+    import public_tokenizers
+
+    test = secrets.TokenTest(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for t in ("-" * 16 + "ab12cd", "title\n" + "-" * 30 + "ab12cd end", "-" * 1_000_000, "=a" * 100_000, "token=abcdef " * 50_000, "a_1" * 100_000):
+        start = time.time()
+        secrets.spans(t, test)
+        assert time.time() - start < 10
+
+
 def test_secrets_odd(odd, none):
     import public_tokenizers
 
