@@ -15,12 +15,16 @@ avoid writing all pairs of a large group:
    own way. In every block the spanning tree over estimated distances is
    confirmed and the components of confirmed links are found. A large cluster
    shares many keys, so its blocks grow together.
-2. Only where a key still holds several components, the pairs between them
-   whose estimate allows a link are confirmed too. Keys of one block are compared
-   as they are. Members of larger ones (documents that share a passage, say) are
-   keyed anew by the rarest shingles of their sets: two sets with a link share
-   one of those by the prefix principle, so pairs that share only what is common
-   do not meet. Pairs within a component would change nothing.
+2. Of every key that holds several components the node with most links of each
+   meets the others' and so, again, spanning trees are confirmed: a text of which
+   all others are variants gathers those that it had not met.
+3. Only where a key still holds several components, the pairs between them are
+   confirmed within the task that holds the key, nearest first, until the
+   components are one or no pair is left: rows go out for links only, no more than
+   the key has members. Members of keys larger than a block (documents that share
+   a passage, say) are keyed anew by the rarest shingles of their sets: two sets
+   with a link share one of those by the prefix principle, so pairs that share
+   only what is common do not meet. Pairs within a component would change nothing.
 
 So two documents of one component are connected. Of candidate pairs between
 components only those whose estimates are 6 deviations off stay unchecked: of
@@ -199,12 +203,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
-            m = pa.array(keep, pa.bool_())
+            m = pa.array([_linked(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], ["a", "b"])
 
     return table(full.mapInArrow(run, "a long, b long"), "near-links")
@@ -264,10 +263,9 @@ def _distances(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _trees(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct edges (a, b) of the spanning trees of all blocks, over estimated distances."""
+def _trees(cells: DataFrame) -> DataFrame:
+    """Distinct edges (a, b) of the spanning trees of all cells (cell, node, sketch), over estimated distances."""
     most = _most(COARSE)
-    cells = _dealt(members.join(sets.select("node", F.substring("sketch", 1, COARSE).alias("sketch")), "node"), ["sketch"])
 
     def run(batches):
         a, b = [], []
@@ -289,16 +287,38 @@ def _trees(members: DataFrame, sets: DataFrame) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _coarse(sets: DataFrame) -> DataFrame:
+    return sets.select("node", F.substring("sketch", 1, COARSE).alias("sketch"))
+
+
+def _hubs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Of each (key, component) the node with most links, dealt into blocks by key; that of a key's largest component is in each of its blocks."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    held = members.join(ends, "node", "left").groupBy("key", "component").agg(
+        F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("node")).alias("least"))).alias("top"), F.count("*").alias("rows")
+    ).select("key", (-F.col("top.least")).alias("node"), "rows")
+    keys_ = held.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("rows", "node")).alias("largest"))
+    dealt = held.join(keys_.select("key", "size"), "key").select("key", "size", "node")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = dealt.select("key", F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("block"), "node")
+    first = keys_.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("largest.node").alias("node"))
+    return own.unionByName(first).distinct().select(F.xxhash64("key", "block").alias("cell"), "node")
 
 
-def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and whose estimate allows a link."""
+def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, shared_keys: bool) -> DataFrame:
+    """Links (a, b) between different components of a key: as many as connect what can be, found nearest first on full sets.
+
+    With ``shared_keys`` (of the index) a pair is looked at under its first shared key only.
+    """
     coarse, fine = _most(COARSE), _most(FINE)
-    cells = _cells(members.join(sets.select("node", "sketch"), "node"), ["component", "sketch"])
+    rows = members.join(sets.select("node", "sketch", "items"), "node").join(nodes.select("node", "sig"), "node")
+    cells = _cells(rows, ["key", "component", "sig", "sketch", "items"])
 
     def run(batches):
-        for _, second, same, node, component, sketch in _by_cell(batches):
+        for _, second, same, node, key, component, sig, sketch, items in _by_cell(batches):
             n = len(node)
             sk = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, FINE)
             d = _distances(sk[:, :COARSE])
@@ -306,16 +326,46 @@ def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
             if not same.all():  # a cell of two blocks: pairs within one are another cell's
                 ok &= second[:, None] != second[None, :]
             i, j = np.nonzero(np.triu(ok, 1))
+            if not len(i):
+                continue
+            order = np.argsort(d[i, j], kind="stable")
+            i, j = i[order], j[order]
+            of = keys(np.frombuffer(b"".join(sig), "<u2").reshape(n, SYMBOLS)) if shared_keys else None
+            size = np.array([len(x) for x in items])
+            joined = {int(c): int(c) for c in component}
+
+            def root(x):
+                while joined[x] != x:
+                    joined[x] = joined[joined[x]]
+                    x = joined[x]
+                return x
+
+            a, b = [], []
             for at in range(0, len(i), 20_000):
                 x, y = i[at : at + 20_000], j[at : at + 20_000]
-                m = (sk[x] != sk[y]).sum(axis=1) <= fine
-                x, y = node[x[m]], node[y[m]]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                m = ((sk[x] != sk[y]).sum(axis=1) <= fine) & (100 * np.minimum(size[x], size[y]) >= SIMILARITY * np.maximum(size[x], size[y]))
+                x, y = x[m], y[m]
+                if of is not None and len(x):
+                    m = of[x, (of[x] == of[y]).argmax(axis=1)] == key[0]
+                    x, y = x[m], y[m]
+                for p, q in zip(x.tolist(), y.tolist()):
+                    r, t = root(int(component[p])), root(int(component[q]))
+                    if r != t and _linked(items[p], items[q]):
+                        joined[max(r, t)] = min(r, t)
+                        a.append(int(min(node[p], node[q])))
+                        b.append(int(max(node[p], node[q])))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
+def _linked(x: bytes, y: bytes) -> bool:
+    """Whether two sets are similar enough."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= SIMILARITY * (len(x) + len(y) - both)
+
+
 def _rare(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Members (key, node, component, size) of the groups of ``nodes`` (node, component) by each of the rarest shingles of
     their sets, as many as make two sets with a link share one; groups of one component are left out."""
@@ -371,17 +421,15 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     wanted = members.select("node").unionByName(twos.select(F.col("a").alias("node"))).unionByName(twos.select(F.col("b").alias("node"))).distinct()
     sets = _sets(docs, id_col, text_col, table(nodes.select("node", "fp", "rep").join(wanted, "node"), "near-wanted"))
 
-    tried = table(twos.unionByName(_trees(members, sets)).distinct(), "near-pairs")
+    tried = table(twos.unionByName(_trees(_dealt(members.join(_coarse(sets), "node"), ["sketch"]))).distinct(), "near-pairs")
     links = _confirm(tried, sets)
-    found = components(links)
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = table(placed.join(mixed, "key", "left_semi"), "near-open")
+    open_ = _open(members, links)
+    hubs = _hubs(open_, links).join(_coarse(sets), "node").select("cell", "node", "sketch").repartition("cell").sortWithinPartitions("cell", "node")
+    links = table(links.unionByName(_confirm(_trees(hubs).join(tried, ["a", "b"], "left_anti"), sets)), "near-links")
+    open_ = _open(open_.drop("component"), links)
     few = open_.where(F.col("size") <= BLOCK)
     many = open_.where(F.col("size") > BLOCK).select("node", "component").distinct()
-    across = _across(few, sets).unionByName(_across(_rare(many, sets), sets)).distinct().join(tried, ["a", "b"], "left_anti")
-    links = table(links.unionByName(_confirm(across, sets)), "near-all-links")
-    drop(found)
+    links = table(links.unionByName(_across(few, nodes, sets, True)).unionByName(_across(_rare(many, sets), nodes, sets, False)), "near-all-links")
     found = components(links)
 
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -391,6 +439,13 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     return signed, out
 
 
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of keys that hold several components of ``links``, with their ``component``."""
+    placed = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    return table(placed.join(mixed, "key", "left_semi"), "near-open")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept, ``n_links`` (confirmed links of its set), ``class_size`` (rows with an equal set)."""
     signed, placed = _placed(docs, id_col, text_col)
