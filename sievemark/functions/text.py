@@ -68,16 +68,22 @@ def either(phrases: list[str] | tuple[str, ...]) -> str:
 
 
 def phrase_count(text: str | Column, phrases, words: bool = False) -> Column:
-    """Occurrences of each phrase, summed; phrases may overlap one another."""
-    low = F.lower(_col(text))
-    out = F.lit(0).cast("bigint")
-    for p in phrases:
-        if words:  # the plain search spares most texts the pattern
-            n = F.when(low.contains(p), count(low, rf"\b{re.escape(p)}\b")).otherwise(F.lit(0).cast("bigint"))
+    """Occurrences of each phrase, summed; phrases may overlap one another. The text is lower-cased once."""
+
+    def one(low: Column, p: str) -> Column:
+        if words:
+            n = count(low, rf"\b{re.escape(p)}\b")
         else:
             n = ((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("bigint")
-        out = out + n
-    return out
+        return F.when(low.contains(p), n).otherwise(F.lit(0).cast("bigint"))  # the plain search spares most texts the rest
+
+    def total(low: Column) -> Column:
+        out = F.lit(0).cast("bigint")
+        for p in phrases:
+            out = out + one(low, p)
+        return out
+
+    return let(F.lower(_col(text)), total)
 
 
 def d_phrase_count(text: str, phrases, words: bool = False) -> str:

@@ -22,8 +22,19 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Tables of long texts, where the work is in the rows.
+TEXTS = ("documents", "pages")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(d) if name in TEXTS else d
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small file over all cores; a table that already has a partition for each is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 #: ``now`` of the queries over orders and over events.

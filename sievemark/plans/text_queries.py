@@ -9,6 +9,7 @@ from ..functions.text import D_SPACE, d_count, d_found, d_normalise, d_swap, duc
 from ..operators import redaction as rd
 from ..operators import sections as se
 from ..operators import similarity as si
+from ..sources.work import settled
 from .registry import query, read
 
 
@@ -169,6 +170,7 @@ def simhash_values(spark, sf_dir):
 def lsh_candidate_pairs(spark, sf_dir):
     d = _documents(spark, sf_dir)
     fp = d.select("doc_id", si.minhash(F.coalesce("text", F.lit(""))).alias("minhash")).select("doc_id", si.buckets("minhash").alias("buckets"))
+    fp = settled(fp)
     return si.candidates(_asked(fp), fp)
 
 
@@ -184,7 +186,7 @@ _SIMILAR = f"""
 
 @query(_SIMILAR)
 def near_duplicates_topk(spark, sf_dir):
-    fp = si.fingerprints(_documents(spark, sf_dir))
+    fp = settled(si.fingerprints(_documents(spark, sf_dir)))  # signatures are needed on both sides, for buckets and for scores
     return si.similar(_asked(fp), fp)
 
 
