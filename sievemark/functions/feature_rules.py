@@ -297,3 +297,17 @@ ENGINES = (
         "action": "CASE WHEN composite >= 65 THEN 'PRIORITIZE' WHEN composite >= 55 THEN 'MANUAL_REVIEW' WHEN composite >= 40 THEN 'STANDARD_TRIAGE' WHEN composite >= 25 AND strong_evidence >= 3 THEN 'MANUAL_REVIEW' WHEN composite >= 25 THEN 'CHALLENGE_REPORTER' ELSE 'AUTO_CLOSE' END",
     },
 )
+
+#: What fabricated evidence takes off a composite: its total weight from which, and points; signals that only add to others.
+FABRICATION = ((30, -25), (20, -15), (12, -10))
+CORROBORATING = ("incomplete_asan", "fabricated_pid")
+
+
+def _assessed(stage: dict[str, str]) -> list[dict[str, str]]:
+    if "substance" in stage:
+        return [{"substance_plain": stage["substance"]}, {"substance": f"CASE WHEN gold_bonus > 0 THEN least(95, {whole(clamp('substance_plain + gold_bonus'))}) ELSE substance_plain END"}]
+    return [{"override": stage["override"] + " + fabrication"}] if "override" in stage else [stage]
+
+
+#: The engines with the bonus of payload signals (``gold_bonus``) and the points of fabricated evidence (``fabrication``).
+ASSESSED = tuple(s for stage in ENGINES for s in _assessed(stage))

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import claim_rules as R
+from ..functions.feature_rules import ASSESSED, CORROBORATING, FABRICATION
 from ..functions.text import count, every, found, java, js_round, let
 from . import detectors as de
+from .features import derive, extract, signals
 from .sections import strip
 
 
@@ -133,7 +135,7 @@ def gold_signals(df: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text_col), F.lit(""))
     first = lambda rule: F.regexp_extract(t, java(*rule), 1)
     concrete = lambda x, n: (F.length(x) >= n) & ~x.rlike(java(R.TOKEN_PLACEHOLDER, "i"))
-    around = F.regexp_extract(t, java(rf"[\s\S]{{0,40}}?(?:{R.CRYPTO[0]})[\s\S]{{0,40}}", "i"), 0)
+    around = F.when(found(t, *R.CRYPTO), F.regexp_extract(t, java(rf"[\s\S]{{0,40}}?(?:{R.CRYPTO[0]})[\s\S]{{0,40}}", "i"), 0)).otherwise("")  # the window only where there is something
     uri = first(R.XXE)
     tests = {
         "auth_token": found(t, *R.JWT) | let(first(R.BEARER), lambda x: concrete(x, 16)) | let(first(R.COOKIE), lambda x: concrete(x, 12)),
@@ -145,3 +147,13 @@ def gold_signals(df: DataFrame, text_col: str = "text") -> DataFrame:
     d = df.withColumn("gold", F.array_compact(F.array(*[F.when(tests[n], F.lit(n)) for n in R.GOLD])))
     points = F.aggregate("gold", F.lit(0), lambda a, n: a + F.element_at(F.create_map(*[x for k, v in R.GOLD.items() for x in (F.lit(k), F.lit(v))]), n))
     return d.withColumn("gold_bonus", F.least(F.lit(R.GOLD_MOST), points).cast("bigint"))
+
+
+def assess(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """A text from features to tier and action: evidence, engines, bonus of payloads, points off for fabricated evidence, composite, label, action."""
+    d = gold_signals(hallucination(signals(extract(df, text_col)), text_col), text_col)
+    primary = F.exists("signals", lambda s: ~s["type"].isin(*CORROBORATING))
+    points = F.lit(0)
+    for least, take in reversed(FABRICATION):
+        points = F.when(F.col("signal_weight") >= least, take).otherwise(points)
+    return derive(d.withColumn("fabrication", F.when(primary, points).otherwise(0)), ASSESSED)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import claim_rules as R
 from ..functions import detector_rules as D
-from ..functions.feature_rules import sql
+from ..functions.feature_rules import ASSESSED, CORROBORATING, FABRICATION, sql
 from ..functions.text import D_SPACE, d_count, d_found, duck
 from ..operators import claims as cl
-from .registry import query, read
+from . import feature_queries as fq
+from .registry import SQL, query, read
 
 _YEAR = 2026
 _FRAMES = "\n".join(f"#{k} 0x00007f001234{k}000 in parse_input" for k in range(4))
@@ -160,3 +161,28 @@ _AROUND = f"regexp_extract(t, {duck(r'[\s\S]{0,40}?(?:' + R.CRYPTO[0] + r')[\s\S
 def gold_signals(spark, sf_dir):
     d = cl.gold_signals(_marked(spark, sf_dir))
     return d.select("doc_id", F.array_join("gold", ",").alias("gold"), "gold_bonus")
+
+
+_BASE, _GOLD_SQL = f"f0 AS (SELECT doc_id, t FROM {_T})", SQL["gold_signals"].split("WITH ", 1)[1].split("SELECT doc_id, concat_ws", 1)[0].replace("a AS (", "ga AS (", 1).replace(", b AS (", ", gb AS (").replace("FROM a)", "FROM ga)")
+_TIERS = "CASE " + " ".join(f"WHEN {_SUM} >= {least} THEN {take}" for least, take in FABRICATION) + " ELSE 0 END"
+_PRIMARY = " + ".join(f"w{k}" for k, (n, _) in enumerate(R.SIGNALS) if n not in CORROBORATING)
+_START = f"""h AS (SELECT doc_id, CASE WHEN {_PRIMARY} > 0 THEN {_TIERS} ELSE 0 END AS fabrication FROM c),
+    gg AS (SELECT doc_id, CAST(least({R.GOLD_MOST}, {" + ".join(f"CASE WHEN {n} THEN {v} ELSE 0 END" for n, v in R.GOLD.items())}) AS BIGINT) AS gold_bonus FROM gb),
+    r AS (SELECT z.*, {fq._STRENGTH} AS evidence_strength, CAST({fq._STRONG} AS BIGINT) AS strong_evidence, h.fabrication, gg.gold_bonus FROM {fq._D} z JOIN h USING (doc_id) JOIN gg USING (doc_id))"""
+_STAGES, _LAST = fq._stages("r", ASSESSED)
+_OUT = ("composite", "slop", "label", "substance_verdict", "action", "fabrication", "gold_bonus")
+_ASSESSED = f"WITH {fq._FEATURES.replace(fq._BASE, _BASE)}, {fq._DERIVED}, {_HAL}, {_GOLD_SQL}, {_START}, {_STAGES}"
+
+
+def _whole(x: str) -> bool:
+    return x in ("composite", "slop", "fabrication", "gold_bonus")
+
+
+@query(f"{_ASSESSED} SELECT doc_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' if _whole(c) else c for c in _OUT)} FROM {_LAST}")
+def assessed_reports(spark, sf_dir):
+    return cl.assess(_marked(spark, sf_dir)).select("doc_id", *[F.col(c).cast("bigint").alias(c) if _whole(c) else F.col(c) for c in _OUT])
+
+
+@query(f"{_ASSESSED} SELECT label, action, count(*) AS documents, CAST(sum(fabrication) AS BIGINT) AS points_off FROM {_LAST} GROUP BY 1, 2")
+def assessed_summary(spark, sf_dir):
+    return cl.assess(_marked(spark, sf_dir)).groupBy("label", "action").agg(F.count("*").alias("documents"), F.sum("fabrication").cast("bigint").alias("points_off"))

@@ -32,8 +32,9 @@ def _stages(start: str, stages) -> str:
 
 _BODY, _LANG = r"```[A-Za-z0-9_+\-]*\n([\s\S]*?)```", r"```([A-Za-z0-9_+\-]*)\n[\s\S]*?```"
 _BALANCE = f"CASE WHEN length(b) < 5 THEN 0.5e0 ELSE (1 - least(1e0, abs(len(regexp_extract_all(b, '[(\\[{{]')) - len(regexp_extract_all(b, '[)\\]}}]'))) / greatest(len(regexp_extract_all(b, '[(\\[{{]')), len(regexp_extract_all(b, '[)\\]}}]')), 1))) * 0.7e0 + CASE WHEN {d_found('b', R.CODE_SHAPE)} THEN 0.3e0 ELSE 0e0 END END"
+_BASE = "f0 AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
 _FEATURES = f"""
-    f0 AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    {_BASE},
     f1 AS MATERIALIZED (SELECT *, {", ".join(f"{d_count('t', p, f)} AS {n}" for n, (p, f) in R.COUNTS.items())}, {", ".join(f"{d_found('t', p, f)} AS {n}" for n, (p, f) in R.FLAGS.items())},
         {", ".join(f"{d_phrase_count('t', ps, n in R.WHOLE_WORDS)} AS {n}" for n, ps in R.PHRASES.items())},
         list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_STRIP('s')}), lambda s: length(s) > 0) AS sents,
