@@ -45,21 +45,33 @@ NAMED_CLASS = r"(?:cross-site\s+scripting|xss|sql\s+injection|sqli|buffer\s+over
 RESEARCHER = r"(?:reported|discovered|found|credited)\s+(?:by|to)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?"
 TEMPLATED = r"(?:dear\s+(?:security|sir|team)|i\s+(?:hope|would like)|best\s+regards|sincerely)"
 
+_LOW = "claim_specificity < 10 AND evidence_quality < 10"
+
+
+def validity(verified: str) -> str:
+    """Validity, given what a verification counts."""
+    return f"CAST(floor(0.25 * evidence_quality + 0.2 * CASE WHEN {_LOW} THEN least(hallucination, 40) ELSE hallucination END + 0.2 * claim_specificity + 0.15 * CASE WHEN {_LOW} THEN least(consistency, 40) ELSE consistency END + 0.1 * (100 - factual) + 0.1 * CASE WHEN verification IS NULL THEN 50.0 ELSE {verified} END + 0.5) AS BIGINT)"
+
+
+def confidence(verified: str) -> str:
+    """Confidence, given what a verification adds."""
+    return f"floor(least(1.0, 0.3 + 0.07 * strong_markers + 0.03 * human_signs + {verified}) * 0.85 * CASE WHEN markers + human_signs < 3 THEN 0.7 ELSE 1.0 END * 100.0 + 0.5) / 100.0"
+
+
 #: Fusion of the axes into one score, stage by stage (columns: lexical, statistical, template, spectral, human_reduction, evidence_quality, hallucination,
 #: claim_specificity, consistency, factual, verified, verification, hallucinated_function, fabricated_cve, future_cve, fake_trace, strong_markers, markers, human_signs).
-_LOW = "claim_specificity < 10 AND evidence_quality < 10"
 FUSION = (
     {"linguistic": "CAST(floor(0.6 * lexical + 0.4 * statistical + 0.5) AS BIGINT)"},
     {
         "authenticity": "CAST(least(100.0, greatest(0.0, floor(greatest(0.0, 0.4 * linguistic + 0.35 * template + 0.25 * spectral + CASE WHEN linguistic > 40 AND template > 50 THEN least(15.0, 0.3 * (linguistic - 40) + 0.1 * (template - 50)) ELSE 0.0 END + human_reduction) + 0.5))) AS BIGINT)",
-        "validity": f"CAST(floor(0.25 * evidence_quality + 0.2 * CASE WHEN {_LOW} THEN least(hallucination, 40) ELSE hallucination END + 0.2 * claim_specificity + 0.15 * CASE WHEN {_LOW} THEN least(consistency, 40) ELSE consistency END + 0.1 * (100 - factual) + 0.1 * CASE WHEN verification IS NULL THEN 50.0 ELSE least(100.0, 20.0 * verified + 0.5 * (100 - verification)) END + 0.5) AS BIGINT)",
+        "validity": validity("least(100.0, 20.0 * verified + 0.5 * (100 - verification))"),
         "substance_axis": "CAST(least(100, CASE WHEN hallucinated_function THEN 35 ELSE 0 END + CASE WHEN fabricated_cve THEN 28 ELSE 0 END + CASE WHEN future_cve THEN 25 ELSE 0 END + CASE WHEN fake_trace THEN 20 ELSE 0 END) AS BIGINT)",
     },
     {
         "style_driven": "CAST(floor(0.65 * authenticity + 0.35 * (100 - validity) + 0.5) AS BIGINT)",
         "substance_driven": "CAST(floor(0.85 * substance_axis + 0.15 * (100 - validity) + 0.5) AS BIGINT)",
         "quadrant": "CASE WHEN authenticity >= 50 AND validity < 50 THEN 'AI_SLOP' WHEN authenticity >= 50 THEN 'AI_ASSISTED' WHEN validity < 50 THEN 'WEAK_HUMAN' ELSE 'STRONG_HUMAN' END",
-        "confidence": "floor(least(1.0, 0.3 + 0.07 * strong_markers + 0.03 * human_signs + CASE WHEN verification IS NULL THEN 0.0 ELSE 0.1 END) * 0.85 * CASE WHEN markers + human_signs < 3 THEN 0.7 ELSE 1.0 END * 100.0 + 0.5) / 100.0",
+        "confidence": confidence("CASE WHEN verification IS NULL THEN 0.0 ELSE 0.1 END"),
     },
     {"slop_score": "CAST(least(100, greatest(CASE WHEN verified > 0 THEN 5 ELSE 0 END, greatest(style_driven, substance_driven) - 3 * verified)) AS BIGINT)"},
     {

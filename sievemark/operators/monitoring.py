@@ -202,3 +202,30 @@ def first_match_stats(df: DataFrame, id_col: str, values: str, score: str) -> Da
     """Per value: rows whose first array element it is, and their mean score."""
     first = df.where(F.size(values) > 0).select(id_col, F.element_at(values, 1).alias("value"), score)
     return first.groupBy("value").agg(F.count("*").alias("reports"), _one(F.avg(score)).alias("avg_score"))
+
+
+def scheduler_health(df: DataFrame, now: Column, grace: float) -> DataFrame:
+    """``stalled`` and ``overdue`` of schedulers (started, next_tick, interval_s, retry_s; seconds).
+
+    Stalled: two intervals past the next tick. Overdue: past it by the retry interval
+    (none: 0) and ``grace``. One that has not started, or has no next tick, is neither.
+    """
+    late = seconds(now) - seconds("next_tick")
+    on = lambda test: F.coalesce(F.col("started") & test, F.lit(False))
+    return df.withColumn("stalled", on(late > 2 * F.col("interval_s"))).withColumn("overdue", on(late > F.coalesce("retry_s", F.lit(0)) + grace))
+
+
+#: Note of a trace that no report caused. Fixed value.
+HEARTBEAT = "synthetic_heartbeat"
+
+
+def heartbeats(replicas: DataFrame, first: Column, last: Column, every: str = "5 minutes") -> DataFrame:
+    """Synthetic traces of each replica at regular times: (replica, created_at, report_id null, notes)."""
+    at = F.explode(F.sequence(first, last, F.expr(f"INTERVAL {every}")))
+    return replicas.select("replica", at.alias("created_at"), F.lit(None).cast("bigint").alias("report_id"), F.array(F.lit(HEARTBEAT)).alias("notes"))
+
+
+def prune_heartbeats(traces: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Traces without synthetic ones older than ``days``: a trace goes only if it is old, has no report and bears the note."""
+    old = F.col("created_at") < now - F.expr(f"INTERVAL {days} DAYS")
+    return traces.where(~F.coalesce(old & F.col("report_id").isNull() & F.array_contains("notes", HEARTBEAT), F.lit(False)))

@@ -71,3 +71,32 @@ def publication_signals(df: DataFrame, published: DataFrame, key: str, ts: str,
 def scrub(df: DataFrame, public: Sequence[str]) -> DataFrame:
     """Only the columns that may be shown, of those that are there."""
     return df.select(*[c for c in public if c in df.columns])
+
+
+def containing(df: DataFrame, column: str, values: Sequence) -> DataFrame:
+    """Rows whose array has all the values; an array in JSON text is parsed. No value at all: every row with an array. A null array contains nothing."""
+    a = F.from_json(column, "array<string>") if df.schema[column].dataType.simpleString() == "string" else F.col(column)
+    test = a.isNotNull()
+    for v in values:
+        test = test & F.array_contains(a, F.lit(v))
+    return df.where(F.coalesce(test, F.lit(False)))
+
+
+def with_type(df: DataFrame, entries: str, prefix: str) -> DataFrame:
+    """Rows with an entry (a struct with ``type``) whose type starts with ``prefix``, every character of it taken as it is."""
+    return df.where(F.coalesce(F.exists(entries, lambda e: F.coalesce(e["type"].startswith(prefix), F.lit(False))), F.lit(False)))
+
+
+def paged(df: DataFrame, id_col: str, size: int = 50_000) -> DataFrame:
+    """Every row's page and place in it (from 1), in the order of integer ids without repeats.
+
+    Rows are numbered within slots of ``size`` ids, so no group has more than
+    ``size`` rows; what runs over all is only the count of each slot.
+    """
+    slot = F.floor(F.col(id_col) / size).cast("bigint")
+    counts = df.groupBy(slot.alias("__slot")).agg(F.count("*").alias("__n"))
+    w = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__slot", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    ranked = df.withColumn("__slot", slot).join(before, "__slot")
+    at = F.col("__before") + F.row_number().over(Window.partitionBy("__slot").orderBy(id_col)) - 1
+    return ranked.withColumn("page", F.floor(at / size).cast("bigint") + 1).withColumn("place", (at % size).cast("bigint") + 1).drop("__slot", "__before")

@@ -146,6 +146,16 @@ def exact_lookup(df: DataFrame, hashes: DataFrame, text_col: str = "text") -> Da
     return keyed.join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
 
 
+def public_match(df: DataFrame, stored: DataFrame, public: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row the smallest id of the stored rows with the same text that are public, itself among them: (id, match). Rows without one are left out.
+
+    Stored rows are one row per hash before they meet the others, so copies without number make no join rows.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("content_hash")
+    held = stored.where(public).select(F.col(id_col).alias("match"), digest).groupBy("content_hash").agg(F.min("match").alias("match"))
+    return df.select(id_col, digest).join(held, "content_hash").select(id_col, "match")
+
+
 #: What a template hash leaves open, in this order. Fixed values.
 TEMPLATE = (
     (r"CVE-\d{4}-\d{4,}", "i", "{{CVE}}"),
