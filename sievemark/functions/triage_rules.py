@@ -76,3 +76,67 @@ WITHOUT_MODEL = (
     {"slop_score": "CAST(least(100, greatest(0, greatest(style_driven, substance_driven))) AS BIGINT)"},
     _TIERED,
 )
+
+#: What says that a model wrote a text: name, pattern (over text with white space folded), flags. Any of them costs the same.
+DISCLOSURE = (
+    ("prepared_using_ai", r"\bprepared\s+(?:using|with)\s+(?:an?\s+)?(?:ai|artificial intelligence|llm)\b", "i"),
+    ("generated_with_ai", r"\b(?:generated|produced|written|drafted|authored|composed|created|compiled)\s+(?:by|with|using|via)\s+(?:the\s+(?:help|assistance)\s+of\s+)?(?:an?\s+)?(?:ai|artificial intelligence|llm|chatgpt|claude|copilot|gemini|bard|gpt-?\d?)\b", "i"),
+    ("with_ai_help", r"\bwith\s+(?:the\s+)?(?:help|assistance)\s+(?:of|from)\s+(?:an?\s+)?(?:ai|artificial intelligence|llm|chatgpt|claude|copilot|gemini|bard)\b", "i"),
+    ("this_report_ai", r"\bthis\s+(?:report|analysis|writeup|write[-\s]?up|submission)\s+(?:was|is|has\s+been)\s+(?:assisted|generated|written|drafted|authored|prepared|created|produced)\s+(?:by|with|using)\b[^.]{0,80}\b(?:ai|artificial intelligence|llm|chatgpt|claude|copilot|gemini|bard|gpt-?\d?)\b", "i"),
+    ("ai_generated_adjective", r"\bai[-\s](?:generated|written|drafted|authored|assisted|produced|composed)\b", "i"),
+    ("named_llm_assisted", r"\b(?:chatgpt|claude|copilot|gemini|bard|gpt-?\d?)[-\s](?:assisted|generated|written|drafted|authored|produced)\b", "i"),
+    ("used_llm_to_draft", r"\b(?:i|we)\s+(?:used|asked|leveraged|relied\s+on)\s+(?:chatgpt|claude|copilot|gemini|bard|gpt-?\d?|an?\s+(?:ai|llm))\b[^.]{0,80}\b(?:draft|write|generate|prepare|produce|author|compose|create|summarize|analy[sz]e)\b", "i"),
+)
+DISCLOSURE_PENALTY = 15
+
+#: What a text of a family says of its impact and of its reproduction (both case-insensitive); points off without.
+NO_IMPACT, NO_REPRO = 6, 8
+FAMILIES = {
+    "MEMORY_CORRUPTION": (
+        r"\b(?:memory\s+corruption|crash|denial\s+of\s+service|remote\s+code\s+execution|info\s*leak|read\s+out[-\s]of[-\s]bounds|arbitrary\s+(?:read|write))\b",
+        r"\b(?:asan|sanitizer|valgrind|coredump|gdb|lldb|sigsegv|backtrace|stack\s+trace|crash)\b",
+    ),
+    "INJECTION": (
+        r"\b(?:data\s+(?:exfil|exposure)|database\s+access|command\s+execution|rce\b|file\s+(?:read|write)|account\s+takeover)\b",
+        r"\b(?:payload|curl\s|wget\s|http\s+request|sleep\(|union\s+select|;\s*(?:cat|ls|id)|burp\s+suite|sqlmap)\b",
+    ),
+    "WEB_CLIENT": (
+        r"\b(?:cookie\s+theft|session\s+hijack|account\s+takeover|csrf\b|phishing|ui\s+redress|user\s+interaction|stored\s+xss|reflected\s+xss)\b",
+        r"\b(?:browser|chrome|firefox|safari|<script|javascript:|alert\(|burp\s+suite|fetch\(|xhr\b)\b",
+    ),
+    "AUTHN_AUTHZ": (
+        r"\b(?:account\s+takeover|privilege\s+escalation|access\s+(?:another|other)\s+user|authorization\s+bypass|authentication\s+bypass|read\s+other\s+user)\b",
+        r"\b(?:account\s+a|account\s+b|user\s+a|user\s+b|alice|bob|two\s+(?:accounts?|sessions?|users?)|swap\s+token)\b",
+    ),
+    "CRYPTO": (
+        r"\b(?:plaintext\s+recovery|key\s+recovery|forge|forgery|signature\s+bypass|downgrade|collision|weak\s+random)\b",
+        r"\b(?:test\s+vector|kat|known\s+answer|nonce|iv|encryption\s+key|hash\s+output|sage|python.*hashlib|openssl\s+(?:enc|dgst))\b",
+    ),
+    "DESERIALIZATION": (
+        r"\b(?:remote\s+code\s+execution|rce\b|gadget|arbitrary\s+command|reverse\s+shell)\b",
+        r"\b(?:ysoserial|marshalsec|pickle\.loads?|yaml\.load|payload\.bin|gadget\s+chain)\b",
+    ),
+    "RACE_CONCURRENCY": (
+        r"\b(?:double[-\s]*spend|double[-\s]*write|inconsistent\s+state|atomicity|race\s+window)\b",
+        r"\b(?:two\s+threads|interleav|race\s+window|repeat\s+\d+\s+times|loop\s+\d+|tsan|helgrind)\b",
+    ),
+    "REQUEST_SMUGGLING": (
+        r"\b(?:cache\s+poisoning|request\s+hijack|auth\s+bypass|session\s+hijack|backend\s+confusion)\b",
+        r"\b(?:raw\s+http|content-length|transfer-encoding|\bcrlf\b|burp\s+suite|smuggler)\b",
+    ),
+}
+CVSS_VECTOR = (r"CVSS:?\s*3\.\d/?([A-Z:/]+)", "i")
+#: The base score is looked for farther away where there is a vector.
+CVSS_SCORE, CVSS_SCORE_FAR = (r"cvss[^0-9]{0,8}(10(?:\.0)?|[0-9](?:\.\d)?)", "i"), (r"cvss[^0-9]{0,12}(10(?:\.0)?|[0-9](?:\.\d)?)", "i")
+XSS_WORDS, POWER_WORDS, HEDGED = (r"xss|reflected|stored|dom\b", "i"), (r"privilege|admin|elevated", "i"), (r"\b(?:theoretical|could\s+(?:potentially|possibly)|might\s+(?:be|allow))\b", "i")
+CVSS_PENALTY, PR_PENALTY, HEDGED_PENALTY, CRITICAL = 5, 4, 6, 9.0
+
+#: Commands and answers that are shown as proof; by definition the first ten and the first five count.
+POC_COMMAND, POC_COMMANDS = (r"(?:curl|wget|python|ruby|perl)\s+[^\n]{10,}", "i"), 10
+POC_RESPONSE, POC_RESPONSES = (r"HTTP/[\d.]+\s+\d{3}[\s\S]*?(?:\n\n|\r\n\r\n|\z)", ""), 5
+TEXTBOOK = (
+    r"alert\s*\(\s*['\"]?(?:1|xss|document\.cookie)['\"]?\s*\)", r"(?:'\s*(?:or|and)\s+['\"]?1['\"]?\s*=\s*['\"]?1|or\s+1\s*=\s*1|union\s+select)", r"(?:/etc/passwd|/etc/shadow|/proc/self)",
+    r"(?:169\.254\.169\.254|metadata\.google|100\.100\.100\.200)", r"(?:<script>alert\(|<img\s+src=x\s+onerror=)", r"(?:\$\{jndi:|%24%7Bjndi)", r"(?:nc\s+-(?:e|lvp)|/bin/(?:sh|bash)\s+-i)",
+)
+HEADER, REAL_HEADER = (r"^[a-zA-Z][\w-]*:\s", "m"), (r"^(?:date|server|content-length):\s", "im")
+POC_WEIGHTS = {"poc_placeholder_textbook": 12, "poc_fabricated_response": 10}

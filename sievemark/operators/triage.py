@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import triage_rules as R
-from ..functions.text import found, let
+from ..functions.claim_rules import PLACEHOLDER_DOMAINS
+from ..functions.text import count, every, found, java, let
 from .features import derive
 
 
@@ -63,3 +64,51 @@ def fabricated_flags(results: Column) -> Column:
         return F.struct(true(own["rawHttp"]["isFake"]).alias("fake_raw_http"), true(own["crashTrace"]["isStripped"]).alias("stripped_crash_trace"))
 
     return let(F.from_json(results, _RESULTS)["engines"], flags)
+
+
+def disclosures(text: Column, rules=R.DISCLOSURE) -> Column:
+    """Names of the rules (name, pattern, flags; further ones may be added) by which a text says that a model wrote it."""
+    return let(F.regexp_replace(text, r"(?U)\s+", " "), lambda t: F.array_compact(F.array(*[F.when(found(t, p, f), F.lit(n)) for n, p, f in rules])))
+
+
+def disclosure_penalty(names: Column) -> Column:
+    return F.when(F.size(names) > 0, R.DISCLOSURE_PENALTY).otherwise(0).cast("bigint")
+
+
+def coherence_issues(text: Column, family: Column) -> Column:
+    """Array of (id, penalty): what a text of a family lacks, and what its CVSS contradicts. None for FLAT; of an unknown family only the score's language is looked at."""
+
+    def issues(x: Column) -> Column:
+        t, fam, vector = x["t"], x["family"], x["vector"]
+        base = F.when(vector == "", F.regexp_extract(t, java(*R.CVSS_SCORE), 1)).otherwise(F.regexp_extract(t, java(*R.CVSS_SCORE_FAR), 1))
+        field = lambda k: F.coalesce(F.try_element_at(F.transform(F.filter(F.split(vector, "/"), lambda p: p.rlike(f"^{k}:[^:]")), lambda p: F.split(p, ":")[1]), F.lit(-1)), F.lit(""))
+        lacks = lambda k: F.coalesce(sum((F.when((fam == n) & ~found(t, ps[k], "i"), 1).otherwise(0) for n, ps in R.FAMILIES.items()), F.lit(0)) > 0, F.lit(False))
+        odd = F.when((fam == "WEB_CLIENT") & (field("UI") == "N") & found(t, *R.XSS_WORDS), R.CVSS_PENALTY).when((fam == "MEMORY_CORRUPTION") & ~field("AV").isin("", "N", "L"), R.CVSS_PENALTY).when(
+            (fam == "AUTHN_AUTHZ") & (field("PR") == "N") & found(t, *R.POWER_WORDS), R.PR_PENALTY)
+        hedged = (F.when(base == "", None).otherwise(base).cast("double") >= R.CRITICAL) & found(t, *R.HEDGED)
+        one = lambda name, points: F.when(points.isNotNull(), F.struct(F.lit(name).alias("id"), points.cast("bigint").alias("penalty")))
+        found_ = F.array(
+            one("FAMILY_VS_IMPACT", F.when(lacks(0), R.NO_IMPACT)), one("FAMILY_VS_REPRO", F.when(lacks(1), R.NO_REPRO)), one("CVSS_VS_FAMILY", odd), one("CVSS_VS_LANGUAGE", F.when(hedged, R.HEDGED_PENALTY)),
+        )
+        return F.when(F.coalesce(fam, F.lit("")) == "FLAT", F.array().cast("array<struct<id: string, penalty: bigint>>")).otherwise(F.array_compact(found_))
+
+    return let(F.struct(text.alias("t"), family.alias("family"), F.regexp_extract(text, java(*R.CVSS_VECTOR), 1).alias("vector")), issues)
+
+
+def poc_checks(text: Column) -> Column:
+    """Array of (type, weight) for :func:`verification`: commands with a textbook payload against a placeholder host, and answers without headers."""
+    hosts = [h for h in PLACEHOLDER_DOMAINS if h.endswith((".com", ".org", ".net"))]
+
+    def staged(c: Column) -> Column:
+        host, payload = F.lit(False), F.lit(False)
+        for h in hosts:
+            host = host | F.lower(c).contains(h)
+        for p in R.TEXTBOOK:
+            payload = payload | found(c, p, "i")
+        return host & payload
+
+    first = lambda rule, n: F.slice(every(text, *rule), F.lit(1), F.lit(n))
+    check = lambda kind: lambda _: F.struct(F.lit(kind).alias("type"), F.lit(R.POC_WEIGHTS[kind]).cast("bigint").alias("weight"))
+    commands = F.filter(first(R.POC_COMMAND, R.POC_COMMANDS), staged)
+    answers = F.filter(first(R.POC_RESPONSE, R.POC_RESPONSES), lambda b: (count(b, *R.HEADER) < 2) & ~found(b, *R.REAL_HEADER))
+    return F.concat(F.transform(commands, check("poc_placeholder_textbook")), F.transform(answers, check("poc_fabricated_response")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import triage_rules as R
+from ..functions.claim_rules import PLACEHOLDER_DOMAINS
 from ..functions.feature_rules import sql
-from ..functions.text import d_found
+from ..functions.text import D_SPACE, d_count, d_found, duck
 from ..operators import monitoring as mo
 from ..operators import relational as rl
 from ..operators import similarity as si
@@ -33,6 +34,69 @@ def vuln_classes(spark, sf_dir):
     return d.select("doc_id", tr.vuln_class(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
+CLAIMS = (
+    "Prepared using an AI\nsecurity assistant, and written with the help of ChatGPT.", "This report was generated with a tool of an LLM. AI-generated, Claude-assisted.", "We asked an AI to draft it, with assistance from Gemini.",
+    "Our AI product is not a disclosure.", "CVSS:3.1/AV:P/AC:L/UI:N/PR:N and reflected input; an admin; a crash seen in gdb", "CVSS: 9.8, this might allow account takeover with alice and bob", "CVSS 10 but theoretical: cookie theft in the browser",
+    "key recovery, shown with python and hashlib; CVSS:3.0/AV:L/UI:N stored", "curl http://target.com/?q=<script>alert(1)\nHTTP/1.1 200 OK\n\nbody", "wget http://real.host/etc/passwd x\nHTTP/1.1 200 OK\nDate: now\n\nbody\nHTTP/2 404\nX-A: 1\nX-B: 2\n\n",
+    "python poc.py --url http://victim.com --cmd 'nc -e /bin/sh'\nperl -e x http://acme.com/ union  select\nHTTP/1.0 500\nX-A: 1",
+)
+_M = len(CLAIMS) + 2
+_CLAIM = "CASE " + " ".join(f"WHEN doc_id % {_M} = {k} THEN " + "'" + x.replace("'", "''") + "'" for k, x in enumerate(CLAIMS)) + " ELSE '' END"
+_CLAIMED = f"(SELECT doc_id, coalesce(text, '') || chr(10) || {_CLAIM} AS t FROM documents)"
+
+
+def _claimed(spark, sf_dir):
+    more = F.lit("")
+    for k, x in enumerate(CLAIMS):
+        more = F.when(F.col("doc_id") % _M == k, x).otherwise(more)
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), more).alias("text"))
+
+
+_TOLD = ", ".join(f"CASE WHEN {d_found('s', p, f)} THEN '{n}' END" for n, p, f in R.DISCLOSURE)
+
+
+@query(f"SELECT doc_id, names, CAST(CASE WHEN names <> '' THEN 15 ELSE 0 END AS BIGINT) AS penalty FROM (SELECT doc_id, concat_ws(',', {_TOLD}) AS names FROM (SELECT doc_id, regexp_replace(t, '{D_SPACE}', ' ', 'g') AS s FROM {_CLAIMED}))")
+def ai_disclosures(spark, sf_dir):
+    d = _claimed(spark, sf_dir).select("doc_id", tr.disclosures(F.col("text")).alias("n"))
+    return d.select("doc_id", F.array_join("n", ",").alias("names"), tr.disclosure_penalty(F.col("n")).alias("penalty"))
+
+
+_FAMILY = "CASE doc_id // 13 % 9 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(R.FAMILIES)) + " ELSE 'FLAT' END"
+_LACKS = lambda k: " OR ".join(f"(family = '{n}' AND NOT {d_found('t', ps[k], 'i')})" for n, ps in R.FAMILIES.items())
+_FIELD = lambda k: f"coalesce(string_split(list_filter(string_split(v, '/'), lambda p: regexp_matches(p, '^{k}:[^:]'))[-1], ':')[2], '')"
+
+
+@query(f"""
+    WITH a AS (SELECT *, {_FAMILY} AS family, regexp_extract(t, {duck(*R.CVSS_VECTOR)}, 1) AS v FROM {_CLAIMED}),
+    b AS (SELECT *, {_FIELD('UI')} AS ui, {_FIELD('AV')} AS av, {_FIELD('PR')} AS pr, TRY_CAST(CASE WHEN v = '' THEN regexp_extract(t, {duck(*R.CVSS_SCORE)}, 1) ELSE regexp_extract(t, {duck(*R.CVSS_SCORE_FAR)}, 1) END AS DOUBLE) AS base FROM a),
+    c AS (SELECT doc_id, family, CASE WHEN {_LACKS(0)} THEN 6 ELSE 0 END AS impact, CASE WHEN {_LACKS(1)} THEN 8 ELSE 0 END AS repro,
+        CASE WHEN (family = 'WEB_CLIENT' AND ui = 'N' AND {d_found('t', *R.XSS_WORDS)}) OR (family = 'MEMORY_CORRUPTION' AND av NOT IN ('', 'N', 'L')) THEN 5 WHEN family = 'AUTHN_AUTHZ' AND pr = 'N' AND {d_found('t', *R.POWER_WORDS)} THEN 4 ELSE 0 END AS odd,
+        CASE WHEN family <> 'FLAT' AND base >= 9 AND {d_found('t', *R.HEDGED)} THEN 6 ELSE 0 END AS hedged FROM b)
+    SELECT doc_id, family, concat_ws(',', CASE WHEN impact > 0 THEN 'FAMILY_VS_IMPACT' END, CASE WHEN repro > 0 THEN 'FAMILY_VS_REPRO' END, CASE WHEN odd > 0 THEN 'CVSS_VS_FAMILY' END, CASE WHEN hedged > 0 THEN 'CVSS_VS_LANGUAGE' END) AS issues,
+        CAST(impact + repro + odd + hedged AS BIGINT) AS penalty FROM c""")
+def coherence_issues(spark, sf_dir):
+    """The family is dealt by id, so that each meets each text of ours."""
+    names = F.array(*[F.lit(n) for n in R.FAMILIES], F.lit("FLAT"))
+    d = _claimed(spark, sf_dir).withColumn("family", F.element_at(names, (F.floor(F.col("doc_id") / 13) % 9 + 1).cast("int")))
+    d = d.select("doc_id", "family", tr.coherence_issues(F.col("text"), F.col("family")).alias("x"))
+    total = F.aggregate("x", F.lit(0).cast("bigint"), lambda a, i: a + i["penalty"])
+    return d.select("doc_id", "family", F.array_join(F.transform("x", lambda i: i["id"]), ",").alias("issues"), total.alias("penalty"))
+
+
+_HOST = " OR ".join(f"contains(lower(x), '{h}')" for h in PLACEHOLDER_DOMAINS if h.endswith((".com", ".org", ".net")))
+_PAYLOAD = " OR ".join(d_found("x", p, "i") for p in R.TEXTBOOK)
+
+
+@query(f"""
+    WITH a AS (SELECT doc_id, len(list_filter(regexp_extract_all(t, {duck(*R.POC_COMMAND)})[1:10], lambda x: ({_HOST}) AND ({_PAYLOAD}))) AS staged,
+        len(list_filter(regexp_extract_all(t, {duck(*R.POC_RESPONSE)})[1:5], lambda x: {d_count('x', *R.HEADER)} < 2 AND NOT {d_found('x', *R.REAL_HEADER)})) AS bare FROM {_CLAIMED})
+    SELECT doc_id, CAST(staged AS BIGINT) AS staged, CAST(bare AS BIGINT) AS bare, CAST(CASE WHEN staged + bare = 1 THEN 40 ELSE least(100, 50 + 12 * staged + 10 * bare) END AS BIGINT) AS score FROM a""")
+def poc_plausibility(spark, sf_dir):
+    d = _claimed(spark, sf_dir).select("doc_id", tr.poc_checks(F.col("text")).alias("c"))
+    n = lambda w: F.size(F.filter("c", lambda x: x["weight"] == w)).cast("bigint")
+    return d.select("doc_id", n(12).alias("staged"), n(10).alias("bare"), tr.verification(F.col("c")).alias("score"))
+
+
 def _steps(start: dict[str, str], stages) -> str:
     """SQL of stages over columns computed from parts, as a WITH clause that ends in ``last``."""
     out = [f"x0 AS (SELECT p_partkey, {', '.join(f'{v} AS {k}' for k, v in start.items())} FROM part)"]

@@ -87,3 +87,29 @@ def test_schedulers_and_heartbeats(spark):
     rows = [(1, "2023-01-01", None, [mo.HEARTBEAT]), (2, "2023-01-01", 5, [mo.HEARTBEAT]), (3, "2023-01-01", None, ["x"]), (4, "2023-12-31", None, [mo.HEARTBEAT]), (5, None, None, [mo.HEARTBEAT]), (6, "2023-01-01", None, None)]
     d = spark.createDataFrame(rows, "k int, s string, report_id long, notes array<string>").withColumn("created_at", F.col("s").cast("timestamp"))
     assert sorted(r.k for r in mo.prune_heartbeats(d, F.lit("2024-01-01").cast("timestamp")).collect()) == [2, 3, 4, 5, 6]
+
+
+def test_disclosures(spark):
+    d = spark.createDataFrame([*enumerate(tq.CLAIMS), (98, "")], "k int, t string")
+    got = {r.k: r.n for r in d.select("k", tr.disclosures(F.col("t")).alias("n")).collect()}
+    assert got[0] == ["prepared_using_ai", "generated_with_ai", "with_ai_help"] and got[1] == ["this_report_ai", "ai_generated_adjective", "named_llm_assisted"]
+    assert got[2] == ["with_ai_help", "used_llm_to_draft"] and got[3] == got[98] == []
+    more = d.select(tr.disclosure_penalty(tr.disclosures(F.col("t"), [("mine", "not a disclosure", "i")])).alias("p")).collect()
+    assert [r.p for r in more][3] == 15 and sum(r.p for r in more) == 15
+
+
+def test_coherence_issues(spark):
+    rows = [
+        (4, "MEMORY_CORRUPTION", [("CVSS_VS_FAMILY", 5)]), (4, "WEB_CLIENT", [("FAMILY_VS_IMPACT", 6), ("FAMILY_VS_REPRO", 8), ("CVSS_VS_FAMILY", 5)]), (4, "AUTHN_AUTHZ", [("FAMILY_VS_IMPACT", 6), ("FAMILY_VS_REPRO", 8), ("CVSS_VS_FAMILY", 4)]),
+        (5, "AUTHN_AUTHZ", [("CVSS_VS_LANGUAGE", 6)]), (6, "WEB_CLIENT", [("CVSS_VS_LANGUAGE", 6)]), (7, "CRYPTO", []), (6, "FLAT", []), (6, "other", [("CVSS_VS_LANGUAGE", 6)]), (6, None, [("CVSS_VS_LANGUAGE", 6)]), (3, "INJECTION", [("FAMILY_VS_IMPACT", 6), ("FAMILY_VS_REPRO", 8)]),
+    ]
+    d = spark.createDataFrame([(tq.CLAIMS[k], f, i) for i, (k, f, _) in enumerate(rows)], "t string, f string, i int")
+    got = {r.i: [tuple(x) for x in r.x] for r in d.select("i", tr.coherence_issues(F.col("t"), F.col("f")).alias("x")).collect()}
+    assert got == {i: e for i, (_, _, e) in enumerate(rows)}
+
+
+def test_poc_checks(spark):
+    d = spark.createDataFrame([*enumerate(tq.CLAIMS), (98, "")], "k int, t string").select("k", tr.poc_checks(F.col("t")).alias("c"))
+    got = {r.k: ([x.type for x in r.c], r.s) for r in d.select("*", tr.verification(F.col("c")).alias("s")).collect()}
+    staged, bare = "poc_placeholder_textbook", "poc_fabricated_response"
+    assert got[8] == ([staged, bare], 72) and got[9] == ([], 50) and got[10] == ([staged, staged, bare], 84) and got[98] == ([], 50)
