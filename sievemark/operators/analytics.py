@@ -155,16 +155,42 @@ def mid_rank(df: DataFrame, id_col: str, score: str) -> DataFrame:
 
 
 def medians(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Rounded median per key (engine medians after unnesting)."""
+    """Rounded median per key (engine medians after unnesting). Values are scores, whole numbers from 0 to 100, so a key has at most 101 different ones; for others see :func:`latency`."""
     return df.groupBy(key).agg(js_round(F.percentile(value, F.lit(0.5))).alias("median"), F.count("*").alias("samples"))
 
 
+#: Slots for each doubling of a value in the first round of :func:`latency`.
+SLOTS = 64
+
+
 def latency(df: DataFrame, value: str, by: Sequence[str | Column]) -> DataFrame:
-    """Percentiles by linear interpolation (one place) per group."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    got = df.where(F.col(value) >= 0).groupBy(*by).agg(p.alias("p"), F.count("*").alias("samples"))
-    keys = [c for c in got.columns if c not in ("p", "samples")]
-    return got.select(*keys, *[rnd(rnd(F.col("p")[i], 6), 1).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "samples")
+    """Exact percentiles by linear interpolation (one place) per group, of values from 0.
+
+    First the values are counted in logarithmic slots, a few thousand a group at
+    most; then only those slots are looked into that hold one of the ranks asked for,
+    each by itself. No task holds the values of a group.
+    """
+    v = F.col(value).cast("double")
+    slot = F.when(F.isnan(v), 2**63 - 1).otherwise(F.floor(F.log2(v + 1) * SLOTS)).cast("bigint")
+    d = df.where(v >= 0).select(*by, v.alias("__v"), slot.alias("__slot"))
+    keys = d.columns[:-2]
+    names = ("p50", "p95", "p99")
+    at = dict(zip(names, ((F.col("samples") - 1) * q for q in (0.5, 0.95, 0.99))))
+    ranks = {f"{n}{side}": cut(p).cast("bigint") for n, p in at.items() for side, cut in (("_low", F.floor), ("_high", F.ceil))}
+
+    per = d.groupBy(*keys, "__slot").agg(F.count("*").alias("__n"))
+    per = per.withColumn("__before", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__slot")) - F.col("__n")).withColumn("samples", F.sum("__n").over(Window.partitionBy(*keys)))
+    asked = F.lit(False)
+    for r in ranks.values():
+        asked = asked | ((F.col("__before") <= r) & (r < F.col("__before") + F.col("__n")))
+    wanted = per.where(asked).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__slot").alias("__own"), "__before", "samples")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__slot") == F.col("__own")]
+    each = d.join(wanted, same).groupBy(*keys, "__slot", "__v").agg(F.count("*").alias("__m"), F.first("__before").alias("__before"), F.first("samples").alias("samples"))
+    each = each.withColumn("__from", F.col("__before") + F.sum("__m").over(Window.partitionBy(*keys, "__slot").orderBy("__v")) - F.col("__m"))
+    inside = lambda r: (F.col("__from") <= r) & (r < F.col("__from") + F.col("__m"))
+    got = each.groupBy(*keys).agg(F.coalesce(F.max("samples"), F.lit(0)).cast("bigint").alias("samples"), *[F.max(F.when(inside(r), F.col("__v"))).alias(n) for n, r in ranks.items()])
+    between = lambda n: F.when(F.col(f"{n}_low") == F.col(f"{n}_high"), F.col(f"{n}_low")).otherwise(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (at[n] - F.floor(at[n])))
+    return got.select(*keys, *[rnd(rnd(between(n), 6), 1).alias(n) for n in names], "samples")
 
 
 def latency_bins(df: DataFrame, value: str, by: str) -> DataFrame:

@@ -35,17 +35,32 @@ def velocity(df: DataFrame, visitor: str, ts: str) -> DataFrame:
     return d.withColumn("penalty", F.greatest(burst + tight, F.lit(FLOOR)).cast("bigint"))
 
 
+def nth_of_day(df: DataFrame, key: str, ts: str, id_col: str, name: str) -> DataFrame:
+    """Add the place of each row among those of its key and UTC day, by time and id.
+
+    Rows are numbered within their minute, after the counts of the day's minutes
+    before it, so a key with many rows is spread over its minutes. Null keys and
+    times are keys as others.
+    """
+    parts = {"__key": F.col(key), "__day": F.to_date(ts), "__minute": F.floor(micros(ts) / 60_000_000).cast("bigint")}
+    d = df.withColumns(parts)
+    per = d.groupBy(*parts).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy("__key", "__day").orderBy("__minute").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select(*[F.col(c).alias(f"{c}_") for c in parts], F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in parts]
+    own = F.row_number().over(Window.partitionBy(*parts).orderBy(ts, id_col))
+    return d.join(before, same).withColumn(name, (F.col("__before") + own).cast("bigint")).select(*df.columns, name)
+
+
 def campaign(df: DataFrame, fingerprint: str, ts: str, id_col: str) -> DataFrame:
     """Add ``seen`` (running count of the fingerprint in the UTC day) and ``campaign_penalty``."""
-    w = Window.partitionBy(fingerprint, F.to_date(ts)).orderBy(ts, id_col).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("seen", F.count("*").over(w).cast("bigint"))
+    d = nth_of_day(df, fingerprint, ts, id_col, "seen")
     return d.withColumn("campaign_penalty", F.when(F.col("seen") >= CAMPAIGN, CAMPAIGN_PENALTY).otherwise(0).cast("bigint"))
 
 
 def daily_cap(df: DataFrame, visitor: str, ts: str, id_col: str, cap: int = DAILY_CAP) -> DataFrame:
     """Add ``nth`` of the visitor's UTC day and whether it is ``accepted``."""
-    w = Window.partitionBy(visitor, F.to_date(ts)).orderBy(ts, id_col)
-    return df.withColumn("nth", F.row_number().over(w).cast("bigint")).withColumn("accepted", F.col("nth") <= cap)
+    return nth_of_day(df, visitor, ts, id_col, "nth").withColumn("accepted", F.col("nth") <= cap)
 
 
 def fixed_bucket(df: DataFrame, visitor: str, ts: str, id_col: str, cap: int = RUN_CAP, seconds: int = RUN_WINDOW_S) -> DataFrame:

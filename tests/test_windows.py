@@ -119,3 +119,32 @@ def test_median_and_percentile_from_empty(spark):
     d = spark.createDataFrame([], "id long, score long")
     bins = an.cohort_bins(d, "score")
     assert bins.count() == 10 and an.median_of_bins(bins).first()[0] is None
+
+
+def test_percentiles_against_the_built_in(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sievemark.functions.text import rnd
+    from sievemark.operators import analytics as an
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), r.choice([0.0, 7.5, r.random() * 10 ** r.randint(0, 6)])) for _ in range(2000)] + [("one", 3.25), ("two", 1.0), ("two", 2.0), ("none", -1.0), ("none", None)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    for by in (["k"], [F.upper("k").alias("u")], []):
+        want = d.where("v >= 0").groupBy(*by).agg(*[rnd(rnd(F.percentile("v", F.lit(q)), 6), 1).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.count("*").alias("samples"))
+        assert sorted(map(str, an.latency(d, "v", by).collect())) == sorted(map(str, want.collect()))
+    assert an.latency(d.where("false"), "v", ["k"]).count() == 0
+    assert [tuple(x) for x in an.latency(d.where("false"), "v", []).collect()] == [(None, None, None, 0)]
+
+
+def test_places_within_a_day(spark):
+    from pyspark.sql import functions as F
+
+    from sievemark.operators import limits
+
+    rows = [(1, "a", "2024-01-01 00:00:00"), (2, "a", "2024-01-01 00:00:00"), (3, "a", "2024-01-01 23:59:59"), (4, "a", "2024-01-02 00:00:00"), (5, None, "2024-01-01 10:00:30"), (6, None, "2024-01-01 10:00:10"), (7, "b", None), (8, "b", None)]
+    d = spark.createDataFrame(rows, "id long, k string, s string").withColumn("ts", F.col("s").cast("timestamp"))
+    assert {r.id: r.seen for r in limits.campaign(d, "k", "ts", "id").collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 2, 6: 1, 7: 1, 8: 2}
+    assert limits.campaign(d.where("false"), "k", "ts", "id").count() == 0
