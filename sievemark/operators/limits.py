@@ -25,8 +25,9 @@ def _micros(ts: str):
 
 def velocity(df: DataFrame, visitor: str, ts: str) -> DataFrame:
     """Add per event: ``submissions`` in the last 60 minutes of the same UTC day, ``avg_gap_s`` and ``penalty``. No visitor, no penalty."""
-    w = Window.partitionBy(visitor, F.to_date(ts)).orderBy(micros(ts)).rangeBetween(-WINDOW_S * 1_000_000, 0)
     has = F.col(visitor).isNotNull()
+    apart = F.when(~has, micros(ts))  # rows without a visitor count nothing, so they need not meet in one task
+    w = Window.partitionBy(visitor, F.to_date(ts), apart).orderBy(micros(ts)).rangeBetween(-WINDOW_S * 1_000_000, 0)
     d = df.withColumn("submissions", F.when(has, F.count("*").over(w)).otherwise(0).cast("bigint"))
     span = (micros(ts) - F.min(micros(ts)).over(w)) / 1e6
     d = d.withColumn("avg_gap_s", F.when(has & (F.col("submissions") >= 2), span / (F.col("submissions") - 1)))
