@@ -23,7 +23,7 @@ TEXTS = (
     "==77==ERROR: AddressSanitizer: x 0x602000000000 0x603000000000\n#0 0x1 in f\n#1 0x2 in f\n#2 0x3 in f\nWe follow responsible disclosure. Run exploit.py, the XSS leads to remote code execution by an overflow in lib/http.c line 12.",
     "See https://github.com/curl/curl.git, github.com/a-b/c.d, gitlab.com/e/f and gitlab.com/a-b/c.d; curl 7.1; nodejs and node v1.2; npm install left-pad, require('@x/y'), pip install requests; import os; from flask import Flask; "
     "import numpy; import numpy; Redis is here, and far from any number of it are many words, so that eighty letters lie in between, which they do by now. Version 3 of Django.",
-    "The function parse_it(x) and the handler `on_data`( fail in read_all(y) at main(z). void do_work(int a) { } In src/core/io.c:88 and (lib/b/c.py) and http/x/y.js; from Foo::bar(q): copy() => x",
+    "The function parse_it(x) and the handler `on_data`( fail in read_all(y) at main(z). void do_work(int a) { } In src/core/io.c:88 and (lib/b/c.py) and http/x/y.js, from Foo::bar(q): copy() => x",
     "```http\nHEAD /x HTTP/1.1\nHost: a\nSet-Cookie: a=b\n\nHTTP/1.1 200 Not Found\nContent-Length: 0\nCookie: x\n\nbody text here\n```",
     "```\nHTTP/1.1 204 No Content\r\n\r\nsome body text\r\n```\nand\n```\nHTTP/1.1 200  OK \nContent-Length: 1024\n\n\n```\nand\n```\nHTTP/1.0 302 Found\nContent-Length: 30\nContent-Length: 400\nOrigin: x\n\nshort body\n```",
     "```\nGET /a HTTP/1.1\nHTTP/1.1 404 Gone\nno header\n\nPOST /b HTTP/1.1\nCookie: fine\n\nHTTP/1.1 200 ok\nContent-Length: 10\n\n0123456789\n```\nHTTP/1.1 200 Not Found\n",

@@ -43,7 +43,7 @@ def test_projects_and_references(spark):
         ("curl", "curl/curl", "github_url"), ("c.d", "a-b/c.d", "github_url"), ("f", "e/f", "gitlab_url"), ("node", "nodejs/node", "github_url"), ("django", "django/django", "github_url"), ("flask", "pallets/flask", "known_project"),
         ("redis", "redis/redis", "known_project"), ("git", "git/git", "github_url"), ("left-pad", "left-pad", "npm_package"), ("@x/y", "@x/y", "npm_package"),
     ]
-    assert got[6][1].functions == ["parse_it", "on_data", "read_all", "Foo::bar", "do_work", "copy"] and got[6][1].paths == ["src/core/io.c", "x/y.js"]
+    assert got[6][1].functions == ["parse_it", "on_data", "read_all", "Foo::bar", "do_work", "copy"] and got[6][1].paths == ["src/core/io.c", "b/c.py"]  # a bracket starts no path, a slash does; one that begins with http is an address
     assert got[98][0] == got[99][0] == [] and got[99][1].functions == got[99][1].paths == []
 
 
