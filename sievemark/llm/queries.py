@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, media, mixing, near_dedup, packing, quality, secrets, toxicity, warc
+from . import exact_dedup, html_extract, media, mixing, near_dedup, packing, prefix_trie, quality, secrets, toxicity, warc
 from .common import crc_fold, documents
 
 
@@ -76,6 +76,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", F.coalesce(crc_fold(F.col("doc_id")) == 1, F.lit(False)))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_media_columns, op3_packing, op4_exact_dedup, op5_toxicity, op6_html_extraction, op7_secrets, op8_warc, op9_mixing, op10_quality, pipeline)
+    for f in (op1_near_dedup, op2_media_columns, op3_packing, op4_exact_dedup, op5_toxicity, op6_html_extraction, op7_secrets, op8_warc, op9_mixing, op10_quality, op12_prefix_trie, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -117,4 +121,26 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
         FROM f""",
+    "op12_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS l FROM turns GROUP BY 1),
+        bits AS (  -- every byte of the decimal id, followed by eight steps of the checksum
+            SELECT conv_id, l, conv_id - conv_id % 5 AS donor,
+                   list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps FROM own),
+        plans AS (
+            SELECT conv_id, donor, l, xor(list_reduce(steps, lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) % 9 AS h FROM bits),
+        seqs AS (SELECT p.conv_id, list_concat(coalesce(o.l[1 : p.h], []), p.l[p.h + 1 :]) AS l FROM plans p LEFT JOIN own o ON o.conv_id = p.donor),
+        nodes AS (
+            SELECT l[1 : d] AS k, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(CASE WHEN len(l) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends
+            FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM seqs) GROUP BY 1, 2),
+        childless AS (SELECT k, d FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.d = n.d + 1 AND c.k[1 : n.d] = n.k)),
+        subtree AS (
+            SELECT u.k[1 : e] AS k, e AS d, sum(CASE WHEN u.d > 0 THEN (u.n - 1) * octet_length(encode(u.k[u.d].text)) ELSE 0 END) AS saved, sum(u.leaf) AS leaves
+            FROM (SELECT n.*, CASE WHEN c.d IS NULL THEN 0 ELSE 1 END AS leaf, unnest(range(0, n.d + 1)) AS e FROM nodes n LEFT JOIN childless c ON c.k = n.k AND c.d = n.d) u GROUP BY 1, 2)
+        SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND c.k[1 : n.d] = n.k) AS n_children,
+               CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM nodes n JOIN subtree s ON s.k = n.k AND s.d = n.d LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.k[1 : n.d - 1]""",
 }
