@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, media, mixing, near_dedup, packing, prefix_trie, quality, secrets, toxicity, warc
+from . import exact_dedup, html_extract, media, mixing, near_dedup, packing, prefix_trie, quality, repeats, secrets, toxicity, warc
 from .common import crc_fold, documents
 
 
@@ -76,6 +76,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", F.coalesce(crc_fold(F.col("doc_id")) == 1, F.lit(False)))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
 
@@ -88,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_media_columns, op3_packing, op4_exact_dedup, op5_toxicity, op6_html_extraction, op7_secrets, op8_warc, op9_mixing, op10_quality, op12_prefix_trie, pipeline)
+    for f in (op1_near_dedup, op2_media_columns, op3_packing, op4_exact_dedup, op5_toxicity, op6_html_extraction, op7_secrets, op8_warc, op9_mixing, op10_quality, op11_substring_dedup, op12_prefix_trie, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -121,6 +125,16 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
         FROM f""",
+    "op11_substring_dedup": r"""
+        WITH words AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, row, unnest(range(1, len(w) - 11)) AS i, w FROM words WHERE len(w) >= 13),
+        named AS (SELECT doc_id, row, i, array_to_string(w[i : i + 12], ' ') AS name FROM windows),
+        again AS (SELECT row, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY name) AS least FROM named) WHERE least < doc_id),
+        gone AS (SELECT DISTINCT row, unnest(range(i, i + 13)) AS gone_at FROM again),
+        every AS (SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+        kept AS (SELECT e.row, count(*) AS n, string_agg(word, ' ' ORDER BY e.i) AS text FROM every e ANTI JOIN gone g ON g.row = e.row AND g.gone_at = e.i GROUP BY 1)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM words LEFT JOIN kept USING (row)""",
     "op12_prefix_trie": """
         WITH turns AS (
             SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
