@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +121,27 @@ def mark(df: DataFrame, h: F.Column, in_bitmap: DataFrame, bits: int, name: str)
     return out.withColumns({"__byte": byte, "__bit": bit}).withColumn(name, F.coalesce(hit, F.lit(False))).drop("__at", "__bucket", "__map", "__byte", "__bit")
 
 
+class Bits:
+    """A bitmap of bounded size (64 MB at most) for Python tasks to test hashes (a column ``h``) against."""
+
+    def __init__(self, spark: SparkSession, hashes: DataFrame):
+        self.bits = bitmap_bits(hashes.count())
+        flat = np.zeros(self.bits // 8, np.uint8)
+        for r in bitmap(hashes, self.bits).toLocalIterator():
+            at = (r["__bucket"] - 1) * 4096
+            part = np.frombuffer(bytes(r["__map"]), np.uint8)[: len(flat) - at]
+            flat[at : at + len(part)] = part
+        self.held = spark.sparkContext.broadcast(flat)
+
+    def hit(self, h: np.ndarray) -> np.ndarray:
+        at = h.view(np.int64) & np.int64(self.bits - 1)
+        return (self.held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    def __contains__(self, h: int) -> bool:
+        at = h & (self.bits - 1)
+        return bool(self.held.value[at >> 3] >> (at & 7) & 1)
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: str, total: int) -> DataFrame:
     """Left rows with the columns of ``right``, which has one row per key.
 

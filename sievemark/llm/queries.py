@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and the pipeline, each over its whole table, and their SQL.
+"""Registered queries of the operators and the pipeline, each over its whole table, and their SQL.
 
 Where an entry of :data:`ORACLE_SQL` is missing, SQL cannot express the result
 (encoded images, learned scores, tokenised packing, seeded random draws); the
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, media, mixing, near_dedup, packing, prefix_trie, quality, repeats, secrets, toxicity, warc
+from . import exact_dedup, html_extract, media, mixing, near_dedup, packing, phrases, prefix_trie, quality, repeats, secrets, toxicity, warc
 from .common import crc_fold, documents
 
 
@@ -84,6 +84,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_media_columns, op3_packing, op4_exact_dedup, op5_toxicity, op6_html_extraction, op7_secrets, op8_warc, op9_mixing, op10_quality, op11_substring_dedup, op12_prefix_trie, pipeline)
+    for f in (op1_near_dedup, op2_media_columns, op3_packing, op4_exact_dedup, op5_toxicity, op6_html_extraction, op7_secrets, op8_warc, op9_mixing, op10_quality, op11_substring_dedup, op12_prefix_trie, op13_collocations, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -157,4 +161,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND c.k[1 : n.d] = n.k) AS n_children,
                CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
         FROM nodes n JOIN subtree s ON s.k = n.k AND s.d = n.d LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.k[1 : n.d - 1]""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        counts AS (
+            SELECT lang, k, phrase, count(*) AS f
+            FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM words, (VALUES (1), (2), (3)) lengths(k) WHERE len(w) >= k)
+            GROUP BY ALL),
+        totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY 1),
+        candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 10),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.k, c.a, cut, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+            JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : cut], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1 :], ' ')),
+        lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        covered AS (
+            SELECT DISTINCT s.lang, s.phrase FROM candidates s JOIN (SELECT lang, a, array_to_string(w[i : i + 1], ' ') AS inner_phrase FROM (SELECT *, unnest([1, 2]) AS i FROM candidates WHERE k = 3)) t
+            ON t.lang = s.lang AND t.inner_phrase = s.phrase WHERE 100 * t.a >= 50 * s.a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest ANTI JOIN covered USING (lang, phrase))
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }

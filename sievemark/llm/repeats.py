@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_bits, lookup, table
+from .common import Bits, lookup, table
 
 #: Consecutive words that make a repeat.
 WINDOW = 13
@@ -122,27 +122,6 @@ def _digest(words: list[bytes]) -> tuple[int, int, str]:
     return int.from_bytes(d.digest()[:8], "little", signed=True), int.from_bytes(d.digest()[8:16], "little", signed=True), d.hexdigest()
 
 
-class Bits:
-    """A bitmap of bounded size (64 MB at most) for tasks to test hashes against."""
-
-    def __init__(self, spark: SparkSession, hashes: DataFrame):
-        self.bits = bitmap_bits(hashes.count())
-        flat = np.zeros(self.bits // 8, np.uint8)
-        for r in bitmap(hashes, self.bits).toLocalIterator():
-            at = (r["__bucket"] - 1) * 4096
-            part = np.frombuffer(bytes(r["__map"]), np.uint8)[: len(flat) - at]
-            flat[at : at + len(part)] = part
-        self.held = spark.sparkContext.broadcast(flat)
-
-    def hit(self, h: np.ndarray) -> np.ndarray:
-        at = h.view(np.int64) & np.int64(self.bits - 1)
-        return (self.held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-    def __contains__(self, h: int) -> bool:
-        at = h & (self.bits - 1)
-        return bool(self.held.value[at >> 3] >> (at & 7) & 1)
-
-
 class Block:
     """Documents whose windows are named together: word hashes with a separator between documents."""
 
