@@ -1,11 +1,14 @@
 """Phrase collocation mining over a minimal perfect hash.
 
-Level by level, words first: the phrases of k words that occur and whose parts
-of k - 1 words are all frequent are the candidates (Apriori: no other phrase can
-be frequent; tasks test the parts against a bitmap, whose false hits only add
-candidates). A minimal perfect hash gives every candidate a slot. It is built in
+Candidates come from Apriori sieves, one a length, words first: tasks count the
+phrases of which all parts passed the sieve before, as 64-bit hashes, and hashes
+with fewer occurrences than asked for are frequent under no circumstances. A
+sieve is a bitmap of bounded size; equal hashes and false hits only add
+candidates, so none is lost. A last pass spells out what passed.
+
+A minimal perfect hash gives every candidate of any length a slot. It is built in
 shards of bounded size, each with its keys stored by slot: a phrase that is not
-the key in its slot is not counted there. What tasks have counted locally is
+the key in its slot is not counted there. What tasks have counted of a block is
 routed to the shards, where numpy arrays are bincounted by slot and summed up a
 tree. Counts of both sides of every cut are read by slot the same way.
 
@@ -36,12 +39,12 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: A shorter phrase goes if a longer one around it has at least this share of its occurrences, in hundredths.
 COVERED = 50
 #: Words that a task counts together, and different words that it remembers.
-BLOCK, MEMO = 1_000_000, 1_000_000
+BLOCK, MEMO = 2_000_000, 500_000
 #: Slots of a shard, rows that meet a shard in one task, arrays that meet in a node of the tree.
 SLOTS, ROWS, FAN_IN = 1 << 17, 1 << 20, 16
 
 _SPLIT = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
-_ODD = np.random.default_rng(20240611).integers(0, 1 << 63, size=3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(20240611).integers(0, 1 << 63, size=6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Hash:
@@ -122,8 +125,8 @@ def _plain(table_: pa.Table, name: str) -> pa.Array:
     return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
 
 
-class Level:
-    """Phrases of one length with their counts by slot: shards (shard, sizes, bits, keys, counts)."""
+class Counts:
+    """Phrases with their counts by slot: shards (shard, sizes, bits, keys, counts)."""
 
     def __init__(self, shards: DataFrame, number: int):
         self.shards, self.number = shards, number
@@ -156,7 +159,7 @@ def _routed(rows: DataFrame, total: int, shards: DataFrame, number: int):
     return own.groupBy("shard", "salt"), copies.groupBy("shard", "salt")
 
 
-def count_level(rows: DataFrame, slots: int = SLOTS) -> Level:
+def count_phrases(rows: DataFrame, slots: int = SLOTS) -> Counts:
     """Sum local counts (key, c) by the slots of a minimal perfect hash over the different keys."""
     rows = table(rows, "phrase-counts")
     total = rows.count()
@@ -191,7 +194,7 @@ def count_level(rows: DataFrame, slots: int = SLOTS) -> Level:
     while salts > 1:
         arrays = arrays.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int")).groupBy("shard", "salt").applyInArrow(_sum, "shard int, salt int, counts array<long>")
         salts = math.ceil(salts / FAN_IN)
-    return Level(table(shards.join(arrays.drop("salt"), "shard"), "phrase-level"), number)
+    return Counts(table(shards.join(arrays.drop("salt"), "shard"), "phrase-slots"), number)
 
 
 def _sum(key, t):
@@ -200,12 +203,13 @@ def _sum(key, t):
 
 
 class Lexicon:
-    """Numbers of the words a task has met, each with its key, lang and word."""
+    """Numbers of the words a task has met, each with its language, spelling and hash."""
 
     def __init__(self):
         self.by_lang: dict[str, dict[bytes, int]] = {}
-        self.keys: list[bytes] = []
+        self.langs: list[bytes] = []
         self.words: list[bytes] = []
+        self.hashed = np.empty(0, np.uint64)
 
     def numbers(self, text: bytes, lang: str) -> np.ndarray:
         """Numbers of a text's words in order, -1 between its pieces and at its end."""
@@ -214,26 +218,28 @@ class Lexicon:
         try:
             out = [memo[p] for p in parts]
         except KeyError:
-            head = lang.encode() + b"\t"
+            head = lang.encode()
             for p in parts:
                 if p not in memo:
-                    memo[p] = len(self.keys)
-                    self.keys.append(head + p)
+                    memo[p] = len(self.words)
+                    self.langs.append(head)
                     self.words.append(p)
             out = [memo[p] for p in parts]
         n = np.array(out, np.int64)
         return np.append(n[n > -2], -1)
 
+    def hashes(self) -> np.ndarray:
+        """A hash per word."""
+        import xxhash
 
-def _hash(keys: list[bytes]) -> np.ndarray:
-    """What Spark's xxhash64 gives for these strings."""
-    import xxhash
-
-    return np.array([xxhash.xxh64_intdigest(k, seed=42) for k in keys], np.uint64)
-
+        new = [xxhash.xxh3_64_intdigest(w, xxhash.xxh3_64_intdigest(lang)) for lang, w in zip(self.langs[len(self.hashed) :], self.words[len(self.hashed) :])]
+        self.hashed = np.concatenate((self.hashed, np.array(new, np.uint64)))
+        return self.hashed
 
-def _counted(keys: list[bytes], c: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array(c, pa.int64())], names=["key", "c"])
+    def spell(self, phrases: np.ndarray) -> list[bytes]:
+        """Keys of phrases (rows of word numbers)."""
+        langs, words = self.langs, self.words
+        return [langs[p[0]] + b"\t" + b" ".join([words[k] for k in p]) for p in phrases.tolist()]
 
 
 def _blocks(batches, block: int) -> Iterator[tuple[Lexicon, np.ndarray]]:
@@ -247,45 +253,62 @@ def _blocks(batches, block: int) -> Iterator[tuple[Lexicon, np.ndarray]]:
             if size >= block:
                 yield lexicon, np.concatenate(parts)
                 parts, size = [], 0
-                if len(lexicon.keys) > MEMO:
+                if len(lexicon.words) > MEMO:
                     lexicon = Lexicon()
     if parts:
         yield lexicon, np.concatenate(parts)
 
 
-def _occurring(docs: DataFrame, frequent: list[Bits], block: int = BLOCK) -> DataFrame:
-    """Rows (key, c): phrases one word longer than those of the last of ``frequent``, of which all parts are in it, with what a block holds of them."""
-    words = len(frequent) + 1
+def _phrases(lexicon: Lexicon, ids: np.ndarray, sieves: list[Bits], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per length the places where phrases start that may be frequent, as far as the sieves know, and their hashes."""
+    words = lexicon.hashes()
+    at = np.flatnonzero(ids >= 0)
+    h = words[ids[at]]
+    for length in range(1, longest + 1):
+        if length > 1:
+            # Both parts that are one word shorter passed: the one at each place, and the one at the next.
+            starts = np.zeros(len(ids) + 1, bool)
+            starts[at] = True
+            both = starts[at + 1]
+            at, h = at[both], h[both]
+            h = (h ^ (h >> np.uint64(29))) * _ODD[3] + words[ids[at + length - 1]] * _ODD[4]
+            h = (h ^ (h >> np.uint64(32))) * _ODD[5]
+        if length <= len(sieves) and len(at):
+            passed = sieves[length - 1].hit(h)
+            at, h = at[passed], h[passed]
+        yield length, at, h
+
+
+def _sieve(docs: DataFrame, sieves: list[Bits], least: int, block: int = BLOCK) -> Bits:
+    """The sieve of phrases one word longer than those of the last of ``sieves``."""
+    length = len(sieves) + 1
 
     def run(batches):
         for lexicon, ids in _blocks(batches, block):
-            codes, spell = ids, None
-            for length in range(1, words + 1):
-                # codes: of the phrase that starts at each place, -1 where none of this length starts that can be counted.
-                if length > 1:
-                    after = codes[1:]
-                    both = np.flatnonzero((codes[:-1] >= 0) & (after >= 0))
-                    last = ids[both + length - 1]
-                    pair, first_at, at = np.unique(codes[both] * np.int64(len(lexicon.keys)) + last, return_index=True, return_inverse=True)
-                    codes = np.full(len(codes) - 1, -1, np.int64)
-                    codes[both] = at
-                    spell = both[first_at]
-                if length < words:
-                    n = len(lexicon.keys) if length == 1 else len(spell)
-                    if n:
-                        ok = frequent[length - 1].hit(_hash(lexicon.keys if length == 1 else _spelled(lexicon, ids, spell, length)))
-                        codes = np.where(codes >= 0, np.where(ok[codes], codes, -1), -1)
-            c = np.bincount(codes[codes >= 0]) if (codes >= 0).any() else np.empty(0, np.int64)
-            if len(c):
-                some = np.flatnonzero(c)
-                yield _counted([lexicon.keys[i] for i in some] if words == 1 else _spelled(lexicon, ids, spell[some], words), c[some])
+            h = [h for _, _, h in _phrases(lexicon, ids, sieves, length)][-1]
+            h, c = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"])
+
+    sums = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    return Bits(docs.sparkSession, table(sums.select("h"), "phrase-sieve"))
 
-    return docs.mapInArrow(run, "key string, c long")
 
+def _occurring(docs: DataFrame, sieves: list[Bits], longest: int, block: int = BLOCK) -> DataFrame:
+    """Rows (key, c): candidates of up to ``longest`` words with their occurrences in a block."""
 
-def _spelled(lexicon: Lexicon, ids: np.ndarray, starts: np.ndarray, length: int) -> list[bytes]:
-    keys, words = lexicon.keys, lexicon.words
-    return [b" ".join((keys[p[0]], *[words[k] for k in p[1:]])) for p in np.stack([ids[starts + k] for k in range(length)], axis=1).tolist()]
+    def run(batches):
+        for lexicon, ids in _blocks(batches, block):
+            code = np.full(len(ids), -1, np.int64)  # of the phrase that starts at a place: equal for equal phrases
+            for length, at, _ in _phrases(lexicon, ids, sieves, longest):
+                if not len(at):
+                    break
+                whole = ids[at] if length == 1 else code[at] * np.int64(len(lexicon.words)) + ids[at + length - 1]
+                _, first, same, c = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+                code[at] = same
+                phrases = np.stack([ids[at[first] + k] for k in range(length)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(lexicon.spell(phrases), pa.binary()).cast(pa.string()), pa.array(c, pa.int64())], names=["key", "c"])
+
+    return docs.mapInArrow(run, "key string, c long")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, covered: int = COVERED) -> DataFrame:
@@ -294,35 +317,20 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     a, l and r are occurrences of the phrase and of both sides of the cut that scores lowest, n all words of the language,
     score floor(1000000 * a * a / (l * r)). A phrase inside a longer candidate with ``covered`` hundredths of its occurrences is left out.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("binary").alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
-    levels: list[Level] = []
-    kept: list[DataFrame] = []
-    known: list[Bits] = []
-    for words in range(1, LONGEST + 1):
-        levels.append(count_level(_occurring(texts, known)))
-        kept.append(table(levels[-1].frequent(least), "phrase-frequent"))
-        if words < LONGEST:
-            known.append(Bits(spark, kept[-1].select(F.xxhash64("key").alias("h"))))
+    sieves: list[Bits] = []
+    for _ in range(LONGEST - 1):
+        sieves.append(_sieve(texts, sieves, least))
+    counts = count_phrases(_occurring(texts, sieves, LONGEST))
     phrase = F.substring_index("key", "\t", -1)
     lang = F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)")
-    n = levels[0].frequent(1).groupBy(lang.alias("lang")).agg(F.sum("f").alias("n"))
-    asked: list[list[DataFrame]] = [[] for _ in range(LONGEST)]
-    for words in range(2, LONGEST + 1):
-        rows = kept[words - 1].withColumns({"phrase": phrase, "lang": lang})
-        for k in range(1, words):
-            sides = (("l", F.substring_index("phrase", " ", k), k), ("r", F.substring_index("phrase", " ", k - words), words - k))
-            for side, part, length in sides:
-                asked[length - 1].append(rows.select(F.col("key").alias("whole"), F.col("f").alias("a"), F.lit(k).alias("k"), F.lit(side).alias("side"), F.concat("lang", F.lit("\t"), part).alias("key")))
-    answers = None
-    for level, parts in zip(levels, asked):
-        if parts:
-            every = parts[0]
-            for p in parts[1:]:
-                every = every.unionByName(p)
-            got = level.read(every.withColumn("part", F.col("key")))
-            answers = got if answers is None else answers.unionByName(got)
-    answers = table(answers, "phrase-cuts")
+    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+"))
+    n = docs.groupBy(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang")).agg(F.sum(words).cast("bigint").alias("n"))
+    found = table(counts.frequent(least).withColumns({"phrase": phrase, "lang": lang}), "phrase-frequent").withColumn("length", F.size(F.split("phrase", " ")))
+    asked = found.where("length > 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("length") - 1)))
+    sides = F.array(F.struct(F.lit("l").alias("side"), F.expr("substring_index(phrase, ' ', k)").alias("part")), F.struct(F.lit("r").alias("side"), F.expr("substring_index(phrase, ' ', k - length)").alias("part")))
+    asked = asked.withColumn("e", F.explode(sides)).select(F.col("key").alias("whole"), F.col("f").alias("a"), "k", "e.side", F.concat("lang", F.lit("\t"), "e.part").alias("part"))
+    answers = table(counts.read(asked.withColumn("key", F.col("part"))), "phrase-cuts")
     by_side = lambda s: F.max(F.when(F.col("side") == s, F.col("f")))
     cuts = answers.groupBy("whole", "a", "k").agg(by_side("l").alias("l"), by_side("r").alias("r"))
     exact = lambda c: F.col(c).cast("decimal(19,0)")

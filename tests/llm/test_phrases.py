@@ -73,8 +73,8 @@ def test_shards_salts_and_blocks_give_the_same(spark, monkeypatch):
     want = brute(rows)
     monkeypatch.setattr(phrases, "ROWS", 20)
     monkeypatch.setattr(phrases, "FAN_IN", 2)
-    level, blocks, memo = phrases.count_level, phrases._blocks, phrases.MEMO
-    monkeypatch.setattr(phrases, "count_level", lambda r: level(r, 40))
+    count, blocks = phrases.count_phrases, phrases._blocks
+    monkeypatch.setattr(phrases, "count_phrases", lambda r: count(r, 40))
     monkeypatch.setattr(phrases, "_blocks", lambda b, n: blocks(b, 100))
     monkeypatch.setattr(phrases, "MEMO", 50)
     assert held(phrases.collocations(d)) == want
@@ -98,10 +98,3 @@ def test_a_stranger_has_no_slot_and_a_twin_has_its_own():
     asked = pa.array(["nine", "nine too", "other", "five", "stranger"])
     got = phrases._slots_of(shard, np.array([9, 9, 9, 5, 77], np.int64), asked)
     assert list(got) == [keys.index("nine"), 3, -1, keys.index("five"), -1]
-
-
-def test_hash_in_python_is_that_of_spark(spark):
-    words = ["en\ta", "und\tx y", "de\tÜber 日本", "", "long " * 40]
-    d = spark.createDataFrame([(w,) for w in words], "key string").selectExpr("key", "xxhash64(key) as h")
-    got = {r.key: r.h for r in d.collect()}
-    assert [got[w] for w in words] == list(phrases._hash([w.encode() for w in words]).view(np.int64))
