@@ -1,16 +1,18 @@
 """Phrase collocation mining over a minimal perfect hash.
 
 Candidates come from Apriori sieves, one a length, words first: tasks count the
-phrases of which all parts passed the sieve before, as 64-bit hashes, and hashes
-with fewer occurrences than asked for are frequent under no circumstances. A
-sieve is a bitmap of bounded size; equal hashes and false hits only add
-candidates, so none is lost. A last pass spells out what passed.
+phrases of which all parts passed the sieve before, and those with fewer
+occurrences than asked for can't be frequent. Tasks test parts against a bitmap
+of bounded size, whose false hits only add candidates. A phrase is named by its
+words' 64-bit hashes; all words of the corpus are checked to have hashes of
+their own (another seed is taken otherwise), so names are exact and texts are
+needed for words only.
 
 A minimal perfect hash gives every candidate of any length a slot. It is built in
-shards of bounded size, each with its keys stored by slot: a phrase that is not
-the key in its slot is not counted there. What tasks have counted of a block is
-routed to the shards, where numpy arrays are bincounted by slot and summed up a
-tree. Counts of both sides of every cut are read by slot the same way.
+shards of bounded size, each with its keys (the names) stored by slot: a phrase
+that is not the key in its slot is not counted there. What tasks have counted of
+a block is routed to the shards, where numpy arrays are bincounted by slot and
+summed up a tree. Counts of both sides of every cut are read by slot likewise.
 
 A shard's rows are dealt over as many tasks as they need, so a phrase or word
 with a third of all rows is spread, and tasks pre-aggregate a block of
@@ -28,11 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bits, table
+from .common import Bits, lookup, table
 
 #: Least occurrences of a candidate, most words, and phrases returned per language.
 LEAST, LONGEST, TOP = 10, 3, 2000
@@ -95,98 +96,104 @@ class Hash:
         return out
 
 
-def _slots_of(shard: dict, h: np.ndarray, keys: pa.Array) -> np.ndarray:
-    """Slots of ``keys`` in a shard, -1 for those that are not among its own."""
+#: Columns of a name: hashes of a phrase's words, 0 beyond its last one.
+NAME = ("w1", "w2", "w3")
+_NAME_TYPE = ", ".join(f"{c} long" for c in NAME)
+
+
+def _slots_of(shard: dict, h: np.ndarray, name: list[np.ndarray]) -> np.ndarray:
+    """Slots of names with hashes ``h`` in a shard, -1 for those that are not among its keys."""
     mph = Hash(shard["sizes"], shard["bits"])
     out = mph(h.view(np.uint64))
-    stored = shard["keys"]
-    same = np.zeros(len(out), bool)
-    asked = out >= 0
-    same[asked] = pc.equal(stored.take(pa.array(out[asked])), keys.filter(pa.array(asked))).to_numpy(zero_copy_only=False)
+    same = out >= 0
+    for own, asked in zip(shard["keys"], name):
+        same &= own[out] == asked
     out[~same] = -1
-    if len(stored) > mph.slots:  # keys whose 64-bit hash is another's too
-        twins = {k: i + mph.slots for i, k in enumerate(stored[mph.slots :].to_pylist())}
+    if len(shard["keys"][0]) > mph.slots:  # keys whose 64-bit hash is another's too
+        twins = {k: i + mph.slots for i, k in enumerate(zip(*[c[mph.slots :].tolist() for c in shard["keys"]]))}
         for i in np.flatnonzero(~same):
-            out[i] = twins.get(keys[int(i)].as_py(), -1)
+            out[i] = twins.get(tuple(int(c[i]) for c in name), -1)
     return out
 
 
-def _shard(right: pa.Table) -> dict:
-    keys = pa.chunked_array(right.column("keys")).combine_chunks() if right.column("keys").num_chunks > 1 else right.column("keys").chunk(0)
-    return {"sizes": right.column("sizes")[0].as_py(), "bits": right.column("bits")[0].as_py(), "keys": keys.flatten()}
+def _array(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).combine_chunks().values.to_numpy()
+
 
+def _shard(t: pa.Table) -> dict:
+    return {"sizes": t.column("sizes")[0].as_py(), "bits": t.column("bits")[0].as_py(), "keys": [_array(t, c) for c in NAME]}
 
-def _long(table_: pa.Table, name: str) -> np.ndarray:
-    return table_.column(name).to_numpy()
 
+def _named(t: pa.Table) -> list[np.ndarray]:
+    return [t.column(c).to_numpy() for c in NAME]
 
-def _plain(table_: pa.Table, name: str) -> pa.Array:
-    c = table_.column(name).combine_chunks()
-    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+
+def _lists(columns: dict) -> pa.Table:
+    return pa.table({k: v if isinstance(v, pa.Array) else pa.array([v], pa.list_(pa.int64())) for k, v in columns.items()})
 
 
 class Counts:
-    """Phrases with their counts by slot: shards (shard, sizes, bits, keys, counts)."""
+    """Phrases with their counts by slot: shards (shard, sizes, bits, w1, w2, w3, counts)."""
 
     def __init__(self, shards: DataFrame, number: int):
         self.shards, self.number = shards, number
 
     def frequent(self, least: int) -> DataFrame:
-        """Rows (key, f)."""
-        return self.shards.select(F.explode(F.arrays_zip("keys", "counts")).alias("e")).select(F.col("e.keys").alias("key"), F.col("e.counts").alias("f")).where(F.col("f") >= least)
+        """Rows (w1, w2, w3, f)."""
+        return self.shards.select(F.explode(F.arrays_zip(*NAME, "counts")).alias("e")).select(*[F.col("e")[c].alias(c) for c in NAME], F.col("e.counts").alias("f")).where(F.col("f") >= least)
 
     def read(self, asked: DataFrame) -> DataFrame:
-        """Rows of ``asked`` (with the phrase in ``key``) with its count ``f``."""
-        cols = [c for c in asked.columns if c != "key"]
-        schema = ", ".join(f"{c} {t}" for c, t in asked.drop("key").dtypes) + ", f long"
+        """Rows of ``asked`` (a name and other columns) with the name's count ``f``."""
+        cols = asked.columns
+        schema = ", ".join(f"{c} {t}" for c, t in asked.dtypes) + ", f long"
 
         def look(left, right):
             if not left.num_rows:
                 return pa.table({c: left.column(c) for c in cols} | {"f": pa.array([], pa.int64())})
-            slot = _slots_of(_shard(right), _long(left, "h"), _plain(left, "key"))
-            counts = right.column("counts").chunk(0).flatten().to_numpy()
-            return pa.table({c: left.column(c) for c in cols} | {"f": pa.array(np.where(slot >= 0, counts[slot], 0))})
+            slot = _slots_of(_shard(right), left.column("h").to_numpy(), _named(left))
+            return pa.table({c: left.column(c) for c in cols} | {"f": pa.array(np.where(slot >= 0, _array(right, "counts")[slot], 0))})
 
-        left, right = _routed(asked, asked.count(), self.shards.select("shard", "sizes", "bits", "keys", "counts"), self.number)
+        left, right = _routed(asked, asked.count(), self.shards, self.number)
         return left.cogroup(right).applyInArrow(look, schema)
 
 
 def _routed(rows: DataFrame, total: int, shards: DataFrame, number: int):
     """``rows`` and ``shards`` grouped to meet: a shard is copied for every ROWS rows that it is asked for."""
     salts = max(1, math.ceil(total / number / ROWS))
-    own = rows.withColumn("h", F.xxhash64("key")).withColumn("shard", F.pmod("h", F.lit(number)).cast("int")).withColumn("salt", F.pmod(F.spark_partition_id() + F.col("shard"), F.lit(salts)).cast("int"))
+    own = rows.withColumn("h", F.xxhash64(*NAME)).withColumn("shard", F.pmod("h", F.lit(number)).cast("int")).withColumn("salt", F.pmod(F.spark_partition_id() + F.col("shard"), F.lit(salts)).cast("int"))
     copies = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return own.groupBy("shard", "salt"), copies.groupBy("shard", "salt")
 
 
 def count_phrases(rows: DataFrame, slots: int = SLOTS) -> Counts:
-    """Sum local counts (key, c) by the slots of a minimal perfect hash over the different keys."""
+    """Sum local counts (a name, c) by the slots of a minimal perfect hash over the different names."""
     rows = table(rows, "phrase-counts")
     total = rows.count()
-    keys = table(rows.select("key", F.xxhash64("key").alias("h")).distinct(), "phrase-keys")
+    keys = table(rows.select(*NAME).distinct(), "phrase-keys")
     number = max(1, math.ceil(keys.count() / slots))
 
     def build(key, t):
-        h = t.column("h").to_numpy().view(np.uint64)
+        h, name = t.column("h").to_numpy().view(np.uint64), _named(t)
         first = np.zeros(len(h), bool)
         first[np.unique(h, return_index=True)[1]] = True
         mph = Hash.of(h[first])
         slot = np.empty(len(h), np.int64)
         slot[first] = mph(h[first])
         slot[~first] = mph.slots + np.arange((~first).sum())
-        by_slot = _plain(t, "key").take(pa.array(np.argsort(slot)))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "sizes": pa.array([mph.sizes], pa.list_(pa.int64())), "bits": pa.array([mph.bits]), "keys": pa.array([by_slot.to_pylist()], pa.list_(pa.string()))})
+        order = np.argsort(slot)
+        return _lists({"shard": pa.array([key[0].as_py()], pa.int32()), "sizes": mph.sizes, "bits": pa.array([mph.bits])} | {c: v[order] for c, v in zip(NAME, name)})
 
-    shards = table(keys.withColumn("shard", F.pmod("h", F.lit(number)).cast("int")).groupBy("shard").applyInArrow(build, "shard int, sizes array<long>, bits binary, keys array<string>"), "phrase-shards")
+    lists = ", ".join(f"{c} array<long>" for c in NAME)
+    numbered = keys.withColumn("h", F.xxhash64(*NAME)).withColumn("shard", F.pmod("h", F.lit(number)).cast("int"))
+    shards = table(numbered.groupBy("shard").applyInArrow(build, f"shard int, sizes array<long>, bits binary, {lists}"), "phrase-shards")
 
     def bincount(key, left, right):
         shard = _shard(right)
-        counts = np.zeros(len(shard["keys"]), np.int64)
+        counts = np.zeros(len(shard["keys"][0]), np.int64)
         if left.num_rows:
-            slot = _slots_of(shard, _long(left, "h"), _plain(left, "key"))
-            c = _long(left, "c")
+            slot, c = _slots_of(shard, left.column("h").to_numpy(), _named(left)), left.column("c").to_numpy()
             counts += np.bincount(slot[slot >= 0], weights=c[slot >= 0], minlength=len(counts)).astype(np.int64)  # exact below 2**53
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([counts], pa.list_(pa.int64()))})
+        return _lists({"shard": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([key[1].as_py()], pa.int32()), "counts": counts})
 
     left, right = _routed(rows, total, shards, number)
     arrays = left.cogroup(right).applyInArrow(bincount, "shard int, salt int, counts array<long>")
@@ -199,17 +206,16 @@ def count_phrases(rows: DataFrame, slots: int = SLOTS) -> Counts:
 
 def _sum(key, t):
     counts = np.sum([a.values.to_numpy() for a in t.column("counts")], axis=0, dtype=np.int64)
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([counts], pa.list_(pa.int64()))})
+    return _lists({"shard": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([key[1].as_py()], pa.int32()), "counts": counts})
 
 
 class Lexicon:
-    """Numbers of the words a task has met, each with its language, spelling and hash."""
+    """Numbers of the words a task has met, each with its key (language and spelling) and hash."""
 
-    def __init__(self):
+    def __init__(self, seed: int):
         self.by_lang: dict[str, dict[bytes, int]] = {}
-        self.langs: list[bytes] = []
-        self.words: list[bytes] = []
-        self.hashed = np.empty(0, np.uint64)
+        self.keys: list[bytes] = []
+        self.seed, self.hashed = seed, np.empty(0, np.uint64)
 
     def numbers(self, text: bytes, lang: str) -> np.ndarray:
         """Numbers of a text's words in order, -1 between its pieces and at its end."""
@@ -218,32 +224,26 @@ class Lexicon:
         try:
             out = [memo[p] for p in parts]
         except KeyError:
-            head = lang.encode()
+            head = lang.encode() + b"\t"
             for p in parts:
                 if p not in memo:
-                    memo[p] = len(self.words)
-                    self.langs.append(head)
-                    self.words.append(p)
+                    memo[p] = len(self.keys)
+                    self.keys.append(head + p)
             out = [memo[p] for p in parts]
         n = np.array(out, np.int64)
         return np.append(n[n > -2], -1)
 
     def hashes(self) -> np.ndarray:
-        """A hash per word."""
+        """A hash per word, never 0."""
         import xxhash
 
-        new = [xxhash.xxh3_64_intdigest(w, xxhash.xxh3_64_intdigest(lang)) for lang, w in zip(self.langs[len(self.hashed) :], self.words[len(self.hashed) :])]
-        self.hashed = np.concatenate((self.hashed, np.array(new, np.uint64)))
+        new = np.array([xxhash.xxh3_64_intdigest(k, self.seed) for k in self.keys[len(self.hashed) :]], np.uint64)
+        self.hashed = np.concatenate((self.hashed, np.maximum(new, np.uint64(1))))
         return self.hashed
 
-    def spell(self, phrases: np.ndarray) -> list[bytes]:
-        """Keys of phrases (rows of word numbers)."""
-        langs, words = self.langs, self.words
-        return [langs[p[0]] + b"\t" + b" ".join([words[k] for k in p]) for p in phrases.tolist()]
-
 
-def _blocks(batches, block: int) -> Iterator[tuple[Lexicon, np.ndarray]]:
-    lexicon, parts, size = Lexicon(), [], 0
+def _blocks(batches, seed: int, block: int) -> Iterator[tuple[Lexicon, np.ndarray]]:
+    lexicon, parts, size = Lexicon(seed), [], 0
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
             text = text.as_py()
@@ -253,15 +253,26 @@ def _blocks(batches, block: int) -> Iterator[tuple[Lexicon, np.ndarray]]:
             if size >= block:
                 yield lexicon, np.concatenate(parts)
                 parts, size = [], 0
-                if len(lexicon.words) > MEMO:
-                    lexicon = Lexicon()
+                if len(lexicon.keys) > MEMO:
+                    lexicon = Lexicon(seed)
     if parts:
         yield lexicon, np.concatenate(parts)
 
 
-def _phrases(lexicon: Lexicon, ids: np.ndarray, sieves: list[Bits], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per length the places where phrases start that may be frequent, as far as the sieves know, and their hashes."""
-    words = lexicon.hashes()
+def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from that of all but its last word, and the last one's; :func:`_hash_of` is the same in Spark."""
+    return ((h << np.uint64(31)) | (h >> np.uint64(33))) ^ w
+
+
+def _hash_of(length: int) -> F.Column:
+    h = F.col("w1")
+    for c in NAME[1:length]:
+        h = F.shiftleft(h, 31).bitwiseOR(F.shiftrightunsigned(h, 33)).bitwiseXOR(F.col(c))
+    return h
+
+
+def _phrases(words: np.ndarray, ids: np.ndarray, sieves: list[Bits], longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Per length the places where phrases start that may be frequent, as far as the sieves know."""
     at = np.flatnonzero(ids >= 0)
     h = words[ids[at]]
     for length in range(1, longest + 1):
@@ -271,44 +282,54 @@ def _phrases(lexicon: Lexicon, ids: np.ndarray, sieves: list[Bits], longest: int
             starts[at] = True
             both = starts[at + 1]
             at, h = at[both], h[both]
-            h = (h ^ (h >> np.uint64(29))) * _ODD[3] + words[ids[at + length - 1]] * _ODD[4]
-            h = (h ^ (h >> np.uint64(32))) * _ODD[5]
+            h = _mix(h, words[ids[at + length - 1]])
         if length <= len(sieves) and len(at):
             passed = sieves[length - 1].hit(h)
             at, h = at[passed], h[passed]
-        yield length, at, h
+        yield length, at
 
 
-def _sieve(docs: DataFrame, sieves: list[Bits], least: int, block: int = BLOCK) -> Bits:
-    """The sieve of phrases one word longer than those of the last of ``sieves``."""
-    length = len(sieves) + 1
+def _distinct(ids: np.ndarray, code: np.ndarray, at: np.ndarray, length: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the phrases of a length that start at ``at``: where each first starts, and how many there are. ``code`` tells the phrases at places apart, and is set to those of this length."""
+    whole = ids[at] if length == 1 else code[at] * np.int64(words) + ids[at + length - 1]
+    _, first, same, c = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    code[at] = same
+    return at[first], c
+
+
+def _names(words: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int) -> list[pa.Array]:
+    """Columns of the names of phrases."""
+    zero = np.zeros(len(starts), np.int64)
+    return [pa.array(words[ids[starts + k]].view(np.int64) if k < length else zero) for k in range(len(NAME))]
+
+
+def _spelled(docs: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:
+    """Rows (w1, key, c): words, hash and spelling, with their occurrences in a block."""
 
     def run(batches):
-        for lexicon, ids in _blocks(batches, block):
-            h = [h for _, _, h in _phrases(lexicon, ids, sieves, length)][-1]
-            h, c = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"])
+        for lexicon, ids in _blocks(batches, seed, block):
+            c = np.bincount(ids[ids >= 0], minlength=len(lexicon.keys)) if (ids >= 0).any() else np.zeros(len(lexicon.keys), np.int64)
+            some = np.flatnonzero(c)
+            keys = pa.array([lexicon.keys[i] for i in some], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(lexicon.hashes()[some].view(np.int64)), keys, pa.array(c[some], pa.int64())], names=["w1", "key", "c"])
 
-    sums = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    return Bits(docs.sparkSession, table(sums.select("h"), "phrase-sieve"))
+    return docs.mapInArrow(run, "w1 long, key string, c long")
 
 
-def _occurring(docs: DataFrame, sieves: list[Bits], longest: int, block: int = BLOCK) -> DataFrame:
-    """Rows (key, c): candidates of up to ``longest`` words with their occurrences in a block."""
+def _occurring(docs: DataFrame, seed: int, sieves: list[Bits], shortest: int, longest: int, block: int = BLOCK) -> DataFrame:
+    """Rows (a name, c): phrases of these lengths that may be frequent, with their occurrences in a block."""
 
     def run(batches):
-        for lexicon, ids in _blocks(batches, block):
-            code = np.full(len(ids), -1, np.int64)  # of the phrase that starts at a place: equal for equal phrases
-            for length, at, _ in _phrases(lexicon, ids, sieves, longest):
+        for lexicon, ids in _blocks(batches, seed, block):
+            words, code = lexicon.hashes(), np.full(len(ids), -1, np.int64)
+            for length, at in _phrases(words, ids, sieves, longest):
                 if not len(at):
                     break
-                whole = ids[at] if length == 1 else code[at] * np.int64(len(lexicon.words)) + ids[at + length - 1]
-                _, first, same, c = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-                code[at] = same
-                phrases = np.stack([ids[at[first] + k] for k in range(length)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(lexicon.spell(phrases), pa.binary()).cast(pa.string()), pa.array(c, pa.int64())], names=["key", "c"])
+                starts, c = _distinct(ids, code, at, length, len(words))
+                if length >= shortest:
+                    yield pa.RecordBatch.from_arrays([*_names(words, ids, starts, length), pa.array(c, pa.int64())], names=[*NAME, "c"])
 
-    return docs.mapInArrow(run, "key string, c long")
+    return docs.mapInArrow(run, f"{_NAME_TYPE}, c long")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, covered: int = COVERED) -> DataFrame:
@@ -317,29 +338,53 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     a, l and r are occurrences of the phrase and of both sides of the cut that scores lowest, n all words of the language,
     score floor(1000000 * a * a / (l * r)). A phrase inside a longer candidate with ``covered`` hundredths of its occurrences is left out.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("binary").alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
-    sieves: list[Bits] = []
-    for _ in range(LONGEST - 1):
-        sieves.append(_sieve(texts, sieves, least))
-    counts = count_phrases(_occurring(texts, sieves, LONGEST))
-    phrase = F.substring_index("key", "\t", -1)
-    lang = F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)")
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+"))
-    n = docs.groupBy(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang")).agg(F.sum(words).cast("bigint").alias("n"))
-    found = table(counts.frequent(least).withColumns({"phrase": phrase, "lang": lang}), "phrase-frequent").withColumn("length", F.size(F.split("phrase", " ")))
-    asked = found.where("length > 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("length") - 1)))
-    sides = F.array(F.struct(F.lit("l").alias("side"), F.expr("substring_index(phrase, ' ', k)").alias("part")), F.struct(F.lit("r").alias("side"), F.expr("substring_index(phrase, ' ', k - length)").alias("part")))
-    asked = asked.withColumn("e", F.explode(sides)).select(F.col("key").alias("whole"), F.col("f").alias("a"), "k", "e.side", F.concat("lang", F.lit("\t"), "e.part").alias("part"))
-    answers = table(counts.read(asked.withColumn("key", F.col("part"))), "phrase-cuts")
+    seed = 0
+    while True:
+        words = table(_spelled(texts, seed).groupBy("w1", "key").agg(F.sum("c").alias("c")), "phrase-words")
+        if words.count() == words.select("w1").distinct().count():
+            break
+        seed += 1  # two words have one hash
+    words = words.where(F.col("c") >= least).select("w1", "key")
+    sieves = [Bits(spark, words.select(F.col("w1").alias("h")))]
+    for length in range(2, LONGEST):
+        sums = _occurring(texts, seed, sieves, length, length).groupBy(*NAME[:length]).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+        sieves.append(Bits(spark, table(sums.select(_hash_of(length).alias("h")), "phrase-sieve")))
+    counts = count_phrases(_occurring(texts, seed, sieves, 1, LONGEST))
+    found = table(counts.frequent(least).withColumn("length", sum(F.when(F.col(c) != 0, 1).otherwise(0) for c in NAME)), "phrase-frequent")
+    asked = found.where("length > 1").withColumn("k", F.explode(F.expr("sequence(1, length - 1)")))
+    held = F.filter(F.array(*NAME), lambda w: w != 0)
+    left, right = F.slice(held, F.lit(1), F.col("k")), F.slice(held, F.col("k") + 1, F.lit(LONGEST))
+    asked = asked.withColumn("e", F.explode(F.array(F.struct(F.lit("l").alias("side"), left.alias("part")), F.struct(F.lit("r").alias("side"), right.alias("part")))))
+    whole = F.struct(*NAME).alias("whole")
+    asked = asked.select(whole, F.col("f").alias("a"), "k", "e.side", *[F.coalesce(F.get("e.part", F.lit(i)), F.lit(0)).alias(c) for i, c in enumerate(NAME)])
+    answers = table(counts.read(asked), "phrase-cuts")
     by_side = lambda s: F.max(F.when(F.col("side") == s, F.col("f")))
     cuts = answers.groupBy("whole", "a", "k").agg(by_side("l").alias("l"), by_side("r").alias("r"))
     exact = lambda c: F.col(c).cast("decimal(19,0)")
     # a is at most l and r, so the score is at most 1,000,000; the products have up to 38 digits for counts up to 10**16.
     score = F.expr("cast((cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast(l as decimal(15,0)) * cast(r as decimal(15,0))) as bigint)")
     best = cuts.withColumn("score", score).groupBy("whole", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    longer = answers.where(F.col("part").contains(" ")).groupBy(F.col("part").alias("whole")).agg(F.max("a").alias("around"))
+    part = F.struct(*NAME).alias("whole")
+    longer = answers.where("w2 <> 0").groupBy(part).agg(F.max("a").alias("around"))
     out = best.join(longer, "whole", "left").where(F.col("around").isNull() | (100 * F.col("around") < covered * F.col("a")))
-    out = out.withColumn("key", F.col("whole")).select(lang.alias("lang"), phrase.alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
+    out = _with_spelling(out, words).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     first = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.col("phrase"))  # tasks keep their own first ones before the shuffle
     out = out.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
+    chars = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+"))
+    n = docs.groupBy(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang")).agg(F.sum(chars).cast("bigint").alias("n"))
     return out.join(n, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def _with_spelling(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows with ``lang`` and ``phrase`` of the name in ``whole``. A word of very many phrases is looked up by broadcast."""
+    rows = table(rows, "phrase-rows")
+    places = rows.select("whole", F.posexplode(F.array(*[F.col("whole")[c] for c in NAME])).alias("at", "w1")).where("w1 <> 0")
+    places = table(places, "phrase-places")
+    wanted = places.groupBy("w1").agg(F.count("*").alias("rows")).join(words, "w1")
+    spelled = lookup(places, wanted, ["w1"], "rows", places.count())
+    parts = F.array_sort(F.collect_list(F.struct("at", F.substring_index("key", "\t", -1).alias("word"))))
+    lang = F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)")
+    named = spelled.groupBy("whole").agg(F.array_join(F.transform(parts, lambda p: p["word"]), " ").alias("phrase"), F.any_value(lang).alias("lang"))
+    return rows.join(named, "whole")

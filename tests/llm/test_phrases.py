@@ -75,7 +75,7 @@ def test_shards_salts_and_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(phrases, "FAN_IN", 2)
     count, blocks = phrases.count_phrases, phrases._blocks
     monkeypatch.setattr(phrases, "count_phrases", lambda r: count(r, 40))
-    monkeypatch.setattr(phrases, "_blocks", lambda b, n: blocks(b, 100))
+    monkeypatch.setattr(phrases, "_blocks", lambda b, seed, n: blocks(b, seed, 100))
     monkeypatch.setattr(phrases, "MEMO", 50)
     assert held(phrases.collocations(d)) == want
 
@@ -91,10 +91,34 @@ def test_hash_is_minimal_and_perfect(n):
 def test_a_stranger_has_no_slot_and_a_twin_has_its_own():
     h = np.array([5, 9, 13], np.uint64)
     m = phrases.Hash.of(h)
-    keys = [None] * 3
-    for k, s in zip(["five", "nine", "thirteen"], m(h)):
-        keys[s] = k
-    shard = {"sizes": m.sizes, "bits": m.bits, "keys": pa.array([*keys, "nine too"])}
-    asked = pa.array(["nine", "nine too", "other", "five", "stranger"])
+    slot = m(h)
+    own = np.zeros((3, 4), np.int64)
+    own[0, slot], own[1, slot] = [50, 90, 130], [51, 91, 0]
+    own[:, 3] = [92, 93, 0]  # has the hash of (90, 91)
+    shard = {"sizes": m.sizes, "bits": m.bits, "keys": list(own)}
+    asked = [np.array(c) for c in ([90, 92, 94, 50, 1], [91, 93, 0, 51, 2], [0, 0, 0, 0, 0])]
     got = phrases._slots_of(shard, np.array([9, 9, 9, 5, 77], np.int64), asked)
-    assert list(got) == [keys.index("nine"), 3, -1, keys.index("five"), -1]
+    assert list(got) == [slot[1], 3, -1, slot[0], -1]
+
+
+def test_words_with_one_hash_get_another_seed(spark, monkeypatch):
+    rows = planted(4, 40)
+    hashes = phrases.Lexicon.hashes
+
+    def clashing(self):
+        out = hashes(self)
+        return np.where(np.isin(self.keys, [b"en\tyork", b"en\tcity"]), np.uint64(7), out) if self.seed == 0 else out
+
+    monkeypatch.setattr(phrases.Lexicon, "hashes", clashing)
+    d = spark.createDataFrame(rows, "text string, lang string")
+    assert held(phrases.collocations(d)) == brute(rows)
+
+
+def test_hash_of_a_name_is_that_of_spark(spark):
+    w = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, (3, 50), dtype=np.int64)
+    d = spark.createDataFrame([tuple(map(int, r)) for r in w.T], "w1 long, w2 long, w3 long").select("w1", phrases._hash_of(2).alias("two"), phrases._hash_of(3).alias("three"))
+    got = {r.w1: (r.two, r.three) for r in d.collect()}
+    u = w.view(np.uint64)
+    two = phrases._mix(u[0], u[1])
+    three = phrases._mix(two, u[2])
+    assert got == {int(a): (int(b), int(c)) for a, b, c in zip(w[0], two.view(np.int64), three.view(np.int64))}
