@@ -14,13 +14,39 @@ from pyspark.sql import functions as F
 _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def _opens_word(rest: str) -> bool:
+    """Whether what ``rest`` of a pattern matches can only begin with a word character; of groups every alternative must."""
+    group = re.match(r"\((?:\?:)?", rest)
+    if not group:
+        return re.match(r"[A-Za-z0-9_](?![?*{])", rest) is not None
+    depth, in_class, at = 1, False, group.end()
+    if not _opens_word(rest[at:]):
+        return False
+    while at < len(rest) and depth:
+        c = rest[at]
+        if c == "\\":
+            at += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and depth == 1 and not _opens_word(rest[at + 1 :]):
+            return False
+        at += 1
+    return rest[at : at + 1] not in ("?", "*", "{")
+
+
 def java(pattern: str, flags: str = "") -> str:
     """The Java form of a pattern; ``flags`` of ``i`` and ``m``."""
 
     def edge(m: re.Match) -> str:
         if m[0] != r"\b":
             return m[0]
-        if re.match(r"(?:\(\?:|\()*[A-Za-z0-9_]", pattern[m.end() :]):  # what follows is a word character: only the other side is open
+        if _opens_word(pattern[m.end() :]):  # what follows is a word character: only the other side is open
             return "(?<![A-Za-z0-9_])"
         if re.search(r"(?<!\\)[A-Za-z0-9_]$", pattern[: m.start()]):
             return "(?![A-Za-z0-9_])"

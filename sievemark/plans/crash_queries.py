@@ -57,9 +57,10 @@ _PLACEHOLDER, _GOOD = f"({d_found('f', *R.PLACEHOLDER)} OR {d_found('f', *R.NOT_
 _UNRANGED = rf"regexp_extract(list_filter({_all('t', R.REGION, 0)}, lambda m: right(m, 1) <> '[')[1], '(\d+)$', 1)"
 _ROW = duck(*R.SHADOW_ROW)
 
-#: Rows of markers, each from the rows that it is about: frames, numbers, registers, mappings, grid rows, threads.
-_SQL = rf"""
-    WITH t AS {_T},
+def traces_sql(source: str) -> str:
+    """CTEs over a source of (doc_id, t) up to ``markers`` and ``traces``: rows of markers, each from the rows that it is about: frames, numbers, registers, mappings, grid rows, threads."""
+    return rf"""
+    WITH t AS {source},
     frames AS (SELECT doc_id, unnest(l) AS f, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {_all('t', R.FRAME, 0)} AS l FROM t)),
     counts AS (
         SELECT doc_id, count(*) AS frames, count(*) FILTER (WHERE {_PLACEHOLDER}) AS placeholders, count(*) FILTER (WHERE NOT {_PLACEHOLDER} AND {_GOOD}) AS good FROM frames GROUP BY 1),
@@ -115,14 +116,14 @@ _SQL = rf"""
         FROM t LEFT JOIN counts USING (doc_id) LEFT JOIN marked USING (doc_id))"""
 
 
-@query(f"{_SQL} SELECT * FROM traces")
+@query(f"{traces_sql(_T)} SELECT * FROM traces")
 def crash_traces(spark, sf_dir):
     trace = crash.evaluate(F.col("text"))
     out = traced(spark, sf_dir).withColumn("x", trace)
     return out.select("doc_id", "x.frames", "x.good", "x.placeholders", "x.stripped", F.array_join(F.array_sort("x.markers"), ",").alias("markers"), "x.fabricated")
 
 
-@query(f"{_SQL} SELECT marker, count(*) AS texts, count(*) FILTER (WHERE fabricated) AS fabricated FROM markers JOIN traces USING (doc_id) GROUP BY 1")
+@query(f"{traces_sql(_T)} SELECT marker, count(*) AS texts, count(*) FILTER (WHERE fabricated) AS fabricated FROM markers JOIN traces USING (doc_id) GROUP BY 1")
 def crash_marker_counts(spark, sf_dir):
     out = traced(spark, sf_dir).select(crash.evaluate(F.col("text")).alias("x")).select(F.explode("x.markers").alias("marker"), "x.fabricated")
     return out.groupBy("marker").agg(F.count("*").alias("texts"), F.sum(F.col("fabricated").cast("bigint")).alias("fabricated"))

@@ -135,8 +135,10 @@ def _prose() -> str:
 
 _MARK_CODES = ", ".join(str(ord(c)) for c in H.MARKS)
 _FIRST_CODES = ", ".join(str(ord(c)) for c in H._FIRST.values())
-_BASE = rf"""
-    raw AS {_T}, t AS (SELECT doc_id, {_CLEAN} AS t FROM raw),
+def _base(source: str) -> str:
+    """CTEs over a source of (doc_id, t): written-out messages, requests with their headers, and the text with prose crossed out."""
+    return rf"""
+    raw AS {source}, t AS (SELECT doc_id, {_CLEAN} AS t FROM raw),
     written AS (
         SELECT doc_id, t, array_to_string(list_transform(list_concat({_all('t', (R.SINGLE_QUOTED_RE2, ''), 2)}, {_all('t', R.DOUBLE_QUOTED, 1)}, {_all('t', R.ANSI_QUOTED, 1)}), lambda b: {_unescaped('b')}), chr(10) || chr(10)) AS f FROM t),
     whole AS (SELECT doc_id, t, CASE WHEN f = '' THEN t ELSE t || chr(10) || chr(10) || f END AS a FROM written),
@@ -161,26 +163,29 @@ _CREDENTIALS = rf"""
         SELECT doc_id, CASE WHEN name IN {R.AUTHORIZATION} THEN CASE WHEN {d_found('v', *R.BEARER)} THEN CASE WHEN three THEN bad ELSE {_flat('token')} END WHEN {d_found('v', *R.BASIC)} THEN coalesce({d_found('basic', *R.BASIC_PLACEHOLDER)}, false) ELSE false END
             WHEN name IN {R.COOKIES} THEN len(held) > 0 AND len(list_filter(held, lambda s: NOT {_flat('s')})) = 0 ELSE {_flat('v')} END AS fake FROM cookies)"""
 
-_REQUESTS = rf"""
-    WITH {_BASE},
+def requests_sql(source: str, strict: bool = False) -> str:
+    framing = f"WHEN framed AND NOT crlf AND headers >= {R.FEWEST_HEADERS} THEN 'missing_crlf'" if strict else ""
+    return rf"""
+    WITH {_base(source)},
     {_CREDENTIALS},
     lengths AS (SELECT doc_id, i, arg_max(value, j) FILTER (WHERE name = 'transfer-encoding') AS te, arg_max(value, j) FILTER (WHERE name = 'content-length') AS cl FROM req_headers GROUP BY 1, 2),
     by_length AS (SELECT doc_id, count(*) AS conflicts, count(*) FILTER (WHERE NOT {d_found('te', *R.CHUNKED)} OR NOT {d_found('cl', *R.LENGTH)}) AS broken FROM lengths WHERE te IS NOT NULL AND cl IS NOT NULL GROUP BY 1),
     by_header AS (SELECT doc_id, count(*) AS headers, count(*) FILTER (WHERE {_hollow('value')}) AS placeholder_headers FROM req_headers GROUP BY 1),
     by_credential AS (SELECT doc_id, count(*) AS credentials, count(*) FILTER (WHERE fake) AS fake_credentials FROM judged GROUP BY 1),
     by_request AS (
-        SELECT doc_id, count(*) AS requests, count(*) FILTER (WHERE {_BODY}) AS placeholder_bodies, bool_or(contains(line || head, chr(13) || chr(10)) AND length(line || head) - length(replace(line || head, chr(10), '')) >= 2) AS crlf FROM req GROUP BY 1),
+        SELECT doc_id, count(*) AS requests, count(*) FILTER (WHERE {_BODY}) AS placeholder_bodies, bool_or(contains(line || head, chr(13) || chr(10)) AND length(line || head) - length(replace(line || head, chr(10), '')) >= 2) AS crlf,
+               bool_or(length(line || head) - length(replace(line || head, chr(10), '')) >= 2) AS framed FROM req GROUP BY 1),
     counted AS (
-        SELECT t.doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("requests", "headers", "placeholder_headers", "conflicts", "broken", "credentials", "fake_credentials", "placeholder_bodies"))}, x.n AS prose_payloads, coalesce(crlf, false) AS crlf
+        SELECT t.doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("requests", "headers", "placeholder_headers", "conflicts", "broken", "credentials", "fake_credentials", "placeholder_bodies"))}, x.n AS prose_payloads, coalesce(crlf, false) AS crlf, coalesce(framed, false) AS framed
         FROM t JOIN crossed x USING (doc_id) LEFT JOIN by_request USING (doc_id) LEFT JOIN by_header USING (doc_id) LEFT JOIN by_length USING (doc_id) LEFT JOIN by_credential USING (doc_id)),
     told AS (
-        SELECT *, CASE WHEN headers >= {R.FEWEST_HEADERS} AND 100 * placeholder_headers >= {R.PLACEHOLDER_SHARE} * headers THEN 'placeholder_headers' WHEN conflicts > 0 AND broken = conflicts THEN 'broken_te_cl_conflict'
+        SELECT *, CASE WHEN headers >= {R.FEWEST_HEADERS} AND 100 * placeholder_headers >= {R.PLACEHOLDER_SHARE} * headers THEN 'placeholder_headers' WHEN conflicts > 0 AND broken = conflicts THEN 'broken_te_cl_conflict' {framing}
             WHEN headers >= {R.NONE_REAL} AND placeholder_headers = headers THEN 'no_real_header_values' WHEN fake_credentials > 0 THEN 'fake_credential_token'
             WHEN placeholder_bodies > 0 AND placeholder_bodies = requests THEN 'placeholder_body' ELSE '' END AS signal FROM counted)
-    SELECT *, signal <> '' AS fake FROM told"""
+    SELECT * EXCLUDE (framed), signal <> '' AS fake FROM told"""
 
 
-@query(_REQUESTS)
+@query(requests_sql(_T))
 def raw_http_requests(spark, sf_dir):
     return pasted(spark, sf_dir).select("doc_id", H.evaluate_requests(F.col("text")).alias("x")).select("doc_id", "x.*")
 
@@ -203,8 +208,10 @@ def _lacks(*names: str) -> str:
     return " AND ".join(f"NOT list_contains(names, '{n}')" for n in names)
 
 
-_RESPONSES = rf"""
-    raw AS {_T}, t AS (SELECT doc_id, {_CLEAN} AS t FROM raw),
+def _responses(source: str) -> str:
+    """CTEs over a source of (doc_id, t): responses, and which of them are fake (``flagged``)."""
+    return rf"""
+    raw AS {source}, t AS (SELECT doc_id, {_CLEAN} AS t FROM raw),
     {_messages('res', 't', 't', R.RESPONSE)},
     named AS (SELECT doc_id, i, list(name) AS names, count(*) AS headers FROM res_headers GROUP BY 1, 2),
     bodies AS (SELECT r.*, names, headers, {_trim('body')} AS b FROM res r JOIN named USING (doc_id, i)),
@@ -217,7 +224,7 @@ _KINDS = ("missing_date_header", "missing_incidental_headers", "missing_server_h
 
 
 @query(rf"""
-    WITH {_RESPONSES},
+    WITH {_responses(_T)},
     summed AS (
         SELECT doc_id, count(*) AS responses, count(*) FILTER (WHERE fake) AS flagged, CAST(sum(headers) AS BIGINT) AS headers, {", ".join(f"count(*) FILTER (WHERE {k}) AS {a}" for k, a in (("missing_date_header", "missing_date"), ("missing_server_header", "missing_server"), ("suspicious_json_body", "suspicious_json"), ("missing_incidental_headers", "missing_incidentals")))},
                bool_or(fake) AS fake, concat_ws(',', {", ".join(f"CASE WHEN bool_or(fake AND {k}) THEN '{k}' END" for k in _KINDS)}) AS signals FROM flagged GROUP BY 1)
@@ -232,28 +239,38 @@ _SPACES = "repeat(' ', length({0}))"
 _CODE = f"s[1] || array_to_string(list_transform(range(1, len(c) + 1), lambda i: c[i] || {_SPACES.format('s[i + 1]')}), '')"
 
 
-@query(rf"""
-    WITH {_BASE},
+def stripped_sql(source: str) -> str:
+    """(doc_id, t, f, n, kept): a text, its messages written out, how much prose was crossed out, and what is left."""
+    return rf"""
+    WITH {_base(source)},
     rebuilt AS (
         SELECT p.doc_id, substr(any_value(p.parts[1]) || coalesce(string_agg(line || head || gap || CASE WHEN {_BODY} THEN {_SPACES.format('body')} ELSE body END || rest, '' ORDER BY i), ''), 1, length(any_value(w.t))) AS bodies
         FROM req_parts p JOIN whole w USING (doc_id) LEFT JOIN req r USING (doc_id) GROUP BY 1),
     masks AS (SELECT doc_id, {_SPACES.format('s[1]')} || substr({_CODE}, length(s[1]) + 1) AS code FROM (SELECT doc_id, {_all('t', R.CODE)} AS c, string_split_regex(t, {duck(*R.CODE)}) AS s FROM t)),
     left_over AS (
-        SELECT doc_id, w.t, f, CASE WHEN n = 0 THEN bodies ELSE array_to_string(list_transform(range(1, length(w.t) + 1), lambda k: CASE WHEN ord(ms[k]) IN ({_MARK_CODES}) OR cs[k] = ' ' THEN ' ' ELSE bs[k] END), '') END AS kept
+        SELECT doc_id, w.t, f, n, CASE WHEN n = 0 THEN bodies ELSE array_to_string(list_transform(range(1, length(w.t) + 1), lambda k: CASE WHEN ord(ms[k]) IN ({_MARK_CODES}) OR cs[k] = ' ' THEN ' ' ELSE bs[k] END), '') END AS kept
         FROM (SELECT doc_id, n, bodies, string_split(m, '') AS ms, string_split(code, '') AS cs, string_split(bodies, '') AS bs FROM crossed JOIN rebuilt USING (doc_id) JOIN masks USING (doc_id)) JOIN written w USING (doc_id))
-    SELECT doc_id, md5(kept) AS kept_md5, length(kept) = length(t) AS same_length, md5(f) AS written_md5, CAST(length(regexp_replace(kept, '\s', '', 'g')) AS BIGINT) AS kept_chars FROM left_over""")
+    SELECT * FROM left_over"""
+
+
+@query(rf"SELECT doc_id, md5(kept) AS kept_md5, length(kept) = length(t) AS same_length, md5(f) AS written_md5, CAST(length(regexp_replace(kept, '\s', '', 'g')) AS BIGINT) AS kept_chars FROM ({stripped_sql(_T)})")
 def placeholders_stripped(spark, sf_dir):
     d = pasted(spark, sf_dir).withColumn("kept", H.strip_placeholders(F.col("text"))).withColumn("f", H.fragments(H._clean(F.col("text"))))
     return d.select("doc_id", F.md5("kept").alias("kept_md5"), (F.length("kept") == F.length("text")).alias("same_length"), F.md5("f").alias("written_md5"), F.length(F.regexp_replace("kept", r"[ \t\n\r\f]", "")).cast("bigint").alias("kept_chars"))
 
 
-@query(rf"""
-    WITH {_RESPONSES},
+def answered_sql(source: str) -> str:
+    """(doc_id, fake, kept): whether a text has a fake response, and the text without such."""
+    return rf"""
+    WITH {_responses(source)},
     shown AS (SELECT *, line || CASE WHEN gap = '' THEN regexp_extract(head, {duck(*R.BEFORE_FENCE)}, 1) ELSE head || gap || body END AS shown FROM res),
     left_over AS (
-        SELECT p.doc_id, any_value(p.parts[1]) || coalesce(string_agg(CASE WHEN coalesce(f.fake, false) THEN {_SPACES.format('s.shown')} || substr(s.part, length(s.shown) + 1) ELSE s.part END, '' ORDER BY s.i), '') AS kept
+        SELECT p.doc_id, any_value(p.parts[1]) || coalesce(string_agg(CASE WHEN coalesce(f.fake, false) THEN {_SPACES.format('s.shown')} || substr(s.part, length(s.shown) + 1) ELSE s.part END, '' ORDER BY s.i), '') AS kept, coalesce(bool_or(f.fake), false) AS fake
         FROM res_parts p LEFT JOIN shown s USING (doc_id) LEFT JOIN flagged f ON f.doc_id = s.doc_id AND f.i = s.i GROUP BY 1)
-    SELECT doc_id, md5(kept) AS kept_md5, CAST(length(regexp_replace(kept, '\s', '', 'g')) AS BIGINT) AS kept_chars FROM left_over""")
+    SELECT * FROM left_over"""
+
+
+@query(rf"SELECT doc_id, md5(kept) AS kept_md5, CAST(length(regexp_replace(kept, '\s', '', 'g')) AS BIGINT) AS kept_chars FROM ({answered_sql(_T)})")
 def fake_responses_stripped(spark, sf_dir):
     d = pasted(spark, sf_dir).withColumn("kept", H.strip_fake_responses(F.col("text")))
     return d.select("doc_id", F.md5("kept").alias("kept_md5"), F.length(F.regexp_replace("kept", r"[ \t\n\r\f]", "")).cast("bigint").alias("kept_chars"))

@@ -66,14 +66,19 @@ _LACKS = lambda k: " OR ".join(f"(family = '{n}' AND NOT {d_found('t', ps[k], 'i
 _FIELD = lambda k: f"coalesce(string_split(list_filter(string_split(v, '/'), lambda p: regexp_matches(p, '^{k}:[^:]'))[-1], ':')[2], '')"
 
 
-@query(f"""
-    WITH a AS (SELECT *, {_FAMILY} AS family, regexp_extract(t, {duck(*R.CVSS_VECTOR)}, 1) AS v FROM {_CLAIMED}),
+def coherence_sql(source: str) -> str:
+    """(doc_id, family, issues, penalty) over a source of (doc_id, t, family)."""
+    return f"""
+    WITH a AS (SELECT *, regexp_extract(t, {duck(*R.CVSS_VECTOR)}, 1) AS v FROM {source}),
     b AS (SELECT *, {_FIELD('UI')} AS ui, {_FIELD('AV')} AS av, {_FIELD('PR')} AS pr, TRY_CAST(CASE WHEN v = '' THEN regexp_extract(t, {duck(*R.CVSS_SCORE)}, 1) ELSE regexp_extract(t, {duck(*R.CVSS_SCORE_FAR)}, 1) END AS DOUBLE) AS base FROM a),
     c AS (SELECT doc_id, family, CASE WHEN {_LACKS(0)} THEN 6 ELSE 0 END AS impact, CASE WHEN {_LACKS(1)} THEN 8 ELSE 0 END AS repro,
         CASE WHEN (family = 'WEB_CLIENT' AND ui = 'N' AND {d_found('t', *R.XSS_WORDS)}) OR (family = 'MEMORY_CORRUPTION' AND av NOT IN ('', 'N', 'L')) THEN 5 WHEN family = 'AUTHN_AUTHZ' AND pr = 'N' AND {d_found('t', *R.POWER_WORDS)} THEN 4 ELSE 0 END AS odd,
         CASE WHEN family <> 'FLAT' AND base >= 9 AND {d_found('t', *R.HEDGED)} THEN 6 ELSE 0 END AS hedged FROM b)
     SELECT doc_id, family, concat_ws(',', CASE WHEN impact > 0 THEN 'FAMILY_VS_IMPACT' END, CASE WHEN repro > 0 THEN 'FAMILY_VS_REPRO' END, CASE WHEN odd > 0 THEN 'CVSS_VS_FAMILY' END, CASE WHEN hedged > 0 THEN 'CVSS_VS_LANGUAGE' END) AS issues,
-        CAST(impact + repro + odd + hedged AS BIGINT) AS penalty FROM c""")
+        CAST(impact + repro + odd + hedged AS BIGINT) AS penalty FROM c"""
+
+
+@query(coherence_sql(f"(SELECT *, {_FAMILY} AS family FROM {_CLAIMED})"))
 def coherence_issues(spark, sf_dir):
     """The family is dealt by id, so that each meets each text of ours."""
     names = F.array(*[F.lit(n) for n in R.FAMILIES], F.lit("FLAT"))
