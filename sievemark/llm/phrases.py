@@ -8,15 +8,17 @@ words' 64-bit hashes; all words of the corpus are checked to have hashes of
 their own (another seed is taken otherwise), so names are exact and texts are
 needed for words only.
 
-A minimal perfect hash gives every candidate of any length a slot. It is built in
-shards of bounded size, each with its keys (the names) stored by slot: a phrase
-that is not the key in its slot is not counted there. What tasks have counted of
-a block is routed to the shards, where numpy arrays are bincounted by slot and
-summed up a tree. Counts of both sides of every cut are read by slot likewise.
+A minimal perfect hash gives every candidate of any length a slot, and its key
+(the name) is stored there: a phrase that is not the key in its slot is not
+counted. Up to :data:`HELD` candidates every task has the hash and bincounts a
+numpy array, and arrays are summed up a tree. Beyond, the hash is built in shards
+of bounded size, and what tasks have counted of a block is routed to the shards,
+bincounted there and summed up a tree as well. Counts of both sides of every cut
+are read by slot, of the array or of the shards.
 
 A shard's rows are dealt over as many tasks as they need, so a phrase or word
 with a third of all rows is spread, and tasks pre-aggregate a block of
-:data:`BLOCK` words before the shuffle.
+:data:`BLOCK` words before any shuffle.
 
 Defined results: a null text is the empty one; a null lang is ``und`` and one
 with the language of that name; repeated rows count each; an empty table gives
@@ -43,6 +45,8 @@ COVERED = 50
 BLOCK, MEMO = 2_000_000, 500_000
 #: Slots of a shard, rows that meet a shard in one task, arrays that meet in a node of the tree.
 SLOTS, ROWS, FAN_IN = 1 << 17, 1 << 20, 16
+#: Candidates that every task can hold: 24 bytes of name, 8 of count and a few bits each, so some 140 MB.
+HELD = 1 << 22
 
 _SPLIT = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 _ODD = np.random.default_rng(20240611).integers(0, 1 << 63, size=6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,6 +136,84 @@ def _lists(columns: dict) -> pa.Table:
     return pa.table({k: v if isinstance(v, pa.Array) else pa.array([v], pa.list_(pa.int64())) for k, v in columns.items()})
 
 
+def _key_hash(name: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(name[0]), np.uint64)
+    for c in name:
+        h = (h ^ (h >> np.uint64(31))) * _ODD[3] + c.view(np.uint64) * _ODD[4]
+    return (h ^ (h >> np.uint64(32))) * _ODD[5]
+
+
+def _by_slot(h: np.ndarray, name: list[np.ndarray]) -> dict:
+    """Minimal perfect hash of different names with their hashes, and the names by slot."""
+    first = np.zeros(len(h), bool)
+    first[np.unique(h, return_index=True)[1]] = True
+    mph = Hash.of(h[first])
+    slot = np.empty(len(h), np.int64)
+    slot[first] = mph(h[first])
+    slot[~first] = mph.slots + np.arange((~first).sum())
+    order = np.argsort(slot)
+    return {"sizes": mph.sizes, "bits": mph.bits, "keys": [c[order] for c in name]}
+
+
+class Held:
+    """Counts of phrases in one array by the slots of a hash that every task has; at most HELD of them."""
+
+    def __init__(self, keys: DataFrame, texts: DataFrame, seed: int, sieves: list[Bits]):
+        self.spark = keys.sparkSession
+        got = keys.toArrow()
+        name = [np.ascontiguousarray(got.column(c).to_numpy()) for c in NAME]
+        self.size = len(name[0])
+        self.hash = self.spark.sparkContext.broadcast(_by_slot(_key_hash(name), name))
+        self.counts = self.spark.sparkContext.broadcast(self._count(texts, seed, sieves))
+
+    def _count(self, texts: DataFrame, seed: int, sieves: list[Bits]) -> np.ndarray:
+        held, size, step = self.hash, self.size, SLOTS
+
+        def run(batches):
+            from pyspark import TaskContext
+
+            counts = np.zeros(size, np.int64)
+            for lexicon, ids in _blocks(batches, seed, BLOCK):
+                for name, c in _block_names(lexicon, ids, sieves, 1, LONGEST):
+                    slot = _slots_of(held.value, _key_hash(name), name)
+                    counts += np.bincount(slot[slot >= 0], weights=c[slot >= 0], minlength=size).astype(np.int64)  # exact below 2**53
+            for k, at in enumerate(range(0, size, step)):
+                part = counts[at : at + step]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([part], pa.list_(pa.int64()))], names=["shard", "salt", "counts"])
+
+        arrays = texts.mapInArrow(run, "shard int, salt int, counts array<long>")
+        out = np.zeros(size, np.int64)
+        for r in _tree_sum(arrays, texts.rdd.getNumPartitions()).toArrow().to_pylist():
+            at = r["shard"] * step
+            out[at : at + len(r["counts"])] = r["counts"]
+        return out
+
+    def frequent(self, least: int) -> DataFrame:
+        held, counts = self.hash, self.counts
+
+        def run(batches):
+            for batch in batches:
+                at = batch.column(0).to_numpy()
+                at = at[counts.value[at] >= least]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[at]) for c in held.value["keys"]], pa.array(counts.value[at])], names=[*NAME, "f"])
+
+        return self.spark.range(self.size).mapInArrow(run, f"{_NAME_TYPE}, f long")
+
+    def read(self, asked: DataFrame) -> DataFrame:
+        """Rows of ``asked`` (a name and other columns) with the name's count ``f``."""
+        held, counts = self.hash, self.counts
+
+        def run(batches):
+            for batch in batches:
+                name = [batch.column(c).to_numpy() for c in NAME]
+                slot = _slots_of(held.value, _key_hash(name), name)
+                f = np.where(slot >= 0, counts.value[slot], 0) if len(slot) else slot
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f)], names=[*batch.schema.names, "f"])
+
+        return asked.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in asked.dtypes) + ", f long")
+
+
 class Counts:
     """Phrases with their counts by slot: shards (shard, sizes, bits, w1, w2, w3, counts)."""
 
@@ -165,23 +247,15 @@ def _routed(rows: DataFrame, total: int, shards: DataFrame, number: int):
     return own.groupBy("shard", "salt"), copies.groupBy("shard", "salt")
 
 
-def count_phrases(rows: DataFrame, slots: int = SLOTS) -> Counts:
-    """Sum local counts (a name, c) by the slots of a minimal perfect hash over the different names."""
+def count_phrases(rows: DataFrame, keys: DataFrame, slots: int = SLOTS) -> Counts:
+    """Sum local counts (a name, c) by the slots of a minimal perfect hash over ``keys``, different names, in shards."""
     rows = table(rows, "phrase-counts")
     total = rows.count()
-    keys = table(rows.select(*NAME).distinct(), "phrase-keys")
     number = max(1, math.ceil(keys.count() / slots))
 
     def build(key, t):
-        h, name = t.column("h").to_numpy().view(np.uint64), _named(t)
-        first = np.zeros(len(h), bool)
-        first[np.unique(h, return_index=True)[1]] = True
-        mph = Hash.of(h[first])
-        slot = np.empty(len(h), np.int64)
-        slot[first] = mph(h[first])
-        slot[~first] = mph.slots + np.arange((~first).sum())
-        order = np.argsort(slot)
-        return _lists({"shard": pa.array([key[0].as_py()], pa.int32()), "sizes": mph.sizes, "bits": pa.array([mph.bits])} | {c: v[order] for c, v in zip(NAME, name)})
+        shard = _by_slot(t.column("h").to_numpy().view(np.uint64), _named(t))
+        return _lists({"shard": pa.array([key[0].as_py()], pa.int32()), "sizes": shard["sizes"], "bits": pa.array([shard["bits"]])} | dict(zip(NAME, shard["keys"])))
 
     lists = ", ".join(f"{c} array<long>" for c in NAME)
     numbered = keys.withColumn("h", F.xxhash64(*NAME)).withColumn("shard", F.pmod("h", F.lit(number)).cast("int"))
@@ -197,11 +271,16 @@ def count_phrases(rows: DataFrame, slots: int = SLOTS) -> Counts:
 
     left, right = _routed(rows, total, shards, number)
     arrays = left.cogroup(right).applyInArrow(bincount, "shard int, salt int, counts array<long>")
-    salts = max(1, math.ceil(total / number / ROWS))
+    arrays = _tree_sum(arrays, max(1, math.ceil(total / number / ROWS)))
+    return Counts(table(shards.join(arrays.drop("salt"), "shard"), "phrase-slots"), number)
+
+
+def _tree_sum(arrays: DataFrame, salts: int) -> DataFrame:
+    """Arrays (shard, salt, counts) summed until there is one a shard, FAN_IN at a time."""
     while salts > 1:
         arrays = arrays.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int")).groupBy("shard", "salt").applyInArrow(_sum, "shard int, salt int, counts array<long>")
         salts = math.ceil(salts / FAN_IN)
-    return Counts(table(shards.join(arrays.drop("salt"), "shard"), "phrase-slots"), number)
+    return arrays
 
 
 def _sum(key, t):
@@ -297,10 +376,21 @@ def _distinct(ids: np.ndarray, code: np.ndarray, at: np.ndarray, length: int, wo
     return at[first], c
 
 
-def _names(words: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int) -> list[pa.Array]:
+def _names(words: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
     """Columns of the names of phrases."""
     zero = np.zeros(len(starts), np.int64)
-    return [pa.array(words[ids[starts + k]].view(np.int64) if k < length else zero) for k in range(len(NAME))]
+    return [words[ids[starts + k]].view(np.int64) if k < length else zero for k in range(len(NAME))]
+
+
+def _block_names(lexicon: Lexicon, ids: np.ndarray, sieves: list[Bits], shortest: int, longest: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Names and numbers of a block's phrases that may be frequent, a length at a time."""
+    words, code = lexicon.hashes(), np.full(len(ids), -1, np.int64)
+    for length, at in _phrases(words, ids, sieves, longest):
+        if not len(at):
+            return
+        starts, c = _distinct(ids, code, at, length, len(words))
+        if length >= shortest:
+            yield _names(words, ids, starts, length), c
 
 
 def _spelled(docs: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:
@@ -321,13 +411,8 @@ def _occurring(docs: DataFrame, seed: int, sieves: list[Bits], shortest: int, lo
 
     def run(batches):
         for lexicon, ids in _blocks(batches, seed, block):
-            words, code = lexicon.hashes(), np.full(len(ids), -1, np.int64)
-            for length, at in _phrases(words, ids, sieves, longest):
-                if not len(at):
-                    break
-                starts, c = _distinct(ids, code, at, length, len(words))
-                if length >= shortest:
-                    yield pa.RecordBatch.from_arrays([*_names(words, ids, starts, length), pa.array(c, pa.int64())], names=[*NAME, "c"])
+            for name, c in _block_names(lexicon, ids, sieves, shortest, longest):
+                yield pa.RecordBatch.from_arrays([*[pa.array(n) for n in name], pa.array(c, pa.int64())], names=[*NAME, "c"])
 
     return docs.mapInArrow(run, f"{_NAME_TYPE}, c long")
 
@@ -348,10 +433,18 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         seed += 1  # two words have one hash
     words = words.where(F.col("c") >= least).select("w1", "key")
     sieves = [Bits(spark, words.select(F.col("w1").alias("h")))]
-    for length in range(2, LONGEST):
-        sums = _occurring(texts, seed, sieves, length, length).groupBy(*NAME[:length]).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-        sieves.append(Bits(spark, table(sums.select(_hash_of(length).alias("h")), "phrase-sieve")))
-    counts = count_phrases(_occurring(texts, seed, sieves, 1, LONGEST))
+    none = F.lit(0).cast("bigint")
+    keys = words.select("w1", none.alias("w2"), none.alias("w3"))
+    for length in range(2, LONGEST + 1):
+        sums = _occurring(texts, seed, sieves, length, length).groupBy(*NAME).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+        level = table(sums.select(*NAME), "phrase-sieve")
+        keys = keys.unionByName(level)
+        if length < LONGEST:
+            sieves.append(Bits(spark, level.select(_hash_of(length).alias("h"))))
+    if keys.count() <= HELD:
+        counts = Held(keys, texts, seed, sieves)
+    else:
+        counts = count_phrases(_occurring(texts, seed, sieves, 1, LONGEST), keys)
     found = table(counts.frequent(least).withColumn("length", sum(F.when(F.col(c) != 0, 1).otherwise(0) for c in NAME)), "phrase-frequent")
     asked = found.where("length > 1").withColumn("k", F.explode(F.expr("sequence(1, length - 1)")))
     held = F.filter(F.array(*NAME), lambda w: w != 0)
@@ -362,8 +455,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     answers = table(counts.read(asked), "phrase-cuts")
     by_side = lambda s: F.max(F.when(F.col("side") == s, F.col("f")))
     cuts = answers.groupBy("whole", "a", "k").agg(by_side("l").alias("l"), by_side("r").alias("r"))
-    exact = lambda c: F.col(c).cast("decimal(19,0)")
-    # a is at most l and r, so the score is at most 1,000,000; the products have up to 38 digits for counts up to 10**16.
+    # a is at most l and r, so the score is at most 1,000,000; the products have up to 37 digits for counts below 10**15.
     score = F.expr("cast((cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast(l as decimal(15,0)) * cast(r as decimal(15,0))) as bigint)")
     best = cuts.withColumn("score", score).groupBy("whole", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     part = F.struct(*NAME).alias("whole")

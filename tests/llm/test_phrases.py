@@ -67,14 +67,17 @@ def test_odd_rows(spark, odd, none):
     assert phrases.collocations(none).count() == 0
 
 
-def test_shards_salts_and_blocks_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 1 << 22])
+def test_shards_salts_and_blocks_give_the_same(spark, monkeypatch, most):
     rows = planted(9)
+    monkeypatch.setattr(phrases, "HELD", most)
+    monkeypatch.setattr(phrases, "SLOTS", 40)
     d = spark.createDataFrame(rows, "text string, lang string").repartition(4)
     want = brute(rows)
     monkeypatch.setattr(phrases, "ROWS", 20)
     monkeypatch.setattr(phrases, "FAN_IN", 2)
     count, blocks = phrases.count_phrases, phrases._blocks
-    monkeypatch.setattr(phrases, "count_phrases", lambda r: count(r, 40))
+    monkeypatch.setattr(phrases, "count_phrases", lambda r, k: count(r, k, 40))
     monkeypatch.setattr(phrases, "_blocks", lambda b, seed, n: blocks(b, seed, 100))
     monkeypatch.setattr(phrases, "MEMO", 50)
     assert held(phrases.collocations(d)) == want
