@@ -11,9 +11,12 @@ paths are then used to extract every page of the host. A page of which they
 hold less than nearly all that its own choice does uses that as well. The clean h1 of a
 page is its title and stays wherever it is.
 
-Names count less than structure: where no article or main element is clean, those
-whose own name or wrapper's name made them furniture (a page about legal matters,
-say) are taken after all, unless they are reader comments.
+Names count less than structure, and as the first or last word of a class or id
+only (not after has, no, with, is, as in has-sidebar). Where no article or main
+element is clean, those whose own name or wrapper's name made them furniture (a
+page about legal matters, say) are taken after all, and so is every element that
+a name made furniture but that holds more than half of the page's text that is
+not link text; reader comments never are.
 
 Pages are scanned once from front to end, whatever they hold. A tag that the page
 ends in is dropped with the rest of the page, which is inside of it; script and
@@ -48,7 +51,7 @@ WINS = 0.25
 #: Hosts up to which the table of winners is broadcast.
 BROADCAST_HOSTS = 10_000
 
-RAW = {"script", "style", "textarea", "template", "noscript", "svg", "math", "iframe", "object", "title", "select", "canvas", "audio", "video"}
+RAW = {"script", "style", "textarea", "template", "noscript", "svg", "iframe", "object", "title", "select", "canvas", "audio", "video"}
 BLOCK = set(
     "html body head main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
     "figure figcaption nav header footer aside form fieldset address details summary dialog menu center hgroup search".split()
@@ -66,8 +69,14 @@ NAMES = set(
 
 #: What reader comments are called by the first word of a class or id.
 READERS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}
-#: Levels of containers that are told apart.
-DEPTH = 200
+#: Words before a name that make it a property of something else, and after it.
+BEFORE, AFTER = {"has", "no", "not", "with", "without", "is", "non", "hide", "show"}, {"free", "less", "open", "closed", "fixed", "hidden", "visible", "page", "layout"}
+#: Share of a page's text from which an element is no furniture, whatever its name.
+MOST = 0.5
+#: Score of a section beside the articles, as a share of theirs, from which it belongs to them.
+BESIDE = 0.3
+#: Elements within each other that are told apart as furniture by name.
+NESTED = 50
 
 _OPEN = re.compile(r"</?[a-zA-Z]|<!--|<!\[CDATA\[|<[!?]")
 _NAME = re.compile(r"[^\s/>]*")
@@ -83,6 +92,7 @@ class Block(NamedTuple):
     text: str
     linked: int  # characters of link text
     clean: bool  # below no furniture
+    held: bool = False  # below what a name made furniture, but what holds most of the page
 
 
 class Page:
@@ -118,13 +128,20 @@ class Page:
         return at
 
 
+def _called(words: list[str]) -> bool:
+    """Whether the words of a class or id name furniture: the first one, or the last one of what it is a kind of."""
+    if not words or BEFORE.intersection(words[:-1]) or words[-1] in AFTER:
+        return False
+    return words[0] in NAMES or words[-1] in NAMES
+
+
 def _names(attributes: str) -> tuple[list[str], bool, bool, bool]:
     """Classes of an element; whether its names make it furniture, and reader comments; whether its role or style does."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
     classes = found.get("class", "").split()
     words = [[w.lower() for w in _PART.split(c) if w] for c in [*classes, found.get("id", "")]]
     hidden = re.search(r"display\s*:\s*none", found.get("style", "")) is not None or found.get("aria-hidden") == "true"
-    named = any(w in NAMES for ws in words for w in ws)
+    named = any(_called(ws) for ws in words)
     return classes, named, any(ws and ws[0] in READERS for ws in words), hidden or found.get("role", "").lower() in ROLES
 
 
@@ -194,6 +211,7 @@ def parse(text: str) -> Page:
     readers: set[int] = set()  # weak elements that hold reader comments
     held: set[tuple[int, ...]] = set()  # weak elements at articles
     pieces: list[str] = []
+    opened: dict[str, int] = {}  # elements on the stack by tag
     linked = links = number = 0
 
     def flush():
@@ -229,24 +247,24 @@ def parse(text: str) -> Page:
         elif tag == "hr":
             flush()
         elif tag == "button" or tag == "label":
-            if not closing:
+            if not closing and not (tag == "label" and stack and stack[-1].inside):
                 tags.pos = tags.end_of(tag) or tags.pos
         elif tag in BLOCK:
             flush()
             links = 0
             if closing:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-                if at is not None:
-                    del stack[at:]
+                while opened.get(tag):  # up to the one that this closes
+                    last = stack.pop()
+                    opened[last.tag] -= 1
+                    if last.tag == tag:
+                        break
                 continue
             if stack and (stack[-1].tag in LEAF or stack[-1].tag == tag and tag in ("li", "dd", "td", "th", "tr", "option")):
-                stack.pop()
-            if len(stack) >= DEPTH:
-                continue
+                opened[stack.pop().tag] -= 1
             classes, named, reader, out = _names(attributes)
             top = stack[-1] if stack else _ROOT
             weak = top.weak
-            if named and tag not in ("html", "body") and not (tag == "header" and top.inside):
+            if named and len(weak) < NESTED and tag not in ("html", "body") and not (tag == "header" and top.inside):
                 number += 1
                 weak = (*weak, number)
                 if reader:
@@ -254,15 +272,29 @@ def parse(text: str) -> Page:
             hard = top.hard or out or tag in FURNITURE or (tag == "header" and not top.inside)
             at = page.node(top.at, ".".join([tag, *sorted(re.sub(r"\d+", "N", c) for c in classes)]))
             stack.append(_Element(tag, at, hard, weak, top.inside or tag in ("article", "main")))
+            opened[tag] = opened.get(tag, 0) + 1
             if tag in ("article", "main") and not hard:
                 held.add(weak)
     flush()
     whole = any(e.inside and not e.hard and not e.weak for e, _, _ in found)
     taken = set() if whole else set().union(*(w for w in held if readers.isdisjoint(w)))
-    page.blocks = [Block(e.at, t, n, not e.hard and taken.issuperset(e.weak)) for e, t, n in found]
+    most = taken if whole else taken | _holding(found, readers)
+    page.blocks = [Block(e.at, t, n, not e.hard and taken.issuperset(e.weak), not e.hard and most.issuperset(e.weak)) for e, t, n in found]
     return page
 
 
+def _holding(found: list[tuple[_Element, str, int]], readers: set[int]) -> set[int]:
+    """Elements that are furniture by name but hold most of the text."""
+    total, own = 0.0, {}
+    for e, t, n in found:
+        if not e.hard and readers.isdisjoint(e.weak):
+            score = max(0.0, len(t) - 2.0 * n)
+            total += score
+            for w in e.weak:
+                own[w] = own.get(w, 0.0) + score
+    return {w for w, score in own.items() if score > MOST * total}
+
+
 _INNER = LEAF | {"li", "ul", "ol", "dl", "dd", "blockquote", "figure", "figcaption", "header", "hgroup", "address"}
 
 
@@ -274,8 +306,8 @@ def _tag(part: str) -> str:
     return part.split(".")[0]
 
 
-def choose(page: Page) -> tuple[tuple[str, ...], float]:
-    """The page's own vote: path of what holds its articles or else nearly all of its clean text, and that text's length."""
+def choose(page: Page, strict: bool = False) -> tuple[tuple[str, ...], float]:
+    """The page's own vote: path of what holds its articles or else nearly all of its clean text, and that text's length. ``strict``: what a name made furniture is, whatever it holds."""
     n = len(page.parent)
     scores, depth, top = [0.0] * n, [0] * n, [0] * n  # top: the outermost article or main element
     outer = [0] * n  # the node above leaf blocks and lists
@@ -287,7 +319,7 @@ def choose(page: Page) -> tuple[tuple[str, ...], float]:
     articles: set[int] = set()
     total = inside = 0.0
     for b in page.blocks:
-        if b.clean:
+        if b.clean or b.held and not strict:
             s, at = _score(b), outer[b.at]
             total += s
             scores[at] += s
@@ -303,25 +335,35 @@ def choose(page: Page) -> tuple[tuple[str, ...], float]:
         for at in articles:  # the deepest node that holds both
             while at != best:
                 best, at = (page.parent[best], at) if depth[best] > depth[at] else (best, page.parent[at])
+        above = page.parent[best]
+        if best and any(page.parent[at] == above and at != best and _tag(page.name[at]) == "section" and scores[at] >= BESIDE * inside for at in range(above + 1, n)):
+            best = above
     else:
         best = max((at for at in range(n) if scores[at] >= KEEPS * total), key=lambda at: (depth[at], scores[at]))
     return page.path(best), scores[best]
 
 
 def main_text(page: Page, winners: list[list[str]]) -> str:
-    """Clean blocks below a winning path, and below the page's own choice if that holds more; and its title. One a line."""
+    """Clean blocks below a winning path, and below the page's own choice if that holds more; and its title. One a line.
+
+    What holds most of a page but is called furniture counts where it is below a winning path, or none has text here.
+    """
 
-    def below(*paths: Iterable[str]) -> list[Block]:
+    def below(*paths: Iterable[str], strict: bool = False, title: bool = True) -> list[Block]:
         n = len(page.parent)
         under, roots = [False] * n, {page.find(p) for p in paths}
         for at in range(n):
             under[at] = at in roots or (at > 0 and under[page.parent[at]])
-        return [b for b in page.blocks if b.clean and (under[b.at] or (_tag(page.name[b.at]) == "h1" and _score(b) > 0))]
-
-    choice = choose(page)[0]
-    own, won = below(choice), below(*winners)
-    kept = won if won and sum(map(_score, won)) >= KEEPS * sum(map(_score, own)) else below(choice, *winners)
-    return "\n".join(b.text for b in kept)
+        return [b for b in page.blocks if (b.clean or b.held and not strict) and (under[b.at] or (title and _tag(page.name[b.at]) == "h1" and _score(b) > 0))]
+
+    strict = sum(map(_score, below(*winners, title=False))) > 0
+    won = below(*winners)
+    choice = choose(page, strict)[0]
+    own = below(choice, strict=strict)
+    if sum(map(_score, won)) < KEEPS * sum(map(_score, own)) or not won:
+        ids = set(map(id, [*won, *own]))
+        won = [b for b in page.blocks if id(b) in ids]
+    return "\n".join(b.text for b in won)
 
 
 def host(url: F.Column) -> F.Column:

@@ -207,6 +207,41 @@ def test_html_whole_articles(spark):
     assert got[100] == b and got[200] == f"short\n{b}"
 
 
+LONG = "This is the text that the page is about, and it goes on for a while. "
+MENU = '<div class="menu"><a href="/">Home</a> <a href="/b">Blog</a></div>'
+FOOT = '<footer>All rights</footer><div class="site-footer">Imprint and more of it</div>'
+
+
+@pytest.mark.parametrize("name,body", [
+    ("has-sidebar", f'<div class="layout has-sidebar"><div class="col"><h1>Head</h1><p>{LONG * 3}</p></div></div>'),
+    ("post-with-sidebar", f'<div class="post-with-sidebar"><h1>Head</h1><p>{LONG * 3}</p></div>'),
+    ("no-sidebar", f'<div class="content no-sidebar"><h1>Head</h1><p>{LONG * 3}</p></div>'),
+    ("header-fixed", f'<div class="page-header-fixed content"><h1>Head</h1><p>{LONG * 3}</p></div>'),
+    ("menu-open", f'<div class="is-menu-open"><h1>Head</h1><p>{LONG * 3}</p></div>'),
+    ("ad-free", f'<div class="ad-free"><h1>Head</h1><p>{LONG * 3}</p></div>'),
+    ("theme", f'<div class="theme-dark has-footer"><h1>Head</h1><p>{LONG * 3}</p></div>'),
+    ("share", f'<div class="share"><h1>Head</h1><p>{LONG * 3}</p></div>'),
+    ("legal", f'<div id="legal"><div class="notice"><h1>Head</h1><p>{LONG * 3}</p></div></div>'),
+    ("deep", "<div>" * 300 + f"<h1>Head</h1><p>{LONG * 3}</p>" + "</div>" * 300),
+    ("two sections", f"<div><section><h1>Head</h1><p>{LONG * 2}</p></section><section><p>{LONG}</p></section></div>"),
+    ("beside an article", f"<div><article><h1>Head</h1><p>{LONG * 2}</p></article><section><p>{LONG}</p></section></div>"),
+    ("math", f"<article><h1>Head</h1><p>{LONG * 3}Energy is <math><mi>E</mi>=m</math> here.</p></article>"),
+    ("label", f"<article><h1>Head</h1><p>{LONG * 3}<label>named</label> so</p></article>"),
+    ("comments beside", f'<div class="text"><h1>Head</h1><p>{LONG * 3}</p></div><div class="comments"><p>{"I liked it a lot. " * 40}</p></div>'),
+])
+def test_html_keeps_the_text_of_any_page(name, body):
+    page = f"<html><body>{MENU}{body}<nav>MENU LINKS</nav>{FOOT}</body></html>"
+    text = html_extract.main_text(html_extract.parse(page), [])
+    want = {"math": LONG * 3 + "Energy is E=m here.", "label": LONG * 3 + "named so", "two sections": LONG * 2, "beside an article": LONG * 2}.get(name, LONG * 3)
+    lines = ["Head", want.strip()] + ([LONG.strip()] if name in ("two sections", "beside an article") else [])
+    assert text == "\n".join(lines)
+
+
+def test_html_furniture_below_very_many_elements_is_out():
+    page = "<div>" * 230 + f"<p>{LONG * 3}</p><nav>MENU LINKS</nav>" + "</div>" * 230
+    assert html_extract.main_text(html_extract.parse(page), []) == (LONG * 3).strip()
+
+
 def test_html_table_text_is_the_article(spark):
     import re
     from html import unescape
