@@ -42,7 +42,7 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: A shorter phrase goes if a longer one around it has at least this share of its occurrences, in hundredths.
 COVERED = 50
 #: Words that a task counts together, and different words that it remembers.
-BLOCK, MEMO = 2_000_000, 500_000
+BLOCK, MEMO = 1_000_000, 300_000
 #: Slots of a shard, rows that meet a shard in one task, arrays that meet in a node of the tree.
 SLOTS, ROWS, FAN_IN = 1 << 17, 1 << 20, 16
 #: Candidates that every task can hold: 24 bytes of name, 8 of count and a few bits each, so some 140 MB.
@@ -63,7 +63,7 @@ class Hash:
         self.levels, at, rank = [], 0, 0
         for n in sizes:
             level = flat[at : at + n].astype(bool)
-            before = np.cumsum(level) - level + rank
+            before = (np.cumsum(level, dtype=np.int32) - level + rank).astype(np.int32)
             self.levels.append((level, before))
             at, rank = at + n, rank + int(level.sum())
         self.slots = rank
@@ -107,7 +107,7 @@ _NAME_TYPE = ", ".join(f"{c} long" for c in NAME)
 
 def _slots_of(shard: dict, h: np.ndarray, name: list[np.ndarray]) -> np.ndarray:
     """Slots of names with hashes ``h`` in a shard, -1 for those that are not among its keys."""
-    mph = Hash(shard["sizes"], shard["bits"])
+    mph = shard.get("hash") or shard.setdefault("hash", Hash(shard["sizes"], shard["bits"]))  # built once a worker
     out = mph(h.view(np.uint64))
     same = out >= 0
     for own, asked in zip(shard["keys"], name):
