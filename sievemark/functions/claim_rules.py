@@ -80,10 +80,13 @@ ABSENT_FUNCTIONS = {
 }
 CALLED = (r"(?:in|at|from)\s+([a-zA-Z_][a-zA-Z0-9_]{2,}(?:::[a-zA-Z_][a-zA-Z0-9_]*)*)\s*\(", "")
 NAMED = (r"(?:function|method|routine|handler)\s+`?([a-zA-Z_][a-zA-Z0-9_:]*)`?", "i")
-VERBS = "process handle execute validate check verify parse manage init create update delete get set do run perform ensure apply"
+#: Words of made-up names. Fixed values.
+VERBS = (
+    "process", "handle", "execute", "validate", "check", "verify", "parse", "manage", "init", "create", "update", "delete", "get", "set", "do", "run", "perform", "ensure", "apply",
+)
 GENERIC = (
-    "data input output request response buffer stream object item value result context state config info util helper service manager handler controller processor validator factory builder wrapper adapter "
-    "decorator observer listener callback resolver provider consumer producer dispatcher scheduler executor coordinator orchestrator"
+    "data", "input", "output", "request", "response", "buffer", "stream", "object", "item", "value", "result", "context", "state", "config", "info", "util", "helper", "service", "manager", "handler",
+    "controller", "processor", "validator", "factory", "builder", "wrapper", "adapter", "decorator", "observer", "listener", "callback", "resolver", "provider", "consumer", "producer", "dispatcher", "scheduler", "executor", "coordinator", "orchestrator",
 )
 CAMEL, SNAKE = r"^[a-z]+(?:[A-Z][a-z]+){3,}$", r"^[a-z]+(?:_[a-z]+){3,}$"
 

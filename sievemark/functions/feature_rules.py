@@ -76,8 +76,11 @@ PRIVATE_HOST = r"^(?:127\.|10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|localhost
 URL = (r"https?://[^\s<>)\]\"']+", "i")
 #: Technical terms whose distances give burstiness; (?i:...) where case does not matter.
 TERMS = r"(?i:\bCVE-\d)|(?i:\bCWE-\d)|\bRCE\b|(?i:\bSQL)|(?i:\bXSS\b)|(?i:\boverflow\b)"
-CONNECTORS = ("furthermore additionally moreover however thus therefore consequently subsequently accordingly nevertheless nonetheless specifically particularly essentially "
-              "fundamentally ultimately importantly notably indeed hence whereas").split()
+#: Words that connect sentences. Fixed values.
+CONNECTORS = (
+    "furthermore", "additionally", "moreover", "however", "thus", "therefore", "consequently", "subsequently", "accordingly", "nevertheless", "nonetheless", "specifically",
+    "particularly", "essentially", "fundamentally", "ultimately", "importantly", "notably", "indeed", "hence", "whereas",
+)
 CODE_SHAPE = r"[;{}=]|\bdef\b|\bfunction\b|\bclass\b|\breturn\b|\bif\b|\bfor\b|\bimport\b|\$\s"
 
 #: Claim specificity: points by what a text names.

@@ -95,7 +95,7 @@ def absent_functions(text: Column) -> Column:
         known = known + F.when(low.contains(project) & (_any_of(text, names) > 0), 25).otherwise(0)
     names = F.array_distinct(F.concat(every(text, *R.CALLED, 1), every(text, *R.NAMED, 1)))
     words = lambda f: F.filter(F.split(F.regexp_replace(f, "([A-Z])", "_$1"), "_"), lambda p: p != "")
-    of = lambda listed: lambda p: F.lower(p).isin(*listed.split())
+    of = lambda listed: lambda p: F.lower(p).isin(*listed)
     empty = lambda f: let(words(f), lambda p: (F.size(p) >= 5) & F.exists(p, of(R.VERBS)) & (F.size(F.filter(p, of(R.GENERIC))) >= 2))
     like = lambda x, p: F.size(F.filter(x, lambda f: f.rlike(p)))
     made_up = let(names, lambda x: 10 * F.size(F.filter(x, empty)) + F.when((F.size(x) >= 5) & (like(x, R.CAMEL) >= 3) & (like(x, R.SNAKE) >= 3), 8).otherwise(0))

@@ -102,7 +102,7 @@ _PLACE = " + ".join(f"CASE WHEN contains(lower(t), '{h}') THEN CASE WHEN {d_foun
 _PATHS = " + ".join(f"CASE WHEN contains(lower(t), '{p}') THEN 2 ELSE 0 END" for p in R.PLACEHOLDER_PATHS)
 _HEX = "list_reduce(list_prepend(0.0e0, list_transform(string_split(lower(x), ''), lambda c: CAST(instr('0123456789abcdef', c) - 1 AS DOUBLE))), lambda p, q: p * 16 + q)"
 _WORDS = "list_filter(string_split(regexp_replace(f, '([A-Z])', '_\\1', 'g'), '_'), lambda p: p <> '')"
-_MADE_UP = f"len({_WORDS}) >= 5 AND len(list_filter({_WORDS}, lambda p: lower(p) IN {_in(R.VERBS.split())})) > 0 AND len(list_filter({_WORDS}, lambda p: lower(p) IN {_in(R.GENERIC.split())})) >= 2"
+_MADE_UP = f"len({_WORDS}) >= 5 AND len(list_filter({_WORDS}, lambda p: lower(p) IN {_in(R.VERBS)})) > 0 AND len(list_filter({_WORDS}, lambda p: lower(p) IN {_in(R.GENERIC)})) >= 2"
 _KNOWN = " + ".join(f"CASE WHEN contains(lower(t), '{p}') AND ({' OR '.join(f'contains(t, {_quoted(n)})' for n in ns)}) THEN 25 ELSE 0 END" for p, ns in R.ABSENT_FUNCTIONS.items())
 _PAIR = lambda table: " + ".join(f"CASE WHEN {' AND '.join(d_found('t', p, 'i') for p in ps)} THEN {w} ELSE 0 END" for w, ps in table)
 _CVE = r"list_transform(regexp_extract_all(t, 'CVE-\d{4}-\d{4,}'), lambda m: {'y': CAST(substr(m, 5, 4) AS INT), 'i': CAST(substr(m, 10) AS BIGINT)})"
