@@ -14,14 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rubric_rules as R
-from ..functions.feature_rules import VULN_TYPES
+from ..functions.feature_rules import ENGINES, VULN_TYPES
 from ..functions.text import clamp, found, java, js_round, let
 from . import crash, raw_http
-from .features import first_of
+from .families import family_composite, flat_substance
+from .features import derive, extract, first_of, signals
 from .triage import coherence_issues, disclosure_penalty, disclosures
 
 _WEIGHED = "struct<hits: array<string>, taken: array<string>, absent: array<string>, contradictions: array<string>, contradicts: boolean>"
-_OUT = "struct<gold: array<string>, revoked: array<string>, absent: array<string>, contradictions: array<string>, points: bigint, off: bigint, fabricated: boolean, contradicts: boolean>"
+_OUT = "struct<gold: array<string>, revoked: array<string>, absent: array<string>, contradictions: array<string>, points: bigint, off: bigint, fabricated: boolean, contradicts: boolean, fake_raw_http: boolean, stripped_crash_trace: boolean>"
 
 
 def _names(tests: Mapping[str, Column]) -> Column:
@@ -95,11 +96,12 @@ def _summed(w: Column, e: Column, family: str) -> Column:
     said = F.least(F.lit(R.CONTRADICTIONS_MOST), R.CONTRADICTION * F.size(w["contradictions"]))
     off = absent + said + F.when(made_up, R.FABRICATED).otherwise(0) + F.when(fake, R.FABRICATED).otherwise(0)
     points = _total(gold, {n: p for n, _, _, p in R.SIGNALS[family]})
-    return F.struct(gold.alias("gold"), revoked.alias("revoked"), w["absent"].alias("absent"), w["contradictions"].alias("contradictions"), points.alias("points"), off.cast("bigint").alias("off"), (made_up | fake).alias("fabricated"), w["contradicts"].alias("contradicts")).cast(_OUT)
+    return F.struct(gold.alias("gold"), revoked.alias("revoked"), w["absent"].alias("absent"), w["contradictions"].alias("contradictions"), points.alias("points"), off.cast("bigint").alias("off"), (made_up | fake).alias("fabricated"), w["contradicts"].alias("contradicts"),
+                    fake.alias("fake_raw_http"), e["stripped"].alias("stripped_crash_trace")).cast(_OUT)
 
 
 def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``rubric``: gold and revoked signals, absent ones, contradictions, points, points off, fabricated and contradicts of a text by the rubric of its ``family``; null without one."""
+    """Add ``rubric``: gold and revoked signals, absent ones, contradictions, points, points off, fabricated, contradicts, and the flags fake_raw_http and stripped_crash_trace of a text by the rubric of its ``family``; null without one."""
     d = _evidence(df, F.coalesce(F.col(text_col), F.lit("")))
     by_family = lambda kind, value: _choose(kind, {name: value(name) for name in R.SIGNALS})
     d = d.withColumn("__w", by_family(_WEIGHED, lambda name: _weigh(F.col("__e"), name)))
@@ -188,3 +190,21 @@ def coherence(df: DataFrame, text_col: str = "text", plain: str = "coherence") -
     score = F.element_at(bases, F.col("base_rule")) + bonus - F.least(F.lit(R.OFF_MOST), R.OFF * F.col("__n.said")) - F.col("__issues")
     score = F.least(F.lit(100), F.greatest(F.lit(0), score))
     return d.withColumn("family_coherence", F.when(fam == "FLAT", F.col(plain)).otherwise(score).cast("bigint")).drop("__n", "__issues")
+
+
+#: Engines up to the plain coherence, what combines them, and what follows from the composite.
+_PLAIN, _COMBINED = next(i + 1 for i, s in enumerate(ENGINES) if "coherence" in s), next(i + 1 for i, s in enumerate(ENGINES) if "composite" in s)
+
+
+def report(df: DataFrame, text_col: str = "text", cwes: str = "claimed", ancestors: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """A text by its family: features, the plain engines, classification, substance and coherence by rubric, composite, what behaviour takes off it, label and action.
+
+    ``velocity_penalty`` and ``template_penalty`` are taken from columns of those names, if there. The plain scores stay as ``plain_substance`` and ``plain_coherence``.
+    """
+    own = {c: F.lit(0) for c in ("velocity_penalty", "template_penalty") if c not in df.columns}
+    d = derive(signals(extract(df.withColumns(own) if own else df, text_col)), ENGINES[:_PLAIN])
+    d = coherence(flat_substance(substance(classify(d, text_col, cwes, ancestors), text_col), text_col), text_col)
+    d = d.withColumnsRenamed({"substance": "plain_substance", "coherence": "plain_coherence"})
+    d = d.withColumns({"substance": F.coalesce("family_substance", "flat_substance"), "coherence": F.col("family_coherence")})
+    d = family_composite(derive(d, ENGINES[_PLAIN:_COMBINED]), text_col)
+    return derive(d.withColumn("composite", F.col("family_composite")), ENGINES[_COMBINED:])

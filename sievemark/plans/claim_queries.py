@@ -136,9 +136,11 @@ def factual_scores(spark, sf_dir):
 _BLOCKS = _all(R.CODE_BLOCK)
 _INNER = "regexp_replace(regexp_replace(b, '^```[^\\n]*\\n?', ''), '```$', '')"
 _SHOWN = f"len(list_filter({_BLOCKS}, lambda b: regexp_matches(b, '\\n\\s*[+\\-]\\s*\\S') OR len(list_filter(string_split({_INNER}, chr(10)), lambda s: length({_STRIP}) > 0)) >= 2)) > 0"
+#: Points of a text ``t`` that claims a patch.
+PATCH_SQL = f"CASE WHEN {d_found('t', *R.PATCH_CLAIM)} AND NOT {d_found('t', *R.DIFF)} AND NOT {_SHOWN} THEN -10 ELSE 0 END"
 
 
-@query(f"SELECT doc_id, CAST(CASE WHEN {d_found('t', *R.PATCH_CLAIM)} AND NOT {d_found('t', *R.DIFF)} AND NOT {_SHOWN} THEN -10 ELSE 0 END AS BIGINT) AS patch_penalty FROM {_T}")
+@query(f"SELECT doc_id, CAST({PATCH_SQL} AS BIGINT) AS patch_penalty FROM {_T}")
 def fabricated_patches(spark, sf_dir):
     return _marked(spark, sf_dir).select("doc_id", cl.fabricated_patch(F.col("text")).alias("patch_penalty"))
 

@@ -40,7 +40,7 @@ def vague_phrases(spark, sf_dir):
 _FAMILY = "CASE WHEN doc_id // 5 % 3 = 0 THEN 'INJECTION' ELSE 'FLAT' END"
 _VELOCITY, _TEMPLATE = "-5 * (doc_id % 3)", "CASE WHEN doc_id % 7 = 0 THEN -8 END"
 _TOLD = " OR ".join(d_found("u", p, f) for _, p, f in T.DISCLOSURE)
-_PATCH = SQL["fabricated_patches"].split("CAST(", 1)[1].split(" AS BIGINT)", 1)[0]
+_PATCH = cq.PATCH_SQL
 
 
 @query(f"""

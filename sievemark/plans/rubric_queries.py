@@ -8,11 +8,11 @@ from ..functions import family_rules as FR
 from ..functions import rubric_rules as R
 from ..functions import triage_rules as T
 from ..functions.feature_rules import ENGINES, VULN_TYPES
-from ..functions.text import D_SPACE, clamp, d_found, duck  # noqa: F401
+from ..functions.text import D_SPACE, d_found, duck
 from ..operators import rubrics as ru
-from . import claim_queries as cq
 from . import feature_queries as fq
 from . import http_queries as hq
+from .claim_queries import PATCH_SQL
 from .crash_queries import TRACES, traces_sql
 from .registry import query, read
 from .triage_queries import coherence_sql
@@ -122,7 +122,7 @@ _RUBRICS = rf"""{_CLASSIFIED},
         SELECT *, list_filter({_SAID('t')}, lambda p: contains({_PROSE}, p)) AS contradictions, len(list_filter({_SAID('t')}, lambda p: contains(low, p))) > 0 AS contradicts, {_SPACED} AS u FROM seen),
     judged AS (
         SELECT s.doc_id, family, coalesce(gold, '') AS gold, coalesce(revoked, '') AS revoked, coalesce(absent, '') AS absent, array_to_string(contradictions, ',') AS contradictions, coalesce(points, 0) AS points, contradicts,
-               request OR response OR coalesce(by_body, false) AS fake, stripped OR structural AS made_up, {_FULL} AS full_points, CASE WHEN {_TOLD} THEN {T.DISCLOSURE_PENALTY} ELSE 0 END AS told,
+               request OR response OR coalesce(by_body, false) AS fake, stripped OR structural AS made_up, stripped, {_FULL} AS full_points, CASE WHEN {_TOLD} THEN {T.DISCLOSURE_PENALTY} ELSE 0 END AS told,
                coalesce(lacking, 0) + least({R.CONTRADICTIONS_MOST}, {R.CONTRADICTION} * len(contradictions)) + CASE WHEN stripped OR structural THEN {R.FABRICATED} ELSE 0 END + CASE WHEN request OR response OR coalesce(by_body, false) THEN {R.FABRICATED} ELSE 0 END AS off
         FROM spoken s LEFT JOIN gold USING (doc_id) LEFT JOIN absences USING (doc_id)),
     rated AS (SELECT *, least(100.0, greatest(0.0, least({R.BASE_MOST}, points / full_points * 100) - off - told)) AS raw FROM judged)"""
@@ -156,3 +156,49 @@ _COHERENT = rf"""
 def family_coherences(spark, sf_dir):
     d = ru.coherence(ru.classify(_reports(spark, sf_dir).withColumn("coherence", F.lit(42)), ancestors=ANCESTORS))
     return d.select("doc_id", "family", F.coalesce("base_rule", F.lit("")).alias("base_rule"), "family_coherence")
+
+
+@query(f"WITH {_RUBRICS} SELECT f.doc_id, coalesce(r.fake, false) AS fake_raw_http, coalesce(r.stripped, false) AS stripped_crash_trace FROM families f LEFT JOIN rated r USING (doc_id)")
+def evidence_flags(spark, sf_dir):
+    d = ru.judge(ru.classify(_reports(spark, sf_dir), ancestors=ANCESTORS))
+    return d.select("doc_id", *[F.coalesce(F.col(f"rubric.{c}"), F.lit(False)).alias(c) for c in ("fake_raw_http", "stripped_crash_trace")])
+
+
+
+_PLAIN_STAGES, _PLAIN_LAST = fq._stages("g", ENGINES[: ru._PLAIN])
+_MORE_STAGES, _MORE_LAST = fq._stages("joined", ENGINES[ru._PLAIN : ru._COMBINED])
+_END_STAGES, _END_LAST = fq._stages("ended", ENGINES[ru._COMBINED :])
+_KEPT = ("authorship", "substance", "coherence", "claims", "claim_evidence", "strong_evidence")
+_BASE = "f0 AS (SELECT doc_id, t FROM src)"
+_VAGUE_HITS = " + ".join(f"CASE WHEN contains(lower(u), '{p}') THEN 1 ELSE 0 END" for p, _ in FR.VAGUE)
+_VELOCITY = "-5 * (doc_id % 2)"
+_REPORTS = rf"""
+    WITH {_RUBRICS},
+    {_COHERENT},
+    plain AS (
+        SELECT * FROM (WITH {fq._FEATURES.replace(fq._BASE, _BASE)}, {fq._DERIVED}, g AS (SELECT *, {fq._STRENGTH} AS evidence_strength, CAST({fq._STRONG} AS BIGINT) AS strong_evidence FROM {fq._D}), {_PLAIN_STAGES}
+                       SELECT doc_id, {", ".join(_KEPT)} FROM {_PLAIN_LAST})),
+    flat AS (
+        SELECT doc_id, t, least({FR.VAGUE_MOST}, {FR.VAGUE_POINTS} * ({_VAGUE_HITS})) AS haircut, CASE WHEN {_TOLD} THEN {T.DISCLOSURE_PENALTY} ELSE 0 END AS flat_told, {PATCH_SQL} AS patch
+        FROM (SELECT doc_id, t, {_SPACED} AS u FROM src)),
+    scored AS (
+        SELECT p.doc_id, c.family, p.authorship, p.claims, p.claim_evidence, p.strong_evidence, p.substance AS plain_substance, haircut, patch, base_rule,
+               CASE WHEN r.raw IS NOT NULL THEN floor(r.raw * w + p.substance * (1 - w) + 0.5) ELSE least(100, greatest(0, p.substance - haircut - flat_told)) END AS substance, CASE WHEN c.family = 'FLAT' THEN p.coherence ELSE family_coherence END AS coherence
+        FROM plain p JOIN coherent c USING (doc_id) JOIN flat USING (doc_id)
+        LEFT JOIN (SELECT r.*, CASE WHEN r.raw < {R.LOW} AND p.substance >= {R.PLAIN_HIGH} AND NOT contradicts AND gold <> '' AND NOT fake AND NOT made_up THEN {R.LESS_WEIGHT} ELSE {R.WEIGHT} END AS w FROM rated r JOIN plain p USING (doc_id)) r USING (doc_id)),
+    joined AS (SELECT * FROM scored), {_MORE_STAGES},
+    ended AS (
+        SELECT * EXCLUDE (composite), CAST(least(100, greatest(0, composite + {_VELOCITY} + patch + CASE WHEN family = 'FLAT' AND haircut >= {FR.VAGUE_FROM} THEN {FR.VAGUE_COMPOSITE} ELSE 0 END)) AS BIGINT) AS composite FROM {_MORE_LAST}), {_END_STAGES}"""
+_OUT = ("plain_substance", "substance", "coherence", "composite")
+
+
+@query(f"{_REPORTS} SELECT doc_id, family, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _OUT)}, label, action FROM {_END_LAST}")
+def family_reports(spark, sf_dir):
+    d = _reports(spark, sf_dir).withColumnRenamed("cwes", "claimed").withColumn("velocity_penalty", F.expr(_VELOCITY))
+    d = ru.report(d, ancestors=ANCESTORS)
+    return d.select("doc_id", "family", *[F.col(c).cast("bigint").alias(c) for c in _OUT], "label", "action")
+
+
+@query(f"{_REPORTS} SELECT family, action, count(*) AS documents, CAST(sum(composite) AS BIGINT) AS composites FROM {_END_LAST} GROUP BY 1, 2")
+def family_actions(spark, sf_dir):
+    return family_reports(spark, sf_dir).groupBy("family", "action").agg(F.count("*").alias("documents"), F.sum("composite").alias("composites"))
