@@ -55,6 +55,9 @@ SIGNALS = (
     ("empty_disclosure_claim", "CASE WHEN disclosure AND NOT timeline AND NOT vendor_contact THEN 5 ELSE 0 END"),
 )
 
+#: Weights of what a trace or an excerpt shows that none has: of one marker of a trace, of each of several, of each of an excerpt.
+ONE_MARKER, MARKER, EXCERPT_MARKER = 4, 8, 8
+
 # Facts that can't be.
 PLACEHOLDER_DOMAINS = (
     "example.com", "example.org", "example.net", "target.com", "vulnerable-server.com", "vulnerable-app.com", "victim.com", "attacker.com", "evil.com", "malicious.com", "test.com", "testsite.com", "yoursite.com",
@@ -149,3 +152,5 @@ GOLD = {
     "filesystem_toctou": 2,
 }
 GOLD_MOST = 12
+#: Those that must also be in what is left of a text without placeholders.
+GOLD_LEFT = ("sql_injection_payload", "command_injection_payload", "xss_payload", "path_traversal_payload")

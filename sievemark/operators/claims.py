@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import claim_rules as R
 from ..functions.feature_rules import ASSESSED, CORROBORATING, FABRICATION
 from ..functions.text import count, every, found, java, js_round, let
+from . import crash, excerpts, raw_http
 from . import detectors as de
 from .features import derive, extract, signals
 from .sections import strip
@@ -102,6 +103,20 @@ def absent_functions(text: Column) -> Column:
     return (known + made_up).cast("bigint")
 
 
+def hallucination_whole(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """As :func:`hallucination`, with what traces and excerpts show that no tool or server gives: structural_fabrication, impossible_http_response and impossible_graphql_response."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    d = hallucination(df, text_col).withColumns({"__trace": F.size(crash.evaluate(t)["markers"]), "__http": F.size(excerpts.impossible_http(t)), "__graphql": F.size(excerpts.impossible_graphql(t))})
+    more = (
+        ("structural_fabrication", F.when(F.col("__trace") == 1, R.ONE_MARKER).otherwise(R.MARKER * F.col("__trace"))), ("impossible_http_response", R.EXCERPT_MARKER * F.col("__http")),
+        ("impossible_graphql_response", R.EXCERPT_MARKER * F.col("__graphql")),
+    )
+    shown = F.array_compact(F.array(*[F.when(w > 0, F.struct(F.lit(n).alias("type"), w.cast("bigint").alias("weight"))) for n, w in more]))
+    d = d.withColumn("signals", F.concat(shown, "signals")).drop("__trace", "__http", "__graphql")
+    d = d.withColumn("signal_weight", F.aggregate("signals", F.lit(0).cast("bigint"), lambda a, s: a + s["weight"]))
+    return d.withColumn("hallucination", F.greatest(F.lit(0), 100 - 2 * F.col("signal_weight")).cast("bigint"))
+
+
 def _pairs(text: Column, table) -> Column:
     out = F.lit(0)
     for weight, patterns in table:
@@ -145,8 +160,20 @@ def gold_signals(df: DataFrame, text_col: str = "text") -> DataFrame:
         "filesystem_toctou": found(t, *R.TOCTOU) & ~found(t, *R.TOCTOU_PLACEHOLDER),
     }
     d = df.withColumn("gold", F.array_compact(F.array(*[F.when(tests[n], F.lit(n)) for n in R.GOLD])))
-    points = F.aggregate("gold", F.lit(0), lambda a, n: a + F.element_at(F.create_map(*[x for k, v in R.GOLD.items() for x in (F.lit(k), F.lit(v))]), n))
-    return d.withColumn("gold_bonus", F.least(F.lit(R.GOLD_MOST), points).cast("bigint"))
+    return d.withColumn("gold_bonus", _gold_points())
+
+
+def _gold_points() -> Column:
+    worth = F.create_map(*[x for k, v in R.GOLD.items() for x in (F.lit(k), F.lit(v))])
+    return F.least(F.lit(R.GOLD_MOST), F.aggregate("gold", F.lit(0), lambda a, n: a + F.element_at(worth, n))).cast("bigint")
+
+
+def gold_signals_left(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """As :func:`gold_signals`; payloads must also be in what is left of a text without placeholder bodies and payloads that prose only speaks of."""
+    d = gold_signals(df, text_col).withColumnsRenamed({"gold": "__all", text_col: "__own"}).drop("gold_bonus")
+    d = gold_signals(d.withColumn(text_col, raw_http.strip_placeholders(F.col("__own"))), text_col).drop(text_col).withColumnRenamed("__own", text_col)
+    d = d.withColumn("gold", F.filter("__all", lambda n: ~n.isin(*R.GOLD_LEFT) | F.array_contains("gold", n))).drop("__all")
+    return d.withColumn("gold_bonus", _gold_points())
 
 
 def assess(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -116,10 +116,15 @@ def code_references(spark, sf_dir):
 
 _RIGHT = "(" + ", ".join("'" + f"{c} {p}".replace("'", "''") + "'" for c, ps in E.REASONS.items() for p in ps) + ")"
 _HAS = lambda side, names: ", ".join(f"CASE WHEN list_contains(hn, '{n}') THEN '{side}{n}' END" for n in names)
-_BLOCKS = f"""
-    k0 AS (SELECT doc_id, {_all(E.FENCE)} AS bl, regexp_split_to_array(t, {duck(*E.FENCE)}) AS pc FROM {_T} WHERE contains(t, '```')), k1 AS (SELECT *, unnest(range(1, len(bl) + 1)) AS i FROM k0),
+def blocks_sql(source: str) -> str:
+    """CTEs over a source of (doc_id, t) up to ``k2``: its fenced blocks."""
+    return f"""
+    k0 AS (SELECT doc_id, {_all(E.FENCE)} AS bl, regexp_split_to_array(t, {duck(*E.FENCE)}) AS pc FROM {source} WHERE contains(t, '```')), k1 AS (SELECT *, unnest(range(1, len(bl) + 1)) AS i FROM k0),
     k2 AS (SELECT doc_id, i, regexp_extract(bl[i], {duck(*E.FENCE)}, 1) AS label, regexp_extract(bl[i], {duck(*E.FENCE)}, 2) AS body,
         contains(lower(right(array_to_string(list_transform(range(1, i + 1), lambda j: pc[j] || CASE WHEN j < i THEN bl[j] ELSE '' END), ''), {E.PROSE})), 'graphql') AS said FROM k1)"""
+
+
+_BLOCKS = blocks_sql(_T)
 _HTTP = f"""
     h0 AS (SELECT doc_id, i, string_split(regexp_replace(translate(body, chr(1), ' '), {duck(*E.START)}, '\\1' || chr(1) || '\\2', 'g'), chr(1))[2:] AS p FROM k2), h1 AS (SELECT doc_id, i, p, unnest(range(1, len(p) + 1)) AS k FROM h0),
     h2 AS (SELECT doc_id, i, k, regexp_extract(p[k], '^[^\\n]*\\n') AS line, substr(p[k], length(regexp_extract(p[k], '^[^\\n]*\\n')) + 1) AS tail FROM h1),

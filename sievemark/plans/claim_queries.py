@@ -68,15 +68,20 @@ def _in(values) -> str:
 
 
 _STRIP = f"regexp_replace(s, '^{D_SPACE}|{D_SPACE}$', '', 'g')"
-_HAL = f"""
+def hallucination_sql(source: str) -> str:
+    """CTEs over a source of (doc_id, t) up to ``c``: the weight of each signal."""
+    return f"""
     a AS (SELECT doc_id, t, {", ".join(f"{d_found('t', p, f)} AS {n}" for n, (p, f) in R.FLAGS.items())}, {_all(R.FRAME)} AS fr, list_transform({_all(R.ADDRESS)}, lambda x: substr(lower(x), 3)) AS ad,
-        list_transform({_all(R.CALL)}, lambda x: regexp_replace(x, '\\s*\\($', '')) AS ca, list_filter(list_transform(regexp_split_to_array(t, '[.!?]+'), lambda s: lower({_STRIP})), lambda s: length(s) > 20) AS se FROM {_T}),
+        list_transform({_all(R.CALL)}, lambda x: regexp_replace(x, '\\s*\\($', '')) AS ca, list_filter(list_transform(regexp_split_to_array(t, '[.!?]+'), lambda s: lower({_STRIP})), lambda s: length(s) > 20) AS se FROM {source}),
     b AS (SELECT *, len(fr) AS frames, len(list_distinct(list_transform(fr, lambda x: regexp_replace(x, '^#\\d+', '#N')))) AS distinct_frames, len(ad) AS addresses,
         len(list_filter(ad, lambda x: regexp_matches(x, '000$|{R.SEQUENTIAL}'))) AS round_addresses, len(list_distinct(list_filter({_all(R.PID, 1)}, lambda x: x IN {_in(R.MAGIC_PIDS)}))) AS magic_pids,
         len(list_filter({_all(R.VERSION, 1)}, lambda x: CAST(string_split(x, '.')[3] AS DOUBLE) > 200 AND CAST(string_split(x, '.')[1] AS DOUBLE) < 10)) AS odd_versions,
         len(list_filter(ca, lambda x: contains(substr(x, 2, greatest(length(x) - 2, 0)), '_'))) AS calls,
         len(se) - len(list_distinct(list_transform(se, lambda x: regexp_replace(x, '{D_SPACE}', ' ', 'g')))) AS repeats FROM a),
     c AS (SELECT doc_id, {", ".join(f"{sql(w)} AS w{k}" for k, (_, w) in enumerate(R.SIGNALS))} FROM b)"""
+
+
+_HAL = hallucination_sql(_T)
 _SUM = " + ".join(f"w{k}" for k in range(len(R.SIGNALS)))
 _NAMES = "concat_ws(',', " + ", ".join(f"CASE WHEN w{k} > 0 THEN '{n}' END" for k, (n, _) in enumerate(R.SIGNALS)) + ")"
 
@@ -157,9 +162,14 @@ _TESTS = {
 _AROUND = f"regexp_extract(t, {duck(r'[\s\S]{0,40}?(?:' + R.CRYPTO[0] + r')[\s\S]{0,40}', 'i')}, 0)"
 
 
-@query(f"""
-    WITH a AS (SELECT doc_id, t, {_FIRST(R.BEARER)} AS bearer, {_FIRST(R.COOKIE)} AS cookie, {_FIRST(R.XXE)} AS uri, {_AROUND} AS around FROM {_T}), b AS (SELECT doc_id, {", ".join(f"{_TESTS[n]} AS {n}" for n in R.GOLD)} FROM a)
-    SELECT doc_id, concat_ws(',', {", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in R.GOLD)}) AS gold, CAST(least({R.GOLD_MOST}, {" + ".join(f"CASE WHEN {n} THEN {v} ELSE 0 END" for n, v in R.GOLD.items())}) AS BIGINT) AS gold_bonus FROM b""")
+def gold_sql(source: str) -> str:
+    """(doc_id, gold, gold_bonus) over a source of (doc_id, t)."""
+    return f"""
+    WITH a AS (SELECT doc_id, t, {_FIRST(R.BEARER)} AS bearer, {_FIRST(R.COOKIE)} AS cookie, {_FIRST(R.XXE)} AS uri, {_AROUND} AS around FROM {source}), b AS (SELECT doc_id, {", ".join(f"{_TESTS[n]} AS {n}" for n in R.GOLD)} FROM a)
+    SELECT doc_id, concat_ws(',', {", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in R.GOLD)}) AS gold, CAST(least({R.GOLD_MOST}, {" + ".join(f"CASE WHEN {n} THEN {v} ELSE 0 END" for n, v in R.GOLD.items())}) AS BIGINT) AS gold_bonus FROM b"""
+
+
+@query(gold_sql(_T))
 def gold_signals(spark, sf_dir):
     d = cl.gold_signals(_marked(spark, sf_dir))
     return d.select("doc_id", F.array_join("gold", ",").alias("gold"), "gold_bonus")

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import crash_rules as R
 from ..functions.text import d_found, duck
-from ..operators import crash
+from ..functions import claim_rules as C
+from ..operators import claims, crash
+from . import advice_queries as aq
+from . import claim_queries as cq
 from .registry import query, read
 
 _PAIRS = " ".join(["fa"] * 16)
@@ -127,3 +130,29 @@ def crash_traces(spark, sf_dir):
 def crash_marker_counts(spark, sf_dir):
     out = traced(spark, sf_dir).select(crash.evaluate(F.col("text")).alias("x")).select(F.explode("x.markers").alias("marker"), "x.fabricated")
     return out.groupBy("marker").agg(F.count("*").alias("texts"), F.sum(F.col("fabricated").cast("bigint")).alias("fabricated"))
+
+
+#: Excerpts of answers between the traces.
+_EXCERPTS = (
+    "```\nHTTP/1.1 404 OK\nContent-Length: 0\n\nnot so empty\n```\n#0 a.c\n#2 b.c", '```graphql\n{"data": null}\n```\nthread T2000', "```json\n{\"errors\": []}\n```\nclean",
+)
+_M = len(TRACES) + len(_EXCERPTS) + 1
+_BOTH = "(SELECT doc_id, coalesce(text, '') || chr(10) || CASE doc_id % " + str(_M) + " " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate((*TRACES, *_EXCERPTS))) + " ELSE '' END AS t FROM documents)"
+_W = f"CASE WHEN coalesce(x.n, 0) = 1 THEN {C.ONE_MARKER} ELSE {C.MARKER} * coalesce(x.n, 0) END"
+_MORE = ("structural_fabrication", _W), ("impossible_http_response", f"{C.EXCERPT_MARKER} * coalesce(h.n, 0)"), ("impossible_graphql_response", f"{C.EXCERPT_MARKER} * coalesce(g.n, 0)")
+_TOTAL = f"({cq._SUM} + {' + '.join(w for _, w in _MORE)})"
+_SIGNALS = "concat_ws(',', " + ", ".join(f"CASE WHEN {w} > 0 THEN '{n}' END" for n, w in _MORE) + f", nullif({cq._NAMES}, ''))"
+
+
+@query(f"""
+    WITH src AS {_BOTH}, {cq.hallucination_sql('(SELECT * FROM src)')}, {aq.blocks_sql('(SELECT * FROM src)')}, {aq._HTTP}, {aq._GRAPHQL},
+    x AS (SELECT doc_id, count(*) AS n FROM ({traces_sql('(SELECT * FROM src)')} SELECT doc_id, marker FROM markers) GROUP BY 1),
+    h AS (SELECT doc_id, count(DISTINCT name) AS n FROM h7 WHERE name IS NOT NULL GROUP BY 1), g AS (SELECT doc_id, count(DISTINCT name) AS n FROM g6 GROUP BY 1)
+    SELECT c.doc_id, {_SIGNALS} AS signals, CAST({_TOTAL} AS BIGINT) AS signal_weight, CAST(greatest(0, 100 - 2 * {_TOTAL}) AS BIGINT) AS hallucination
+    FROM c LEFT JOIN x USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)""")
+def hallucination_whole(spark, sf_dir):
+    line = F.lit("")
+    for k, t in enumerate((*TRACES, *_EXCERPTS)):
+        line = F.when(F.col("doc_id") % _M == k, t).otherwise(line)
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("text"))
+    return claims.hallucination_whole(d).select("doc_id", F.array_join(F.transform("signals", lambda s: s["type"]), ",").alias("signals"), "signal_weight", "hallucination")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import claim_rules as C
 from ..functions import http_rules as R
 from ..functions.text import d_found, duck
+from ..operators import claims
 from ..operators import raw_http as H
+from .claim_queries import TEXTS, gold_sql
 from .registry import query, read
 
 _OK = "Host: shop.example.org\r\nAccept: */*"
@@ -274,3 +277,24 @@ def answered_sql(source: str) -> str:
 def fake_responses_stripped(spark, sf_dir):
     d = pasted(spark, sf_dir).withColumn("kept", H.strip_fake_responses(F.col("text")))
     return d.select("doc_id", F.md5("kept").alias("kept_md5"), F.length(F.regexp_replace("kept", r"[ \t\n\r\f]", "")).cast("bigint").alias("kept_chars"))
+
+
+#: Payloads, plain or as code, half of them beside a placeholder.
+_GOLD = tuple(x for t in TEXTS[-8:] for x in (t, f"payload: <insert here>. {t} `{t}`", f"payload: <insert here>. {t}"))
+_G = "(SELECT doc_id, coalesce(text, '') || chr(10) || CASE doc_id % " + str(len(_GOLD) + 1) + " " + " ".join(f"WHEN {k} THEN {_literal(m)}" for k, m in enumerate(_GOLD)) + " ELSE '' END AS t FROM documents)"
+
+
+_WORTH = "CASE g " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in C.GOLD.items()) + " END"
+
+
+@query(f"""
+    WITH src AS {_G}, whole_text AS ({gold_sql('(SELECT * FROM src)')}), left_text AS ({gold_sql(f"(SELECT doc_id, kept AS t FROM ({stripped_sql('(SELECT * FROM src)')}))")}),
+    both_texts AS (
+        SELECT doc_id, list_filter(string_split(a.gold, ','), lambda g: g <> '' AND (g NOT IN {C.GOLD_LEFT} OR list_contains(string_split(b.gold, ','), g))) AS gold FROM whole_text a JOIN left_text b USING (doc_id))
+    SELECT doc_id, array_to_string(gold, ',') AS gold, CAST(least({C.GOLD_MOST}, coalesce(list_sum(list_transform(gold, lambda g: {_WORTH})), 0)) AS BIGINT) AS gold_bonus FROM both_texts""")
+def gold_signals_left(spark, sf_dir):
+    line = F.lit("")
+    for k, m in enumerate(_GOLD):
+        line = F.when(F.col("doc_id") % (len(_GOLD) + 1) == k, m).otherwise(line)
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("text"))
+    return claims.gold_signals_left(d).select("doc_id", F.array_join("gold", ",").alias("gold"), "gold_bonus")

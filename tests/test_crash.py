@@ -98,7 +98,7 @@ def test_each_marker_has_a_case():
     assert {m for c in CASES for m in c[5]} == set(MARKERS)
 
 
-@pytest.mark.parametrize("name", ["crash_traces", "crash_marker_counts"])
+@pytest.mark.parametrize("name", ["crash_traces", "crash_marker_counts", "hallucination_whole"])
 def test_queries_equal_their_sql(name, same):
     same(QUERIES[name], SQL[name])
 
@@ -107,3 +107,12 @@ def test_no_python_worker_and_no_shuffle(spark):
     d = spark.createDataFrame([(1, "x")], "i int, text string").select(crash.evaluate(F.col("text")))
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_markers_weigh_in_hallucination(spark):
+    from sievemark.operators import claims
+
+    cases = [("#0 a.c\n#2 b.c", 4), ("#0 a.c\n#2 b.c\n==0==", 16), ("plain", 0), ("```\nHTTP/1.1 404 OK\nServer: x\n```", 8)]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")
+    got = {r.i: (r.signal_weight, r.hallucination) for r in claims.hallucination_whole(d).collect()}
+    assert got == {i: (w, 100 - 2 * w) for i, (_, w) in enumerate(cases)}

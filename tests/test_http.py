@@ -165,6 +165,17 @@ def test_categories_of_prose_come_in_order(spark):
     assert list(got[0]) == ["bracket", "slot", "deferred", "label"]
 
 
-@pytest.mark.parametrize("name", ["raw_http_requests", "raw_http_responses", "placeholders_stripped", "fake_responses_stripped"])
+@pytest.mark.parametrize("name", ["raw_http_requests", "raw_http_responses", "placeholders_stripped", "fake_responses_stripped", "gold_signals_left"])
 def test_queries_equal_their_sql(name, same):
     same(QUERIES[name], SQL[name])
+
+
+def test_payloads_must_be_left_without_placeholders(spark):
+    from sievemark.operators import claims
+
+    cases = ["' union select a from b--", "payload: <insert here>. ' union select a from b--", "payload: <insert here>. `' union select a from b--`", "payload: <x>; stat(a) then open(a)", None]
+    d = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
+    both = {r.i: (r.a, r.b, r.text) for r in claims.gold_signals(claims.gold_signals_left(d).withColumnsRenamed({"gold": "b", "gold_bonus": "p"})).withColumnRenamed("gold", "a").collect()}
+    assert ["sql_injection_payload" in both[i][0] for i in range(4)] == [True, True, True, False]
+    assert ["sql_injection_payload" in both[i][1] for i in range(4)] == [True, False, True, False]
+    assert both[3][0] == both[3][1] and both[4] == ([], [], None)
