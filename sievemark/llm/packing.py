@@ -64,11 +64,14 @@ class WordTokens:
     encoded whole. New words are encoded many at a time with a separator between.
     """
 
-    def __init__(self, path: str, memo: int = 300_000):
+    #: Texts encoded together, and characters of them from which there are fewer.
+    TEXTS, CHARS = 256, 1 << 20
+
+    def __init__(self, path: str, memo: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.limit = Tokenizer.from_file(path), {}, memo
+        self.tokenizer, self.memo, self.limit, self.held = Tokenizer.from_file(path), {}, memo, 0  # bytes held at most, and held
         (self.between,) = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -82,13 +85,24 @@ class WordTokens:
             raw = ids.tobytes()
             starts, stops = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
             self.memo.update((w, raw[x:y]) for w, x, y in zip(some, starts, stops, strict=True))
+            self.held += sum(map(len, some)) + len(raw) + 160 * len(some)  # with what two objects and their place in a dict take
+
+    def _blocks(self, texts: list[str]) -> Iterator[list[str]]:
+        at = chars = 0
+        for k, t in enumerate(texts):
+            chars += len(t)
+            if chars >= self.CHARS or k + 1 - at >= self.TEXTS:
+                yield texts[at : k + 1]
+                at, chars = k + 1, 0
+        if at < len(texts):
+            yield texts[at:]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            block = texts[at : at + 256]
+        for block in self._blocks(texts):
             words = [t.lower().split() if _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) else None for t in block]
-            if len(self.memo) > self.limit:
+            if self.held > self.limit:
                 self.memo.clear()
+                self.held = 0
             new = set().union(*(ws for ws in words if ws)) - self.memo.keys()
             self._learn(list(new))
             for text, ws in zip(block, words):
