@@ -47,6 +47,8 @@ from .common import delete, drop, lookup, table, work_path
 MIN_PAYLOAD = 100
 #: Bytes of records in a package, and of a range that one read task takes.
 PACKAGE, RANGE = 32 << 20, 4 << 20
+#: Reading tasks a core of the cluster has at most.
+TASKS = 16
 
 UNDATED = "1970-01-01T00:00:00Z"
 
@@ -227,6 +229,16 @@ def index(archives: DataFrame) -> DataFrame:
     return archives.select("archive").mapInArrow(run, "archive string, offset long, length long")
 
 
+def _read_rows(out: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"])
+
+
+def read_tasks(stored: int, cores: int) -> int:
+    """Tasks that read so many bytes: one for every RANGE, at most TASKS a core."""
+    return max(1, min(math.ceil(stored / RANGE), TASKS * cores))
+
+
 def read(entries: DataFrame, tasks: int) -> DataFrame:
     """Range-read the records in ``tasks`` tasks: page_id, url, record_type, refers_to, payload (null for revisits), payload_bytes, payload_digest.
 
@@ -239,8 +251,12 @@ def read(entries: DataFrame, tasks: int) -> DataFrame:
         now, f = None, None
         for b in batches:
             rows: Iterator = zip(*(b.column(k).to_pylist() for k in range(3)))
-            out = []
+            out, held = [], 0
             for uri, offset, length in rows:
+                if held >= RANGE:  # payloads go out as they come, however many records a task has
+                    yield _read_rows(out)
+                    out, held = [], 0
+                held += length
                 if uri != now:
                     if f is not None:
                         f.close()
@@ -251,8 +267,8 @@ def read(entries: DataFrame, tasks: int) -> DataFrame:
                 if kind == "response" and hashlib.sha256(payload).hexdigest() != stated:
                     raise ValueError("payload and digest differ")
                 out.append((number(head["WARC-Record-ID"]), head["WARC-Target-URI"], kind, number(head.get("WARC-Refers-To")), payload if kind == "response" else None, len(payload) if kind == "response" else None, stated))
-            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"])
+            if out:
+                yield _read_rows(out)
 
     return ranges.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
@@ -263,7 +279,7 @@ def round_trip(pages: DataFrame, **columns) -> DataFrame:
     folder = work_path(spark, "warc")
     archives = table(write(pages, folder, **columns), "warc-archives")
     stored = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    got = table(read(index(archives), max(1, math.ceil(stored / RANGE))).drop("payload", "url"), "warc-read")
+    got = table(read(index(archives), read_tasks(stored, spark.sparkContext.defaultParallelism)).drop("payload", "url"), "warc-read")
     delete(spark, folder)
     drop(archives)
     answers = got.where("record_type = 'response'")
