@@ -329,7 +329,8 @@ def read_back(media: DataFrame) -> DataFrame:
 
     ``media_bytes`` and ``media_sha256`` are those of the image or sound as it was carved from the stored value (the whole of
     it where it is stored bare); ``media_type`` is its type, ``declared`` what the value was said to be and ``corrected``
-    whether sniffing overruled that for the value as a whole.
+    whether sniffing overruled that for the value as a whole. Of several stored media the first counts; where there is none
+    (a null or foreign value) all but ``doc_id``, ``declared`` and ``corrected`` are null.
     """
     readers = {k: r for k, _, r in STORED}
     sniffed = sniff(media, "content", "declared").select("doc_id", "declared", "corrected", "hits", "content")
@@ -338,7 +339,10 @@ def read_back(media: DataFrame) -> DataFrame:
         def rows():
             for b in batches:
                 for doc, declared, corrected, hits, content in zip(*(b.column(k).to_pylist() for k in range(5))):
-                    (hit,) = [h for h in hits if h["type"] in readers]
+                    hit = next((h for h in hits or () if h["type"] in readers), None)
+                    if hit is None:
+                        yield (doc, *[None] * 8, declared, corrected)
+                        continue
                     kind, medium = hit["type"], content[hit["start"] : hit["start"] + hit["length"]]
                     samples = readers[kind](medium)
                     payload = samples.tobytes()

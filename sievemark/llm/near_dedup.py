@@ -461,7 +461,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay: exactly one of each component, that with the smallest id (nulls last), and all with empty sets.
 
     A row is known by its id and its set's digest, so rows that share an id, or have none, are decided one by one; of rows
-    that share both, one stays. Those of components with more than a row are found through a bitmap of ids and only rows that
+    that share both, that with the largest hash of all its columns stays. Those of components with more than a row are found through a bitmap of ids and only rows that
     hit it are hashed again and joined.
     """
     signed, placed = _placed(docs, id_col, text_col)
@@ -478,6 +478,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     on = F.col("number").eqNullSafe(F.col("gone")) & (F.col("fp") == F.col("of"))
     out = seen.where("not hit").select("whole").unionByName(hit.join(gone, on, "left_anti").select("whole"))
     if not gone.where("first").isEmpty():  # repeated rows of which one stays
-        once = hit.join(gone.where("first"), on).dropDuplicates(["number", "fp"])
+        tie = F.xxhash64(F.col("whole").cast("string"))  # rows that share id and set may differ in the rest: the same one stays in every run
+        once = hit.join(gone.where("first"), on).groupBy("number", "fp").agg(F.max_by("whole", tie).alias("whole"))
         out = out.unionByName(once.select("whole"))
     return unwrap(out, docs.columns)

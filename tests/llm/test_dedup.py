@@ -259,3 +259,10 @@ def test_digest_of_texts(odd):
     d = odd.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
     for r in exact_dedup.groups(d, carry=("text", "text_sha256")).collect():
         assert r.text_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_of_rows_that_share_id_and_set_the_same_one_stays(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words), (1, words.upper()), (1, words.replace(" ", "  ")), (2, words + " tail")]
+    got = {tuple(r.text for r in near_dedup.deduplicate(spark.createDataFrame(order, "doc_id long, text string").repartition(n)).collect()) for n, order in ((1, rows), (3, rows[::-1]))}
+    assert len(got) == 1 and len(next(iter(got))) == 1

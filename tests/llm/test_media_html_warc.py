@@ -341,3 +341,16 @@ def test_record():
     p = warc.package([m], [{"offset": 0, "length": len(m)}])
     with zipfile.ZipFile(io.BytesIO(p)) as z:
         assert z.testzip() is None and json.loads(z.read(warc.INDEX).split(b" ", 2)[2]) == {"offset": 0, "length": len(m), "mime": "text/html"} and z.read(warc.RECORDS) == m
+
+
+def test_read_tasks_are_bounded():
+    assert [warc.read_tasks(n, 8) for n in (0, 1, warc.RANGE + 1, 1 << 40, 1 << 50)] == [1, 1, 2, 128, 128]
+
+
+def test_read_back_of_values_without_media(spark):
+    stored = media.store(spark.createDataFrame([(1, "a text")], "doc_id long, text string"))
+    two = stored.selectExpr("2L as doc_id", "declared", "concat(content, content) as content")
+    odd = spark.createDataFrame([(3, "image/png", None), (4, None, b"no medium at all"), (5, None, b"")], "doc_id long, declared string, content binary")
+    got = {r.doc_id: r for r in media.read_back(stored.unionByName(two).unionByName(odd)).collect()}
+    assert len(got) == 5 and got[1].n_bytes == 6 and got[2].payload_sha256 == got[1].payload_sha256
+    assert all(got[i].payload_sha256 is None and got[i].n_bytes is None for i in (3, 4, 5))
