@@ -368,29 +368,33 @@ def _phrases(words: np.ndarray, ids: np.ndarray, sieves: list[Bits], longest: in
         yield length, at
 
 
-def _distinct(ids: np.ndarray, code: np.ndarray, at: np.ndarray, length: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the phrases of a length that start at ``at``: where each first starts, and how many there are. ``code`` tells the phrases at places apart, and is set to those of this length."""
-    whole = ids[at] if length == 1 else code[at] * np.int64(words) + ids[at + length - 1]
-    _, first, same, c = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-    code[at] = same
-    return at[first], c
-
-
-def _names(words: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
-    """Columns of the names of phrases."""
-    zero = np.zeros(len(starts), np.int64)
-    return [words[ids[starts + k]].view(np.int64) if k < length else zero for k in range(len(NAME))]
+def _distinct(ids: np.ndarray, at: np.ndarray, length: int, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different phrases of a length that start at ``at``, as columns of word numbers, and how many there are of each."""
+    if length == 1:
+        c = np.bincount(ids[at], minlength=words)
+        some = np.flatnonzero(c)
+        return [some], c[some]
+    if words**length >= 1 << 63:
+        rows, c = np.unique(np.stack([ids[at + k] for k in range(length)], axis=1), axis=0, return_counts=True)
+        return list(rows.T), c
+    code = ids[at]
+    for k in range(1, length):
+        code = code * np.int64(words) + ids[at + k]
+    code, c = np.unique(code, return_counts=True)
+    out = []
+    for _ in range(length):
+        code, last = np.divmod(code, np.int64(words))
+        out.append(last)
+    return out[::-1], c
 
 
 def _block_names(lexicon: Lexicon, ids: np.ndarray, sieves: list[Bits], shortest: int, longest: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """Names and numbers of a block's phrases that may be frequent, a length at a time."""
-    words, code = lexicon.hashes(), np.full(len(ids), -1, np.int64)
+    words = lexicon.hashes()
     for length, at in _phrases(words, ids, sieves, longest):
-        if not len(at):
-            return
-        starts, c = _distinct(ids, code, at, length, len(words))
-        if length >= shortest:
-            yield _names(words, ids, starts, length), c
+        if len(at) and length >= shortest:
+            parts, c = _distinct(ids, at, length, len(words))
+            yield [words[parts[k]].view(np.int64) if k < length else np.zeros(len(c), np.int64) for k in range(len(NAME))], c
 
 
 def _spelled(docs: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:

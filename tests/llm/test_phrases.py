@@ -125,3 +125,13 @@ def test_hash_of_a_name_is_that_of_spark(spark):
     two = phrases._mix(u[0], u[1])
     three = phrases._mix(two, u[2])
     assert got == {int(a): (int(b), int(c)) for a, b, c in zip(w[0], two.view(np.int64), three.view(np.int64))}
+
+
+def test_distinct_phrases_at_any_number_of_words():
+    ids = np.random.default_rng(3).integers(0, 4, 300)
+    at = np.arange(290)
+    for length in (1, 2, 3):
+        seen = [phrases._distinct(ids, at, length, n) for n in (4, 1 << 31)] if length > 1 else [phrases._distinct(ids, at, 1, 4)]
+        want = Counter(tuple(ids[i : i + length].tolist()) for i in at)
+        for parts, c in seen:
+            assert dict(zip(zip(*[p.tolist() for p in parts]), c.tolist())) == want
