@@ -95,20 +95,30 @@ _ITEM = lambda source: f"lambda s: string_split(s, '/')[2] || '|' || s || '|{sou
 _PACKAGE = lambda x, spared, source: f"list_transform(list_filter({_once(x)}, lambda p: length(p) BETWEEN 2 AND 100 AND lower(p) NOT IN {_in(spared)}), lambda p: p || '|' || p || '|{source}')"
 
 
-@query(f"""
-    WITH a AS (SELECT doc_id, t, list_transform({_all(R.GITHUB, 1)}, lambda s: regexp_replace(s, '\\.git$', '')) AS h0, list_transform({_all(R.GITLAB, 1)}, lambda s: regexp_replace(s, '\\.git$', '')) AS l0, {_all(R.NPM, 1)} AS n0, {_all(R.PYPI, 1)} AS p0 FROM {_T}),
+def projects_sql(source: str) -> str:
+    """(doc_id, projects) over a source of (doc_id, t)."""
+    return f"""
+    WITH a AS (SELECT doc_id, t, list_transform({_all(R.GITHUB, 1)}, lambda s: regexp_replace(s, '\\.git$', '')) AS h0, list_transform({_all(R.GITLAB, 1)}, lambda s: regexp_replace(s, '\\.git$', '')) AS l0, {_all(R.NPM, 1)} AS n0, {_all(R.PYPI, 1)} AS p0 FROM {source}),
     b AS (SELECT *, {_once('h0')} AS hub, list_filter({_once('l0')}, lambda s: NOT list_contains(h0, s)) AS lab FROM a), c AS (SELECT *, list_concat(hub, lab) AS slugs FROM b),
     d AS (SELECT doc_id, list_concat(list_concat(list_transform(hub, {_ITEM('github_url')}), list_transform(lab, {_ITEM('gitlab_url')})), list_concat({_known()}, list_concat({_PACKAGE('n0', [''], 'npm_package')}, {_PACKAGE('p0', R.PYTHON_STDLIB, 'pypi_package')}))) AS p FROM c)
-    SELECT doc_id, array_to_string(p[1:{R.MOST_PROJECTS}], ',') AS projects FROM d""")
+    SELECT doc_id, array_to_string(p[1:{R.MOST_PROJECTS}], ',') AS projects FROM d"""
+
+
+@query(projects_sql(_T))
 def named_projects(spark, sf_dir):
     d = _marked(spark, sf_dir).select("doc_id", ad.projects(F.col("text")).alias("p"))
     return d.select("doc_id", F.array_join(F.transform("p", lambda p: F.concat_ws("|", p["name"], p["slug"], p["source"])), ",").alias("projects"))
 
 
-@query(f"""
+def code_sql(source: str) -> str:
+    """(doc_id, functions, paths) over a source of (doc_id, t)."""
+    return f"""
     WITH a AS (SELECT doc_id, list_filter(list_concat(list_concat({_all(R.FUNCTIONS[0], 1)}, {_all(R.FUNCTIONS[1], 1)}), {_all(R.FUNCTIONS[2], 1)}), lambda f: lower(f) NOT IN {_in(R.COMMON_NAMES)} AND length(f) <= {R.LONGEST_FUNCTION}) AS f0,
-        list_filter({_all(R.PATHS, 1)}, lambda p: length(p) <= {R.LONGEST_PATH} AND NOT starts_with(p, 'http')) AS p0 FROM {_T})
-    SELECT doc_id, array_to_string({_once('f0')}[1:{R.MOST_NAMES}], ',') AS functions, array_to_string({_once('p0')}[1:{R.MOST_NAMES}], ',') AS paths FROM a""")
+        list_filter({_all(R.PATHS, 1)}, lambda p: length(p) <= {R.LONGEST_PATH} AND NOT starts_with(p, 'http')) AS p0 FROM {source})
+    SELECT doc_id, array_to_string({_once('f0')}[1:{R.MOST_NAMES}], ',') AS functions, array_to_string({_once('p0')}[1:{R.MOST_NAMES}], ',') AS paths FROM a"""
+
+
+@query(code_sql(_T))
 def code_references(spark, sf_dir):
     d = _marked(spark, sf_dir).select("doc_id", ad.code_references(F.col("text")).alias("c"))
     return d.select("doc_id", F.array_join("c.functions", ",").alias("functions"), F.array_join("c.paths", ",").alias("paths"))

@@ -39,3 +39,16 @@ def test_writers(spark, tmp_path):
     wr.write_partitioned(d, str(tmp_path / "days"), "ts")
     wr.replace_days(d.where("v = 2").withColumn("v", F.lit(9)), str(tmp_path / "days"), "ts")
     assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "days")).collect()) == [1, 9]
+
+
+def test_rules_and_scrub(spark, tmp_path):
+    from sievemark.operators import relational
+    from sievemark.sources import readers
+
+    path = tmp_path / "rules.json"
+    path.write_text('[{"phrase": "it is worth noting", "category": "filler"}, {"phrase": "  ", "category": "none"}, {"phrase": "ü", "category": null}]')
+    got = readers.read_rules(spark, str(path))
+    assert got.columns == ["phrase", "category"] and sorted((r.phrase, r.category) for r in got.collect()) == [("it is worth noting", "filler"), ("ü", None)]
+    d = spark.createDataFrame([(1, "secret", "open")], "id int, token string, title string")
+    assert relational.scrub(d, ["title", "id", "absent"]).collect() == [("open", 1)]
+    assert relational.scrub(d.limit(0), ["id"]).columns == ["id"]

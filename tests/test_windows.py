@@ -148,3 +148,31 @@ def test_places_within_a_day(spark):
     d = spark.createDataFrame(rows, "id long, k string, s string").withColumn("ts", F.col("s").cast("timestamp"))
     assert {r.id: r.seen for r in limits.campaign(d, "k", "ts", "id").collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 2, 6: 1, 7: 1, 8: 2}
     assert limits.campaign(d.where("false"), "k", "ts", "id").count() == 0
+
+
+def test_other_streams_equal_plain_counts(spark, tmp_path):
+    """Campaigns, latency by day, sessions, brute force and alerts once, from a stream of files against the same rows in batch."""
+    from sievemark.streaming import checks
+
+    rows = [(i, i % 3, f"2024-01-0{1 + i % 2} 0{i % 4}:{i % 60:02d}:00", float(i), f"k{i % 5}") for i in range(60)]
+    rows += [(100, 9, "2024-01-09 00:00:00", 1.0, "late")]  # moves the watermark past the others
+    d = spark.createDataFrame(rows, "id int, who int, ts string, value double, key string").withColumn("ts", F.to_timestamp("ts"))
+    d.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    read = lambda: spark.readStream.schema(d.schema).parquet(str(tmp_path / "rows"))
+    early = d.where("id < 100")
+    day = F.date_trunc("day", "ts").alias("day")
+    cases = {
+        "campaigns": (checks.daily_campaigns(read(), "who"), early.groupBy(day, F.col("who").alias("fingerprint")).agg(F.count("*").alias("seen")).where("seen >= 3").select("day", "fingerprint", "seen", F.lit(limits.CAMPAIGN_PENALTY))),
+        "latency": (checks.daily_latency(read(), "who").select("day", "stage", "samples", "mean"), early.groupBy(day, F.col("who").alias("stage")).agg(F.count("*"), F.avg("value"))),
+        "sessions": (checks.activity_sessions(read(), "who"), early.groupBy(F.session_window("ts", "1 hour").alias("w"), "who").agg(F.count("*").alias("n")).select("who", "w.start", "w.end", "n")),
+        "force": (checks.brute_force(read(), "who", least=2, seconds=600), early.groupBy(F.window("ts", "600 seconds", "100 seconds").alias("w"), "who").agg(F.count("*").alias("n")).where("n >= 2").select("who", "w.start", "w.end", "n")),
+    }
+    for name, (made, batch) in cases.items():
+        q = made.writeStream.format("memory").queryName(f"other_{name}").option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = sorted(map(tuple, spark.table(f"other_{name}").collect()))
+        assert got == sorted(map(tuple, batch.collect())) and got, name
+    q = checks.once(read(), "key").writeStream.format("memory").queryName("other_once").option("checkpointLocation", str(tmp_path / "cp_once")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    keys = [r.key for r in spark.table("other_once").collect()]
+    assert sorted(keys) == sorted({r[4] for r in rows})
