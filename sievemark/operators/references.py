@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reference_rules as R
 from ..functions.text import every, js_round, let
+from ..sources.work import settled
 from .advice import code_references, projects
 
 #: A key with more than this share of all rows is looked up by broadcast.
@@ -58,11 +59,12 @@ def overlap(text: Column, description: Column) -> Column:
 def verify(df: DataFrame, files: DataFrame, functions: DataFrame, cves: DataFrame, year: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, checks): for each text with references an array of (type, target, weight) in order, as :func:`.triage.verification` takes them.
 
-    ``files`` and ``functions`` have (repo, target), ``cves`` (target, description); ``year`` is the current one.
+    ``files`` and ``functions`` have (repo, target), ``cves`` (target, description); ``year`` is the current one; ids are
+    unique. What texts refer to is extracted once and kept in the shared folder, as the look-up reads it several times.
     """
     code = files.select("repo", "target").distinct().withColumn("kind", F.lit("file")).unionByName(functions.select("repo", "target").distinct().withColumn("kind", F.lit("function"))).withColumn("description", F.lit(None).cast("string"))
     known = code.unionByName(cves.groupBy("target").agg(F.max("description").alias("description")).select(F.lit("").alias("repo"), "target", F.lit("cve").alias("kind"), "description")).withColumn("found", F.lit(True))
-    got = looked_up(edges(df, id_col, text_col), known, ["kind", "repo", "target"])
+    got = looked_up(settled(edges(df, id_col, text_col)), known, ["kind", "repo", "target"])
     per_text = got.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("place", "kind", "target", F.coalesce("found", F.lit(False)).alias("found"), "description"))).alias("refs"))  # eight a text
     text = df.select(id_col, F.col(text_col).alias("__t"))
 
