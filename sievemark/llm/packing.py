@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,40 +53,67 @@ _STRUCT = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:l
 _PLAIN = re.compile("[\t\n\r -;=-~¡-įĲ-ɏ‐-‧]*(?:<(?!\\|)[\t\n\r -;=-~¡-įĲ-ɏ‐-‧]*)*")
 
 
-#: A control character that plain texts don't have and that is a token of its own between spaces.
-_BETWEEN = "\x01"
+#: The vocabulary's pre-tokens of plain, lower-case words, and what is between words.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\w\s]|_)+|\n")
+
+#: In place of an id between words.
+_BETWEEN = 0xFFFFFFFF
 
 
 class WordTokens:
-    """Ids of whole texts as little-endian bytes, with a bounded memo of words.
+    """Ids of whole texts as little-endian 32-bit numbers, with a bounded memo of pre-tokens.
 
     The vocabulary's pre-tokens never span white space and it lower-cases, so a
-    plain text is the concatenation of its lower-case words' ids; other texts are
-    encoded whole. New words are encoded many at a time with a separator between.
+    plain text is the concatenation of its lower-case words' ids, and a word that
+    of its pre-tokens'; other texts are encoded whole. The different words of a
+    block are cut once, and of the different pre-tokens those that are not in the
+    memo go through the vocabulary's merges.
     """
 
     #: Texts encoded together, and characters of them from which there are fewer.
-    TEXTS, CHARS = 256, 1 << 20
+    TEXTS, CHARS = 1024, 1 << 21
 
     def __init__(self, path: str, memo: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.memo, self.limit, self.held = Tokenizer.from_file(path), {}, memo, 0  # bytes held at most, and held
-        (self.between,) = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str], at_once: int = 4000) -> None:
-        for k in range(0, len(words), at_once):
-            some = words[k : k + at_once]
-            (ids,) = self._encode([f" {_BETWEEN} ".join(some)])
-            cuts = np.flatnonzero(ids == self.between)
-            raw = ids.tobytes()
-            starts, stops = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
-            self.memo.update((w, raw[x:y]) for w, x, y in zip(some, starts, stops, strict=True))
-            self.held += sum(map(len, some)) + len(raw) + 160 * len(some)  # with what two objects and their place in a dict take
+        self.merge = self.tokenizer.model.tokenize
+        self.single = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        lower = {c for k in range(0x80, 0x2028) if _PLAIN.fullmatch(chr(k)) for c in chr(k).lower()}  # some of them beyond the range
+        self.spelling = {ord(c): spelled(c)[0][0] for c in lower}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, parts: set[str]) -> None:
+        for p in parts:
+            ids = [self.single[t.id] for t in self.merge(p if p.isascii() else p.translate(self.spelling))]
+            self.memo[p] = raw = ids[0] if len(ids) == 1 else b"".join(ids)
+            self.held += len(p) + len(raw) + 160  # with what two objects and their place in a dict take
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        found = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = found.flatten().dictionary_encode()
+        if not len(coded):
+            return [np.empty(0, "<u4")] * len(texts)
+        words = coded.dictionary
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
+        parts = _PARTS.findall(lines)
+        if self.held > self.limit:
+            self.memo, self.held = {}, 0
+        self.memo["\n"] = _BETWEEN.to_bytes(4, "little")
+        self._learn(set(parts) - self.memo.keys())
+        ids = np.frombuffer(b"".join(map(self.memo.__getitem__, parts)), "<u4")
+        stops = np.append(np.flatnonzero(ids == _BETWEEN), len(ids))
+        starts = np.append(0, stops[:-1] + 1)
+        of = coded.indices.to_numpy()
+        size = (stops - starts)[of]
+        ends = np.append(0, np.cumsum(size))
+        at = np.repeat(starts[of] - ends[:-1], size)
+        at += np.arange(len(at))
+        return np.split(ids[at], ends[found.offsets.to_numpy()[1:-1]])
 
     def _blocks(self, texts: list[str]) -> Iterator[list[str]]:
         at = chars = 0
@@ -97,16 +125,13 @@ class WordTokens:
         if at < len(texts):
             yield texts[at:]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         for block in self._blocks(texts):
-            words = [t.lower().split() if _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) else None for t in block]
-            if self.held > self.limit:
-                self.memo.clear()
-                self.held = 0
-            new = set().union(*(ws for ws in words if ws)) - self.memo.keys()
-            self._learn(list(new))
-            for text, ws in zip(block, words):
-                yield b"".join(map(self.memo.__getitem__, ws)) if ws is not None else self._encode([text])[0].tobytes()
+            plain = [_PLAIN.fullmatch(t) is not None and unicodedata.is_normalized("NFC", t) for t in block]
+            some = [t.lower() for t, p in zip(block, plain) if p]
+            made = iter(self._plain(some) if some else ())
+            for text, p in zip(block, plain):
+                yield next(made) if p else self._encode(text)
 
 
 _HELD: dict[str, WordTokens] = {}
@@ -124,16 +149,16 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def cut(batches):
         tokens = word_tokens(tokenizer)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype="<u4")
         for batch in batches:
             out = ([], [], [], [], [])
             ids = batch.column(0).to_pylist()
             for doc, body in zip(ids, tokens([t or "" for t in batch.column(1).to_pylist()])):
-                body += end
-                n = len(body) // 4
+                body = np.concatenate((body, end))
+                n = len(body)
                 for k, start in enumerate(range(0, n, capacity)):
                     stop = min(n, start + capacity)
-                    for col, v in zip(out, (doc, k, start, stop - start, zlib.crc32(body[4 * start : 4 * stop]))):
+                    for col, v in zip(out, (doc, k, start, stop - start, zlib.crc32(body[start:stop]))):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32())] + [pa.array(c, pa.int64()) for c in out[2:]],

@@ -69,6 +69,20 @@ def test_packing_empty(none):
     assert packing.pack(packing.pieces(none, vocabulary("word_bpe_49k.json"))).count() == 0
 
 
+def test_words_with_different_stops_share_their_pre_tokens():
+    """Ids are the vocabulary's for every plain character; of words that differ in their stops the letters are merged once."""
+    tokens = packing.WordTokens(vocabulary("word_bpe_49k.json"))
+    words = ["".join(chr(97 + (7 * i + k * k) % 26) for k in range(3)) + chr(97 + i % 26) + chr(97 + i // 26) for i in range(600)]
+    texts = [" ".join(w + stop for w in words) for stop in ("", ".", ",", "$$$", "!!")]
+    for text, ids in zip(texts, tokens(texts)):
+        assert list(ids) == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(tokens.memo) <= len(set(words)) + 10
+    plain = [c for c in map(chr, range(0x2028)) if packing._PLAIN.fullmatch(c)]
+    texts = [x for c in plain for x in (c, f"a{c}b", f"A1{c}'s")] + ["", "  ", "\n", "it's we'RE'll 'tis $$$'s a_b __ 1²³¼ªº < <|x"]
+    for text, ids in zip(texts, tokens(texts)):
+        assert list(ids) == tokens.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_best_fit_is_best_fit():
     bins = packing.best_fit(np.array([7, 5, 4, 3, 1]), 10)
     assert sorted(sorted(b) for b in bins) == [[0, 3], [1, 2, 4]]
