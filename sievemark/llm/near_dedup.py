@@ -19,7 +19,8 @@ avoid writing all pairs of a large group:
    meets the others' and so, again, spanning trees are confirmed: a text of which
    all others are variants gathers those that it had not met.
 3. Only where a key still holds several components, the pairs between them are
-   confirmed within the task that holds the key, nearest first, until the
+   confirmed within the task that holds the key (sketches meet there first, then
+   the full sets of rows that are in a pair left over), nearest first, until the
    components are one or no pair is left: rows go out for links only, no more than
    the key has members. Members of keys larger than a block (documents that share
    a passage, say) are keyed anew by the rarest shingles of their sets: two sets
@@ -308,30 +309,56 @@ def _hubs(members: DataFrame, links: DataFrame) -> DataFrame:
     return own.unionByName(first).distinct().select(F.xxhash64("key", "block").alias("cell"), "node")
 
 
-def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, shared_keys: bool) -> DataFrame:
-    """Links (a, b) between different components of a key: as many as connect what can be, found nearest first on full sets.
+def _pairs(node, second, same, key, component, sig, sketch, size, shared_keys: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a cell's rows, nearest first, that are of different components and may be links as far as sketches and sizes tell.
 
     With ``shared_keys`` (of the index) a pair is looked at under its first shared key only.
     """
-    coarse, fine = _most(COARSE), _most(FINE)
-    rows = members.join(sets.select("node", "sketch", "items"), "node").join(nodes.select("node", "sig"), "node")
-    cells = _cells(rows, ["key", "component", "sig", "sketch", "items"])
+    coarse, fine, n = _most(COARSE), _most(FINE), len(node)
+    sk = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, FINE)
+    d = _distances(sk[:, :COARSE])
+    ok = (d <= coarse) & (component[:, None] != component[None, :])
+    if not same.all():  # a cell of two blocks: pairs within one are another cell's
+        ok &= second[:, None] != second[None, :]
+    i, j = np.nonzero(np.triu(ok, 1))
+    if not len(i):
+        return
+    order = np.argsort(d[i, j], kind="stable")
+    i, j = i[order], j[order]
+    of = keys(np.frombuffer(b"".join(sig), "<u2").reshape(n, SYMBOLS)) if shared_keys else None
+    for at in range(0, len(i), 20_000):
+        x, y = i[at : at + 20_000], j[at : at + 20_000]
+        m = ((sk[x] != sk[y]).sum(axis=1) <= fine) & (100 * np.minimum(size[x], size[y]) >= SIMILARITY * np.maximum(size[x], size[y]))
+        x, y = x[m], y[m]
+        if of is not None and len(x):
+            m = of[x, (of[x] == of[y]).argmax(axis=1)] == key[0]
+            x, y = x[m], y[m]
+        yield x, y
+
+
+def _paired(members: DataFrame, nodes: DataFrame, sets: DataFrame, shared_keys: bool) -> DataFrame:
+    """Of the cells' rows those that are in one of its :func:`_pairs`. Only their sets have to meet: a pair shares many keys and is looked at under one."""
+    rows = members.join(sets.select("node", "n", "sketch"), "node").join(nodes.select("node", "sig"), "node")
+    cells = _cells(rows, ["key", "component", "n", "sig", "sketch"])
 
     def run(batches):
-        for _, second, same, node, key, component, sig, sketch, items in _by_cell(batches):
-            n = len(node)
-            sk = np.frombuffer(b"".join(sketch), np.uint8).reshape(n, FINE)
-            d = _distances(sk[:, :COARSE])
-            ok = (d <= coarse) & (component[:, None] != component[None, :])
-            if not same.all():  # a cell of two blocks: pairs within one are another cell's
-                ok &= second[:, None] != second[None, :]
-            i, j = np.nonzero(np.triu(ok, 1))
-            if not len(i):
-                continue
-            order = np.argsort(d[i, j], kind="stable")
-            i, j = i[order], j[order]
-            of = keys(np.frombuffer(b"".join(sig), "<u2").reshape(n, SYMBOLS)) if shared_keys else None
-            size = np.array([len(x) for x in items])
+        for cell, second, same, node, key, component, n, sig, sketch in _by_cell(batches):
+            held = np.zeros(len(node), bool)
+            for x, y in _pairs(node, second, same, key, component, sig, sketch, n, shared_keys):
+                held[x] = held[y] = True
+            if held.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[held]) for c in (cell, second, same, node, key, component)], ["cell", "second", "same", "node", "key", "component"])
+
+    return table(cells.mapInArrow(run, "cell long, second boolean, same boolean, node long, key long, component long"), "near-paired")
+
+
+def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, shared_keys: bool) -> DataFrame:
+    """Links (a, b) between different components of a key: as many as connect what can be, found nearest first on full sets."""
+    rows = _paired(members, nodes, sets, shared_keys).join(sets.select("node", "n", "sketch", "items"), "node").join(nodes.select("node", "sig"), "node")
+    rows = rows.select("cell", "second", "same", "node", "key", "component", "n", "sig", "sketch", "items")
+
+    def run(batches):
+        for _, second, same, node, key, component, n, sig, sketch, items in _by_cell(batches):
             joined = {int(c): int(c) for c in component}
 
             def root(x):
@@ -341,13 +368,7 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, shared_keys:
                 return x
 
             a, b = [], []
-            for at in range(0, len(i), 20_000):
-                x, y = i[at : at + 20_000], j[at : at + 20_000]
-                m = ((sk[x] != sk[y]).sum(axis=1) <= fine) & (100 * np.minimum(size[x], size[y]) >= SIMILARITY * np.maximum(size[x], size[y]))
-                x, y = x[m], y[m]
-                if of is not None and len(x):
-                    m = of[x, (of[x] == of[y]).argmax(axis=1)] == key[0]
-                    x, y = x[m], y[m]
+            for x, y in _pairs(node, second, same, key, component, sig, sketch, n, shared_keys):
                 for p, q in zip(x.tolist(), y.tolist()):
                     r, t = root(int(component[p])), root(int(component[q]))
                     if r != t and _linked(items[p], items[q]):
@@ -356,7 +377,7 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, shared_keys:
                         b.append(int(max(node[p], node[q])))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def _linked(x: bytes, y: bytes) -> bool:

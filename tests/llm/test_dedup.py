@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from llm_help import DATA
 
@@ -266,3 +267,22 @@ def test_of_rows_that_share_id_and_set_the_same_one_stays(spark):
     rows = [(1, words), (1, words.upper()), (1, words.replace(" ", "  ")), (2, words + " tail")]
     got = {tuple(r.text for r in near_dedup.deduplicate(spark.createDataFrame(order, "doc_id long, text string").repartition(n)).collect()) for n, order in ((1, rows), (3, rows[::-1]))}
     assert len(got) == 1 and len(next(iter(got))) == 1
+
+
+def test_sets_meet_under_one_key_only(spark):
+    """Of rows that share keys only those in a pair that may be a link go on to where full sets meet, and a pair does under its first key."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    near = np.concatenate([base[:380], rng.integers(0, 1 << 63, 20, dtype=np.uint64)])
+    far = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    all_ = [np.unique(x) for x in (base, near, far)]
+    sets = spark.createDataFrame([(i, len(x), bytearray(x.tobytes()), bytearray(near_dedup.minima(x, near_dedup._SKETCH).astype(np.uint8).tobytes())) for i, x in enumerate(all_)], "node long, n long, items binary, sketch binary")
+    sig = [near_dedup.minima(x, near_dedup._INDEX).astype("<u2") for x in all_]
+    nodes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "node long, sig binary")
+    one, two = near_dedup.keys(np.stack(sig[:2]))
+    shared = [int(k) for k in one[one == two]]
+    assert len(shared) > 3
+    members = spark.createDataFrame([(k, i, i, 3) for k in shared for i in range(3)], "key long, node long, component long, size long")
+    rows = near_dedup._paired(members, nodes, sets, True).select("key", "node").collect()
+    assert sorted(map(tuple, rows)) == [(shared[0], 0), (shared[0], 1)]
+    assert [tuple(r) for r in near_dedup._across(members, nodes, sets, True).collect()] == [(0, 1)]
