@@ -3,7 +3,9 @@
 Candidates come from Apriori sieves, one a length, words first: tasks count the
 phrases of which all parts passed the sieve before, and those with fewer
 occurrences than asked for can't be frequent. Tasks test parts against a bitmap
-of bounded size, whose false hits only add candidates. A phrase is named by its
+of bounded size, whose false hits only add candidates; the last count tests
+against one of each length. Texts are split and their words numbered in arrays;
+only a block's different words become Python objects. A phrase is named by its
 words' 64-bit hashes; all words of the corpus are checked to have hashes of
 their own (another seed is taken otherwise), so names are exact and texts are
 needed for words only.
@@ -41,7 +43,7 @@ from .common import Bits, lookup, table
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: A shorter phrase goes if a longer one around it has at least this share of its occurrences, in hundredths.
 COVERED = 50
-#: Words that a task counts together, and different words that it remembers.
+#: Words that a task counts together; fewer if the dictionaries of their parts have more entries than the second.
 BLOCK, MEMO = 1_000_000, 300_000
 #: Slots of a shard, rows that meet a shard in one task, arrays that meet in a node of the tree.
 SLOTS, ROWS, FAN_IN = 1 << 17, 1 << 20, 16
@@ -289,28 +291,37 @@ def _sum(key, t):
 
 
 class Lexicon:
-    """Numbers of the words a task has met, each with its key (language and spelling) and hash."""
+    """Numbers of the words of some texts, each with its key (language and spelling) and hash."""
 
     def __init__(self, seed: int):
-        self.by_lang: dict[str, dict[bytes, int]] = {}
+        self.parts: dict[str, list[tuple[pa.DictionaryArray, np.ndarray]]] = {}
         self.keys: list[bytes] = []
         self.seed, self.hashed = seed, np.empty(0, np.uint64)
-
-    def numbers(self, text: bytes, lang: str) -> np.ndarray:
-        """Numbers of a text's words in order, -1 between its pieces and at its end."""
-        memo = self.by_lang.setdefault(lang, {b"": -2, b"\n": -1})
-        parts = text.lower().translate(_SPLIT).replace(b"\n", b" \n ").split(b" ")  # of bytes: A-Z only
-        try:
-            out = [memo[p] for p in parts]
-        except KeyError:
-            head = lang.encode() + b"\t"
-            for p in parts:
-                if p not in memo:
-                    memo[p] = len(self.keys)
-                    self.keys.append(head + p)
-            out = [memo[p] for p in parts]
-        n = np.array(out, np.int64)
-        return np.append(n[n > -2], -1)
+        self.size = self.met = 0  # words, and different ones of each part
+
+    def add(self, texts: list[bytes], lang: str) -> None:
+        """Take a part: its words as a dictionary and indices, and the places of words that a piece or a text ends before."""
+        joined = np.frombuffer(b"\n".join([*texts, b""]).lower().translate(_SPLIT), np.uint8)  # of bytes: A-Z only
+        inside = (joined != 32) & (joined != 10)
+        edges = np.flatnonzero(np.diff(inside, prepend=False))  # starts and ends in turn, as the last byte is in no word
+        starts = edges[::2]
+        offsets = np.append(0, np.cumsum(edges[1::2] - starts))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined[inside])]).dictionary_encode()
+        self.parts.setdefault(lang, []).append((words, np.searchsorted(starts, np.flatnonzero(joined == 10))))
+        self.size, self.met = self.size + len(words), self.met + len(words.dictionary)
+
+    def numbers(self) -> np.ndarray:
+        """Numbers of all words in order, a language at a time, -1 between pieces and at a text's end."""
+        out = [np.empty(0, np.int64)]
+        for lang, parts in self.parts.items():
+            met = pa.concat_arrays([words.dictionary for words, _ in parts]).dictionary_encode()
+            own, head = len(self.keys) + met.indices.to_numpy().astype(np.int64), lang.encode() + b"\t"
+            self.keys += [head + w for w in met.dictionary.to_numpy(zero_copy_only=False)]
+            for words, ends in parts:
+                out.append(np.insert(own[words.indices.to_numpy()], ends, -1))
+                own = own[len(words.dictionary) :]
+        self.parts = {}
+        return np.concatenate(out)
 
     def hashes(self) -> np.ndarray:
         """A hash per word, never 0."""
@@ -321,21 +332,32 @@ class Lexicon:
         return self.hashed
 
 
-def _blocks(batches, seed: int, block: int) -> Iterator[tuple[Lexicon, np.ndarray]]:
-    lexicon, parts, size = Lexicon(seed), [], 0
+def _parts(batches, most: int) -> Iterator[dict[str, list[bytes]]]:
+    """Texts by language, some ``most`` bytes at a time."""
+    part, size = {}, 0
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
             text = text.as_py()
             if text:
-                parts.append(lexicon.numbers(text, lang))
-                size += len(parts[-1])
-            if size >= block:
-                yield lexicon, np.concatenate(parts)
-                parts, size = [], 0
-                if len(lexicon.keys) > MEMO:
-                    lexicon = Lexicon(seed)
-    if parts:
-        yield lexicon, np.concatenate(parts)
+                part.setdefault(lang, []).append(text)
+                size += len(text)
+            if size >= most:
+                yield part
+                part, size = {}, 0
+    if part:
+        yield part
+
+
+def _blocks(batches, seed: int, block: int) -> Iterator[tuple[Lexicon, np.ndarray]]:
+    lexicon = Lexicon(seed)
+    for part in _parts(batches, block):
+        for lang, texts in part.items():
+            lexicon.add(texts, lang)
+        if lexicon.size >= block or lexicon.met > MEMO:
+            yield lexicon, lexicon.numbers()
+            lexicon = Lexicon(seed)
+    if lexicon.parts:
+        yield lexicon, lexicon.numbers()
 
 
 def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -435,6 +457,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         if words.count() == words.select("w1").distinct().count():
             break
         seed += 1  # two words have one hash
+    n = words.groupBy(_lang_of("key").alias("lang")).agg(F.sum("c").alias("n"))
     words = words.where(F.col("c") >= least).select("w1", "key")
     sieves = [Bits(spark, words.select(F.col("w1").alias("h")))]
     none = F.lit(0).cast("bigint")
@@ -443,8 +466,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         sums = _occurring(texts, seed, sieves, length, length).groupBy(*NAME).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
         level = table(sums.select(*NAME), "phrase-sieve")
         keys = keys.unionByName(level)
-        if length < LONGEST:
-            sieves.append(Bits(spark, level.select(_hash_of(length).alias("h"))))
+        sieves.append(Bits(spark, level.select(_hash_of(length).alias("h"))))
     if keys.count() <= HELD:
         counts = Held(keys, texts, seed, sieves)
     else:
@@ -468,11 +490,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     out = _with_spelling(out, words).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     first = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.col("phrase"))  # tasks keep their own first ones before the shuffle
     out = out.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
-    chars = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+"))
-    n = docs.groupBy(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang")).agg(F.sum(chars).cast("bigint").alias("n"))
     return out.join(n, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+def _lang_of(key: str) -> F.Column:
+    return F.expr(f"left({key}, length({key}) - length(substring_index({key}, '\t', -1)) - 1)")
+
+
 def _with_spelling(rows: DataFrame, words: DataFrame) -> DataFrame:
     """Rows with ``lang`` and ``phrase`` of the name in ``whole``. A word of very many phrases is looked up by broadcast."""
     rows = table(rows, "phrase-rows")
@@ -481,6 +505,5 @@ def _with_spelling(rows: DataFrame, words: DataFrame) -> DataFrame:
     wanted = places.groupBy("w1").agg(F.count("*").alias("rows")).join(words, "w1")
     spelled = lookup(places, wanted, ["w1"], "rows", places.count())
     parts = F.array_sort(F.collect_list(F.struct("at", F.substring_index("key", "\t", -1).alias("word"))))
-    lang = F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)")
-    named = spelled.groupBy("whole").agg(F.array_join(F.transform(parts, lambda p: p["word"]), " ").alias("phrase"), F.any_value(lang).alias("lang"))
+    named = spelled.groupBy("whole").agg(F.array_join(F.transform(parts, lambda p: p["word"]), " ").alias("phrase"), F.any_value(_lang_of("key")).alias("lang"))
     return rows.join(named, "whole")

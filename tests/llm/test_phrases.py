@@ -135,3 +135,29 @@ def test_distinct_phrases_at_any_number_of_words():
         want = Counter(tuple(ids[i : i + length].tolist()) for i in at)
         for parts, c in seen:
             assert dict(zip(zip(*[p.tolist() for p in parts]), c.tolist())) == want
+
+
+def test_numbers_are_those_of_a_plain_split():
+    rng = random.Random(5)
+    for _ in range(300):
+        texts = [(bytes(rng.choice(b"abAB \t.,;:!?\n\x0b\x0c\r\x00\x1c\xc3") for _ in range(rng.randrange(1, 30))), rng.choice(["en", "x\ty", ""])) for _ in range(rng.randrange(1, 6))]
+        lexicon, want = phrases.Lexicon(0), Counter()
+        for text, lang in texts:  # a part each
+            lexicon.add([text], lang)
+            for piece in re.split(b"[.,;:!?\n\x0b\x0c\r]", text.lower()):
+                w = [lang.encode() + b"\t" + x for x in re.findall(b"[^ \t]+", piece)]
+                want.update(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+        ids = lexicon.numbers()
+        assert ids[-1] == -1 and len(set(lexicon.keys)) == len(lexicon.keys)
+        runs = [tuple(ids[i : i + k].tolist()) for k in (1, 2, 3) for i in range(len(ids) - k + 1)]
+        assert Counter(tuple(lexicon.keys[i] for i in r) for r in runs if min(r) >= 0) == want
+
+
+def test_texts_are_read_by_tasks_that_split_them_only_and_each_length_has_a_sieve(spark, monkeypatch):
+    sieves, was = [], phrases.Held.__init__
+    monkeypatch.setattr(phrases.Held, "__init__", lambda self, keys, texts, seed, s: (sieves.extend(s), was(self, keys, texts, seed, s))[1])
+    rows = planted(6)
+    d = phrases.collocations(spark.createDataFrame(rows, "text string, lang string"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and len(sieves) == phrases.LONGEST
+    assert held(d) == brute(rows)
