@@ -20,7 +20,8 @@ are read by slot, of the array or of the shards.
 
 A shard's rows are dealt over as many tasks as they need, so a phrase or word
 with a third of all rows is spread, and tasks pre-aggregate a block of
-:data:`BLOCK` words before any shuffle.
+:data:`BLOCK` words before any shuffle, and what is routed over blocks, as far as
+:data:`ROWS` rows go.
 
 Defined results: a null text is the empty one; a null lang is ``und`` and one
 with the language of that name; repeated rows count each; an empty table gives
@@ -234,17 +235,21 @@ class Counts:
         def look(left, right):
             if not left.num_rows:
                 return pa.table({c: left.column(c) for c in cols} | {"f": pa.array([], pa.int64())})
-            slot = _slots_of(_shard(right), left.column("h").to_numpy(), _named(left))
+            slot = _slots_of(_shard(right), _key_hash(_named(left)), _named(left))
             return pa.table({c: left.column(c) for c in cols} | {"f": pa.array(np.where(slot >= 0, _array(right, "counts")[slot], 0))})
 
         left, right = _routed(asked, asked.count(), self.shards, self.number)
         return left.cogroup(right).applyInArrow(look, schema)
 
 
+def _shard_of(number: int) -> F.Column:
+    return F.pmod(F.xxhash64(*NAME), F.lit(number)).cast("int")
+
+
 def _routed(rows: DataFrame, total: int, shards: DataFrame, number: int):
     """``rows`` and ``shards`` grouped to meet: a shard is copied for every ROWS rows that it is asked for."""
     salts = max(1, math.ceil(total / number / ROWS))
-    own = rows.withColumn("h", F.xxhash64(*NAME)).withColumn("shard", F.pmod("h", F.lit(number)).cast("int")).withColumn("salt", F.pmod(F.spark_partition_id() + F.col("shard"), F.lit(salts)).cast("int"))
+    own = rows.withColumn("shard", _shard_of(number)).withColumn("salt", F.pmod(F.spark_partition_id() + F.col("shard"), F.lit(salts)).cast("int"))
     copies = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return own.groupBy("shard", "salt"), copies.groupBy("shard", "salt")
 
@@ -256,18 +261,17 @@ def count_phrases(rows: DataFrame, keys: DataFrame, slots: int = SLOTS) -> Count
     number = max(1, math.ceil(keys.count() / slots))
 
     def build(key, t):
-        shard = _by_slot(t.column("h").to_numpy().view(np.uint64), _named(t))
+        shard = _by_slot(_key_hash(_named(t)), _named(t))
         return _lists({"shard": pa.array([key[0].as_py()], pa.int32()), "sizes": shard["sizes"], "bits": pa.array([shard["bits"]])} | dict(zip(NAME, shard["keys"])))
 
     lists = ", ".join(f"{c} array<long>" for c in NAME)
-    numbered = keys.withColumn("h", F.xxhash64(*NAME)).withColumn("shard", F.pmod("h", F.lit(number)).cast("int"))
-    shards = table(numbered.groupBy("shard").applyInArrow(build, f"shard int, sizes array<long>, bits binary, {lists}"), "phrase-shards")
+    shards = table(keys.withColumn("shard", _shard_of(number)).groupBy("shard").applyInArrow(build, f"shard int, sizes array<long>, bits binary, {lists}"), "phrase-shards")
 
     def bincount(key, left, right):
         shard = _shard(right)
         counts = np.zeros(len(shard["keys"][0]), np.int64)
         if left.num_rows:
-            slot, c = _slots_of(shard, left.column("h").to_numpy(), _named(left)), left.column("c").to_numpy()
+            slot, c = _slots_of(shard, _key_hash(_named(left)), _named(left)), left.column("c").to_numpy()
             counts += np.bincount(slot[slot >= 0], weights=c[slot >= 0], minlength=len(counts)).astype(np.int64)  # exact below 2**53
         return _lists({"shard": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([key[1].as_py()], pa.int32()), "counts": counts})
 
@@ -432,13 +436,41 @@ def _spelled(docs: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:
     return docs.mapInArrow(run, "w1 long, key string, c long")
 
 
-def _occurring(docs: DataFrame, seed: int, sieves: list[Bits], shortest: int, longest: int, block: int = BLOCK) -> DataFrame:
-    """Rows (a name, c): phrases of these lengths that may be frequent, with their occurrences in a block."""
+def _combined(counted: Iterator[tuple[list[np.ndarray], np.ndarray]], most: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Names and numbers with those of one name added up, as long as at most ``most`` and what comes next are held. Names with one hash may stay apart."""
+    held, size = [], 0
+    for name, c in counted:
+        held.append([*name, c])
+        size += len(c)
+        if size > most:
+            held = [_added(held)]
+            size = len(held[0][-1])
+            if size > most // 2:  # adding up no longer makes much room
+                yield held[0][:-1], held[0][-1]
+                held, size = [], 0
+    if held:
+        *name, c = _added(held)
+        yield name, c
+
+
+def _added(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    columns = [np.concatenate(c) for c in zip(*held)]
+    order = np.argsort(_key_hash(columns[:-1]))
+    *name, c = [column[order] for column in columns]
+    first = np.ones(len(c), bool)
+    if len(c):
+        first[1:] = np.any([n[1:] != n[:-1] for n in name], axis=0)
+    at = np.flatnonzero(first)
+    return [*[n[at] for n in name], np.add.reduceat(c, at) if len(c) else c]
+
+
+def _occurring(docs: DataFrame, seed: int, sieves: list[Bits], shortest: int, longest: int, block: int = BLOCK, most: int = 0) -> DataFrame:
+    """Rows (a name, c): phrases of these lengths that may be frequent, with their occurrences in a block, or in several as far as ``most`` rows go."""
 
     def run(batches):
-        for lexicon, ids in _blocks(batches, seed, block):
-            for name, c in _block_names(lexicon, ids, sieves, shortest, longest):
-                yield pa.RecordBatch.from_arrays([*[pa.array(n) for n in name], pa.array(c, pa.int64())], names=[*NAME, "c"])
+        counted = (named for lexicon, ids in _blocks(batches, seed, block) for named in _block_names(lexicon, ids, sieves, shortest, longest))
+        for name, c in _combined(counted, most) if most else counted:
+            yield pa.RecordBatch.from_arrays([*[pa.array(n) for n in name], pa.array(c, pa.int64())], names=[*NAME, "c"])
 
     return docs.mapInArrow(run, f"{_NAME_TYPE}, c long")
 
@@ -470,7 +502,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     if keys.count() <= HELD:
         counts = Held(keys, texts, seed, sieves)
     else:
-        counts = count_phrases(_occurring(texts, seed, sieves, 1, LONGEST), keys)
+        counts = count_phrases(_occurring(texts, seed, sieves, 1, LONGEST, most=ROWS), keys)
     found = table(counts.frequent(least).withColumn("length", sum(F.when(F.col(c) != 0, 1).otherwise(0) for c in NAME)), "phrase-frequent")
     asked = found.where("length > 1").withColumn("k", F.explode(F.expr("sequence(1, length - 1)")))
     held = F.filter(F.array(*NAME), lambda w: w != 0)

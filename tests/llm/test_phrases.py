@@ -161,3 +161,31 @@ def test_texts_are_read_by_tasks_that_split_them_only_and_each_length_has_a_siev
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "text" not in plan and len(sieves) == phrases.LONGEST
     assert held(d) == brute(rows)
+
+
+@pytest.mark.parametrize("most", [1, 50, 10**6])
+def test_combined_counts_are_those_of_all_blocks(most):
+    rng = np.random.default_rng(8)
+    blocks = [([rng.integers(0, 6, 40), rng.integers(0, 3, 40), np.zeros(40, np.int64)], rng.integers(1, 9, 40)) for _ in range(6)] + [([np.empty(0, np.int64)] * 3, np.empty(0, np.int64))]
+    want, got, rows = Counter(), Counter(), 0
+    for name, c in blocks:
+        for *k, n in zip(*map(np.ndarray.tolist, name), c.tolist()):
+            want[tuple(k)] += n
+    for name, c in phrases._combined(iter(blocks), most):
+        rows += len(c)
+        for *k, n in zip(*map(np.ndarray.tolist, name), c.tolist()):
+            got[tuple(k)] += n
+    assert got == want and (most < 10**6 or rows == len(want))
+
+
+def test_routed_rows_hold_names_and_counts_of_a_task(spark, monkeypatch):
+    """Beyond HELD the local counts of a task's blocks are one row a phrase, and no hash travels with them."""
+    seen, was = [], phrases._routed
+    monkeypatch.setattr(phrases, "HELD", 0)
+    monkeypatch.setattr(phrases, "_routed", lambda rows, *a: (seen.append(rows), was(rows, *a))[1])
+    blocks = phrases._blocks
+    monkeypatch.setattr(phrases, "_blocks", lambda b, seed, n: blocks(b, seed, 100))
+    rows = planted(7)
+    got = held(phrases.collocations(spark.createDataFrame(rows, "text string, lang string").coalesce(1)))
+    assert got == brute(rows)
+    assert seen[0].columns == [*phrases.NAME, "c"] and seen[0].count() == seen[0].select(*phrases.NAME).distinct().count()
