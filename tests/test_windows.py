@@ -176,3 +176,21 @@ def test_other_streams_equal_plain_counts(spark, tmp_path):
     q.awaitTermination()
     keys = [r.key for r in spark.table("other_once").collect()]
     assert sorted(keys) == sorted({r[4] for r in rows})
+
+
+def test_brute_force_and_alerts_once_where_rows_fall_together(spark, tmp_path):
+    """As above, with rejections of one address within ten minutes, so that windows have something in them."""
+    from sievemark.streaming import checks
+
+    rows = [(i, i % 3, f"2024-01-01 0{i % 4}:{i // 4:02d}:00", f"k{i % 5}") for i in range(60)]
+    rows += [(100, 9, "2024-01-09 00:00:00", "late")]  # moves the watermark past the others
+    d = spark.createDataFrame(rows, "id int, who int, ts string, key string").withColumn("ts", F.to_timestamp("ts"))
+    d.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    read = lambda: spark.readStream.schema(d.schema).parquet(str(tmp_path / "rows"))
+    held = {}
+    for name, made in {"force": checks.brute_force(read(), "who", least=2, seconds=600), "once": checks.once(read(), "key")}.items():
+        made.writeStream.format("memory").queryName(f"together_{name}").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        held[name] = spark.table(f"together_{name}").collect()
+    want = d.where("id < 100").groupBy(F.window("ts", "600 seconds", "100 seconds").alias("w"), "who").agg(F.count("*").alias("n")).where("n >= 2").select("who", "w.start", "w.end", "n")
+    assert sorted(map(tuple, held["force"])) == sorted(map(tuple, want.collect())) and held["force"]
+    assert sorted(r.key for r in held["once"]) == sorted({r[3] for r in rows})
