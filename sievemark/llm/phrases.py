@@ -301,7 +301,7 @@ class Lexicon:
         self.parts: dict[str, list[tuple[pa.DictionaryArray, np.ndarray]]] = {}
         self.keys: list[bytes] = []
         self.seed, self.hashed = seed, np.empty(0, np.uint64)
-        self.size = self.met = 0  # words, and different ones of each part
+        self.size = self.met = 0  # numbers, and different words of each part
 
     def add(self, texts: list[bytes], lang: str) -> None:
         """Take a part: its words as a dictionary and indices, and the places of words that a piece or a text ends before."""
@@ -311,8 +311,9 @@ class Lexicon:
         starts = edges[::2]
         offsets = np.append(0, np.cumsum(edges[1::2] - starts))
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined[inside])]).dictionary_encode()
-        self.parts.setdefault(lang, []).append((words, np.searchsorted(starts, np.flatnonzero(joined == 10))))
-        self.size, self.met = self.size + len(words), self.met + len(words.dictionary)
+        ends = np.searchsorted(starts, np.flatnonzero(joined == 10))
+        self.parts.setdefault(lang, []).append((words, ends))
+        self.size, self.met = self.size + len(words) + len(ends), self.met + len(words.dictionary)
 
     def numbers(self) -> np.ndarray:
         """Numbers of all words in order, a language at a time, -1 between pieces and at a text's end."""
