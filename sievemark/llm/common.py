@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,27 @@ def unwrap(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col("whole")[c].alias(c) for c in columns])
 
 
+def few_texts(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The values of a string column, about ``size`` bytes at a time: a batch has up to 10,000 texts, and objects of all at once stay in a worker's memory."""
+    step = max(1, len(texts) * size // max(1, texts.nbytes))
+    for at in range(0, len(texts), step):
+        some = texts.slice(at, step)
+        if some.nbytes > 4 * size and len(some) > 1:  # long texts beside each other
+            yield from few_texts(some, size)
+        else:
+            yield some.to_pylist()
+
+
+def giving_back(run: Callable) -> Callable:
+    """The task ``run``; at its end the memory that Arrow keeps for later batches goes back. A worker that idles, or has other work next, would hold 100 MB of it."""
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def crc_fold(doc_id) -> F.Column:
     """Fold of a document: crc32 of its id as text, modulo 3."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3

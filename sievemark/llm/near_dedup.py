@@ -46,6 +46,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -54,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import bitmap, bitmap_bits, drop, lookup, mark, table, unwrap, wrap
+from .common import bitmap, bitmap_bits, drop, few_texts, giving_back, lookup, mark, table, unwrap, wrap
 from .graph import components
 
 WORDS = 5
@@ -138,14 +139,14 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         shingles = Shingles()
         for b in batches:
             n, fp, sig = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in chain.from_iterable(few_texts(b.column(1))):
                 s = shingles(text)
                 n.append(len(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(minima(s, _INDEX).astype("<u2").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "fp", "sig"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n long, fp binary, sig binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(run), "doc_id long, n long, fp binary, sig binary")
 
 
 @F.pandas_udf(BinaryType())
@@ -155,6 +156,7 @@ def _digest(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         sets = (shingles(t) for t in batch)
         yield pd.Series([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], dtype=object)
+    pa.default_memory_pool().release_unused()
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -164,7 +166,7 @@ def _keyed(nodes: DataFrame) -> DataFrame:
                 k = keys(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, SYMBOLS))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, SYMBOLS), pa.int32()), pa.array(k.ravel()))], ["node", "keys"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    return nodes.select("node", "sig").mapInArrow(giving_back(run), "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame) -> DataFrame:
@@ -182,7 +184,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame) -> DataF
         shingles = Shingles()
         for b in batches:
             fp, n, items, sketch = [], [], [], []
-            for text in b.column(0).to_pylist():
+            for text in chain.from_iterable(few_texts(b.column(0))):
                 s = shingles(text)
                 if len(s):
                     fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -191,7 +193,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame) -> DataF
                     sketch.append(minima(s, _SKETCH).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(items, pa.binary()), pa.array(sketch, pa.binary())], ["fp", "n", "items", "sketch"])
 
-    made = wanted.select("text").mapInArrow(run, "fp binary, n long, items binary, sketch binary")
+    made = wanted.select("text").mapInArrow(giving_back(run), "fp binary, n long, items binary, sketch binary")
     return table(made.join(reps.select("fp", "node"), "fp").dropDuplicates(["node"]).drop("fp"), "near-sets")
 
 
@@ -207,7 +209,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             m = pa.array([_linked(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], ["a", "b"])
 
-    return table(full.mapInArrow(run, "a long, b long"), "near-links")
+    return table(full.mapInArrow(giving_back(run), "a long, b long"), "near-links")
 
 
 def _most(symbols: int) -> int:
@@ -288,7 +290,7 @@ def _trees(cells: DataFrame) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return cells.mapInArrow(giving_back(run), "a long, b long").where("a <> b").distinct()
 
 
 def _coarse(sets: DataFrame) -> DataFrame:
@@ -349,7 +351,7 @@ def _paired(members: DataFrame, nodes: DataFrame, sets: DataFrame, shared_keys:
             if held.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[held]) for c in (cell, second, same, node, key, component)], ["cell", "second", "same", "node", "key", "component"])
 
-    return table(cells.mapInArrow(run, "cell long, second boolean, same boolean, node long, key long, component long"), "near-paired")
+    return table(cells.mapInArrow(giving_back(run), "cell long, second boolean, same boolean, node long, key long, component long"), "near-paired")
 
 
 def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, shared_keys: bool) -> DataFrame:
@@ -377,7 +379,7 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, shared_keys:
                         b.append(int(max(node[p], node[q])))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
 def _linked(x: bytes, y: bytes) -> bool:
@@ -401,7 +403,7 @@ def _rare(nodes: DataFrame, sets: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "n"])
 
     # At most COUNTERS rows of two numbers (4 MB) reach the driver and go to the tasks, whatever the input.
-    counted = own.select("items").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counted = own.select("items").mapInArrow(giving_back(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(COUNTERS, np.int64)
     seen[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     often = nodes.sparkSession.sparkContext.broadcast(seen)
@@ -419,7 +421,7 @@ def _rare(nodes: DataFrame, sets: DataFrame) -> DataFrame:
             if key:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (key, node, component)], ["key", "node", "component"])
 
-    rows = table(own.select("node", "component", "items").mapInArrow(prefix, "key long, node long, component long"), "near-rare")
+    rows = table(own.select("node", "component", "items").mapInArrow(giving_back(prefix), "key long, node long, component long"), "near-rare")
     mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     return table(rows.join(mixed.select("key", "size"), "key"), "near-rare-members")
 

@@ -28,6 +28,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few_texts, giving_back, table
 
 CAPACITY = 2048
 #: Pieces packed by one group of the first round.
@@ -152,8 +153,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             out = ([], [], [], [], [])
-            ids = batch.column(0).to_pylist()
-            for doc, body in zip(ids, tokens([t or "" for t in batch.column(1).to_pylist()])):
+            bodies = chain.from_iterable(tokens([t or "" for t in some]) for some in few_texts(batch.column(1), tokens.CHARS))
+            for doc, body in zip(batch.column(0).to_pylist(), bodies):
                 body = np.concatenate((body, end))
                 n = len(body)
                 for k, start in enumerate(range(0, n, capacity)):
@@ -165,7 +166,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(cut), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

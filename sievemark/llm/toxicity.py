@@ -32,6 +32,7 @@ import math
 import re
 from bisect import bisect_left
 from collections.abc import Hashable, Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, table
+from .common import crc_fold, few_texts, giving_back, table
 
 #: Most labelled rows that weights and lexicon are learned from.
 SAMPLE = 12_000
@@ -269,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.counts(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["toxic", "counts"])
 
-    found = rows.select(F.col("toxic").cast("int"), "text").mapInArrow(count, "toxic int, counts array<int>").groupBy("counts").agg(F.count("*").alias("n"), F.sum("toxic").alias("y"))
+    found = rows.select(F.col("toxic").cast("int"), "text").mapInArrow(giving_back(count), "toxic int, counts array<int>").groupBy("counts").agg(F.count("*").alias("n"), F.sum("toxic").alias("y"))
     base, weights = fit_weights([(tuple(r["counts"]), r["n"], r["y"]) for r in found.collect()])
     return {"lexicon": lexicon, "base": base, "weights": weights.tolist()}
 
@@ -281,14 +282,14 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         g = Grammar(**model["lexicon"])
         w = np.array(model["weights"])
         for b in batches:
-            counts = np.array([g.counts(t) for t in b.column(1).to_pylist()], dtype=np.int32).reshape(-1, len(KINDS))
+            counts = np.array([g.counts(t) for t in chain.from_iterable(few_texts(b.column(1)))], dtype=np.int32).reshape(-1, len(KINDS))
             p = 1 / (1 + np.exp(-(model["base"] + np.log1p(counts) / math.log(2) @ w)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array(counts.tolist(), pa.list_(pa.int32()))],
                 ["doc_id", "score", "predicted", "matches"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double, predicted int, matches array<int>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(run), "doc_id long, score double, predicted int, matches array<int>")
 
 
 def reject(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -300,5 +301,6 @@ def reject(docs: DataFrame, model: dict, text_col: str = "text", threshold: floa
         g = Grammar(**model["lexicon"])
         for texts in batches:
             yield pd.Series([g.logit(t, model) < limit for t in texts], dtype=bool)
+        pa.default_memory_pool().release_unused()
 
     return docs.where(clean(F.col(text_col)))
