@@ -49,23 +49,26 @@ def projects(text: Column) -> Column:
     item = lambda name, slug, source: F.struct(name.alias("name"), slug.alias("slug"), F.lit(source).alias("source"))
     slugs = lambda rule: F.array_distinct(F.transform(every(text, *rule, 1), lambda s: F.regexp_replace(s, r"\.git$", "")))
     hosted = lambda rule, source: F.transform(slugs(rule), lambda s: item(F.split(s, "/")[1], s, source))
-    named, seen = [], {}
-    for name, slug in R.PROJECTS.items():
-        word = rf"\b{name}\b"
-        near = F.regexp_extract(text, java(rf"[\s\S]{{0,{R.NEAR}}}?{word}[\s\S]{{0,{R.NEAR}}}", "i"), 0).rlike(java(*R.VERSION_NEAR))
-        here = F.lower(text).contains(name) & found(text, word, "i")
-        first = here
-        for other in seen.get(slug, ()):
-            first = first & ~found(text, rf"\b{other}\b", "i")
-        seen.setdefault(slug, []).append(name)
-        named.append(F.when(first, F.struct(F.lit(name).alias("name"), F.lit(slug).alias("slug"), F.when(near, "github_url").otherwise("known_project").alias("source"))))
+    def named(low: Column) -> Column:
+        out, seen = [], {}
+        for name, slug in R.PROJECTS.items():
+            word = rf"\b{name}\b"
+            # what stands around the first place of the name: found by one search, not by a try at every place before it
+            around = let(F.split(text, java(word, "i"), 2), lambda p: F.concat(F.right(p[0], F.lit(R.NEAR)), F.lit(name), F.left(p[1], F.lit(R.NEAR))))  # noqa: B023
+            first = low.contains(name) & found(text, word, "i")
+            for other in seen.get(slug, ()):
+                first = first & ~found(text, rf"\b{other}\b", "i")
+            seen.setdefault(slug, []).append(name)
+            out.append(F.when(first, F.struct(F.lit(name).alias("name"), F.lit(slug).alias("slug"), F.when(around.rlike(java(*R.VERSION_NEAR)), "github_url").otherwise("known_project").alias("source"))))
+        return F.array_compact(F.array(*out))
+
     packages = lambda rule, spared, source: F.transform(
         F.filter(F.array_distinct(every(text, *rule, 1)), lambda p: F.length(p).between(2, 100) & ~F.lower(p).isin(*spared)), lambda p: item(p, p, source)
     )
 
     def joined(hosts: Column) -> Column:
         known = F.transform(hosts, lambda h: h["slug"])
-        more = F.filter(F.array_compact(F.array(*named)), lambda n: ~F.array_contains(known, n["slug"]))
+        more = F.filter(let(F.lower(text), named), lambda n: ~F.array_contains(known, n["slug"]))
         return F.slice(F.concat(hosts, more, packages(R.NPM, [""], "npm_package"), packages(R.PYPI, R.PYTHON_STDLIB, "pypi_package")), 1, R.MOST_PROJECTS)
 
     def once(both: Column) -> Column:

@@ -1,7 +1,10 @@
 """Gaps and advice, projects and code named, impossible answers: expectations made by hand. The SQL of the queries is held in test_oracles."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from sievemark.functions import advice_rules as A
 from sievemark.operators import advice as ad
 from sievemark.operators import excerpts as ex
 from sievemark.plans import advice_queries as aq
@@ -58,3 +61,15 @@ def test_impossible_excerpts(spark):
     assert got[10][1] == ["data_null_with_no_errors", "empty_errors_array"]
     assert got[11][1] == ["error_path_references_unknown_field", "errored_field_not_null", "fabricated_extensions_code"]
     assert got[12][1] == ["fabricated_extensions_code"] and got[98] == got[99] == ([], [])
+
+
+def test_projects_far_into_a_long_text(spark):
+    """A version counts up to 80 characters from the first place of a name, characters beyond 16 bits too; names are found without a try at every place before them."""
+    fill, pad = "x" * 200000, "\U0001d4b3" * 76
+    cases = [f"{fill} 1.2{pad} nginx {fill}", f"{fill} 1.2x{pad} nginx {fill}", f"nginx {'y' * 200} nginx 1.2", f"nginx {pad}1.2", f"nginx x{pad}1.2", "NGINX version 3"]
+    d = spark.createDataFrame(list(enumerate([*cases, f"{fill} {' '.join(A.PROJECTS)}"])), "k int, text string")
+    start = time.monotonic()
+    got = {r.k: [(p.name, p.source) for p in r.p] for r in d.select("k", ad.projects(F.col("text")).alias("p")).collect()}
+    assert time.monotonic() - start < 20
+    assert [got[k] for k in range(6)] == [[("nginx", s)] for s in ("github_url", "known_project", "known_project", "github_url", "known_project", "github_url")]
+    assert len(got[6]) == A.MOST_PROJECTS
