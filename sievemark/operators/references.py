@@ -40,20 +40,24 @@ def looked_up(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     return many.unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.drop("__rows"), keys, "left"))
 
 
-def _phrases(words: Column) -> Column:
-    return F.when(F.size(words) >= R.PHRASE, F.transform(F.sequence(F.lit(1), F.size(words) - (R.PHRASE - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(R.PHRASE)), " "))).otherwise(F.array().cast("array<string>"))
+def _phrases(text: Column) -> Column:
+    """Phrases of four longer words, as often as a text has them. Words are split once: a lambda that named the expression would split them anew for each phrase."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", "")), r"\s+"), lambda w: F.length(w) > R.SHORT_WORD)
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (R.PHRASE - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(R.PHRASE)), " "))
+    return let(words, lambda w: F.when(F.size(w) >= R.PHRASE, of(w)).otherwise(F.array().cast("array<string>")))
 
 
-def overlap(text: Column, description: Column) -> Column:
-    """How much of a description's phrases of four longer words a text has, in hundredths (a phrase counts as often as the text has it)."""
-    words = lambda x: F.filter(F.split(F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9\s]", "")), r"\s+"), lambda w: F.length(w) > R.SHORT_WORD)
+def _share(said: Column, description: Column) -> Column:
+    def share(known: Column) -> Column:
+        hits = F.size(F.filter(said, lambda s: F.array_contains(known, s)))
+        return F.when(F.size(known) > 0, js_round(100.0 * hits / F.size(known))).otherwise(0)
+
+    return F.when(F.length(F.coalesce(description, F.lit(""))) < R.SHORT_DESCRIPTION, 0).otherwise(let(F.array_distinct(_phrases(description)), share)).cast("bigint")
 
-    def share(p: Column) -> Column:
-        hits = F.size(F.filter(p["said"], lambda s: F.array_contains(p["known"], s)))
-        return F.when(F.size(p["known"]) > 0, js_round(100.0 * hits / F.size(p["known"]))).otherwise(0)
 
-    both = F.struct(_phrases(words(text)).alias("said"), F.array_distinct(_phrases(words(description))).alias("known"))
-    return F.when(F.length(F.coalesce(description, F.lit(""))) < R.SHORT_DESCRIPTION, 0).otherwise(let(both, share)).cast("bigint")
+def overlap(text: Column, description: Column) -> Column:
+    """How much of a description's phrases of four longer words a text has, in hundredths (a phrase counts as often as the text has it)."""
+    return let(_phrases(text), lambda said: _share(said, description))
 
 
 def verify(df: DataFrame, files: DataFrame, functions: DataFrame, cves: DataFrame, year: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,13 +72,15 @@ def verify(df: DataFrame, files: DataFrame, functions: DataFrame, cves: DataFram
     per_text = got.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("place", "kind", "target", F.coalesce("found", F.lit(False)).alias("found"), "description"))).alias("refs"))  # eight a text
     text = df.select(id_col, F.col(text_col).alias("__t"))
 
-    def check(r: Column) -> Column:
+    def check(r: Column, said: Column) -> Column:
         of = F.regexp_extract(r["target"], R.CVE[0], 1).try_cast("int")
         age = F.lit(year) - of
         name = F.when(r["kind"] == "file", F.when(r["found"], "file_verified").otherwise("file_missing")).when(r["kind"] == "function", F.when(r["found"], "function_verified").otherwise("function_missing"))
         name = name.when((of > year + 1) | (of < R.FIRST_YEAR), "invalid_cve_year").when(~r["found"] & (age > 2), "fabricated_cve").when(~r["found"] & (age > 1), "stale_missing_cve").when(~r["found"], "recent_cve_not_yet_published")
-        name = name.when(overlap(F.col("__t"), r["description"]) > R.COPIED, "plagiarism").otherwise("verified_cve")
+        name = name.when(_share(said, r["description"]) > R.COPIED, "plagiarism").otherwise("verified_cve")
         weights = F.create_map(*[F.lit(x) for item in R.WEIGHTS.items() for x in item])
         return let(name, lambda n: F.struct(n.alias("type"), r["target"].alias("target"), F.element_at(weights, n).cast("bigint").alias("weight")))
 
-    return per_text.join(text, id_col).select(id_col, F.transform("refs", check).alias("checks"))
+    described = F.exists("refs", lambda r: r["description"].isNotNull())
+    checks = let(F.when(described, _phrases(F.col("__t"))), lambda said: F.transform("refs", lambda r: check(r, said)))
+    return per_text.join(text, id_col).select(id_col, checks.alias("checks"))

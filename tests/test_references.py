@@ -1,5 +1,7 @@
 """References looked up in tables: hand-made expectations, a reference that many texts share, and the query against its SQL."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +52,12 @@ def test_weights_make_a_score(spark):
 @pytest.mark.parametrize("name", ["verified_references"])
 def test_queries_equal_their_sql(name, same):
     same(QUERIES[name], SQL[name])
+
+
+def test_a_long_text_is_split_once(spark):
+    """Phrases of a text of 30,000 words against a description: a matter of seconds, not of words times words."""
+    long = " ".join(f"word{i}" for i in range(30000)) + " " + SAID
+    d = spark.createDataFrame([(long, SAID), (long, None), ("short", SAID), (None, SAID)], "t string, d string")
+    start = time.monotonic()
+    assert [r.o for r in d.select(rf.overlap(F.col("t"), F.col("d")).alias("o")).collect()] == [100, 0, 0, 0]
+    assert time.monotonic() - start < 20
