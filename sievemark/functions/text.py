@@ -186,18 +186,23 @@ def array_sum(x: Column, kind: str = "double") -> Column:
 
 
 def mean_cv(lengths: Column, none: float = 0.5) -> Column:
-    """(mean, cv) of an array of lengths: population coefficient of variation, ``none`` where the mean is 0."""
+    """(mean, cv) of an array of lengths: population coefficient of variation, ``none`` where the mean is 0.
+
+    The spread is a running one, so that it is to the last bit what SQL engines give in the order of the array.
+    """
+    state = lambda n, mean, d: F.struct(n.alias("n"), mean.alias("mean"), d.alias("d"))
+
+    def step(s: Column, v: Column) -> Column:
+        off = v.cast("double") - s["mean"]
+        mean = s["mean"] + off / (s["n"] + 1)
+        return state(s["n"] + 1, mean, s["d"] + (v.cast("double") - mean) * off)
 
     def moments(a: Column) -> Column:
         n = F.size(a).cast("double")
-        return F.struct(n.alias("n"), F.when(n > 0, array_sum(a) / n).otherwise(F.lit(0.0)).alias("mean"), a.alias("a"))
-
-    def spread(m: Column) -> Column:
-        squares = F.aggregate(m["a"], F.lit(0.0), lambda s, v: s + F.pow(v.cast("double") - m["mean"], F.lit(2.0)))
-        sd = F.when(m["n"] > 1, F.sqrt(squares / m["n"])).otherwise(F.lit(0.0))
-        return F.struct(m["mean"].alias("mean"), F.when(m["mean"] > 0, sd / m["mean"]).otherwise(F.lit(float(none))).alias("cv"))
+        squares = F.aggregate(a, state(F.lit(0.0), F.lit(0.0), F.lit(0.0)), step, lambda s: s["d"])
+        return F.struct(F.when(n > 0, array_sum(a) / n).otherwise(F.lit(0.0)).alias("mean"), F.when(n > 1, F.sqrt(squares / n)).otherwise(F.lit(0.0)).alias("sd"))
 
-    return let(let(lengths, moments), spread)
+    return let(let(lengths, moments), lambda m: F.struct(m["mean"].alias("mean"), F.when(m["mean"] > 0, m["sd"] / m["mean"]).otherwise(F.lit(float(none))).alias("cv")))
 
 
 def _col(x: str | Column) -> Column:

@@ -1,7 +1,9 @@
 """Style, templates, heuristic and whole assessments: queries against SQL and hand-made expectations."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from sievemark.functions.text import mean_cv
 from sievemark.operators import claims as cl
 from sievemark.operators import style as st
 from sievemark.plans import claim_queries as cq
@@ -45,3 +47,11 @@ def test_assessment_by_hand(spark):
 @pytest.mark.parametrize("name", ["statistical_style", "slop_heuristic", "template_matches", "assessed_reports", "assessed_summary"])
 def test_query_equals_sql(name, same):
     same(QUERIES[name], SQL[name])
+
+
+def test_variation_is_what_sql_gives_to_the_last_bit(spark, duck):
+    """Lengths whose variation is just a threshold: a spread taken in two passes is on the other side of it."""
+    lists = [[12, 5, 6, 9, 11, 6, 2, 2, 7], [9, 8, 5, 12, 7, 8, 7], [5, 4, 11, 2, 11, 2, 8, 8, 9], [7, 4, 8, 10, 7, 4, 5, 9, 6], [2, 6, 6, 12, 6], [3], [4, 4]]
+    d = spark.createDataFrame([(i, n) for i, n in enumerate(lists)], "k int, n array<int>")
+    got = [r.cv for r in d.orderBy("k").select(mean_cv(F.col("n"), 0.0)["cv"].alias("cv")).collect()]
+    assert got == [duck.execute(f"SELECT coalesce(list_stddev_pop({n}), 0) / list_avg({n})").fetchone()[0] for n in lists]
