@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import feature_rules as R
-from ..functions.text import array_sum, count, every, found, java, let, mean_cv, phrase_count
+from ..functions.text import array_sum, count, every, found, java, let, mean_cv, pair_runs, phrase_count
 from .sections import strip
 
 
@@ -22,10 +22,10 @@ def derive(df: DataFrame, stages) -> DataFrame:
     return df
 
 
-def first_of(text: Column, table, else_=None) -> Column:
+def first_of(text: Column, table, else_=None, low: str | Column | None = None) -> Column:
     out = F.lit(else_).cast("string")
     for name, pattern, *_ in reversed(table):
-        out = F.when(found(text, pattern, "i"), name).otherwise(out)
+        out = F.when(found(text, pattern, "i", low), name).otherwise(out)
     return out
 
 
@@ -33,11 +33,6 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), strip), lambda s: F.length(s) > 0)
 
 
-def word_lengths(parts: Column) -> Column:
-    """Number of words of each part, without empty ones."""
-    return F.filter(F.transform(parts, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: F.length(w) > 0))), lambda n: n > 0)
-
-
 def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: F.length(p) > 0)
 
@@ -48,21 +43,19 @@ def type_token(text: Column, most: int = 4000) -> Column:
     return let(words, lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0)))
 
 
-def burstiness(text: Column) -> Column:
+def burstiness(text: Column, low: str | Column | None = None) -> Column:
     """Variation of the distances between technical terms, 0 to 100; needs three.
 
     A distance is the length of a term and of the text up to the next one, so
     splitting the text at the terms gives all of them without offsets.
     """
-    pattern = java(R.TERMS)
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern).alias("p"))
 
-    def steps(b: Column) -> Column:
-        n = F.size(b["m"])
-        gaps = F.zip_with(F.slice(b["m"], 1, F.greatest(n - 1, F.lit(0))), F.slice(b["p"], 2, F.greatest(n - 1, F.lit(0))), lambda m, p: F.length(m) + F.length(p))
+    def steps(m: Column) -> Column:
+        n = F.size(m)
+        gaps = let(F.split(text, java(R.TERMS)), lambda p: F.zip_with(F.slice(m, F.lit(1), n - 1), F.slice(p, F.lit(2), n - 1), lambda m, p: F.length(m) + F.length(p)))
         return F.when(n >= 3, F.least(F.lit(100.0), mean_cv(gaps, 0.0)["cv"] * 50)).otherwise(F.lit(0.0))
 
-    return let(both, steps)
+    return let(every(text, R.TERMS, low=low), steps)
 
 
 def bigram_perplexity(text: Column, syntax: Column, most: int = 8000) -> Column:
@@ -71,14 +64,7 @@ def bigram_perplexity(text: Column, syntax: Column, most: int = 8000) -> Column:
 
     def entropy(w: Column) -> Column:
         pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-        # Sorted, equal pairs are runs: a run of length c adds -c/n log2(c/n), so sum c log2 c over runs suffices.
-        run = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
-        xlog = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
-        total = F.aggregate(
-            F.array_sort(pairs), run,
-            lambda a, x: F.when(a["last"] == x, F.struct(a["last"].alias("last"), (a["c"] + 1).alias("c"), a["s"].alias("s"))).otherwise(F.struct(x.alias("last"), F.lit(1.0).alias("c"), (a["s"] + xlog(a["c"])).alias("s"))),
-            lambda a: a["s"] + xlog(a["c"]),
-        )
+        total = pair_runs(pairs)  # c equal pairs add -c/n log2(c/n): the sum of c log2 c suffices
         n = F.greatest(F.size(w) - 1, F.lit(1)).cast("double")
         return F.struct(w.alias("w"), (F.log2(n) - total / n).alias("h"))
 
@@ -106,12 +92,12 @@ def syntax_validity(text: Column) -> Column:
 
 def file_paths(text: Column) -> Column:
     pattern = r"(?m)(?:^|[\s(`'\"])((?:[a-zA-Z]:|\.{1,2})?/?(?:[A-Za-z0-9_.\-]+/){1,}[A-Za-z0-9_.\-]+\.[a-zA-Z]{1,6})(?=[\s)`'\":,]|$)"
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    return F.when(~text.contains("/"), F.array().cast("array<string>")).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
 
 
-def url_counts(text: Column) -> Column:
+def url_counts(text: Column, low: str | Column | None = None) -> Column:
     """(placeholder, real) URLs by host."""
-    hosts = F.transform(every(text, *R.URL), lambda u: F.lower(F.regexp_extract(u, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
+    hosts = F.transform(every(text, *R.URL, low=low), lambda u: F.lower(F.regexp_extract(u, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     fake = lambda h: h.isin(*R.PLACEHOLDER_HOSTS) | h.rlike(R.PRIVATE_HOST)
     known = lambda hs: F.filter(hs, lambda h: F.length(h) > 0)
     return let(known(hosts), lambda hs: F.struct(F.size(F.filter(hs, fake)).cast("bigint").alias("placeholder"), F.size(F.filter(hs, lambda h: ~fake(h))).cast("bigint").alias("real")))
@@ -119,26 +105,26 @@ def url_counts(text: Column) -> Column:
 
 def extract(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add all features of a text."""
-    d = df.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
-    t = F.col("__t")
+    d = df.withColumn("__t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__low", F.lower("__t"))
+    t, low = F.col("__t"), "__low"
     langs = F.regexp_extract_all(t, F.lit(r"```([A-Za-z0-9_+\-]*)\n[\s\S]*?```"), F.lit(1))
     d = d.select(
-        "*", *[count(t, p, f).alias(n) for n, (p, f) in R.COUNTS.items()], *[found(t, p, f).alias(n) for n, (p, f) in R.FLAGS.items()],
-        *[phrase_count(t, ps, n in R.WHOLE_WORDS).alias(n) for n, ps in R.PHRASES.items()],
-        let(sentences(t), lambda s: F.struct(F.coalesce(F.length(F.element_at(F.when(F.size(s) > 0, s), 1)), F.lit(0)).alias("first"), mean_cv(word_lengths(s)).alias("m"))).alias("__s"),
+        "*", *[count(t, p, f, low).alias(n) for n, (p, f) in R.COUNTS.items()], *[found(t, p, f, low).alias(n) for n, (p, f) in R.FLAGS.items()],
+        *[phrase_count(t, ps, n in R.WHOLE_WORDS, low).alias(n) for n, ps in R.PHRASES.items()],
+        let(sentences(t), lambda s: F.struct(F.coalesce(F.length(F.element_at(F.when(F.size(s) > 0, s), 1)), F.lit(0)).alias("first"), mean_cv(F.transform(s, lambda x: F.size(F.split(x, r"\s+")))).alias("m"))).alias("__s"),
         mean_cv(F.transform(paragraphs(t), F.length))["cv"].alias("paragraph_cv"),
-        type_token(t).alias("type_token"), burstiness(t).alias("burstiness"), F.size(file_paths(t)).cast("bigint").alias("file_paths"), url_counts(t).alias("__u"),
+        type_token(t).alias("type_token"), burstiness(t, low).alias("burstiness"), F.size(file_paths(t)).cast("bigint").alias("file_paths"), url_counts(t, low).alias("__u"),
         let(langs, lambda x: F.when(F.size(x) > 0, F.size(F.filter(x, lambda l: (l != "") & (l != "text"))) / F.size(x)).otherwise(F.lit(0.0))).alias("language_ratio"),
-        F.size(F.array_distinct(F.transform(every(t, *R.COUNTS["cves"]), F.upper))).cast("bigint").alias("distinct_cves"),
-        F.array_join(F.slice(F.array_distinct(F.transform(every(t, *R.COUNTS["cwes"]), F.upper)), 1, 5), ",").alias("claimed_cwes"),
-        F.size(F.filter(every(t, *R.COUNTS["memory_addresses"]), lambda a: a.rlike("0{3,}$"))).cast("bigint").alias("suspicious_addresses"),
-        first_of(t, R.VULN_TYPES).alias("vuln_type"), syntax_validity(t).alias("syntax"),
+        F.size(F.array_distinct(F.transform(every(t, *R.COUNTS["cves"], low=low), F.upper))).cast("bigint").alias("distinct_cves"),
+        F.array_join(F.slice(F.array_distinct(F.transform(every(t, *R.COUNTS["cwes"], low=low), F.upper)), 1, 5), ",").alias("claimed_cwes"),
+        F.size(F.filter(every(t, *R.COUNTS["memory_addresses"], low=low), lambda a: a.rlike("0{3,}$"))).cast("bigint").alias("suspicious_addresses"),
+        first_of(t, R.VULN_TYPES, low=low).alias("vuln_type"), syntax_validity(t).alias("syntax"),
     )
     d = d.select(
         "*", F.col("__s.first").cast("bigint").alias("first_sentence"), F.col("__s.m.mean").alias("sentence_mean"), F.col("__s.m.cv").alias("sentence_cv"), F.col("__u.placeholder").alias("placeholder_urls"), F.col("__u.real").alias("real_urls"),
         bigram_perplexity(t, F.col("syntax")).alias("__p"),
     )
-    d = d.select("*", F.col("__p.entropy").alias("entropy"), F.col("__p.connector_rate").alias("connector_rate"), F.col("__p.perplexity").alias("perplexity")).drop("__t", "__s", "__u", "__p")
+    d = d.select("*", F.col("__p.entropy").alias("entropy"), F.col("__p.connector_rate").alias("connector_rate"), F.col("__p.perplexity").alias("perplexity")).drop("__t", "__low", "__s", "__u", "__p")
     return derive(d, R.DERIVED)
 
 

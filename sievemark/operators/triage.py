@@ -11,10 +11,10 @@ from ..functions.text import count, every, found, java, let
 from .features import derive
 
 
-def vuln_class(text: Column) -> Column:
+def vuln_class(text: Column, low: str | Column | None = None) -> Column:
     """Struct of the class with the largest share of its patterns in the text (name, label) and the confidence; without any, unknown with 0."""
     shares = [
-        F.struct((sum((F.when(found(text, p, f), 1).otherwise(0) for p, f in patterns), F.lit(0)) / len(patterns)).alias("share"), F.lit(-i).alias("i"), F.lit(name).alias("name"), F.lit(label).alias("label"))
+        F.struct((sum((F.when(found(text, p, f, low), 1).otherwise(0) for p, f in patterns), F.lit(0)) / len(patterns)).alias("share"), F.lit(-i).alias("i"), F.lit(name).alias("name"), F.lit(label).alias("label"))
         for i, (name, (label, patterns)) in enumerate(R.CLASSES.items())
     ]
 
@@ -68,7 +68,8 @@ def fabricated_flags(results: Column) -> Column:
 
 def disclosures(text: Column, rules=R.DISCLOSURE) -> Column:
     """Names of the rules (name, pattern, flags; further ones may be added) by which a text says that a model wrote it."""
-    return let(F.regexp_replace(text, r"(?U)\s+", " "), lambda t: F.array_compact(F.array(*[F.when(found(t, p, f), F.lit(n)) for n, p, f in rules])))
+    named = lambda t, low: F.array_compact(F.array(*[F.when(found(t, p, f, low), F.lit(n)) for n, p, f in rules]))
+    return let(F.regexp_replace(text, r"(?U)\s+", " "), lambda t: let(F.lower(t), lambda low: named(t, low)))
 
 
 def disclosure_penalty(names: Column) -> Column:

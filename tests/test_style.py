@@ -1,9 +1,11 @@
 """Style, templates, heuristic and whole assessments: queries against SQL and hand-made expectations."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from sievemark.functions.text import mean_cv
+from sievemark.functions.text import mean_cv, pair_runs
 from sievemark.operators import claims as cl
 from sievemark.operators import style as st
 from sievemark.plans import claim_queries as cq
@@ -55,3 +57,9 @@ def test_variation_is_what_sql_gives_to_the_last_bit(spark, duck):
     d = spark.createDataFrame([(i, n) for i, n in enumerate(lists)], "k int, n array<int>")
     got = [r.cv for r in d.orderBy("k").select(mean_cv(F.col("n"), 0.0)["cv"].alias("cv")).collect()]
     assert got == [duck.execute(f"SELECT coalesce(list_stddev_pop({n}), 0) / list_avg({n})").fetchone()[0] for n in lists]
+
+
+def test_equal_pairs_are_added_up(spark):
+    d = spark.createDataFrame([(["a b", "c d", "a b", "e f", "a b", "c d"],), (["x", "y"],), ([],)], "p array<string>")
+    got = [r.s for r in d.select(pair_runs(F.col("p")).alias("s")).collect()]
+    assert got == [pytest.approx(3 * math.log2(3) + 2), 0, 0]

@@ -186,3 +186,29 @@ def test_bigram_entropy_matches_counting(spark):
     h = -sum(k / n * math.log2(k / n) for k in c.values())
     got = spark.createDataFrame([(text,)], "t string").select(bigram_perplexity(F.col("t"), F.lit(1.0)).alias("p")).first().p
     assert abs(got.entropy - h) < 1e-9 and abs(got.connector_rate - 2 / len(w) * 1000) < 1e-9
+
+
+def test_what_a_pattern_needs():
+    assert tx.needed(r"\bCVE-\d{4}") == ("cve-",) and tx.needed(r"(?:GET|POST)\s+/\S+") == ("get", "post") and tx.needed(r"sql\s*injection|xss") == ("injection", "xss")
+    assert tx.needed(r"\d+\.\d+") == tx.needed(r"(?:long word)?x|y") == tx.needed(r"[a-z]+") == () and tx.needed(r"\w{2,}\s*\(") == ("(",)
+    assert tx.java(r"\b(?:may|can)\b", "i").startswith(r"(?id)(?=[\x{43}\x{4d}\x{63}\x{6d}])") and tx.java(r"\w*") == r"(?d)\w*" and tx.java("^a", "m") == "(?md)^a"
+
+
+def test_a_search_spared_is_a_search_without_match(spark):
+    """Every pattern of features, claims and advice over all texts of ours, with and without the plain search before it."""
+    from sievemark.functions import advice_rules, claim_rules, feature_rules
+    from sievemark.plans import advice_queries, claim_queries, rubric_queries, style_queries, triage_queries
+
+    rules = [*feature_rules.COUNTS.values(), *feature_rules.FLAGS.values(), *claim_rules.FLAGS.values(), *claim_rules.PAYLOADS.values(), *advice_rules.FLAGS.values(), *advice_rules.COUNTS.values(), *((p, "i") for _, p, _ in feature_rules.VULN_TYPES)]
+    texts = [t for m in (advice_queries, claim_queries, rubric_queries, style_queries, triage_queries) for t in (m.TEXTS.values() if isinstance(m.TEXTS, dict) else m.TEXTS)]
+    texts = [t if isinstance(t, str) else str(t) for t in texts]
+    d = spark.createDataFrame([(t,) for s in texts for t in (s, s.upper(), s.lower())] + [(None,), ("",)], "t string").withColumn("low", F.lower("t")).repartition(4)
+    both = d.select(F.array(*[tx.count("t", p, f) for p, f in rules]).alias("a"), F.array(*[tx.count("t", p, f, "low") for p, f in rules]).alias("b"), F.array(*[tx.found("t", p, f).cast("int") for p, f in rules]).alias("c"), F.array(*[tx.found("t", p, f, "low").cast("int") for p, f in rules]).alias("e"))
+    assert both.where("NOT (a <=> b) OR NOT (c <=> e)").count() == 0 and sum(bool(tx.needed(p)) for p, _ in rules) > len(rules) // 2
+
+
+def test_a_template_is_hashed_once(spark):
+    d = spark.createDataFrame([(i, f"CVE-2024-1234{i} at 1.2.{i}") for i in range(12)] + [(99, None)], "doc_id int, text string")
+    made = si.template_reuse(d)
+    assert "regexp_replace" not in made._jdf.queryExecution().optimizedPlan().toString()  # the texts are not read again
+    assert [(r.uses, r.first_ids) for r in made.collect()] == [(12, "0,1,2,3,4,5,6,7,8,9")]
