@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_round, let, normalise, seconds, swap
+from ..sources.work import settled
 
 #: Fixed values of the signatures.
 SHINGLE, HASHES, PRIME = 5, 128, 2_147_483_647
@@ -179,6 +180,7 @@ def template_hash(text: str | Column) -> Column:
 def template_reuse(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", listed: int = 10, weight: int = 25) -> DataFrame:
     """Templates that several rows share: template_hash, uses, first_ids (the smallest ``listed`` ids), weight."""
     keyed = df.select(F.col(id_col).alias("id"), template_hash(F.coalesce(F.col(text_col), F.lit(""))).alias("template_hash"))
+    keyed = settled(keyed)  # read twice: a hash is seven replacements over a whole text
     counts = keyed.groupBy("template_hash").agg(F.count("*").alias("uses"))
     w = Window.partitionBy("template_hash").orderBy("id")
     first = keyed.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= listed).groupBy("template_hash").agg(F.sort_array(F.collect_list("id")).alias("ids"))
