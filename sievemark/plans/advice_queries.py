@@ -78,7 +78,8 @@ def report_advice(spark, sf_dir):
 @query(f"""WITH {_ADVICE}, n AS (UNPIVOT (SELECT doc_id, {", ".join(f"CAST({test} AS INT) AS {c}" for c, _, test in R.GAPS)} FROM g) ON COLUMNS(* EXCLUDE (doc_id)) INTO NAME gap VALUE has)
     SELECT gap, count(*) AS documents FROM n WHERE has = 1 GROUP BY 1""")
 def gap_counts(spark, sf_dir):
-    return report_advice(spark, sf_dir).where("gaps <> ''").select(F.explode(F.split("gaps", ",")).alias("gap")).groupBy("gap").agg(F.count("*").alias("documents"))
+    gaps = report_advice(spark, sf_dir).select(F.explode(F.split("gaps", ",")).alias("gap"))
+    return gaps.where("gap <> ''").groupBy("gap").agg(F.count("*").alias("documents"))
 
 
 def _known() -> str:

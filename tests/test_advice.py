@@ -73,3 +73,10 @@ def test_projects_far_into_a_long_text(spark):
     assert time.monotonic() - start < 20
     assert [got[k] for k in range(6)] == [[("nginx", s)] for s in ("github_url", "known_project", "known_project", "github_url", "known_project", "github_url")]
     assert len(got[6]) == A.MOST_PROJECTS
+
+
+def test_gaps_are_counted_without_a_filter_over_the_text(spark):
+    from conftest import DATA
+
+    plan = aq.gap_counts(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and not [line for line in plan.splitlines() if "Filter" in line and "RLIKE" in line]  # a filter takes the expressions of its columns over and reads each text anew
