@@ -26,11 +26,13 @@ def advise(df: DataFrame, text_col: str = "text") -> DataFrame:
     Needs ``slop`` (0 to 100), ``confidence``, ``placeholders`` (how many), ``fabricated`` (whether debug output is), ``verified``
     and ``not_found`` (how many references were and were not found; null where none was looked up). Other columns pass through.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
+    df = df.withColumn("__t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__low", F.lower("__t"))
+    t, low = F.col("__t"), "__low"
+    own = [c for c in df.columns if c not in ("__t", "__low")]
     given = [F.col(c) for c in ("slop", "confidence", "placeholders", "fabricated", "verified", "not_found")]
     d = df.select(
-        F.struct("*").alias("__row"), *given, *[found(t, *rule).alias(n) for n, rule in R.FLAGS.items()], *[count(t, *rule).alias(n) for n, rule in R.COUNTS.items()],
-        F.size(F.split(t, r"\s+")).cast("bigint").alias("words"), (vuln_class(t)["name"] != UNKNOWN[0]).alias("known_class"),
+        F.struct(*own).alias("__row"), *given, *[found(t, *rule, low).alias(n) for n, rule in R.FLAGS.items()], *[count(t, *rule, low).alias(n) for n, rule in R.COUNTS.items()],
+        F.size(F.split(t, r"\s+")).cast("bigint").alias("words"), (vuln_class(t, low)["name"] != UNKNOWN[0]).alias("known_class"),
     )
     by_severity = sorted(R.GAPS, key=lambda g: R.SEVERITIES.index(g[1]))
     gaps = _fired((F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity")), test) for c, s, test in by_severity)
