@@ -31,26 +31,27 @@ def _any_of(x: Column, values) -> Column:
 
 def hallucination(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``signals`` (type, weight), ``signal_weight`` and ``hallucination`` (100 less two for each point of weight)."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
+    df = df.withColumn("__t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__low", F.lower("__t"))
+    t, low = F.col("__t"), "__low"
     numbered = lambda frames: F.transform(frames, lambda f: F.regexp_replace(f, r"^#\d+", "#N"))
-    bare = F.transform(every(t, *R.ADDRESS), lambda a: F.substring(F.lower(a), 3, 20))
+    bare = F.transform(every(t, *R.ADDRESS, low=low), lambda a: F.substring(F.lower(a), 3, 20))
     round_ = lambda a: F.filter(a, lambda x: x.rlike("000$") | x.rlike(R.SEQUENTIAL))
     part = lambda v, k: F.split(v, r"\.")[k].cast("double")
     name = lambda c: F.regexp_replace(c, r"\s*\($", "")
     said = F.filter(F.transform(F.split(t, "[.!?]+"), lambda s: F.lower(strip(s))), lambda s: F.length(s) > 20)
     parts = {
-        "__frames": let(every(t, *R.FRAME), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(numbered(x))).alias("d"))),
+        "__frames": let(every(t, *R.FRAME, low=low), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(numbered(x))).alias("d"))),
         "__round": let(bare, lambda x: F.struct(F.size(x).alias("n"), F.size(round_(x)).alias("d"))),
-        "magic_pids": F.size(F.array_distinct(F.filter(every(t, *R.PID, 1), lambda p: p.isin(*R.MAGIC_PIDS)))),
-        "odd_versions": F.size(F.filter(every(t, *R.VERSION, 1), lambda v: (part(v, 2) > 200) & (part(v, 0) < 10))),
+        "magic_pids": F.size(F.array_distinct(F.filter(every(t, *R.PID, 1, low), lambda p: p.isin(*R.MAGIC_PIDS)))),
+        "odd_versions": F.size(F.filter(every(t, *R.VERSION, 1, low), lambda v: (part(v, 2) > 200) & (part(v, 0) < 10))),
         "calls": F.size(F.filter(F.transform(every(t, *R.CALL), name), lambda n: F.substring(n, F.lit(2), F.greatest(F.length(n) - 2, F.lit(0))).contains("_"))),
         "repeats": let(F.transform(said, lambda s: F.regexp_replace(s, r"(?U)\s+", " ")), lambda x: F.size(x) - F.size(F.array_distinct(x))),
     }
-    d = df.withColumns({**{n: found(t, p, f) for n, (p, f) in R.FLAGS.items()}, **parts})
+    d = df.withColumns({**{n: found(t, p, f, low) for n, (p, f) in R.FLAGS.items()}, **parts})
     d = d.withColumns({"frames": F.col("__frames.n"), "distinct_frames": F.col("__frames.d"), "addresses": F.col("__round.n"), "round_addresses": F.col("__round.d")})
     weights = {n: F.expr(w).cast("bigint") for n, w in R.SIGNALS}
     fired = F.array_compact(F.array(*[F.when(w > 0, F.struct(F.lit(n).alias("type"), w.alias("weight"))) for n, w in weights.items()]))
-    d = d.withColumn("signals", fired).drop(*R.FLAGS, *parts, "frames", "distinct_frames", "addresses", "round_addresses")
+    d = d.withColumn("signals", fired).drop("__t", "__low", *R.FLAGS, *parts, "frames", "distinct_frames", "addresses", "round_addresses")
     d = d.withColumn("signal_weight", F.aggregate("signals", F.lit(0).cast("bigint"), lambda a, s: a + s["weight"]))
     return d.withColumn("hallucination", F.greatest(F.lit(0), 100 - 2 * F.col("signal_weight")).cast("bigint"))
 
@@ -147,19 +148,21 @@ def fabricated_patch(text: Column) -> Column:
 
 def gold_signals(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``gold`` (names of the payload signals) and ``gold_bonus`` (their points, at most 12)."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    first = lambda rule: F.regexp_extract(t, java(*rule), 1)
+    df = df.withColumn("__t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__low", F.lower("__t"))
+    t, low = F.col("__t"), "__low"
+    first = lambda rule: F.coalesce(F.get(every(t, *rule, 1, low), F.lit(0)), F.lit(""))
     concrete = lambda x, n: (F.length(x) >= n) & ~x.rlike(java(R.TOKEN_PLACEHOLDER, "i"))
-    around = F.when(found(t, *R.CRYPTO), F.regexp_extract(t, java(rf"[\s\S]{{0,40}}?(?:{R.CRYPTO[0]})[\s\S]{{0,40}}", "i"), 0)).otherwise("")  # the window only where there is something
+    window = let(F.split(t, java(*R.CRYPTO), 2), lambda p: F.concat(F.right(p[0], F.lit(40)), F.regexp_extract(t, java(*R.CRYPTO), 0), F.left(p[1], F.lit(40))))
+    around = F.when(found(t, *R.CRYPTO, low), window).otherwise("")  # cut at the first place, not searched for from every place before it
     uri = first(R.XXE)
     tests = {
-        "auth_token": found(t, *R.JWT) | let(first(R.BEARER), lambda x: concrete(x, 16)) | let(first(R.COOKIE), lambda x: concrete(x, 12)),
-        **{n: found(t, *rule) for n, rule in R.PAYLOADS.items()},
+        "auth_token": found(t, *R.JWT, low) | let(first(R.BEARER), lambda x: concrete(x, 16)) | let(first(R.COOKIE), lambda x: concrete(x, 12)),
+        **{n: found(t, *rule, low) for n, rule in R.PAYLOADS.items()},
         "xxe_external_entity": let(uri, lambda u: (u != "") & ~u.rlike(java(R.XXE_PLACEHOLDER, "i")) & ~u.rlike(java(R.XXE_BARE))),
         "crypto_misuse": let(around, lambda w: (w != "") & ~(w.rlike(java(R.CRYPTO_PLACEHOLDER, "i")) & ~w.rlike(java(R.LONG_HEX, "i")))),
-        "filesystem_toctou": found(t, *R.TOCTOU) & ~found(t, *R.TOCTOU_PLACEHOLDER),
+        "filesystem_toctou": found(t, *R.TOCTOU, low) & ~found(t, *R.TOCTOU_PLACEHOLDER),
     }
-    d = df.withColumn("gold", F.array_compact(F.array(*[F.when(tests[n], F.lit(n)) for n in R.GOLD])))
+    d = df.withColumn("gold", F.array_compact(F.array(*[F.when(tests[n], F.lit(n)) for n in R.GOLD]))).drop("__t", "__low")
     return d.withColumn("gold_bonus", _gold_points())
 
 
@@ -171,8 +174,10 @@ def _gold_points() -> Column:
 def gold_signals_left(df: DataFrame, text_col: str = "text") -> DataFrame:
     """As :func:`gold_signals`; payloads must also be in what is left of a text without placeholder bodies and payloads that prose only speaks of."""
     d = gold_signals(df, text_col).withColumnsRenamed({"gold": "__all", text_col: "__own"}).drop("gold_bonus")
-    d = gold_signals(d.withColumn(text_col, raw_http.strip_placeholders(F.col("__own"))), text_col).drop(text_col).withColumnRenamed("__own", text_col)
-    d = d.withColumn("gold", F.filter("__all", lambda n: ~n.isin(*R.GOLD_LEFT) | F.array_contains("gold", n))).drop("__all")
+    d = d.withColumn("__left", raw_http.strip_placeholders(F.col("__own"))).withColumn(text_col, F.when(F.col("__left") != F.col("__own"), F.col("__left"))).drop("__left")  # null: all is left, and so are its signals
+    d = gold_signals(d, text_col)
+    kept = F.when(F.col(text_col).isNull(), F.col("__all")).otherwise(F.filter("__all", lambda n: ~n.isin(*R.GOLD_LEFT) | F.array_contains("gold", n)))
+    d = d.withColumn("gold", kept).drop("__all", text_col).withColumnRenamed("__own", text_col)
     return d.withColumn("gold_bonus", _gold_points())
 
 
