@@ -159,7 +159,7 @@ def requests(text: Column) -> Column:
 def crossed_prose(text: Column) -> Column:
     """The text with prose that speaks of a payload without giving it crossed out by marks; its own marks are spaces."""
 
-    def crossed(t: Column, category: str, pattern: str, telling: bool | None) -> Column:
+    def crossed(t: Column, low: Column, category: str, pattern: str, telling: bool | None) -> Column:
         def take(m: Column) -> Column:
             ok = ~m.rlike(f"[{MARKS}]")
             if telling is not None:
@@ -172,16 +172,22 @@ def crossed_prose(text: Column) -> Column:
             joined = let(pieces, lambda p: F.concat(p[0], F.array_join(F.zip_with(found_, F.slice(p, F.lit(2), F.size(found_)), lambda m, s: F.concat(take(m), s)), "")))
             return F.when(F.size(found_) == 0, t).otherwise(joined)
 
-        return let(every(t, pattern, "i"), walk)
+        return let(every(t, pattern, "i", low=low), walk)
 
-    out = _clean(text)
-    for rule in R.PROSE:
-        out = let(out, _after(crossed, rule))
-    return out
+    def all_rules(clean: Column) -> Column:
+        def run(low: Column) -> Column:
+            out = clean
+            for rule in R.PROSE:
+                out = let(out, _after(crossed, rule, low))
+            return out
 
+        return let(F.lower(clean), run)
 
-def _after(step, rule: tuple):
-    return lambda t: step(t, *rule)
+    return let(_clean(text), all_rules)
+
+
+def _after(step, rule: tuple, low: Column):
+    return lambda t: step(t, low, *rule)  # crossing out leaves no word that the text did not have: one lower case serves all rules
 
 
 def prose_categories(crossed: Column) -> Column:
@@ -251,10 +257,10 @@ def strip_placeholders(text: Column) -> Column:
         return let(pieces, lambda p: F.concat(_spaces(p[0]), F.array_join(F.zip_with(blocks, F.slice(p, F.lit(2), F.size(p)), lambda b, s: F.concat(F.coalesce(b, F.lit("")), _spaces(F.coalesce(s, F.lit(""))))), "")))
 
     def crossed(x: Column) -> Column:
-        both = F.zip_with(F.split(x["marked"], ""), F.zip_with(F.split(x["bodies"], ""), F.split(x["code"], ""), lambda b, c: F.when(c == " ", " ").otherwise(b)), lambda m, c: F.when(m.rlike(f"[{MARKS}]"), " ").otherwise(c))
+        both = F.zip_with(F.split(x["marked"], ""), F.zip_with(F.split(x["bodies"], ""), F.split(code(x["text"]), ""), lambda b, c: F.when(c == " ", " ").otherwise(b)), lambda m, c: F.when(m.rlike(f"[{MARKS}]"), " ").otherwise(c))
         return F.when(x["marked"].rlike(f"[{MARKS}]"), F.array_join(both, "")).otherwise(x["bodies"])
 
-    return let(let(_clean(F.coalesce(text, F.lit(""))), lambda t: F.struct(bodies(t).alias("bodies"), code(t).alias("code"), crossed_prose(t).alias("marked"))), crossed)
+    return let(let(_clean(F.coalesce(text, F.lit(""))), lambda t: F.struct(t.alias("text"), bodies(t).alias("bodies"), crossed_prose(t).alias("marked"))), crossed)
 
 
 def _real_values(json: Column) -> Column:
