@@ -34,8 +34,11 @@ def _behind(guard: Column, test: Column) -> Column:
 
 def frames(text: Column) -> Column:
     """Array of a text's frame lines."""
-    low = F.lower(text)
-    return F.when(text.contains("#") | low.contains("frame"), every(text, *R.FRAME)).otherwise(_no())
+    return let(F.lower(text), lambda low: _frames(text, low))
+
+
+def _frames(text: Column, low: Column) -> Column:
+    return F.when(text.contains("#") | low.contains("frame"), every(text, *R.FRAME, low=low)).otherwise(_no())
 
 
 def _resolved(line: Column) -> Column:
@@ -61,13 +64,9 @@ def _odd_offsets(joined: Column) -> Column:
     return F.size(F.filter(_bare(every(joined, *R.IN_OFFSET, 1)), lambda h: found(h, *R.ODD_OFFSET))) >= R.FEWEST_OFFSETS
 
 
-def _threads(text: Column) -> Column:
+def _threads(text: Column, low: Column) -> Column:
     far = lambda rule, test: F.exists(every(text, *rule, 1), lambda d: test(d.cast("double")))
-    return _behind(text.contains("=="), far(R.PID, lambda n: (n == 0) | (n > R.MOST_PID))) | _behind(_names_thread(text), far(R.THREAD, lambda n: n > R.MOST_THREAD))
-
-
-def _names_thread(text: Column) -> Column:
-    return F.lower(text).contains("thread")
+    return _behind(text.contains("=="), far(R.PID, lambda n: (n == 0) | (n > R.MOST_PID))) | _behind(low.contains("thread"), far(R.THREAD, lambda n: n > R.MOST_THREAD))
 
 
 def _plain_region(text: Column) -> Column:
@@ -157,14 +156,14 @@ def _apart(roles: Column) -> Column:
     return (F.size(named) >= 2) & ((F.size(roles[1]) > 0) | (F.size(roles[2]) > 0)) & one & (F.size(F.array_distinct(F.flatten(named))) == F.size(named))
 
 
-def _markers(text: Column, lines: Column) -> Column:
+def _markers(text: Column, low: Column, lines: Column) -> Column:
     joined, has = F.array_join(lines, "\n"), F.size(lines) > 0
-    low_has = lambda word: F.lower(text).contains(word)
+    low_has = low.contains
     shadowed = lambda test: _behind(low_has("buggy"), let(_shadow_rows(text), lambda rows: F.when(rows.isNotNull(), test(rows, text))))
-    on_roles = lambda test: _behind(_names_thread(text), let(_roles(text), test))
+    on_roles = lambda test: _behind(low_has("thread"), let(_roles(text), test))
     tests = (
-        _behind(has & text.contains("+0x"), _offsets(joined, R.OFFSET, R.ROUND_OFFSET)), _behind(has, _gap(lines)), _behind(_names_thread(text), found(text, *R.THREAD) & ~found(text, *R.PID)),
-        _behind(low_has("region"), _round_region(text)), _behind(has & text.contains("+0x"), _odd_offsets(joined)), _threads(text), _behind(low_has("region"), _region_and_access(text)),
+        _behind(has & text.contains("+0x"), _offsets(joined, R.OFFSET, R.ROUND_OFFSET)), _behind(has, _gap(lines)), _behind(low_has("thread"), found(text, *R.THREAD) & ~found(text, *R.PID)),
+        _behind(low_has("region"), _round_region(text)), _behind(has & text.contains("+0x"), _odd_offsets(joined)), _threads(text, low), _behind(low_has("region"), _region_and_access(text)),
         _behind(low_has("0x"), _registers(text)), _behind(text.contains("-"), _mappings(text)), shadowed(_malformed), shadowed(_mismatch),
         on_roles(lambda r: F.size(F.array_distinct(F.flatten(r))) >= R.FEWEST_THREADS), on_roles(_apart), _behind(low_has("kb"), _status(text)),
     )
@@ -182,7 +181,8 @@ def evaluate(text: Column) -> Column:
     def read(x: Column) -> Column:
         count = lambda test: F.size(F.filter(x["lines"], test)).cast("bigint")
         good = count(lambda s: ~_placeholder(s) & _resolved(s))
-        return F.struct(x["lines"].alias("lines"), good.alias("good"), count(_placeholder).alias("placeholders"), _markers(x["text"], x["lines"]).alias("markers"))
+        return F.struct(x["lines"].alias("lines"), good.alias("good"), count(_placeholder).alias("placeholders"), _markers(x["text"], x["low"], x["lines"]).alias("markers"))
 
-    both = let(F.coalesce(text, F.lit("")), lambda t: F.struct(t.alias("text"), frames(t).alias("lines")))
+    known = let(F.coalesce(text, F.lit("")), lambda t: F.struct(t.alias("text"), F.lower(t).alias("low")))
+    both = let(known, lambda x: F.struct(x["text"].alias("text"), x["low"].alias("low"), _frames(x["text"], x["low"]).alias("lines")))
     return let(let(both, read), judged)

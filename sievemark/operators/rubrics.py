@@ -55,7 +55,8 @@ def _evidence(df: DataFrame, text: Column) -> DataFrame:
         "text": F.col("__t"), "shown": behind("__t"), "stripped": true(F.col("__trace.stripped")), "structural": true(F.col("__trace.fabricated")), "request": true(F.col("__asked.fake")), "slots": F.col("__slots"),
         "response": F.col("__fake"), "without_bodies": F.coalesce(behind("__left"), F.lit("")), "without_answers": F.coalesce("__rest", F.lit("")), "prose": prose(F.col("__t")),
     }
-    return d.withColumn("__e", F.struct(*[v.alias(k) for k, v in e.items()])).drop("__t", "__f", "__trace", "__asked", "__answered", "__slots", "__fake", "__left", "__rest")
+    d = d.withColumn("__e", F.struct(*[v.alias(k) for k, v in e.items()])).withColumn("__e", F.col("__e").withField("low", F.lower("__e.shown")))
+    return d.drop("__t", "__f", "__trace", "__asked", "__answered", "__slots", "__fake", "__left", "__rest")
 
 
 def _weigh(e: Column, family: str) -> Column:
@@ -77,7 +78,7 @@ def _weigh(e: Column, family: str) -> Column:
         if why:
             taken[name] = F.array_max(F.array(*why))
     return F.struct(
-        _names({n: found(e["shown"], *rule) for n, rule in pattern.items()}).alias("hits"), _names(taken).alias("taken"), _names({n: ~found(e["shown"], p, "i") for n, p, _ in R.ABSENCES[family]}).alias("absent"),
+        _names({n: found(e["shown"], *rule, e["low"]) for n, rule in pattern.items()}).alias("hits"), _names(taken).alias("taken"), _names({n: ~found(e["shown"], p, "i", e["low"]) for n, p, _ in R.ABSENCES[family]}).alias("absent"),
         _said(e["prose"], family).alias("contradictions"), (F.size(_said(F.lower(e["text"]), family)) > 0).alias("contradicts")).cast(_WEIGHED)
 
 
@@ -141,11 +142,11 @@ def classify(df: DataFrame, text_col: str = "text", cwes: str = "cwes", ancestor
     known = F.create_map(*[F.lit(x) for item in (direct | above).items() for x in item])
     first = lambda c: F.try_element_at(F.filter(F.coalesce(F.col(cwes), F.array().cast("array<string>")), c), F.lit(1))
     mapped = first(lambda c: F.map_contains_key(known, c))
-    d = df.withColumns({"__mapped": mapped, "cited": F.coalesce(mapped, first(lambda c: c.isNotNull())), "vuln_type": first_of(t, VULN_TYPES)})
+    d = df.withColumns({"__mapped": mapped, "cited": F.coalesce(mapped, first(lambda c: c.isNotNull())), "vuln_type": let(F.lower(t), lambda low: first_of(t, VULN_TYPES, low=low))})
     types = F.create_map(*[F.lit(x) for item in R.BY_TYPE.items() for x in item])
 
     def best(low: Column) -> Column:
-        hits = [(name, least, sum((F.when(found(low, p, "i"), 1).otherwise(0) for p in words), F.lit(0))) for name, (least, words) in R.KEYWORDS.items()]
+        hits = [(name, least, sum((F.when(found(low, p, "i", low), 1).otherwise(0) for p in words), F.lit(0))) for name, (least, words) in R.KEYWORDS.items()]
         scores = F.array(*[F.struct(F.when(n >= least, n).otherwise(0).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("family")) for i, (name, least, n) in enumerate(hits)])
         return F.array_max(scores)
 
@@ -166,17 +167,17 @@ def coherence(df: DataFrame, text_col: str = "text", plain: str = "coherence") -
     t = F.coalesce(F.col(text_col), F.lit(""))
     fam = F.col("family")
 
-    def counted(x: Column) -> Column:
+    def counted(x: Column, low: Column) -> Column:
         out = F.lit(None).cast("struct<gold: int, concrete: int, said: int>")
         for name in reversed(list(R.SIGNALS)):
-            hit = lambda s: F.when(found(x, s[1], s[2]), 1).otherwise(0)
+            hit = lambda s: F.when(found(x, s[1], s[2], low), 1).otherwise(0)
             concrete = sum((hit(s) for s in R.SIGNALS[name] if s[0] != R.MEMBERSHIP), F.lit(0))
             member = sum((hit(s) for s in R.SIGNALS[name] if s[0] == R.MEMBERSHIP), F.lit(0))
-            own = let(F.struct(concrete.alias("concrete"), member.alias("member")), lambda c: F.struct((c["concrete"] + c["member"]).alias("gold"), c["concrete"].alias("concrete"), F.size(_said(F.lower(x), name)).alias("said")))
+            own = let(F.struct(concrete.alias("concrete"), member.alias("member")), lambda c: F.struct((c["concrete"] + c["member"]).alias("gold"), c["concrete"].alias("concrete"), F.size(_said(low, name)).alias("said")))
             out = F.when(fam == name, own).otherwise(out)
         return out
 
-    d = df.withColumns({"__n": let(t, counted), "__issues": F.aggregate(coherence_issues(t, fam), F.lit(0).cast("bigint"), lambda a, i: a + i["penalty"])})
+    d = df.withColumns({"__n": let(F.struct(t.alias("t"), F.lower(t).alias("low")), lambda x: counted(x["t"], x["low"])), "__issues": F.aggregate(coherence_issues(t, fam), F.lit(0).cast("bigint"), lambda a, i: a + i["penalty"])})
     no_cite, shown = F.col("cited").isNull(), F.col("evidence_family")
     soft = no_cite & F.col("vuln_type").isNotNull()
     off_family = ~no_cite & (F.col("cited_family") != shown) & F.col("evidence_confidence").isin("HIGH", "MEDIUM")
